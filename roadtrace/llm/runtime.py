@@ -1,0 +1,36 @@
+"""Session helpers: where to cut lineage, and how tables are read."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+_local: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir, which all executors share.
+
+    Where it is unset (tests in local mode: driver and executors on one machine) a
+    temporary folder serves the application.
+    """
+    there = spark.conf.get("spark.checkpoint.dir", None)
+    if not there:
+        app = spark.sparkContext.applicationId
+        there = _local.setdefault(app, "") or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+        _local[app] = there
+    return there.rstrip("/")
+
+
+def materialise(df: DataFrame, name: str) -> DataFrame:
+    """Write df to the shared folder and read it again: lineage ends there, and a lost executor costs its tasks only."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
