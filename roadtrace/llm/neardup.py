@@ -40,8 +40,8 @@ _LOWER[65:91] += 32
 
 #: Classes in a node that are compared exhaustively.
 LEAF = 128
-#: Levels below the root.
-DEPTH = 8
+#: Levels below the root; a node that is still large there shares this many minwise tokens and one more.
+DEPTH = 3
 #: Shingles of the sets in one block of exact comparison.
 BLOCK_SHINGLES = 1_500_000
 #: Proposed documents whose ids are broadcast at most; beyond, the join shuffles.
@@ -316,8 +316,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
         roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     found = roots.filter("node <> root")
 
-    rep = real.groupBy("sid").agg(F.min("doc_id").alias("nid"))
-    rep = rep.join(found, rep.nid == found.node, "left").select("sid", F.coalesce("root", "nid").alias("root"))
+    rep = classes.join(found, classes.nid == found.node, "left").select("sid", F.coalesce("root", "nid").alias("root"))
     return sk.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("sid")).alias("sid")).join(rep, "sid", "left").select(
         "doc_id",
         "n_shingles",
