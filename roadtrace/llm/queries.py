@@ -10,7 +10,17 @@ from pyspark.sql import functions as F
 
 from roadtrace.llm.neardup import near_duplicates
 from roadtrace.llm.packing import pack
+from roadtrace.llm.personal_data import BASE_KINDS as PERSONAL_KINDS
+from roadtrace.llm.personal_data import find_personal_data
+from roadtrace.llm.quality import judge_quality
 from roadtrace.llm.runtime import table
+from roadtrace.llm.secret_scan import BASE_KINDS as SECRET_KINDS
+from roadtrace.llm.secret_scan import find_secrets
+from roadtrace.llm.spans import digests
+
+
+def op2_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op4_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,10 +32,21 @@ def op5_chosen_path_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFra
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(find_secrets(table(spark, sf_dir, "documents")), SECRET_KINDS)
+
+
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(find_personal_data(table(spark, sf_dir, "documents")), PERSONAL_KINDS)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_ngram_quality": op2_ngram_quality,
         "op4_bm25_packing": op4_bm25_packing,
         "op5_chosen_path_near_duplicates": op5_chosen_path_near_duplicates,
+        "op8_secret_scan": op8_secret_scan,
+        "op10_personal_data": op10_personal_data,
     }
 
 
