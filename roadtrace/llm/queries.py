@@ -8,6 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from roadtrace.llm import urls_sql
+from roadtrace.llm.chat import format_chats, read_back
 from roadtrace.llm.neardup import near_duplicates
 from roadtrace.llm.packing import pack
 from roadtrace.llm.personal_data import BASE_KINDS as PERSONAL_KINDS
@@ -17,12 +19,19 @@ from roadtrace.llm.runtime import table
 from roadtrace.llm.secret_scan import BASE_KINDS as SECRET_KINDS
 from roadtrace.llm.secret_scan import find_secrets
 from roadtrace.llm.spans import digests
+from roadtrace.llm.url_reputation import filter_urls
 
 
 def op2_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.sql("SELECT -1L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
+    return read_back(format_chats(turns.unionByName(more)))
+
+
 def op4_bm25_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), window=1024)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -32,6 +41,10 @@ def op5_chosen_path_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFra
     return near_duplicates(table(spark, sf_dir, "documents"), shingle_words=3, percent=85)
 
 
+def op6_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), urls_sql.RULES)
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(find_secrets(table(spark, sf_dir, "documents")), SECRET_KINDS)
 
@@ -43,12 +56,14 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_ngram_quality": op2_ngram_quality,
+        "op3_chat_format": op3_chat_format,
         "op4_bm25_packing": op4_bm25_packing,
         "op5_chosen_path_near_duplicates": op5_chosen_path_near_duplicates,
+        "op6_host_reputation": op6_host_reputation,
         "op8_secret_scan": op8_secret_scan,
         "op10_personal_data": op10_personal_data,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_host_reputation": urls_sql.SQL}
