@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadtrace.llm import urls_sql
+from roadtrace.llm import sharding, urls_sql
 from roadtrace.llm.chat import format_chats, read_back
+from roadtrace.llm.mixing import mix, tempered_weights
 from roadtrace.llm.neardup import near_duplicates
 from roadtrace.llm.packing import pack
 from roadtrace.llm.personal_data import BASE_KINDS as PERSONAL_KINDS
@@ -45,10 +46,24 @@ def op6_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"), urls_sql.RULES)
 
 
+def op7_slot_table_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return sharding.place(docs, "doc_id", sharding.SHARDS, sharding.SLOTS).select("doc_id", "slot", "shard")
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(find_secrets(table(spark, sf_dir, "documents")), SECRET_KINDS)
 
 
+#: Target weights of sources are this power of their characters.
+MIX_POWER = 0.5
+
+
+def op9_pfair_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix(docs, tempered_weights(docs, MIX_POWER))
+
+
 def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(find_personal_data(table(spark, sf_dir, "documents")), PERSONAL_KINDS)
 
@@ -60,10 +75,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_bm25_packing": op4_bm25_packing,
         "op5_chosen_path_near_duplicates": op5_chosen_path_near_duplicates,
         "op6_host_reputation": op6_host_reputation,
+        "op7_slot_table_sharding": op7_slot_table_sharding,
         "op8_secret_scan": op8_secret_scan,
+        "op9_pfair_mixing": op9_pfair_mixing,
         "op10_personal_data": op10_personal_data,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_host_reputation": urls_sql.SQL}
+    return {
+        "op6_host_reputation": urls_sql.SQL,
+        "op7_slot_table_sharding": sharding.oracle("documents", "doc_id", sharding.SHARDS, sharding.SLOTS),
+    }
