@@ -5,8 +5,11 @@ one sketch per class goes on. The sketch is a fixed number of minwise tokens. Ea
 several independent trees starts with all classes in its root; a node chooses one or two
 sketch coordinates (1 / threshold on average) by a hash of its path, and its members
 branch by the minwise token they have there. Nodes that are small enough stop: their
-members are compared exhaustively on sketches. Nodes still large at the last depth share
-so many tokens that they count as one candidate group unseen.
+members are compared exhaustively on sketches. In a larger node all members are held
+against one of them, the pivot: those far more alike than chance are proposed with it, and
+those about as near as the threshold leave the node, for by the triangle inequality of
+Jaccard distances whatever they link with was proposed with the pivot too. Nodes still
+large at the last depth share so many tokens that they count as one candidate group unseen.
 
 Sketch comparisons only propose groups, several standard deviations below the threshold.
 The proposals' components are then examined on full sets: every component is one unit of
@@ -274,7 +277,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
 
     rows = classes.select("nid", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "sketch")
     rows = rows.select("nid", F.explode(_children(F.xxhash64(F.lit("root"), "tree"), F.col("sketch"), threshold)).alias("path"))
-    leaves, dense = [], None
+    # Sketches err by 0.04 or so; three times that is allowed for a member's distance and for its partners'.
+    leave, with_pivot = threshold - 0.02, 2 * threshold - 1 - 0.27
+    leaves, stars = [], []
     for depth in range(DEPTH + 1):
         sized = rows.join(rows.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1"), "path")
         sized = materialise(sized, "nodes")
@@ -283,16 +288,22 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
         if large.isEmpty():
             break
         if depth == DEPTH:
-            dense = large.groupBy("path").agg(F.min("nid").alias("b")).join(large, "path").select(F.col("nid").alias("a"), "b")
+            stars.append(large.join(large.groupBy("path").agg(F.min("nid").alias("b")), "path").select(F.col("nid").alias("a"), "b"))
             break
+        pivot = large.groupBy("path").agg(F.min("nid").alias("pivot")).join(classes.select(F.col("nid").alias("pivot"), F.col("sketch").alias("other")), "pivot")
+        equal = F.aggregate(F.zip_with("sketch", "other", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
+        held = large.join(classes.select("nid", "sketch"), "nid").join(pivot, "path").select("path", "nid", "pivot", (equal / COORDINATES).alias("alike"))
+        held = materialise(held, "held")
+        stars.append(held.filter(F.col("alike") >= with_pivot).select(F.col("nid").alias("a"), F.col("pivot").alias("b")))
+        large = held.filter(F.col("alike") < leave).select("path", "nid")
         rows = large.join(classes.select("nid", "sketch"), "nid").select("nid", F.explode(_children(F.col("path"), F.col("sketch"), threshold)).alias("path")).distinct()
     at_leaves = leaves[0]
     for more in leaves[1:]:
         at_leaves = at_leaves.unionByName(more)
     at_leaves = at_leaves.join(classes.select("nid", "marks"), "nid").select("path", "nid", "marks")
     edges = at_leaves.repartition("path").sortWithinPartitions("path").mapInArrow(partial(_compare_leaves, least=least), "a long, b long")
-    if dense is not None:
-        edges = edges.unionByName(dense)
+    for more in stars:
+        edges = edges.unionByName(more)
     proposed = connected_components(edges)
 
     # Full sets of the proposed documents only; each component is a group of work, cut into blocks by its size.
