@@ -20,7 +20,7 @@ from pyspark.sql.window import Window
 #: Slots of a period: what weights are rounded to, and most sources.
 PERIOD = 1024
 #: Characters of a block.
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 16
 #: Buckets of a source's order: a running sum is taken over buckets, then inside each.
 BUCKETS = 4096
 
