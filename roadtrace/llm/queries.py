@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from roadtrace.llm import sharding, urls_sql
 from roadtrace.llm.chat import format_chats, read_back
+from roadtrace.llm.image_match import find_copies, rendered
 from roadtrace.llm.mixing import mix, tempered_weights
 from roadtrace.llm.neardup import near_duplicates
 from roadtrace.llm.packing import pack
@@ -23,6 +24,10 @@ from roadtrace.llm.spans import digests
 from roadtrace.llm.url_reputation import filter_urls
 
 
+def op1_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_copies(rendered(table(spark, sf_dir, "embeddings")))
+
+
 def op2_ngram_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -70,6 +75,7 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_image_copies": op1_image_copies,
         "op2_ngram_quality": op2_ngram_quality,
         "op3_chat_format": op3_chat_format,
         "op4_bm25_packing": op4_bm25_packing,
