@@ -21,7 +21,7 @@ from roadtrace.llm.textblocks import Block, Words, blocks, mix, per_doc, span_ha
 BUCKETS = 1 << 16
 #: Labelled documents of good quality that the target is fitted on, at most (the first by a hash of doc_id).
 TRUSTED = 20_000
-#: Pseudo-counts per bucket: the target's shape is drawn to the raw corpus where it says little.
+#: Pseudo-counts per bucket on average: the target's shape is drawn to the raw corpus where it says little.
 PRIOR = 8.0
 #: Documents below this mean log ratio per n-gram are rejected.
 THRESHOLD = -0.125
@@ -93,7 +93,7 @@ def _count(batches: Iterator[pa.RecordBatch], trusted: np.ndarray) -> Iterator[p
     yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(raw[own]), pa.array(target[own])], names=["bucket", "n_raw", "n_target"])
 
 
-def ratio_table(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> np.ndarray:
+def ratio_table(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED, prior: float = PRIOR) -> np.ndarray:
     """log p(bucket | target) - log p(bucket | raw) for every bucket: BUCKETS floats, whatever the input's size."""
     good = labels.filter("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"))
     rows = good.distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted).collect()
@@ -105,7 +105,7 @@ def ratio_table(docs: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> n
     if not target.sum():
         return np.zeros(BUCKETS)
     p_raw = (raw + 1) / (raw + 1).sum()
-    p_target = (target + PRIOR * BUCKETS * p_raw) / (target.sum() + PRIOR * BUCKETS)
+    p_target = (target + prior * BUCKETS * p_raw) / (target.sum() + prior * BUCKETS)
     return np.log(p_target) - np.log(p_raw)
 
 
@@ -133,7 +133,7 @@ def _plain(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def judge_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trusted: int = TRUSTED) -> DataFrame:
+def judge_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trusted: int = TRUSTED, prior: float = PRIOR) -> DataFrame:
     """Every document's base counts, its mean log-likelihood ratio and the verdict.
 
     docs: doc_id long, text string; labels: doc_id, quality, toxic. Other columns are
@@ -143,7 +143,7 @@ def judge_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     again; a null doc_id stays null and is never trusted. Without trusted documents every
     score is 0, and the base rules decide.
     """
-    table = ratio_table(docs, labels, trusted)
+    table = ratio_table(docs, labels, trusted, prior)
     return _plain(docs).mapInArrow(partial(_judge, table=table, threshold=threshold), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean")
 
 
@@ -154,8 +154,8 @@ def _keep(batches: Iterator[pa.RecordBatch], table: np.ndarray, threshold: float
             yield batch.filter(pa.concat_arrays(kept))
 
 
-def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trusted: int = TRUSTED) -> DataFrame:
+def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trusted: int = TRUSTED, prior: float = PRIOR) -> DataFrame:
     """The rows of docs that judge_quality keeps, with all their columns; nothing is joined or shuffled."""
-    table = ratio_table(docs, labels, trusted)
+    table = ratio_table(docs, labels, trusted, prior)
     rows = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
     return rows.mapInArrow(partial(_keep, table=table, threshold=threshold), rows.schema)
