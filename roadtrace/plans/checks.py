@@ -1,0 +1,276 @@
+"""DuckDB SQL for the rows of the library's queries, written apart from the Spark plans."""
+
+from __future__ import annotations
+
+from roadtrace.schemas import DETECTION_CLASSES, VIOLATION_NAMES
+from roadtrace.sources.adapters import with_tables as over
+
+SQL: dict[str, str] = {}
+
+# Tracks: rows with position, size, class and centre; their segments; their ends.
+_TRACKS = """, tr0 AS (SELECT d.*, (bbox_x1 + bbox_x2) / 2 AS cx, (bbox_y1 + bbox_y2) / 2 AS cy, row_number() OVER (PARTITION BY video_id, track_id ORDER BY frame_no, id) - 1 AS pos,
+  count(*) OVER (PARTITION BY video_id, track_id) AS n FROM detections d WHERE track_id IS NOT NULL),
+cls AS (SELECT video_id, track_id, class_name AS track_class FROM (SELECT video_id, track_id, class_name, row_number() OVER (PARTITION BY video_id, track_id ORDER BY count(*) DESC, class_name) AS k FROM tr0 GROUP BY video_id, track_id, class_name) WHERE k = 1),
+tr AS (SELECT * FROM tr0 JOIN cls USING (video_id, track_id)),
+veh AS (SELECT * FROM tr WHERE track_class IN ('vehicle', 'motorcycle')),
+seg AS (SELECT * FROM (SELECT video_id, track_id, track_class, n, pos, cx AS x1, cy AS y1, lead(cx) OVER w AS x2, lead(cy) OVER w AS y2, timestamp_ms AS ms1, lead(timestamp_ms) OVER w AS ms2, lead(frame_no) OVER w AS frame_no
+  FROM tr WINDOW w AS (PARTITION BY video_id, track_id ORDER BY pos)) WHERE x2 IS NOT NULL),
+ends AS (SELECT video_id, track_id, track_class AS class_name, n, first(frame_no ORDER BY pos) AS start_frame, last(frame_no ORDER BY pos) AS end_frame, first(timestamp_ms ORDER BY pos) AS start_ms, last(timestamp_ms ORDER BY pos) AS end_ms FROM tr GROUP BY ALL),
+rates AS (SELECT id AS video_id, CASE WHEN fps <> 0 THEN fps ELSE 30 END AS fps FROM videos),
+speeds AS (SELECT video_id, track_id, meters_per_px, CASE WHEN ms > 0 THEN px * meters_per_px / (ms / 1000.0) * 3.6 ELSE 0 END AS kmh FROM (SELECT video_id, track_id, sum(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))) AS px, max(ms2) - min(ms1) AS ms FROM seg WHERE track_class IN ('vehicle', 'motorcycle') GROUP BY ALL) JOIN calibrations USING (video_id) WHERE meters_per_px > 0)"""
+_T = ("detections", "videos", "calibrations")
+
+
+def _tracks(query: str, *more: str) -> str:
+    return over(f"{_TRACKS}{query}", *_T, *more)
+
+
+def _crossing(y: float) -> str:
+    """First crossing of the horizontal line from x = 0 to 1000 at y: strictly, by segments of vehicles."""
+    return f""", hit AS (SELECT video_id, track_id, min(pos) + 1 AS pos FROM seg WHERE track_class IN ('vehicle', 'motorcycle') AND (y1 - {y}) * (y2 - {y}) < 0
+  AND x1 + (x2 - x1) * ({y} - y1) / (y2 - y1) > 0 AND x1 + (x2 - x1) * ({y} - y1) / (y2 - y1) < 1000 GROUP BY ALL),
+crossed AS (SELECT h.video_id, h.track_id, tr.frame_no FROM hit h JOIN tr USING (video_id, track_id, pos))"""
+
+
+_OUT = " SELECT video_id, '{}' AS violation_type, track_id, start_ms, end_ms, {} AS confidence, evidence FROM "
+_MS = "CAST(floor({} * 1000 / fps) AS INT)"
+
+SQL["build_tracks"] = _tracks(" SELECT video_id, track_id, track_class, count(*) AS n, CAST(sum(pos * frame_no) AS BIGINT) AS order_sum FROM tr GROUP BY ALL")
+SQL["track_summary"] = _tracks(" SELECT *, end_ms - start_ms AS duration_ms FROM ends")
+SQL["track_segments"] = _tracks(" SELECT video_id, track_id, count(*) AS n, round(sum(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))), 3) AS path_px, CAST(sum(frame_no) AS BIGINT) AS frames FROM seg GROUP BY ALL")
+SQL["detections_by_frame"] = over(" SELECT video_id, frame_no, count(*) AS n, string_agg(class_name, ',' ORDER BY id) AS classes FROM detections GROUP BY ALL", "detections")
+SQL["consecutive_runs"] = over(
+    """, f AS (SELECT DISTINCT video_id, frame_no FROM detections WHERE class_name = 'person'),
+g AS (SELECT *, CASE WHEN frame_no - lag(frame_no) OVER (PARTITION BY video_id ORDER BY frame_no) > 3 THEN 1 ELSE 0 END AS new FROM f),
+h AS (SELECT *, sum(new) OVER (PARTITION BY video_id ORDER BY frame_no) AS run FROM g)
+SELECT video_id, min(frame_no) AS run_start, max(frame_no) AS run_end, count(*) AS n_frames FROM h GROUP BY video_id, run""",
+    "detections",
+)
+SQL["first_crossing"] = _tracks(f"{_crossing(250.5)} SELECT * FROM crossed")
+SQL["rule_red_light_running"] = _tracks(
+    f"""{_crossing(250.5)}, red AS (SELECT DISTINCT video_id, frame_no FROM detections WHERE class_name = 'traffic_light_red'),
+mid AS (SELECT c.video_id, c.track_id, min(veh.pos) AS p FROM crossed c JOIN red USING (video_id, frame_no) JOIN veh USING (video_id, track_id, frame_no) GROUP BY ALL),
+e AS (SELECT a.video_id, a.track_id, string_agg(frame_no, ',' ORDER BY pos) AS evidence FROM mid a JOIN veh USING (video_id, track_id) WHERE abs(pos - p) <= 2 GROUP BY ALL)"""
+    + _OUT.format("red_light_running", "0.85::DOUBLE")
+    + "e JOIN ends USING (video_id, track_id)"
+)
+SQL["rule_wrong_direction"] = _tracks(
+    """, mot AS (SELECT video_id, track_id, n, atan2(last(y2 ORDER BY pos) - first(y1 ORDER BY pos), last(x2 ORDER BY pos) - first(x1 ORDER BY pos)) AS h FROM seg WHERE track_class IN ('vehicle', 'motorcycle') GROUP BY ALL),
+mean AS (SELECT video_id, atan2(sum(sin(h)), sum(cos(h))) AS p FROM mot GROUP BY ALL HAVING count(*) >= 3),
+d AS (SELECT video_id, track_id, atan2(y2 - y1, x2 - x1) - p + pi() AS a FROM seg JOIN mean USING (video_id) WHERE track_class IN ('vehicle', 'motorcycle')),
+s AS (SELECT video_id, track_id, avg(CASE WHEN abs(abs(a - floor(a / (2 * pi())) * 2 * pi() - pi()) - pi()) < pi() / 3 THEN 1.0 ELSE 0 END) AS share FROM d GROUP BY ALL HAVING share >= 0.8),
+e AS (SELECT video_id, track_id, share, string_agg(frame_no, ',' ORDER BY pos) AS evidence FROM s JOIN veh USING (video_id, track_id) WHERE pos % greatest(1, n // 3) = 0 GROUP BY ALL)"""
+    + _OUT.format("wrong_direction", "round(least(0.95, share), 4)")
+    + "e JOIN ends USING (video_id, track_id) WHERE end_ms - start_ms >= 2000"
+)
+SQL["rule_no_helmet"] = _tracks(
+    """, bare AS (SELECT * FROM tr m WHERE track_class = 'motorcycle'
+  AND EXISTS (SELECT 1 FROM detections p WHERE p.video_id = m.video_id AND p.frame_no = m.frame_no AND p.class_name = 'person' AND (p.bbox_x1 + p.bbox_x2) / 2 BETWEEN m.bbox_x1 AND m.bbox_x2 AND (p.bbox_y1 + p.bbox_y2) / 2 < m.cy)
+  AND NOT EXISTS (SELECT 1 FROM detections p WHERE p.video_id = m.video_id AND p.frame_no = m.frame_no AND p.class_name = 'helmet' AND
+   (SELECT CASE WHEN i > 0 THEN i / ((p.bbox_x2 - p.bbox_x1) * (p.bbox_y2 - p.bbox_y1) + (m.bbox_x2 - m.bbox_x1) * (m.bbox_y2 - m.bbox_y1) - i) ELSE 0 END FROM (SELECT greatest(0, least(p.bbox_x2, m.bbox_x2) - greatest(p.bbox_x1, m.bbox_x1)) * greatest(0, least(p.bbox_y2, m.bbox_y2) - greatest(p.bbox_y1, m.bbox_y1)) AS i)) >= 0.1)),
+f AS (SELECT DISTINCT video_id, track_id, frame_no FROM bare),
+g AS (SELECT *, CASE WHEN frame_no - lag(frame_no) OVER (PARTITION BY video_id, track_id ORDER BY frame_no) > 3 THEN 1 ELSE 0 END AS new FROM f),
+h AS (SELECT *, sum(new) OVER (PARTITION BY video_id, track_id ORDER BY frame_no) AS run FROM g),
+r AS (SELECT *, row_number() OVER (PARTITION BY video_id, track_id ORDER BY b - a DESC, a) AS k FROM (SELECT video_id, track_id, run, min(frame_no) AS a, max(frame_no) AS b FROM h GROUP BY ALL)),
+best AS (SELECT * FROM r JOIN rates USING (video_id) WHERE k = 1 AND (b - a + 1) / fps >= 2),
+e AS (SELECT video_id, track_id, a, b, array_to_string(list(bare.frame_no ORDER BY bare.frame_no)[1:5], ',') AS evidence FROM best JOIN bare USING (video_id, track_id) WHERE bare.frame_no BETWEEN a AND b GROUP BY ALL)
+SELECT e.video_id, 'no_helmet' AS violation_type, e.track_id, x.timestamp_ms AS start_ms, y.timestamp_ms AS end_ms, 0.8::DOUBLE AS confidence, evidence FROM e
+ JOIN tr x ON x.video_id = e.video_id AND x.track_id = e.track_id AND x.frame_no = a JOIN tr y ON y.video_id = e.video_id AND y.track_id = e.track_id AND y.frame_no = b"""
+)
+SQL["rule_illegal_parking"] = _tracks(
+    """, far AS (SELECT video_id, track_id, max(sqrt((cx - mx) * (cx - mx) + (cy - my) * (cy - my))) AS far, max(CASE WHEN pos = n // 2 THEN cx END) AS px, max(CASE WHEN pos = n // 2 THEN cy END) AS py
+  FROM (SELECT *, avg(cx) OVER w AS mx, avg(cy) OVER w AS my FROM tr WHERE track_class = 'vehicle' WINDOW w AS (PARTITION BY video_id, track_id)) GROUP BY ALL)
+SELECT video_id, 'illegal_parking' AS violation_type, track_id, start_ms, end_ms, 0.9::DOUBLE AS confidence, start_frame || ',' || end_frame AS evidence FROM far JOIN ends USING (video_id, track_id)
+ WHERE far <= 5 AND end_ms - start_ms >= 60000 AND px > 600 AND px < 700 AND py > 250 AND py < 450"""
+)
+SQL["rule_illegal_overtaking"] = _tracks(f"{_crossing(350.5)}, e AS (SELECT video_id, track_id, frame_no::VARCHAR AS evidence FROM crossed)" + _OUT.format("illegal_overtaking", "0.7::DOUBLE") + "e JOIN ends USING (video_id, track_id)")
+SQL["rule_speeding"] = _tracks(" SELECT video_id, 'speeding' AS violation_type, track_id, start_ms, end_ms, 0.75::DOUBLE AS confidence, start_frame || ',' || end_frame AS evidence FROM speeds JOIN ends USING (video_id, track_id) WHERE kmh > 80")
+SQL["track_speeds"] = _tracks(" SELECT video_id, track_id, round(kmh, 3) AS kmh FROM speeds")
+# A line is clipped to a box by the range of its parameter between the box's edges.
+_CLIP = """CASE WHEN (dx = 0 AND (lx < x1 OR lx > x2)) OR (dy = 0 AND (ly < y1 OR ly > y2)) THEN 0 ELSE sqrt(dx * dx + dy * dy) * greatest(0,
+ least(1, CASE WHEN dx <> 0 THEN greatest((x1 - lx) / dx, (x2 - lx) / dx) ELSE 1 END, CASE WHEN dy <> 0 THEN greatest((y1 - ly) / dy, (y2 - ly) / dy) ELSE 1 END)
+ - greatest(0, CASE WHEN dx <> 0 THEN least((x1 - lx) / dx, (x2 - lx) / dx) ELSE 0 END, CASE WHEN dy <> 0 THEN least((y1 - ly) / dy, (y2 - ly) / dy) ELSE 0 END)) END"""
+SQL["rule_lane_keeping"] = _tracks(
+    f""", pairs AS (SELECT v.video_id, v.track_id, v.pos, v.bbox_x1 AS x1, v.bbox_y1 AS y1, v.bbox_x2 AS x2, v.bbox_y2 AS y2, l.bbox_x1 AS lx, l.bbox_y1 AS ly, l.bbox_x2 - l.bbox_x1 AS dx, l.bbox_y2 - l.bbox_y1 AS dy
+  FROM veh v JOIN detections l ON l.video_id = v.video_id AND l.frame_no = v.frame_no AND l.class_name IN ('lane_line_solid', 'lane_line_dashed')
+  UNION ALL SELECT video_id, track_id, pos, bbox_x1, bbox_y1, bbox_x2, bbox_y2, 0, 350.5::DOUBLE, 1000, 0 FROM veh),
+lay AS (SELECT video_id, track_id, pos, max({_CLIP}) AS on_line FROM pairs GROUP BY ALL),
+st AS (SELECT v.*, coalesce(on_line, 0) > 0.15::DOUBLE * least(greatest(1, bbox_x2 - bbox_x1), greatest(1, bbox_y2 - bbox_y1)) AS straddles FROM veh v LEFT JOIN lay USING (video_id, track_id, pos)),
+il AS (SELECT *, sum(CASE WHEN straddles THEN 0 ELSE 1 END) OVER (PARTITION BY video_id, track_id ORDER BY pos) AS island FROM st),
+r AS (SELECT video_id, track_id, first(frame_no ORDER BY pos) AS a, last(frame_no ORDER BY pos) AS z FROM il WHERE straddles GROUP BY video_id, track_id, island)
+SELECT video_id, 'lane_keeping' AS violation_type, track_id, {_MS.format("a")} AS start_ms, {_MS.format("z")} AS end_ms, round(least(0.95, (z - a + 1) / fps / 4), 4) AS confidence, a || ',' || (a + z) // 2 || ',' || z AS evidence
+FROM r JOIN rates USING (video_id) WHERE (z - a + 1) / fps >= 2"""
+)
+SQL["rule_unsafe_following"] = _tracks(
+    f""", c AS (SELECT video_id, track_id, floor(avg(cx) / 60) AS bucket, min(frame_no) AS f0, first(id ORDER BY pos) AS id0, kmh, meters_per_px AS mpp FROM veh JOIN speeds USING (video_id, track_id) WHERE n >= 2 GROUP BY ALL),
+sh AS (SELECT f.video_id, f.track_id AS ft, l.track_id AS lt, l.bucket AS lb, l.f0 AS lf, l.id0 AS li, a.frame_no AS fr, abs(a.cx - b.cx) AS dx, a.bbox_y2 AS fb, b.bbox_y2 AS bb, greatest(0, a.bbox_y1 - b.bbox_y2) * f.mpp AS gap, greatest(0.5::DOUBLE, f.kmh / 3.6 - l.kmh / 3.6) AS rel, f.kmh
+  FROM c f JOIN c l ON f.video_id = l.video_id AND f.track_id <> l.track_id AND abs(f.bucket - l.bucket) <= 1 JOIN veh a ON a.video_id = f.video_id AND a.track_id = f.track_id JOIN veh b ON b.video_id = l.video_id AND b.track_id = l.track_id AND b.frame_no = a.frame_no WHERE f.kmh >= 15),
+p AS (SELECT video_id, ft, lt, lb, lf, li, list_sort(list(dx))[count(*) // 2 + 1] AS mdx, list_sort(list(fb))[count(*) // 2 + 1] AS mf, list_sort(list(bb))[count(*) // 2 + 1] AS ml, count(*) AS k, list_sort(list(fr) FILTER (gap / rel < 2 OR gap < 0.5::DOUBLE * kmh)) AS bad FROM sh GROUP BY ALL),
+q AS (SELECT *, row_number() OVER (PARTITION BY p.video_id, ft ORDER BY lb, lf, li) AS o FROM p JOIN rates USING (video_id) WHERE k >= 2 AND mdx <= 60 AND mf > ml AND len(bad) > 0 AND (bad[-1] - bad[1] + 1) / fps >= 2)
+SELECT video_id, 'unsafe_following' AS violation_type, ft AS track_id, {_MS.format("bad[1]")} AS start_ms, {_MS.format("bad[-1]")} AS end_ms, round(least(0.9, 0.55::DOUBLE + (bad[-1] - bad[1] + 1) / fps / 10), 4) AS confidence, bad[1] || ',' || bad[len(bad) // 2 + 1] || ',' || bad[-1] AS evidence FROM q WHERE o = 1"""
+)
+SQL["clip_segment_length"] = over(f" SELECT * FROM (SELECT id, round({_CLIP}, 4) AS on_line FROM (SELECT id, bbox_x1 AS x1, bbox_y1 AS y1, bbox_x2 AS x2, bbox_y2 AS y2, 0 AS lx, 350.5::DOUBLE AS ly, 1000 AS dx, 0 AS dy FROM detections)) WHERE on_line > 0", "detections")
+SQL["point_in_polygon"] = over(" SELECT video_id, class_name, count(*) AS n FROM detections WHERE (bbox_x1 + bbox_x2) / 2 >= 600 AND (bbox_x1 + bbox_x2) / 2 < 700 AND (bbox_y1 + bbox_y2) / 2 >= 250 AND (bbox_y1 + bbox_y2) / 2 < 450 GROUP BY ALL", "detections")
+SQL["bbox_functions"] = over(
+    """ SELECT id, o_id, round(CASE WHEN i > 0 THEN i / (area + oarea - i) ELSE 0 END, 6) AS iou, round(area, 3) AS area, ox BETWEEN x1 AND x2 AND oy < (y1 + y2) / 2 AS above, ox BETWEEN x1 AND x2 AND oy BETWEEN y1 AND y2 AS inside FROM
+ (SELECT a.id, b.id AS o_id, a.bbox_x1 AS x1, a.bbox_x2 AS x2, a.bbox_y1 AS y1, a.bbox_y2 AS y2, (b.bbox_x1 + b.bbox_x2) / 2 AS ox, (b.bbox_y1 + b.bbox_y2) / 2 AS oy, (a.bbox_x2 - a.bbox_x1) * (a.bbox_y2 - a.bbox_y1) AS area, (b.bbox_x2 - b.bbox_x1) * (b.bbox_y2 - b.bbox_y1) AS oarea,
+  greatest(0, least(a.bbox_x2, b.bbox_x2) - greatest(a.bbox_x1, b.bbox_x1)) * greatest(0, least(a.bbox_y2, b.bbox_y2) - greatest(a.bbox_y1, b.bbox_y1)) AS i
+  FROM detections a JOIN detections b USING (video_id, frame_no) WHERE a.class_name = 'motorcycle' AND b.class_name IN ('person', 'helmet'))""",
+    "detections",
+)
+SQL["track_geometry"] = _tracks(
+    """, m AS (SELECT video_id, track_id, count(*) AS n, avg(cx) AS mx, avg(cy) AS my, first(cx ORDER BY pos) AS ax, first(cy ORDER BY pos) AS ay, last(cx ORDER BY pos) AS zx, last(cy ORDER BY pos) AS zy FROM tr GROUP BY ALL),
+d AS (SELECT video_id, track_id, max(sqrt((cx - mx) * (cx - mx) + (cy - my) * (cy - my))) AS far FROM tr JOIN m USING (video_id, track_id) GROUP BY ALL),
+p AS (SELECT video_id, track_id, sum(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))) AS px FROM seg GROUP BY ALL)
+SELECT video_id, track_id, n, round(coalesce(px, 0), 3) AS path_px, round(sqrt((zx - ax) * (zx - ax) + (zy - ay) * (zy - ay)), 3) AS moved_px, round(mx, 3) AS mx, round(my, 3) AS my, far <= 5 AS stationary FROM m JOIN d USING (video_id, track_id) LEFT JOIN p USING (video_id, track_id)"""
+)
+
+# Aggregations and calendars.
+_MOMENT = ", m AS (SELECT v.*, recorded_at + to_seconds(CAST(start_ms / 1000 AS BIGINT)) AS moment FROM violations v JOIN videos ON videos.id = v.video_id WHERE recorded_at IS NOT NULL)"
+_V = ("violations", "videos")
+SQL["kpis"] = over(" SELECT (SELECT count(*) FROM videos) AS videos, (SELECT count(*) FROM violations) AS violations, round((SELECT count(*) FROM violations) / (SELECT count(*) FROM videos), 4) AS per_video", *_V)
+SQL["videos_by_source"] = over(" SELECT coalesce(source_type, 'other') AS source, count(*) AS n FROM videos GROUP BY 1", "videos")
+SQL["violations_by_type"] = over(" SELECT violation_type, count(*) AS n FROM violations GROUP BY 1", "violations")
+SQL["violations_by_review_status"] = over(" SELECT review_status, count(*) AS n FROM violations GROUP BY 1", "violations")
+SQL["violations_by_hour"] = over(f"{_MOMENT} SELECT hour(moment) AS hour, count(*) AS n FROM m GROUP BY 1", *_V)
+SQL["violations_by_weekday"] = over(f"{_MOMENT} SELECT (dayofweek(moment) + 6) % 7 AS weekday, count(*) AS n FROM m GROUP BY 1", *_V)
+SQL["violations_heatmap"] = over(f"{_MOMENT} SELECT w.w AS weekday, h.h AS hour, count(m.id) AS n FROM range(7) w(w) CROSS JOIN range(24) h(h) LEFT JOIN m ON (dayofweek(moment) + 6) % 7 = w AND hour(moment) = h GROUP BY ALL", *_V)
+SQL["violations_over_time"] = over(f"{_MOMENT} SELECT strftime(moment, '%Y-%m-%d') AS day, count(*) AS n FROM m GROUP BY 1", *_V)
+SQL["violations_without_time"] = over(" SELECT count(*) AS n FROM violations WHERE video_id IN (SELECT id FROM videos WHERE recorded_at IS NULL)", *_V)
+SQL["library_totals"] = over(" SELECT count(*) AS videos, coalesce(sum(duration_sec), 0) AS duration_sec FROM videos", "videos")
+SQL["study_build"] = over(
+    f"{_MOMENT} SELECT 'by_type' AS part, violation_type AS key, count(*) AS n FROM violations GROUP BY 2 UNION ALL SELECT 'by_hour', hour(moment)::VARCHAR, count(*) FROM m GROUP BY 2 UNION ALL SELECT 'by_weekday', ((dayofweek(moment) + 6) % 7)::VARCHAR, count(*) FROM m GROUP BY 2 UNION ALL SELECT 'by_status', review_status, count(*) FROM violations GROUP BY 2", *_V
+)
+
+# Listings.
+_NAMES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in VIOLATION_NAMES.items())
+SQL["list_videos"] = over(" SELECT id, filename, source_type, duration_sec, status, codec FROM videos WHERE contains(lower(filename), 'clip_1') ORDER BY imported_at DESC, id DESC LIMIT 25", "videos")
+SQL["video_details"] = over(" SELECT id, filename, filepath, source_type, duration_sec, width, height, codec, status FROM videos", "videos")
+SQL["videos_by_status"] = over(" SELECT id FROM videos WHERE status IN ('imported', 'prelabeled')", "videos")
+SQL["detections_of_video"] = over(" SELECT id, frame_no, class_name, track_id, round(confidence, 4) AS confidence FROM detections WHERE video_id = 7", "detections")
+SQL["list_violations"] = over(f" SELECT v.id, filename, violation_type, CASE violation_type {_NAMES} ELSE violation_type END AS type_name, start_ms, license_plate, review_status FROM violations v JOIN videos ON videos.id = v.video_id WHERE violation_type = 'speeding' ORDER BY v.id DESC LIMIT 100", *_V)
+SQL["list_violations_editable"] = over(" SELECT v.id, video_id, coalesce(filename, '—') AS filename, violation_type, start_ms, end_ms, coalesce(license_plate, '') AS license_plate, coalesce(source, 'auto') AS source, coalesce(v.notes, '') AS notes, review_status FROM violations v LEFT JOIN (SELECT * FROM videos WHERE id % 2 = 0) w ON w.id = v.video_id ORDER BY v.id DESC LIMIT 500", *_V)
+SQL["violation_for_edit"] = over(" SELECT id, video_id, violation_type, start_ms, end_ms, license_plate, notes, review_status FROM violations WHERE id = 77", "violations")
+SQL["count_violations"] = over(" SELECT count(*) AS n FROM violations WHERE violation_type = 'lane_keeping' AND review_status = 'confirmed'", "violations")
+SQL["violation_evidence"] = over(" SELECT v.id, filepath, (u.p - 1)::INTEGER AS pos, v.f[u.p] AS frame_no FROM (SELECT *, [id % 40, id % 40 + 3, id % 40 + 9] AS f FROM violations WHERE id % 11 <> 0) v CROSS JOIN (SELECT unnest([1, 2, 3]) AS p) u JOIN videos ON videos.id = v.video_id", *_V)
+SQL["evidence_decode"] = over(" SELECT id, CASE WHEN id % 11 = 0 THEN '' ELSE replace(replace(evidence_frames, '[', ''), ']', '') END AS frames FROM violations", "violations")
+SQL["fps_or_default"] = over(" SELECT id, CASE WHEN id % 8 = 0 OR fps IS NULL OR fps = 0 THEN 30 ELSE fps END AS fps FROM videos", "videos")
+SQL["video_summaries"] = over(" SELECT id, filename, (SELECT count(*) FROM detections d WHERE d.video_id = v.id) AS n_detections, (SELECT count(*) FROM violations x WHERE x.video_id = v.id AND x.video_id % 2 = 0) AS n_violations FROM videos v", *_V, "detections")
+
+# Sources.
+SQL["analysis_summary"] = over(" SELECT video_id, count(*) AS n_detections, count(DISTINCT frame_no) AS n_frames FROM detections GROUP BY 1", "detections")
+SQL["import_classify"] = over(
+    """, f AS (SELECT '/in/' || id || '.mp4' AS path, file_hash AS hash, id % 31 = 0 AS failed FROM hashes), k AS (SELECT '/in/' || CASE WHEN id % 2 = 0 THEN id ELSE -id END || '.mp4' AS path, file_hash AS hash FROM hashes WHERE id % 17 = 0)
+SELECT CASE WHEN failed THEN 'failed' WHEN path IN (SELECT path FROM k) THEN 'skipped' WHEN hash IN (SELECT hash FROM k) OR EXISTS (SELECT 1 FROM f g WHERE g.hash = f.hash AND g.path < f.path) THEN 'duplicate' ELSE 'imported' END AS outcome, count(*) AS n FROM f GROUP BY 1""",
+    "hashes",
+)
+SQL["probe_to_metadata"] = over(
+    " SELECT filepath AS path, CASE WHEN g THEN duration_sec END AS duration_sec, CASE WHEN g THEN 1280 END AS width, CASE WHEN g THEN 720 END AS height, CASE WHEN g THEN 'h264' END AS codec, CASE WHEN g THEN CASE WHEN id % 3 = 0 THEN 25 ELSE id / 2 END END AS fps, CASE WHEN g THEN round(id::DOUBLE * 1000003 / 1048576, 2) END AS file_size_mb, CASE WHEN g THEN '2024-03-01 08:00' END AS recorded FROM (SELECT *, id % 8 <> 0 AS g FROM videos)",
+    "videos",
+)
+_CLASS = " ".join(f"WHEN {k} THEN '{v}'" for k, v in DETECTION_CLASSES.items())
+SQL["detections_from_frames"] = over(
+    f" SELECT video_id, CASE id % 15 {_CLASS} ELSE (id % 15)::VARCHAR END AS class_name, count(*) AS n, CAST(sum(frame_no * 3) AS BIGINT) AS frames, CAST(sum(floor(1000 * (frame_no * 3) / CASE WHEN fps <> 0 THEN fps ELSE 30 END)) AS BIGINT) AS ms, round(sum(bbox_x2), 2) AS x2 FROM detections d JOIN (SELECT id AS v, fps FROM videos) ON v = video_id GROUP BY ALL", "detections", "videos"
+)
+SQL["analyze_batch"] = over(" SELECT video_id, count(*) AS n FROM detections WHERE video_id NOT IN (SELECT video_id FROM detections WHERE video_id % 9 = 0 AND frame_no = 2 GROUP BY 1 HAVING count(*) > 1) GROUP BY 1", "detections")
+SQL["detections_replace"] = over(" SELECT video_id, count(*) AS n FROM detections WHERE video_id % 3 <> 0 OR (frame_no < 5 AND video_id % 2 = 0) GROUP BY 1", "detections")
+SQL["videos_insert"] = over(" SELECT '/media/clip_' || id || '.mp4' AS filepath, 'clip_' || id || '.mp4' AS filename, 'imported' AS status, true AS has_id FROM hashes WHERE '/media/clip_' || id || '.mp4' NOT IN (SELECT filepath FROM videos)", "videos", "hashes")
+_MESSY = ", z AS (SELECT *, id % 5 AS k, CASE WHEN id % 7 = 0 THEN 'island' ELSE zone_type END AS t FROM zones), p AS (SELECT *, CASE k WHEN 0 THEN '1.0,2.0;5.0,6.0' WHEN 1 THEN '' WHEN 2 THEN '' WHEN 3 THEN '1.0,2.0' ELSE CASE zone_type WHEN 'stop_line' THEN '0.0,250.5;1000.0,250.5' WHEN 'lane_line_solid' THEN '0.0,350.5;1000.0,350.5' ELSE '600.0,250.0;700.0,250.0;700.0,450.0;600.0,450.0' END END AS points FROM z)"
+SQL["zones_parse"] = over(f"{_MESSY} SELECT id, points FROM p", "zones")
+SQL["zones_validate"] = over(f"{_MESSY}, q AS (SELECT *, CASE WHEN points = '' THEN 0 ELSE len(string_split(points, ';')) END AS c FROM p) SELECT CASE WHEN t = 'island' THEN 'unknown type' WHEN c < CASE WHEN t = 'no_parking' THEN 3 ELSE 2 END THEN 'too few points' ELSE 'good' END AS reason, count(*) AS n FROM q GROUP BY 1", "zones")
+SQL["zones_upsert"] = over(" SELECT zone_type, count(*) AS n FROM zones WHERE video_id % 3 <> 0 OR zone_type = 'stop_line' GROUP BY 1", "zones")
+SQL["calibration_compute"] = over(
+    """ SELECT id AS video_id, CASE WHEN reason IS NULL THEN round((5.0::DOUBLE / (id % 50) + 0.2) / 2, 6) END AS meters_per_px, reason FROM
+ (SELECT id, CASE WHEN id % 7 = 0 THEN 'needs a distance for each pair' WHEN id % 11 = 0 THEN 'distances must be positive' WHEN id % 50 = 0 THEN 'points coincide' END AS reason FROM videos)""",
+    "videos",
+)
+SQL["calibration_upsert"] = over(" SELECT video_id, meters_per_px FROM calibrations", "calibrations")
+SQL["constraint_breaks"] = over(
+    """, a AS (SELECT id, filepath, source_type FROM videos UNION ALL SELECT id + 1000000, CASE WHEN id % 20 = 0 THEN filepath ELSE filepath || 'x' END, CASE WHEN id % 3 = 0 THEN 'film' ELSE source_type END FROM videos WHERE id % 10 = 0)
+SELECT id, CASE WHEN source_type NOT IN ('dashcam', 'cctv', 'social', 'other') THEN 'unknown source_type' ELSE 'repeated filepath' END AS reason FROM a WHERE source_type NOT IN ('dashcam', 'cctv', 'social', 'other') OR filepath IN (SELECT filepath FROM a GROUP BY 1 HAVING count(*) > 1)""",
+    "videos",
+)
+
+# Rules together, readiness.
+_RULES = [k for k in SQL if k.startswith("rule_")]
+SQL["run_rules"] = " UNION ALL ".join(f"SELECT '{k[5:]}' AS violation_type, count(*) AS n FROM ({SQL[k]}) HAVING count(*) > 0" for k in _RULES)
+SQL["rule_gating"] = " UNION ALL ".join(f"SELECT video_id, violation_type, count(*) AS n FROM ({SQL[k]}) WHERE video_id < 20 GROUP BY ALL" for k in ("rule_speeding", "rule_unsafe_following"))
+SQL["extract_violations"] = (
+    "SELECT source, violation_type, CAST(sum(n) AS BIGINT) AS n FROM ("
+    + over(" SELECT coalesce(source, 'auto') AS source, violation_type, count(*) AS n FROM violations WHERE coalesce(source, 'auto') <> 'auto' OR video_id % 2 <> 0 OR video_id NOT IN (SELECT video_id FROM detections) GROUP BY ALL", "violations", "detections")
+    + "".join(f" UNION ALL SELECT 'auto', violation_type, count(*) FROM ({SQL[k]}) WHERE video_id % 2 = 0 GROUP BY 2" for k in ("rule_speeding", "rule_illegal_overtaking"))
+    + ") GROUP BY ALL"
+)
+_READY = """, i AS (SELECT id FROM videos UNION ALL SELECT id + 100000 FROM videos),
+r AS (SELECT id, id <= 100000 AND id % 5 <> 0 AND id IN (SELECT video_id FROM detections) AS has_detections, id % 5 <> 0 AND id IN (SELECT video_id FROM detections WHERE track_id IS NOT NULL) AS has_tracks, id IN (SELECT video_id FROM calibrations) AS has_calibration, id % 2 = 1 AND id <= 100000 AS has_video_file,
+ CASE WHEN id % 6 <> 0 AND id <= 100000 THEN 'lane_line_solid,no_parking,stop_line' ELSE '' END AS zone_types FROM i)"""
+SQL["readiness"] = over(f"{_READY} SELECT * FROM r", "videos", "detections", "calibrations")
+SQL["detectors_blocked"] = over(
+    _READY
+    + """, n AS (SELECT * FROM (VALUES ('red_light_running', 'tracks'), ('red_light_running', 'stop_line'), ('wrong_direction', 'tracks'), ('no_helmet', 'tracks'), ('illegal_parking', 'tracks'), ('illegal_parking', 'no_parking'), ('illegal_overtaking', 'tracks'), ('illegal_overtaking', 'lane_line_solid'), ('lane_keeping', 'tracks'), ('speeding', 'tracks'), ('speeding', 'calibration'), ('unsafe_following', 'tracks'), ('unsafe_following', 'calibration'), ('high_beam_misuse', 'tracks'), ('high_beam_misuse', 'video_file')) t(rule, need)),
+b AS (SELECT id, rule, string_agg(need, ',' ORDER BY need) AS missing FROM r, n WHERE NOT CASE need WHEN 'tracks' THEN has_tracks WHEN 'calibration' THEN has_calibration WHEN 'video_file' THEN has_video_file ELSE contains(zone_types, need) END GROUP BY ALL)
+SELECT rule, missing, count(*) AS n FROM b GROUP BY ALL""",
+    "videos",
+    "detections",
+    "calibrations",
+)
+
+# Texts, hashes, plates, duplicates.
+SQL["phash_distance"] = over(
+    " SELECT a.id, CASE WHEN regexp_full_match(a.phash, '[0-9a-f]{64}') AND regexp_full_match(b.phash, '[0-9a-f]{64}') THEN CAST(list_sum([bit_count(xor(('0x' || a.phash[i:i+7])::UBIGINT, ('0x' || b.phash[i:i+7])::UBIGINT))::BIGINT for i in range(1, 65, 8)]) AS BIGINT) END AS bits FROM hashes a JOIN hashes b ON b.id = a.id + 1", "hashes"
+)
+_CELLNAMES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in VIOLATION_NAMES.items() if k != "speeding")
+SQL["cells_names_moments"] = over(f" SELECT id, CASE WHEN notes LIKE '=%' THEN '''' || notes ELSE notes END AS notes, CASE violation_type {_CELLNAMES} ELSE violation_type END AS name, strftime(created_at + to_seconds(CAST(start_ms / 1000 AS BIGINT)), '%Y-%m-%d %H:%M') AS moment FROM violations", "violations")
+SQL["exact_duplicates"] = over(" SELECT min(id) AS representative, array_to_string(list(id ORDER BY id)[2:], ',') AS duplicates FROM hashes GROUP BY file_hash HAVING count(*) > 1", "hashes")
+_PLATE = "trim(regexp_replace(regexp_replace(translate(upper(raw_text), '٠١٢٣٤٥٦٧٨٩أ', '0123456789ا'), '[^0-9A-Z ابحدرسصطعقكلمنهوي]', '', 'g'), ' +', ' ', 'g'))"
+SQL["plate_texts"] = over(
+    f" SELECT DISTINCT read_id, video_id, trim(translate(raw_text, '٠١٢٣٤٥٦٧٨٩أ', '0123456789ا')) AS arabic, {_PLATE} AS plate, length(regexp_replace({_PLATE}, '[^0-9]', '', 'g')) BETWEEN 3 AND 4 AND length(regexp_replace({_PLATE}, '[0-9 ]', '', 'g')) BETWEEN 2 AND 4 AS looks FROM plate_reads", "plate_reads"
+)
+_VOTE = f""", g AS (SELECT video_id, track_id, text, count(*) AS n, avg(confidence) AS c FROM (SELECT *, {_PLATE} AS text FROM {{}}) WHERE text <> '' AND confidence >= 0.3::DOUBLE GROUP BY ALL),
+won AS (SELECT video_id, track_id, text, c AS confidence, n AS reads FROM (SELECT *, row_number() OVER (PARTITION BY video_id, track_id ORDER BY n DESC, c DESC, text) AS k FROM g) WHERE k = 1)"""
+_BEST = ", best AS (SELECT video_id, track_id, image, raw_text, confidence FROM (SELECT *, row_number() OVER (PARTITION BY video_id, track_id, image ORDER BY confidence DESC, raw_text) AS k FROM plate_reads) WHERE k = 1)"
+SQL["plate_vote"] = over(f"{_VOTE.format('plate_reads')} SELECT video_id, track_id, text, round(confidence, 6) AS confidence, reads FROM won", "plate_reads")
+SQL["best_reading"] = over(f"{_BEST} SELECT * FROM best", "plate_reads")
+SQL["plate_for_image_set"] = over(f"{_BEST}{_VOTE.format('best')} SELECT video_id, track_id, text, round(confidence, 6) AS confidence, reads FROM won", "plate_reads")
+SQL["plate_for_violation"] = over(f"{_VOTE.format('plate_reads')} SELECT id, coalesce(CASE WHEN w.confidence > 0 THEN text END, license_plate) AS license_plate, round(coalesce(CASE WHEN w.confidence > 0 THEN w.confidence END, plate_conf), 6) AS plate_conf FROM violations LEFT JOIN won w USING (video_id, track_id)", "plate_reads", "violations")
+SQL["plates_for_track"] = _tracks(
+    """, p AS (SELECT v.video_id, v.track_id, v.frame_no, min(d.id) AS box_id FROM veh v JOIN detections d ON d.video_id = v.video_id AND d.frame_no = v.frame_no AND d.class_name = 'license_plate'
+  WHERE (d.bbox_x1 + d.bbox_x2) / 2 BETWEEN v.bbox_x1 AND v.bbox_x2 AND (d.bbox_y1 + d.bbox_y2) / 2 BETWEEN v.bbox_y1 AND v.bbox_y2 GROUP BY ALL)
+SELECT video_id, track_id, frame_no, box_id FROM (SELECT *, row_number() OVER (PARTITION BY video_id, track_id ORDER BY frame_no) AS k FROM p) WHERE k <= 5"""
+)
+
+# Label data sets.
+_DIM = ", dim AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{v}')" for k, v in DETECTION_CLASSES.items()) + ") t(class_id, class_name)), st AS (SELECT class_id, class_name, count(stem) AS instances, count(DISTINCT stem) AS images FROM dim LEFT JOIN (SELECT stem, try_cast(string_split(line, ' ')[1] AS INT) AS c FROM label_lines) ON c = class_id GROUP BY ALL)"
+SQL["class_stats"] = over(f"{_DIM} SELECT * FROM st", "label_lines")
+SQL["split_dataset"] = over(", n AS (SELECT count(DISTINCT stem) AS n FROM label_lines) SELECT 'train' AS split, CAST(floor(n * 0.7::DOUBLE) AS BIGINT) AS n FROM n UNION ALL SELECT 'val', CAST(floor(n * 0.2::DOUBLE) AS BIGINT) FROM n UNION ALL SELECT 'test', n - CAST(floor(n * 0.7::DOUBLE) AS BIGINT) - CAST(floor(n * 0.2::DOUBLE) AS BIGINT) FROM n", "label_lines")
+SQL["dataset_validate"] = over(f"{_DIM} SELECT 'few instances' AS issue, class_name AS subject FROM st WHERE instances < 100 UNION ALL SELECT 'small split', 'val'", "label_lines")
+SQL["dataset_manifest"] = over(" SELECT DISTINCT stem, stem || '.jpg' AS image, split FROM label_lines", "label_lines")
+_WEAK = _DIM + ", weak AS (SELECT m.class_name, m.class_id, map50, coalesce(instances, 0) AS instances, precision AS p, recall AS r FROM eval_metrics m LEFT JOIN st USING (class_id) WHERE map50 < 0.5)"
+SQL["weak_classes"] = over(
+    f"{_WEAK} SELECT class_name, class_id, map50, instances, CASE WHEN x = '' THEN 'general' ELSE x END AS reasons FROM (SELECT *, concat_ws(';', CASE WHEN instances < 100 THEN 'few instances' END, CASE WHEN p < r - 0.1::DOUBLE THEN 'false alarms' END, CASE WHEN r < p - 0.1::DOUBLE THEN 'missed objects' END, CASE WHEN map50 < 0.25 THEN 'very weak' END) AS x FROM weak)", "label_lines", "eval_metrics"
+)
+SQL["augment_advice"] = over(f"{_WEAK} SELECT CASE WHEN bool_or(instances < 100) THEN 0.3::DOUBLE END AS copy_paste, CASE WHEN bool_or(instances < 100) THEN 0.15::DOUBLE END AS mixup, CASE WHEN bool_or(map50 < 0.3::DOUBLE) THEN 1.0::DOUBLE END AS mosaic, CASE WHEN bool_or(map50 < 0.3::DOUBLE) THEN 0.8::DOUBLE END AS hsv_s FROM weak", "label_lines", "eval_metrics")
+SQL["error_report"] = over(" SELECT 0.5::DOUBLE AS threshold, round(avg(map50), 6) AS map50, round(avg(precision), 6) AS precision, round(avg(recall), 6) AS recall, count(*) FILTER (map50 < 0.5) AS n_weak, avg(map50) >= 0.5 AS passes_threshold FROM eval_metrics", "eval_metrics")
+SQL["loss_series"] = over(" SELECT epoch, 'box_loss' AS loss, box_loss AS value FROM training_log WHERE box_loss IS NOT NULL UNION ALL SELECT epoch, 'cls_loss', cls_loss FROM training_log WHERE cls_loss IS NOT NULL UNION ALL SELECT epoch, 'dfl_loss', dfl_loss FROM training_log WHERE dfl_loss IS NOT NULL", "training_log")
+SQL["label_export_xml"] = over(
+    " SELECT filename, frame_no AS _id, count(*) AS n, first(class_name || '|' || printf('%.2f', bbox_x1) || '|' || printf('%.2f', bbox_y2) ORDER BY d.id) AS first FROM detections d JOIN videos v ON v.id = d.video_id WHERE width IS NOT NULL AND height IS NOT NULL GROUP BY ALL", "detections", "videos"
+)
+
+# Changes and exports.
+SQL["export_rows"] = over(
+    f" SELECT v.id, filename, violation_type, CASE violation_type {_NAMES} END AS type_name, start_ms / 1000 AS start_sec, end_ms / 1000 AS end_sec, confidence, review_status, source_type, true AS anonymized, CASE WHEN license_plate <> '' THEN 16 END::BIGINT AS plate_chars FROM violations v JOIN videos ON videos.id = v.video_id", *_V
+)
+SQL["apply_review"] = over(", r AS (SELECT violation_id, review_status AS new FROM (SELECT *, row_number() OVER (PARTITION BY violation_id ORDER BY changed_at DESC, change_id DESC) AS k FROM changes WHERE op = 'review') WHERE k = 1) SELECT id, coalesce(new, review_status) AS review_status FROM violations LEFT JOIN r ON violation_id = id", "violations", "changes")
+_VALID = ", ok AS (SELECT c.*, CASE WHEN d IS NULL THEN 'unknown video' WHEN end_ms <= start_ms THEN 'empty interval' WHEN end_ms > d * 1000 THEN 'beyond the video' WHEN length(license_plate) > 12 THEN 'plate too long' END AS reason FROM changes c LEFT JOIN (SELECT id AS v, duration_sec AS d FROM videos) ON v = video_id WHERE op IN ('I', 'U'))"
+SQL["validate_manual"] = over(f"{_VALID} SELECT change_id, reason FROM ok", "changes", "videos")
+SQL["apply_manual_insert"] = over(f"{_VALID} SELECT video_id, violation_type, start_ms, end_ms, 1.0::DOUBLE AS confidence, license_plate, 'confirmed' AS review_status, 'manual' AS source, '[manual] ' || notes AS notes, actor AS manual_user FROM ok WHERE reason IS NULL AND op = 'I'", "changes", "videos")
+SQL["apply_manual_edit"] = over(
+    f"{_VALID}, e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY violation_id ORDER BY changed_at DESC, change_id DESC) AS k FROM ok WHERE reason IS NULL AND op = 'U') WHERE k = 1) SELECT v.id, coalesce(e.violation_type, v.violation_type) AS violation_type, coalesce(e.start_ms, v.start_ms) AS start_ms, coalesce(e.end_ms, v.end_ms) AS end_ms, CASE WHEN e.change_id IS NULL THEN v.license_plate ELSE e.license_plate END AS license_plate, CASE WHEN e.change_id IS NULL THEN v.source ELSE 'manual' END AS source FROM violations v LEFT JOIN e ON e.violation_id = v.id",
+    "changes", "videos", "violations",
+)
+SQL["apply_delete"] = over(" SELECT id, violation_type FROM violations WHERE id NOT IN (SELECT violation_id FROM changes WHERE op = 'D')", "violations", "changes")
+SQL["audit_append"] = over(" SELECT 'violation' AS entity, violation_id AS entity_id, CASE op WHEN 'review' THEN 'review' WHEN 'D' THEN 'delete' WHEN 'U' THEN 'edit' ELSE 'insert' END AS action, CASE WHEN op = 'review' THEN v.review_status END AS old_value, CASE WHEN op = 'review' THEN c.review_status END AS new_value, actor FROM changes c JOIN violations v ON v.id = violation_id", "violations", "changes")
+SQL["video_changes"] = over(
+    ", c AS (SELECT video_id, max_by(changed_at, (changed_at, change_id)) FILTER (change_id % 2 = 0) AS r, CASE WHEN bool_or(change_id % 3 = 0) THEN 'cctv' END AS s FROM changes WHERE op = 'U' GROUP BY 1) SELECT id, coalesce(s, source_type) AS source_type, CASE WHEN c.video_id IS NULL THEN status ELSE 'reviewed' END AS status, strftime(coalesce(r, recorded_at), '%Y-%m-%d %H:%M') AS recorded FROM videos LEFT JOIN c ON c.video_id = id", "videos", "changes"
+)
+SQL["delete_videos_cascade"] = over(" SELECT 'videos' AS part, count(*) AS n FROM videos WHERE id % 4 <> 1 " + "".join(f"UNION ALL SELECT '{t}', count(*) FROM {t} WHERE video_id NOT IN (SELECT id FROM videos WHERE id % 4 = 1) " for t in ("detections", "violations", "zones", "calibrations")), "videos", "detections", "violations", "zones", "calibrations")

@@ -1,15 +1,356 @@
-"""Named queries of the library and the SQL that checks each."""
+"""Named queries of the library over the derived tables, and DuckDB SQL that checks each."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from roadtrace.functions import geometry as G
+from roadtrace.functions import text as X
+from roadtrace.operators import analytics as A
+from roadtrace.operators import changes as C
+from roadtrace.operators import datasets as D
+from roadtrace.operators import duplicates as U
+from roadtrace.operators import export as E
+from roadtrace.operators import plates as P
+from roadtrace.operators import rules as R
+from roadtrace.operators import tracks as T
+from roadtrace.plans import checks as Q
+from roadtrace.schemas import VIOLATION_NAMES
+from roadtrace.sources import ingest as I
+from roadtrace.sources.adapters import load
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+SECRET = "a study's own secret"
+
+
+class Tables:
+    """The derived tables of a folder, read when asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return load(self.spark, self.sf_dir, name)
+
+    @property
+    def parsed_zones(self) -> DataFrame:
+        return I.zones_parse(self.zones)
+
+    @property
+    def rule_input(self) -> R.RuleInput:
+        return R.RuleInput(self.detections, self.parsed_zones, self.calibrations, self.videos, frames_of(self.detections))
+
+    @property
+    def hashed(self) -> DataFrame:
+        return self.hashes
+
+
+def frames_of(detections: DataFrame) -> DataFrame:
+    """Small night frames drawn from the detections: in videos whose id is divisible by 4, every frame shows two lamps in the first track's box.
+
+    The picture spans 240 x 160 of the plane; a frame is one row.
+    """
+    first = detections.filter("track_id = 1 and video_id % 4 = 0").groupBy("video_id", "frame_no").agg(F.min_by(F.struct("bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2"), "id").alias("b"))
+    w, h = 240, 760
+    x, y = F.floor("b.bbox_x1"), F.floor("b.bbox_y1")
+    # rows above the lamps, rows of the lamps, rows below: 12 high, two spans of 12, at the lower third of the box
+    top = F.least(F.greatest(F.lit(0), y + 36), F.lit(h - 12)).cast("int")
+    left = F.least(F.greatest(F.lit(0), x + 8), F.lit(w - 48)).cast("int")
+    dark = lambda n: F.repeat(F.lit("10"), n * 3)
+    lit = lambda n: F.repeat(F.lit("FA"), n * 3)
+    line = F.concat(dark(left), lit(F.lit(12)), dark(F.lit(12)), lit(F.lit(12)), dark(F.lit(w) - left - 36))
+    picture = F.unhex(F.concat(dark(top * w), F.repeat(line, 12), dark((F.lit(h) - top - 12) * w)))
+    return first.select("video_id", "frame_no", F.lit(h).alias("height"), F.lit(w).alias("width"), picture.alias("bgr"))
+
+
+def shown(rows: DataFrame) -> DataFrame:
+    """Violation rows in a form that other engines can be held against."""
+    return rows.select("video_id", "violation_type", "track_id", "start_ms", "end_ms", F.round("confidence", 4).alias("confidence"), F.concat_ws(",", "evidence").alias("evidence"))
+
+
+def _ids(array: str) -> Column:
+    return F.concat_ws(",", F.col(array))
+
+
+def _centres(t: Tables) -> DataFrame:
+    """Arrays of points per track, for functions on whole tracks."""
+    rows = T.track_rows(t.detections)
+    pts = F.transform(F.array_sort(F.collect_list(F.struct("pos", "cx", "cy"))), lambda p: F.struct(p["cx"].alias("x"), p["cy"].alias("y")))
+    return rows.groupBy("video_id", "track_id").agg(pts.alias("points"))
+
+
+def _frame_results(t: Tables) -> DataFrame:
+    """The detector's arrays per sampled frame, as an analysis would return them."""
+    box = F.struct("id", F.array("bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2").alias("xyxy"), "confidence", F.pmod("id", F.lit(15)).cast("int").alias("cls"), "track_id")
+    g = t.detections.groupBy("video_id", F.col("frame_no").alias("kept_idx")).agg(F.array_sort(F.collect_list(box)).alias("b"))
+    return g.select("video_id", "kept_idx", F.lit(3).alias("stride"), F.col("b.xyxy").alias("xyxy"), F.col("b.confidence").alias("conf"), F.col("b.cls").alias("cls"), F.col("b.track_id").alias("ids"))
+
+
+def _touched(t: Tables) -> DataFrame:
+    return t.videos.filter("id % 3 = 0").select(F.col("id").alias("video_id"))
+
+
+def _probes(t: Tables) -> DataFrame:
+    stream = F.concat(F.lit('{"codec_type":"audio"},{"codec_type":"video","codec_name":"h264","width":1280,"height":720,"avg_frame_rate":"'), F.when(F.col("id") % 3 == 0, "0/0").otherwise(F.concat(F.col("id").cast("string"), F.lit("/2"))), F.lit('","r_frame_rate":"25/1"}'))
+    doc = F.concat(F.lit('{"format":{"duration":"'), F.col("duration_sec").cast("string"), F.lit('","size":"'), (F.col("id") * 1000003).cast("string"), F.lit('","tags":{"creation_time":"2024-03-01T08:00:00Z"}},"streams":['), stream, F.lit("]}"))
+    return t.videos.select(F.col("filepath").alias("path"), F.when(F.col("id") % 8 == 0, "{broken").otherwise(doc).alias("json"))
+
+
+def _box_pairs(t: Tables) -> DataFrame:
+    """Boxes of the same frame: motorcycles, and persons or helmets."""
+    d = t.detections
+    a = d.filter("class_name = 'motorcycle'").select("id", "video_id", "frame_no", *(F.col(f"bbox_{c}") for c in G.Box._fields))
+    b = d.filter("class_name in ('person', 'helmet')").select(F.col("id").alias("o_id"), "video_id", "frame_no", *(F.col(f"bbox_{c}").alias(f"o_{c}") for c in G.Box._fields))
+    return a.join(b, ["video_id", "frame_no"])
+
+
+def _import_files(t: Tables) -> DataFrame:
+    return t.hashes.select(F.concat(F.lit("/in/"), F.col("id").cast("string"), F.lit(".mp4")).alias("path"), F.substring("file_hash", 1, 8).alias("partial"), F.col("file_hash").alias("full"), F.when(F.col("id") % 31 == 0, "unreadable").alias("error"))
+
+
+def _import_known(t: Tables) -> DataFrame:
+    return t.hashes.filter("id % 17 = 0").select(F.concat(F.lit("/in/"), F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(-F.col("id")).cast("string"), F.lit(".mp4")).alias("filepath"), F.col("file_hash").alias("full"))
+
+
+def _references(t: Tables) -> DataFrame:
+    x = F.col("id").cast("double")
+    pts = F.array(F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y")), F.struct((x % 50).alias("x"), F.lit(0.0).alias("y")), F.struct((x % 50).alias("x"), F.lit(10.0).alias("y")))
+    dist = F.when(F.col("id") % 7 == 0, F.array(F.lit(1.0))).when(F.col("id") % 11 == 0, F.array(F.lit(-1.0), F.lit(2.0))).otherwise(F.array(F.lit(5.0), F.lit(2.0)))
+    return t.videos.select(F.col("id").alias("video_id"), pts.alias("points"), dist.alias("distances"))
+
+
+def _geometry(t: Tables) -> DataFrame:
+    g = _centres(t)
+    mean = G.polygon_centroid(F.col("points"))
+    return g.select("video_id", "track_id", F.size("points").cast("bigint").alias("n"), F.round(G.path_length(F.col("points")), 3).alias("path_px"), F.round(G.displacement(F.col("points")), 3).alias("moved_px"), F.round(mean["x"], 3).alias("mx"), F.round(mean["y"], 3).alias("my"), G.is_stationary(F.col("points"), 5.0).alias("stationary"))
+
+
+def _zone_hits(t: Tables) -> DataFrame:
+    zones = t.parsed_zones.filter("zone_type = 'no_parking'").select("video_id", "points")
+    d = t.detections.join(zones, "video_id").filter(G.point_in_polygon(G.center_x(G.box()), G.center_y(G.box()), F.col("points")))
+    return d.groupBy("video_id", "class_name").agg(F.count("*").alias("n"))
+
+
+def _clips(t: Tables) -> DataFrame:
+    lines = T.lines_of(t.parsed_zones, ["lane_line_solid"])
+    on = G.clip_length(F.col("lx1"), F.col("ly1"), F.col("lx2"), F.col("ly2"), G.box())
+    return t.detections.join(lines, "video_id").select("id", F.round(on, 4).alias("on_line")).filter("on_line > 0")
+
+
+def _crossed(t: Tables) -> DataFrame:
+    x = t.rule_input
+    return T.first_crossing(x.segments, T.lines_of(x.zones, ["stop_line"])).select("video_id", "track_id", "frame_no")
+
+
+def _runs(t: Tables) -> DataFrame:
+    frames = t.detections.filter("class_name = 'person'")
+    return T.consecutive_runs(frames, ["video_id"], 2).withColumn("n_frames", F.col("n_frames").cast("bigint"))
+
+
+def _plates(t: Tables) -> DataFrame:
+    return P.plates_for_track(t.rule_input.vehicles, t.detections).select("video_id", "track_id", "frame_no", "box_id")
+
+
+def _votes(t: Tables) -> DataFrame:
+    return P.plate_vote(t.plate_reads, ["video_id", "track_id"])
+
+
+def _readings(t: Tables) -> DataFrame:
+    r = t.plate_reads
+    return r.select("read_id", "video_id", X.normalize_arabic(F.col("raw_text")).alias("arabic"), X.normalize_plate(F.col("raw_text")).alias("plate"), X.looks_like_plate(F.col("raw_text")).alias("looks")).distinct()
+
+
+def _ready(t: Tables) -> DataFrame:
+    ids = t.videos.select("id").unionByName(t.videos.select((F.col("id") + 100_000).alias("id")))
+    return A.readiness(ids, t.detections.filter("video_id % 5 <> 0"), t.zones.filter("video_id % 6 <> 0"), t.calibrations, t.videos.filter("id % 2 = 1"))
+
+
+def _valid(t: Tables) -> DataFrame:
+    return C.validate_manual(t.changes, t.videos)
+
+
+def _study(t: Tables) -> DataFrame:
+    parts = E.study_build(t.violations, t.videos)
+    by = lambda name, c: parts[name].select(F.lit(name).alias("part"), F.col(c).cast("string").alias("key"), "n")
+    return by("by_type", "violation_type").unionByName(by("by_hour", "hour")).unionByName(by("by_weekday", "weekday")).unionByName(by("by_status", "review_status"))
+
+
+def _extract(t: Tables) -> DataFrame:
+    x = R.RuleInput(t.detections.filter("video_id % 2 = 0"), t.parsed_zones, t.calibrations, t.videos)
+    found = R.run_rules(x, {"speeding": R.speeding, "illegal_overtaking": R.illegal_overtaking}).withColumn("id", F.lit(None).cast("int"))
+    rows = C.extract_violations(t.violations, found, x.detections)
+    return rows.groupBy(F.coalesce("source", F.lit("auto")).alias("source"), "violation_type").agg(F.count("*").alias("n"))
+
+
+def _video_changes(t: Tables) -> DataFrame:
+    new = t.changes.filter("op = 'U'").select(F.col("video_id").alias("id"), F.when(F.col("change_id") % 2 == 0, F.col("changed_at").cast("timestamp")).alias("recorded_at"), F.when(F.col("change_id") % 3 == 0, F.lit("cctv")).alias("source_type"), F.lit("reviewed").alias("status"), "changed_at", "change_id")
+    return C.video_changes(t.videos, new).select("id", "source_type", "status", F.date_format("recorded_at", "yyyy-MM-dd HH:mm").alias("recorded"))
+
+
+def _deleted(t: Tables) -> DataFrame:
+    left = C.delete_videos_cascade({"videos": t.videos, "detections": t.detections, "violations": t.violations, "zones": t.zones, "calibrations": t.calibrations}, t.videos.filter("id % 4 = 1"))
+    out = None
+    for name, df in left.items():
+        row = df.agg(F.lit(name).alias("part"), F.count("*").alias("n"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def _inserted(t: Tables) -> DataFrame:
+    new = t.hashes.select(F.concat(F.lit("/media/clip_"), F.col("id").cast("string"), F.lit(".mp4")).alias("filepath"), F.concat(F.lit("clip_"), F.col("id").cast("string"), F.lit(".mp4")).alias("filename"))
+    return I.videos_insert(t.videos, new).select("filepath", "filename", "status", (F.col("id") > 0).alias("has_id"))
+
+
+def _constraints(t: Tables) -> DataFrame:
+    v = t.videos
+    odd = v.filter("id % 10 = 0").select((F.col("id") + 1_000_000).alias("id"), F.when(F.col("id") % 20 == 0, F.col("filepath")).otherwise(F.concat("filepath", F.lit("x"))).alias("filepath"), F.when(F.col("id") % 3 == 0, "film").otherwise(F.col("source_type")).alias("source_type"))
+    return I.constraint_breaks(v.select("id", "filepath", "source_type").unionByName(odd))
+
+
+def _messy_zones(t: Tables) -> DataFrame:
+    """Polygons as people leave them: whole, with a bad point, no JSON, a null, too short."""
+    raw = F.when(F.col("id") % 5 == 0, '[[1,2],["x",3],[4],[5,"6"],7]').when(F.col("id") % 5 == 1, "not json").when(F.col("id") % 5 == 2, F.lit(None)).when(F.col("id") % 5 == 3, "[[1,2]]").otherwise(F.col("polygon"))
+    kind = F.when(F.col("id") % 7 == 0, "island").otherwise(F.col("zone_type"))
+    return I.zones_validate(I.zones_parse(t.zones.withColumn("polygon", raw).withColumn("zone_type", kind)))
+
+
+def _points(c: str) -> Column:
+    return F.concat_ws(";", F.transform(c, lambda p: F.concat_ws(",", F.round(p["x"], 1).cast("decimal(12,1)").cast("string"), F.round(p["y"], 1).cast("decimal(12,1)").cast("string"))))
+
+
+def _weak(t: Tables) -> DataFrame:
+    return D.weak_classes(t.eval_metrics, D.class_stats(t.label_lines))
+
+
+def _scalar_hash(t: Tables) -> DataFrame:
+    h = t.hashes
+    other = h.select((F.col("id") - 1).alias("id"), F.col("phash").alias("next"))
+    return h.join(other, "id").select("id", X.phash_distance(F.col("phash"), F.col("next")).cast("bigint").alias("bits"))
+
+
+def _cells(t: Tables) -> DataFrame:
+    v = t.violations
+    return v.select("id", X.sanitize_cell(F.col("notes")).alias("notes"), X.display_name(F.col("violation_type"), {k: n for k, n in VIOLATION_NAMES.items() if k != "speeding"}).alias("name"), F.date_format(X.violation_moment(F.col("created_at"), F.col("start_ms")), "yyyy-MM-dd HH:mm").alias("moment"))
+
+
+def _q(f: Callable[[Tables], DataFrame]) -> Query:
+    return lambda spark, sf_dir: f(Tables(spark, sf_dir))
+
+
+def _rule(name: str, t: Tables) -> DataFrame:
+    return shown(R.RULES[name](t.rule_input))
+
+
+QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
+    # sources and ingestion
+    "import_classify": lambda t: I.import_classify(_import_files(t), _import_known(t)).groupBy("outcome").agg(F.count("*").alias("n")),
+    "probe_to_metadata": lambda t: I.probe_metadata(_probes(t)).select("path", "duration_sec", "width", "height", "codec", "fps", "file_size_mb", F.date_format("recorded_at", "yyyy-MM-dd HH:mm").alias("recorded")),
+    "detections_from_frames": lambda t: I.detections_from_frames(_frame_results(t), t.rule_input.rates).groupBy("video_id", "class_name").agg(F.count("*").alias("n"), F.sum("frame_no").alias("frames"), F.sum("timestamp_ms").alias("ms"), F.round(F.sum("bbox_x2"), 2).alias("x2")),
+    "detections_replace": lambda t: I.detections_replace(t.detections, t.detections.filter("frame_no < 5 and video_id % 2 = 0"), _touched(t)).groupBy("video_id").agg(F.count("*").alias("n")),
+    "analysis_summary": lambda t: I.analysis_summary(t.detections),
+    "analyze_batch": lambda t: I.analyze_batch(_frame_results(t).withColumn("conf", F.when((F.col("video_id") % 9 == 0) & (F.col("kept_idx") == 2), F.slice("conf", 1, 1)).otherwise(F.col("conf"))), t.rule_input.rates)[0].groupBy("video_id").agg(F.count("*").alias("n")),
+    "videos_insert": _inserted,
+    "zones_parse": lambda t: _messy_zones(t).select("id", _points("points").alias("points")),
+    "zones_validate": lambda t: _messy_zones(t).groupBy(F.coalesce("reason", F.lit("good")).alias("reason")).agg(F.count("*").alias("n")),
+    "zones_upsert": lambda t: I.zones_upsert(t.zones, t.zones.filter("video_id % 3 = 0 and zone_type = 'stop_line'")).groupBy("zone_type").agg(F.count("*").alias("n")),
+    "calibration_compute": lambda t: I.calibration_compute(_references(t)).select("video_id", F.round("meters_per_px", 6).alias("meters_per_px"), "reason"),
+    "calibration_upsert": lambda t: I.calibration_upsert(t.calibrations.unionByName(t.calibrations.withColumn("calibrated_at", F.expr("calibrated_at - interval 1 day")).withColumn("meters_per_px", F.lit(9.0)))).select("video_id", "meters_per_px"),
+    "evidence_decode": lambda t: t.violations.select("id", _ids_of(I.evidence_decode(F.col("evidence_frames"))).alias("frames")),
+    "constraint_breaks": _constraints,
+    # listings
+    "list_videos": lambda t: A.list_videos(t.videos, search="CLIP_1", limit=25),
+    "video_details": lambda t: t.videos.select("id", "filename", "filepath", "source_type", "duration_sec", "width", "height", "codec", "status"),
+    "videos_by_status": lambda t: C.statuses(t.videos, ["imported", "prelabeled"]),
+    "detections_of_video": lambda t: t.detections.filter("video_id = 7").orderBy("frame_no", "id").select("id", "frame_no", "class_name", "track_id", F.round("confidence", 4).alias("confidence")),
+    "list_violations": lambda t: A.list_violations(t.violations, t.videos, kind="speeding", limit=100).select("id", "filename", "violation_type", "type_name", "start_ms", "license_plate", "review_status"),
+    "list_violations_editable": lambda t: A.list_editable(t.violations, t.videos.filter("id % 2 = 0")),
+    "violation_for_edit": lambda t: t.violations.filter("id = 77").select("id", "video_id", "violation_type", "start_ms", "end_ms", "license_plate", "notes", "review_status"),
+    "count_violations": lambda t: A.filtered(t.violations, kind="lane_keeping", review="confirmed").agg(F.count("*").alias("n")),
+    "violation_evidence": lambda t: A.violation_evidence(t.violations, t.videos).select("id", "filepath", "pos", "frame_no"),
+    "fps_or_default": lambda t: t.videos.select("id", X.fps_or_default(F.when(F.col("id") % 8 == 0, 0.0).otherwise(F.col("fps"))).alias("fps")),
+    "video_summaries": lambda t: A.video_summaries(t.videos, t.detections, t.violations.filter("video_id % 2 = 0")),
+    # tracks and frames
+    "build_tracks": lambda t: T.track_rows(t.detections).groupBy("video_id", "track_id", "track_class").agg(F.count("*").alias("n"), F.sum(F.col("pos") * F.col("frame_no")).cast("bigint").alias("order_sum")),
+    "track_summary": lambda t: T.track_summary(t.detections),
+    "track_segments": lambda t: T.track_segments(T.track_rows(t.detections)).groupBy("video_id", "track_id").agg(F.count("*").alias("n"), F.round(F.sum(G.distance(F.col("x1"), F.col("y1"), F.col("x2"), F.col("y2"))), 3).alias("path_px"), F.sum("frame_no").alias("frames")),
+    "detections_by_frame": lambda t: T.grouped_by_frame(t.detections).select("video_id", "frame_no", F.size("detections").cast("bigint").alias("n"), F.concat_ws(",", F.transform("detections", lambda d: d["class_name"])).alias("classes")),
+    "consecutive_runs": _runs,
+    "first_crossing": _crossed,
+    "stride_sample": lambda t: T.stride_sample(T.track_rows(t.detections.filter("frame_no % 3 = 0")), 5),
+    # rules
+    **{f"rule_{n}": partial(_rule, n) for n in R.RULES},
+    "run_rules": lambda t: R.run_rules(t.rule_input, {n: r for n, r in R.RULES.items() if n != "high_beam_misuse"}).groupBy("violation_type").agg(F.count("*").alias("n")),
+    "rule_gating": lambda t: R.run_rules(R.RuleInput(t.detections, t.parsed_zones, t.calibrations.filter("video_id < 20"), t.videos), {"speeding": R.speeding, "unsafe_following": R.unsafe_following}).groupBy("video_id", "violation_type").agg(F.count("*").alias("n")),
+    "extract_violations": _extract,
+    "readiness": lambda t: _ready(t).withColumn("zone_types", _ids("zone_types")),
+    "detectors_blocked": lambda t: A.detectors_blocked(_ready(t)).groupBy("rule", "missing").agg(F.count("*").alias("n")),
+    "track_speeds": lambda t: R.track_speeds(t.rule_input).select("video_id", "track_id", F.round("kmh", 3).alias("kmh")),
+    # aggregations
+    "kpis": lambda t: A.kpis(t.videos, t.violations).withColumn("per_video", F.round("per_video", 4)),
+    "videos_by_source": lambda t: A.videos_by_source(t.videos),
+    "violations_by_type": lambda t: A.counts_by(t.violations, "violation_type"),
+    "violations_by_review_status": lambda t: A.counts_by(t.violations, "review_status"),
+    "violations_by_hour": lambda t: A.by_hour(t.violations, t.videos),
+    "violations_by_weekday": lambda t: A.by_weekday(t.violations, t.videos),
+    "violations_heatmap": lambda t: A.heatmap(t.violations, t.videos),
+    "violations_over_time": lambda t: A.over_time(t.violations, t.videos),
+    "violations_without_time": lambda t: A.without_time(t.violations, t.videos),
+    "library_totals": lambda t: A.library_totals(t.videos),
+    "class_stats": lambda t: D.class_stats(t.label_lines),
+    # scalar functions
+    "bbox_functions": lambda t: _box_pairs(t).select("id", "o_id", F.round(G.iou(G.box(), G.box("o_")), 6).alias("iou"), F.round(G.area(G.box()), 3).alias("area"), G.above(G.box("o_"), G.box()).alias("above"), G.contains(G.box(), G.center_x(G.box("o_")), G.center_y(G.box("o_"))).alias("inside")),
+    "track_geometry": _geometry,
+    "point_in_polygon": _zone_hits,
+    "clip_segment_length": _clips,
+    "plate_texts": _readings,
+    "phash_distance": _scalar_hash,
+    "cells_names_moments": _cells,
+    "pseudonymize_plate": lambda t: t.violations.select("license_plate", X.pseudonymize_plate(F.col("license_plate"), SECRET).alias("pseudonym")).groupBy("pseudonym").agg(F.count("*").alias("n")),
+    "json_codecs": lambda t: E.detections_json(t.detections),
+    # duplicates and plates
+    "exact_duplicates": lambda t: U.exact_duplicates(t.hashed).select("representative", _ids("duplicates").alias("duplicates")),
+    "near_duplicate_pairs": lambda t: U.near_pairs(t.hashed),
+    "near_duplicates": lambda t: U.near_duplicates(t.hashed).select("representative", _ids("duplicates").alias("duplicates")),
+    "duplicate_groups": lambda t: U.duplicate_groups(t.hashed).select("representative", _ids("duplicates").alias("duplicates"), "match_type"),
+    "plates_for_track": _plates,
+    "plate_vote": lambda t: _votes(t).select("video_id", "track_id", "text", F.round("confidence", 6).alias("confidence"), "reads"),
+    "best_reading": lambda t: P.best_reading(t.plate_reads, ["video_id", "track_id", "image"]),
+    "plate_for_image_set": lambda t: P.plate_for_image_set(t.plate_reads, ["video_id", "track_id"], "image").select("video_id", "track_id", "text", F.round("confidence", 6).alias("confidence"), "reads"),
+    "plate_for_violation": lambda t: P.plate_for_violation(t.violations, _votes(t)).select("id", "license_plate", F.round("plate_conf", 6).alias("plate_conf")),
+    # label data sets and reports
+    "split_dataset": lambda t: D.split_counts(D.split_dataset(t.label_lines)),
+    "dataset_validate": lambda t: D.dataset_validate(D.class_stats(t.label_lines), D.split_dataset(t.label_lines, train=0.97, val=0.02, test=0.01)),
+    "dataset_manifest": lambda t: D.dataset_manifest(t.label_lines.select("stem", F.concat("stem", F.lit(".jpg")).alias("image")).distinct(), t.label_lines.select("stem", "split").distinct()),
+    "weak_classes": _weak,
+    "augment_advice": lambda t: D.augment_recipe(_weak(t)),
+    "error_report": lambda t: D.error_report(t.eval_metrics).select("threshold", F.round("map50", 6).alias("map50"), F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), "n_weak", "passes_threshold"),
+    "loss_series": lambda t: D.loss_series(t.training_log),
+    "label_export_xml": lambda t: E.label_export(t.detections, t.videos)[0].select("filename", "_id", F.size("box").cast("bigint").alias("n"), F.concat_ws("|", F.col("box")[0]["_label"], F.col("box")[0]["_x1"], F.col("box")[0]["_y2"]).alias("first")),
+    # exports and changes
+    "study_build": _study,
+    "export_rows": lambda t: E.export_rows(t.violations, t.videos, SECRET).select(*[c for c in E.CELLS if c != "license_plate"], F.length("license_plate").cast("bigint").alias("plate_chars")),
+    "apply_review": lambda t: C.apply_review(t.violations, t.changes).select("id", "review_status"),
+    "validate_manual": lambda t: _valid(t).select("change_id", "reason"),
+    "apply_manual_insert": lambda t: C.manual_inserts(_valid(t)),
+    "apply_manual_edit": lambda t: C.apply_edits(t.violations, _valid(t)).select("id", "violation_type", "start_ms", "end_ms", "license_plate", "source"),
+    "apply_delete": lambda t: C.apply_deletes(t.violations, t.changes).select("id", "violation_type"),
+    "audit_append": lambda t: C.audit_rows(t.violations, t.changes).select("entity", "entity_id", "action", "old_value", "new_value", "actor"),
+    "video_changes": _video_changes,
+    "delete_videos_cascade": _deleted,
+}
+
+
+def _ids_of(array: Column) -> Column:
+    return F.concat_ws(",", array)
+
+
+def queries() -> dict[str, Query]:
+    return {name: _q(f) for name, f in QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for name, sql in Q.SQL.items() if name in QUERIES}

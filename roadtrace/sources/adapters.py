@@ -69,7 +69,7 @@ TABLES: dict[str, tuple[list[str], str]] = {
         """SELECT CAST(event_id AS BIGINT) AS change_id, CASE event_id % 7 WHEN 0 THEN 'D' WHEN 1 THEN 'I' WHEN 2 THEN 'U' ELSE 'review' END AS op, CAST(event_id * 3 % 20000 AS INT) AS violation_id,
  CASE event_id % 3 WHEN 0 THEN 'confirmed' WHEN 1 THEN 'false_positive' ELSE 'uncertain' END AS review_status, 'speeding' AS violation_type, CAST(user_id % 120 + 1 AS INT) AS video_id,
  CAST(floor(value * 900) AS INT) AS start_ms, CAST(floor(value * 900) AS INT) + CASE WHEN event_id % 9 = 0 THEN 0 ELSE 4000 END AS end_ms, CASE WHEN event_id % 10 = 1 THEN 'ABCDEFGHIJKLMNOP' ELSE 'ABC 12' END AS license_plate,
- 'checked' AS notes, concat('user', CAST(user_id % 5 AS STRING)) AS actor, ts AS at FROM events""",
+ 'checked' AS notes, concat('user', CAST(user_id % 5 AS STRING)) AS actor, ts AS changed_at FROM events""",
     ),
 }
 
