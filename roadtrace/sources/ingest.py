@@ -165,7 +165,7 @@ def labels_read(spark: SparkSession, images: str, labels: str) -> DataFrame:
     """stem, image path and label lines of images and label files that share a stem."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(images).select("path").filter(extension(F.col("path")).isin(IMAGE_EXTENSIONS))
     pictures = files.groupBy(stem(F.col("path")).alias("stem")).agg(F.max("path").alias("image"))
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").option("wholetext", "true").text(labels).select(F.input_file_name().alias("path"), "value")
+    lines = spark.read.text(labels, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt").select(F.input_file_name().alias("path"), "value")
     texts = lines.groupBy(stem(F.col("path")).alias("stem")).agg(F.max_by("value", "path").alias("text"))
     return pictures.join(texts, "stem").select("stem", "image", F.filter(F.split("text", "\n"), lambda s: F.trim(s) != "").alias("lines"))
 
