@@ -1,8 +1,9 @@
 """Connected components over an edge table, by alternating large-star and small-star rounds.
 
-Each round is one aggregation and one join per star, so a hub with very many
-neighbours is pre-aggregated before the shuffle and its join can be split by AQE;
-nothing is gathered on the driver but a count and a checksum.
+Each round is one aggregation and one join per star. A hub's neighbours are pre-aggregated
+before the shuffle, and the smallest ones are written out before they are joined back, so
+that the join has shuffles of its own and AQE can split a hub's rows over tasks. Nothing
+is gathered on the driver but a count and a checksum.
 """
 
 from __future__ import annotations
@@ -31,9 +32,10 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if not before[0]:
             break
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+        low = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "cc-low")
         large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = materialise(large, "cc-large")
+        low = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "cc-low")
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
         e = materialise(small, "cc")
         after = _state(e)
