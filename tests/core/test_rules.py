@@ -187,4 +187,4 @@ def test_registry_names_have_checks():
 
     have, sql = registry.queries(), registry.oracle_sql()
     assert set(sql) <= set(have)
-    assert set(have) - set(sql) <= {"rule_high_beam_misuse", "stride_sample", "near_duplicates", "near_duplicate_pairs", "duplicate_groups", "pseudonymize_plate", "json_codecs"}
+    assert set(have) - set(sql) <= {"near_duplicates", "duplicate_groups"}
