@@ -92,6 +92,7 @@ def _sketches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
                 [batch.column("doc_id").slice(b.first, b.n), pa.array(count, pa.int64()), pa.array(sid, pa.binary()), pa.ListArray.from_arrays(offsets, flat), pa.array(marks, pa.binary())],
                 names=["doc_id", "n_shingles", "sid", "sketch", "marks"],
             )
+    pa.default_memory_pool().release_unused()
 
 
 def _children(path: Column, sketch: Column, threshold: float) -> Column:
