@@ -2,8 +2,8 @@
 
 Corners are found on a small pyramid by the Harris measure, turned upright by the
 intensity centroid of their surroundings, and described by 256 brightness tests. The
-descriptors of query images meet those of all images in tables, each keyed by 32 of the
-bits; pairs whose Hamming distance is small vote for a similarity transform (scale ratio,
+descriptors of query images meet those of all images in eight tables, each keyed by 48 of
+the bits; pairs whose Hamming distance is small vote for a similarity transform (scale ratio,
 turn, shift), and two images match where enough different corners agree on one. Images of
 equal pixels form a class that is described once.
 """
@@ -154,10 +154,16 @@ def matches(words: DataFrame, queries: DataFrame, agree: int = AGREE) -> DataFra
 
     words: the output of the descriptor step; queries: rep, the classes that are searched for.
     """
-    asked = words.join(queries, "rep", "left_semi")
-    cols = ["x", "y", "level", "turn", "corner", *(f"w{i}" for i in range(TABLES))]
-    tabled = lambda df, p: df.select(F.col("rep").alias(f"{p}rep"), *(F.col(c).alias(f"{p}{c}") for c in cols), F.posexplode(F.array(*(F.col(f"w{i}") for i in range(TABLES)))).alias("slot", "word"))
-    both = tabled(asked, "q").join(tabled(words, "m"), ["slot", "word"]).filter("qrep <> mrep")
+    # A table's key: its number, its own 32 bits and half of the next ones'.
+    long = lambda c: F.col(c).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
+    keys = [F.lit(i << 48).bitwiseOR(F.shiftleft(long(f"w{i}"), 16)).bitwiseOR(F.shiftright(long(f"w{(i + 1) % TABLES}"), 16)) for i in range(TABLES)]
+    # All corners meet the queries' as two longs, the table's key and the corner's; the others' details follow for what met.
+    slim = lambda df, *more: df.select(*more, F.explode(F.array(*keys)).alias("key"))
+    detail = lambda p: [F.col(c).alias(p + c) for c in ("rep", "corner", "x", "y", "level", "turn", *(f"w{i}" for i in range(TABLES)))]
+    corner = (F.col("rep") * CORNERS + F.col("corner")).alias("id")
+    asked = slim(words.join(queries, "rep", "left_semi"), *detail("q"))
+    met = asked.join(slim(words, corner), "key").drop("key").distinct()
+    both = met.join(words.select(corner, *detail("m")), "id").filter("qrep <> mrep")
     apart = sum((F.bit_count(F.col(f"qw{i}").bitwiseXOR(F.col(f"mw{i}"))) for i in range(TABLES)), F.lit(0))
     near = both.filter(apart <= DISTANCE).select("qrep", "mrep", "qcorner", "mcorner", "qx", "qy", "mx", "my", F.pmod(F.col("mturn") - F.col("qturn"), F.lit(TURNS)).alias("turn"), (F.col("mlevel") - F.col("qlevel")).alias("up"), F.col("qlevel").alias("ql"), F.col("mlevel").alias("ml")).distinct()
     share = F.element_at(F.array(*(F.lit(v) for v in LEVELS)), F.col("ql") + 1) / F.element_at(F.array(*(F.lit(v) for v in LEVELS)), F.col("ml") + 1)
@@ -192,7 +198,7 @@ def find_copies(images: DataFrame, every: int = 20, agree: int = AGREE) -> DataF
     first = named.select(F.col("media_id").cast("long").alias("media_id"), "height", "width", "pixels")
     firsts = classes.select("rep")
     words = first.join(firsts, first.media_id == firsts.rep, "left_semi").select(F.col("media_id").alias("rep"), "height", "width", "pixels").mapInArrow(_describe, DESCRIBED)
-    words = materialise(words.dropDuplicates(["rep", "corner"]), "descriptors")
+    words = materialise(words, "descriptors")
     asks = digest.filter(F.pmod("media_id", F.lit(every)) == 0).distinct().join(classes, "digest").select("media_id", "rep", "copies")
     found = matches(words, asks.select("rep").distinct(), agree)
     near = asks.select("media_id", "rep").join(found, F.col("rep") == F.col("qrep")).join(classes.select(F.col("rep").alias("mrep"), "copies"), "mrep").select("media_id", F.col("mrep").alias("match_id"), "copies", "inliers", "ratio")
