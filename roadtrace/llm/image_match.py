@@ -157,15 +157,18 @@ def matches(words: DataFrame, queries: DataFrame, agree: int = AGREE) -> DataFra
     # A table's key: its number, its own 32 bits and half of the next ones'.
     long = lambda c: F.col(c).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
     keys = [F.lit(i << 48).bitwiseOR(F.shiftleft(long(f"w{i}"), 16)).bitwiseOR(F.shiftright(long(f"w{(i + 1) % TABLES}"), 16)) for i in range(TABLES)]
-    # All corners meet the queries' as two longs, the table's key and the corner's; the others' details follow for what met.
-    slim = lambda df, *more: df.select(*more, F.explode(F.array(*keys)).alias("key"))
-    detail = lambda p: [F.col(c).alias(p + c) for c in ("rep", "corner", "x", "y", "level", "turn", *(f"w{i}" for i in range(TABLES)))]
-    corner = (F.col("rep") * CORNERS + F.col("corner")).alias("id")
-    asked = slim(words.join(queries, "rep", "left_semi"), *detail("q"))
-    met = asked.join(slim(words, corner), "key").drop("key").distinct()
-    both = met.join(words.select(corner, *detail("m")), "id").filter("qrep <> mrep")
+    # Corners meet as two longs, the table's key and the corner's number; details follow for those that met.
+    number = F.col("rep") * CORNERS + F.col("corner")
+    slim = lambda df, name: df.select(number.alias(name), F.explode(F.array(*keys)).alias("key"))
+    detail = lambda df, name: df.select(number.alias(f"{name}id"), *(F.col(c).alias(name + c) for c in ("rep", "corner", "x", "y", "level", "turn", *(f"w{i}" for i in range(TABLES)))))
+    asked = words.join(queries, "rep", "left_semi")
+    met = slim(asked, "qid").join(slim(words, "mid"), "key").filter(F.floor(F.col("qid") / CORNERS) != F.floor(F.col("mid") / CORNERS)).select("qid", "mid").distinct()
+    both = met.join(detail(words, "m"), "mid").join(detail(asked, "q"), "qid")
     apart = sum((F.bit_count(F.col(f"qw{i}").bitwiseXOR(F.col(f"mw{i}"))) for i in range(TABLES)), F.lit(0))
-    near = both.filter(apart <= DISTANCE).select("qrep", "mrep", "qcorner", "mcorner", "qx", "qy", "mx", "my", F.pmod(F.col("mturn") - F.col("qturn"), F.lit(TURNS)).alias("turn"), (F.col("mlevel") - F.col("qlevel")).alias("up"), F.col("qlevel").alias("ql"), F.col("mlevel").alias("ml")).distinct()
+    near = both.filter(apart <= DISTANCE).select("qrep", "mrep", "qcorner", "mcorner", "qx", "qy", "mx", "my", F.pmod(F.col("mturn") - F.col("qturn"), F.lit(TURNS)).alias("turn"), F.col("qlevel").alias("ql"), F.col("mlevel").alias("ml"))
+    near = materialise(near, "near-corners")
+    some = near.groupBy("qrep", "mrep").agg(F.count("*").alias("k")).filter(F.col("k") >= agree).drop("k")
+    near = near.join(some, ["qrep", "mrep"])
     share = F.element_at(F.array(*(F.lit(v) for v in LEVELS)), F.col("ql") + 1) / F.element_at(F.array(*(F.lit(v) for v in LEVELS)), F.col("ml") + 1)
     a = F.col("turn") * (2 * np.pi / TURNS)
     near = near.withColumn("ratio", share)
@@ -173,10 +176,11 @@ def matches(words: DataFrame, queries: DataFrame, agree: int = AGREE) -> DataFra
     dy = F.col("my") - F.col("ratio") * (F.sin(a) * F.col("qx") + F.cos(a) * F.col("qy"))
     # Each vote falls into the cell of its shift and its neighbours to one side, so that agreement across an edge counts.
     cell = lambda d: F.explode(F.array(F.floor(d / CELL), F.floor(d / CELL) + 1))
-    votes = near.withColumn("cx", cell(dx)).withColumn("cy", cell(dy)).withColumn("turn", F.explode(F.array(F.floor(F.col("turn") / 2), F.pmod(F.floor(F.col("turn") / 2) + 1, F.lit(TURNS // 2)))))
-    cells = votes.groupBy("qrep", "mrep", "ratio", "turn", "cx", "cy").agg(F.count_distinct("qcorner").alias("q"), F.count_distinct("mcorner").alias("m"))
+    votes = near.withColumn("cx", cell(dx)).withColumn("cy", cell(dy))
+    # sets of corners stay below CORNERS entries each
+    cells = votes.groupBy("qrep", "mrep", "ratio", "cx", "cy").agg(F.size(F.collect_set("qcorner")).alias("q"), F.size(F.collect_set("mcorner")).alias("m"))
     best = cells.withColumn("n", F.least("q", "m")).filter(F.col("n") >= agree).groupBy("qrep", "mrep").agg(F.max(F.struct("n", "ratio")).alias("best"))
-    return best.select("qrep", "mrep", F.col("best.n").alias("inliers"), F.round("best.ratio", 4).alias("ratio"))
+    return best.select("qrep", "mrep", F.col("best.n").cast("long").alias("inliers"), F.round("best.ratio", 4).alias("ratio"))
 
 
 def find_copies(images: DataFrame, every: int = 20, agree: int = AGREE) -> DataFrame:
