@@ -218,7 +218,7 @@ def render(vector: np.ndarray, edit: int) -> np.ndarray:
     """A grey image of a vector: a smooth random field that follows it continuously; edit 1 crops it, 2 repaints it, 3 shrinks it."""
     v = np.zeros(64, np.float32)
     v[: min(64, len(vector))] = np.nan_to_num(vector[:64])
-    grid = np.tanh(1.5 * (_FIELD @ (v / max(1e-6, float(np.linalg.norm(v))))))
+    grid = np.sin(6 * (_FIELD @ (v / max(1e-6, float(np.linalg.norm(v))))))  # vectors of one cluster still make different pictures
     image = np.rint(127.5 + 120 * resized(grid.reshape(GRID, GRID), SIDE, SIDE)).astype(np.uint8)
     if edit == 1:
         return image[12:84, 8:88]
