@@ -2,10 +2,11 @@
 
 Corners are found on a small pyramid by the Harris measure, turned upright by the
 intensity centroid of their surroundings, and described by 256 brightness tests. The
-descriptors of query images meet those of all images in eight tables, each keyed by 48 of
-the bits; pairs whose Hamming distance is small vote for a similarity transform (scale ratio,
-turn, shift), and two images match where enough different corners agree on one. Images of
-equal pixels form a class that is described once.
+descriptors of query images meet those of all images in twelve tables, each keyed by 20 of the
+bits; a query asks for its own key and for those one bit away. Pairs whose Hamming distance
+is small vote for a similarity transform (scale ratio, turn, shift), and two images match
+where enough different corners agree on one. Images of equal pixels form a class that is
+described once.
 """
 
 from __future__ import annotations
@@ -15,16 +16,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from roadtrace.llm.runtime import materialise
 
-BITS, TABLES = 256, 8
+BITS, WORDS = 256, 8
+#: Tables, and the bits of a table's key.
+TABLES, KEY = 12, 20
 #: Pyramid levels as shares of the full size.
 LEVELS = (1.0, 0.75, 0.5)
-#: Corners kept per image: the strongest over all levels.
-CORNERS = 40
+#: Corners kept per image, the strongest over all levels, and the longer side up to which they and the cell hold; beyond it both grow with it.
+CORNERS, BASE_SIDE = 40, 96
 RADIUS = 9
 #: Largest Hamming distance of two descriptors of one corner.
 DISTANCE = 40
@@ -39,7 +43,7 @@ _DISC = np.array([(y, x) for y in range(-RADIUS, RADIUS + 1) for x in range(-RAD
 TURNS = 30
 _TURNED = np.stack([np.rint(_TESTS @ np.array([[np.cos(a), np.sin(a)], [-np.sin(a), np.cos(a)]])).astype(int) for a in np.arange(TURNS) * 2 * np.pi / TURNS])
 
-DESCRIBED = "rep long, corner int, x float, y float, level int, turn int, w0 int, w1 int, w2 int, w3 int, w4 int, w5 int, w6 int, w7 int"
+DESCRIBED = "rep long, corner int, x float, y float, level int, turn int, cell float, w0 int, w1 int, w2 int, w3 int, w4 int, w5 int, w6 int, w7 int"
 
 
 def _box(a: np.ndarray, r: int) -> np.ndarray:
@@ -87,6 +91,11 @@ def _corners(level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mid[y, x], y + m, x + m
 
 
+def growth(image: np.ndarray) -> float:
+    """How much larger than BASE_SIDE an image is, 1 at least."""
+    return max(1.0, max(image.shape) / BASE_SIDE)
+
+
 def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(x, y, level, turn) and 8 words of test bits for each corner of a grey image."""
     found = []
@@ -98,7 +107,7 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         s, y, x = _corners(level) if min(h, w) > 2 * RADIUS + 2 else (np.zeros(0), np.zeros(0, int), np.zeros(0, int))
         found.append(np.stack([s, y, x, np.full(len(s), k)], 1))
     all_of = np.concatenate(found)
-    all_of = all_of[np.lexsort((all_of[:, 2], all_of[:, 1], all_of[:, 3], -all_of[:, 0]))][:CORNERS]
+    all_of = all_of[np.lexsort((all_of[:, 2], all_of[:, 1], all_of[:, 3], -all_of[:, 0]))][: round(CORNERS * growth(image))]
     info, words = [], []
     for k, level in enumerate(levels):
         mine = all_of[all_of[:, 3] == k]
@@ -114,18 +123,20 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         words.append(bits.view(">i4").astype(np.int32))
         info.append(np.stack([(x + 0.5) / LEVELS[k], (y + 0.5) / LEVELS[k], np.full(len(x), k), turn], 1))
     if not info:
-        return np.zeros((0, 4)), np.zeros((0, TABLES), np.int32)
+        return np.zeros((0, 4)), np.zeros((0, WORDS), np.int32)
     return np.concatenate(info), np.concatenate(words)
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        owner, infos, words, number = [], [], [], []
+        owner, infos, words, number, cells = [], [], [], [], []
         cols = [batch.column(c).to_pylist() for c in ("rep", "height", "width", "pixels")]
         for rep, h, w, pixels in zip(*cols):
             if not pixels or not h or not w or len(pixels) != h * w:
                 continue
-            info, word = describe(np.frombuffer(pixels, np.uint8).reshape(h, w))
+            image = np.frombuffer(pixels, np.uint8).reshape(h, w)
+            info, word = describe(image)
+            cells.append(np.full(len(info), CELL * growth(image), np.float32))
             owner.append(np.full(len(info), rep, np.int64))
             number.append(np.arange(len(info), dtype=np.int32))
             infos.append(info)
@@ -133,8 +144,8 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not owner:
             continue
         info, word = np.concatenate(infos), np.concatenate(words)
-        arrays = [pa.array(np.concatenate(owner)), pa.array(np.concatenate(number)), pa.array(info[:, 0].astype(np.float32)), pa.array(info[:, 1].astype(np.float32)), pa.array(info[:, 2].astype(np.int32)), pa.array(info[:, 3].astype(np.int32))]
-        yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(np.ascontiguousarray(word[:, i])) for i in range(TABLES))], names=["rep", "corner", "x", "y", "level", "turn", *(f"w{i}" for i in range(TABLES))])
+        arrays = [pa.array(np.concatenate(owner)), pa.array(np.concatenate(number)), pa.array(info[:, 0].astype(np.float32)), pa.array(info[:, 1].astype(np.float32)), pa.array(info[:, 2].astype(np.int32)), pa.array(info[:, 3].astype(np.int32)), pa.array(np.concatenate(cells))]
+        yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(np.ascontiguousarray(word[:, i])) for i in range(WORDS))], names=["rep", "corner", "x", "y", "level", "turn", "cell", *(f"w{i}" for i in range(WORDS))])
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,35 +160,54 @@ def digests_of(images: DataFrame) -> DataFrame:
     return images.select(F.col("media_id").cast("long").alias("media_id"), "height", "width", "pixels").mapInArrow(_digest, "media_id long, digest binary")
 
 
+def meetings(words: DataFrame, queries: DataFrame) -> DataFrame:
+    """Pairs of corners of different images, within DISTANCE, whose keys meet in a table: all columns of words as q... and m..., but the words themselves.
+
+    Distances are taken where keys meet, so that only near pairs leave the join; a pair that
+    meets in several tables leaves the first of them.
+    """
+    # Four longs hold the bits; a table's key is its number and KEY bits out of one or two of them.
+    long = lambda c: F.col(c).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
+    fours = [F.shiftleft(long(f"w{2 * i}"), 32).bitwiseOR(long(f"w{2 * i + 1}")) for i in range(WORDS // 2)]
+    ones = F.lit((1 << KEY) - 1).cast("long")
+
+    def cut(longs: list[Column], i: int) -> Column:
+        k, at = divmod(KEY * i, 64)
+        if at + KEY <= 64:
+            return F.shiftrightunsigned(longs[k], 64 - KEY - at).bitwiseAND(ones)
+        over = at + KEY - 64
+        return F.shiftleft(longs[k], over).bitwiseOR(F.shiftrightunsigned(longs[k + 1], 64 - over)).bitwiseAND(ones)
+
+    keys = [F.lit(i << KEY).bitwiseOR(cut(fours, i).cast("int")) for i in range(TABLES)]
+    rest = ["rep", "corner", "x", "y", "level", "turn", "cell"]
+    slim = lambda df, p: df.select(*(F.col(c).alias(p + c) for c in rest), *(c.alias(f"{p}b{i}") for i, c in enumerate(fours)), F.explode(F.array(*keys)).alias("key"))
+    asked = slim(words.join(queries, "rep", "left_semi"), "q")
+    probes = F.array(F.lit(0), *(F.lit(1 << b) for b in range(KEY)))
+    asking = asked.withColumn("flip", F.explode(probes)).withColumn("key", F.col("key").bitwiseXOR(F.col("flip"))).drop("flip")
+    apart = [F.col(f"qb{i}").bitwiseXOR(F.col(f"mb{i}")) for i in range(WORDS // 2)]
+    near = sum((F.bit_count(x) for x in apart), F.lit(0)) <= DISTANCE
+    first = F.coalesce(*(F.when(F.bit_count(cut(apart, i)) <= 1, F.lit(i)) for i in range(TABLES)))
+    both = asking.join(slim(words, "m"), "key").filter(near).filter("qrep <> mrep").filter(first == F.shiftright("key", KEY))
+    return both.select(*(p + c for p in "qm" for c in rest))
+
+
 def matches(words: DataFrame, queries: DataFrame, agree: int = AGREE) -> DataFrame:
     """Image pairs (query, rep, inliers, ratio, turn) out of the descriptors of classes.
 
     words: the output of the descriptor step; queries: rep, the classes that are searched for.
     """
-    # A table's key: its number, its own 32 bits and half of the next ones'.
-    long = lambda c: F.col(c).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
-    keys = [F.lit(i << 48).bitwiseOR(F.shiftleft(long(f"w{i}"), 16)).bitwiseOR(F.shiftright(long(f"w{(i + 1) % TABLES}"), 16)) for i in range(TABLES)]
-    # Corners meet as two longs, the table's key and the corner's number; details follow for those that met.
-    number = F.col("rep") * CORNERS + F.col("corner")
-    slim = lambda df, name: df.select(number.alias(name), F.explode(F.array(*keys)).alias("key"))
-    detail = lambda df, name: df.select(number.alias(f"{name}id"), *(F.col(c).alias(name + c) for c in ("rep", "corner", "x", "y", "level", "turn", *(f"w{i}" for i in range(TABLES)))))
-    asked = words.join(queries, "rep", "left_semi")
-    met = slim(asked, "qid").join(slim(words, "mid"), "key").filter(F.floor(F.col("qid") / CORNERS) != F.floor(F.col("mid") / CORNERS)).select("qid", "mid").distinct()
-    both = met.join(detail(words, "m"), "mid").join(detail(asked, "q"), "qid")
-    apart = sum((F.bit_count(F.col(f"qw{i}").bitwiseXOR(F.col(f"mw{i}"))) for i in range(TABLES)), F.lit(0))
-    near = both.filter(apart <= DISTANCE).select("qrep", "mrep", "qcorner", "mcorner", "qx", "qy", "mx", "my", F.pmod(F.col("mturn") - F.col("qturn"), F.lit(TURNS)).alias("turn"), F.col("qlevel").alias("ql"), F.col("mlevel").alias("ml"))
-    near = materialise(near, "near-corners")
-    some = near.groupBy("qrep", "mrep").agg(F.count("*").alias("k")).filter(F.col("k") >= agree).drop("k")
-    near = near.join(some, ["qrep", "mrep"])
+    near = meetings(words, queries).select("qrep", "mrep", "qcorner", "mcorner", "qx", "qy", "mx", "my", "mcell", F.pmod(F.col("mturn") - F.col("qturn"), F.lit(TURNS)).alias("turn"), F.col("qlevel").alias("ql"), F.col("mlevel").alias("ml"))
+    # One shuffle brings an image pair together; all that follows groups inside it.
+    near = near.repartition("qrep", "mrep").withColumn("k", F.count("*").over(Window.partitionBy("qrep", "mrep"))).filter(F.col("k") >= agree).drop("k")
     share = F.element_at(F.array(*(F.lit(v) for v in LEVELS)), F.col("ql") + 1) / F.element_at(F.array(*(F.lit(v) for v in LEVELS)), F.col("ml") + 1)
     a = F.col("turn") * (2 * np.pi / TURNS)
     near = near.withColumn("ratio", share)
     dx = F.col("mx") - F.col("ratio") * (F.cos(a) * F.col("qx") - F.sin(a) * F.col("qy"))
     dy = F.col("my") - F.col("ratio") * (F.sin(a) * F.col("qx") + F.cos(a) * F.col("qy"))
     # Each vote falls into the cell of its shift and its neighbours to one side, so that agreement across an edge counts.
-    cell = lambda d: F.explode(F.array(F.floor(d / CELL), F.floor(d / CELL) + 1))
+    cell = lambda d: F.explode(F.array(F.floor(d / F.col("mcell")), F.floor(d / F.col("mcell")) + 1))
     votes = near.withColumn("cx", cell(dx)).withColumn("cy", cell(dy))
-    # sets of corners stay below CORNERS entries each
+    # a set of corners holds one image's at most
     cells = votes.groupBy("qrep", "mrep", "ratio", "cx", "cy").agg(F.size(F.collect_set("qcorner")).alias("q"), F.size(F.collect_set("mcorner")).alias("m"))
     best = cells.withColumn("n", F.least("q", "m")).filter(F.col("n") >= agree).groupBy("qrep", "mrep").agg(F.max(F.struct("n", "ratio")).alias("best"))
     return best.select("qrep", "mrep", F.col("best.n").cast("long").alias("inliers"), F.round("best.ratio", 4).alias("ratio"))
@@ -218,7 +248,7 @@ def render(vector: np.ndarray, edit: int) -> np.ndarray:
     """A grey image of a vector: a smooth random field that follows it continuously; edit 1 crops it, 2 repaints it, 3 shrinks it."""
     v = np.zeros(64, np.float32)
     v[: min(64, len(vector))] = np.nan_to_num(vector[:64])
-    grid = np.sin(6 * (_FIELD @ (v / max(1e-6, float(np.linalg.norm(v))))))  # vectors of one cluster still make different pictures
+    grid = np.tanh(1.5 * (_FIELD @ (v / max(1e-6, float(np.linalg.norm(v))))))
     image = np.rint(127.5 + 120 * resized(grid.reshape(GRID, GRID), SIDE, SIDE)).astype(np.uint8)
     if edit == 1:
         return image[12:84, 8:88]
