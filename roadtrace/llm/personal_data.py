@@ -1,16 +1,16 @@
 """Personal data: fixed patterns, and an offset-preserving deobfuscator in front of them.
 
-Transducers rewrite a text that shows signs of disguise: look-alike letters and digits
+Transducers rewrite every text: look-alike letters and digits
 become ASCII, spelled digits become digits, at and dot in brackets or between words become
-signs. Each character of the rewritten text remembers the source characters it came from,
-so what the patterns find there is mapped back to spans of the source.
+signs. Each rewritten stretch remembers the source characters it came from, so what the patterns find there is mapped back to spans of the source.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from functools import partial
+from bisect import bisect_right
+from functools import lru_cache, partial
 
 from pyspark.sql import DataFrame
 
@@ -34,10 +34,8 @@ DIGIT_WORDS = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "
 LOOKALIKES = dict(zip("аеорсухіјѕԁһкмтвнАЕОРСУХІЈЅКМТВНοαρνιкΟΑΡΝΙΚΕΒΗΜΤΧΖΥ", "aeopcyxijsdhkmtbhAEOPCYXIJSKMTBHoapvikOAPNIKEBHMTXZY"))
 
 _WORDS = "|".join(DIGIT_WORDS)
-_SPELLED = re.compile(rf"(?<![a-z])(?:{_WORDS})[ ,.-]{{1,2}}(?:{_WORDS})(?![a-z])")
-_FOREIGN = re.compile("[Ͱ-҂Ԁ-ԯ․。！-～｡﹒﹫①-⒛⓪\U0001d400-\U0001d7ff]")
-_BRACKET = re.compile(r"[\[({<]\s{0,3}(?:at|dot|@|\.|punkt|punto|point|arroba)\s{0,3}[\])}>]", re.I)
-_SPACED = re.compile(r"\s(?:at|@)\s{1,3}[A-Za-z0-9-]+\s{1,3}(?:dot|\.)\s", re.I)
+#: Letters that a pattern without case takes for ASCII ones, though lower() does not.
+_FOLD = str.maketrans("ſıİ\u212a", "siik")
 
 _TRANSDUCER = re.compile(
     r"""(?P<at>\s{0,3}[\[({<]\s{0,3}(?:at|@|arroba)\s{0,3}[\])}>]\s{0,3})
@@ -90,6 +88,7 @@ def base_spans(text: str) -> list[S.Span]:
     return out
 
 
+@lru_cache(4096)
 def _ascii(c: str) -> str:
     """A look-alike's ASCII form, or the character itself."""
     if c in LOOKALIKES:
@@ -100,66 +99,66 @@ def _ascii(c: str) -> str:
     return plain if plain.isascii() and plain != " " and len(plain) <= 2 else c
 
 
-def disguised(text: str) -> bool:
-    if not text.isascii() and _FOREIGN.search(text):
-        return True
-    low = text.lower()
-    if ("dot" in low or "at" in low) and (_BRACKET.search(text) or ("dot" in low or " . " in low) and _SPACED.search(text)):
-        return True
-    return bool(_SPELLED.search(low))
-
-
-def rewritten(text: str) -> tuple[str, list[int], list[int], list[bool]]:
-    """The plain text, and for each of its characters the source span and whether it was changed."""
-    out, lo, hi, changed = [], [], [], []
-
-    def put(chars: str, start: int, end: int, new: bool) -> None:
-        for c in chars:
-            out.append(c)
-            lo.append(start)
-            hi.append(end)
-            changed.append(new)
-
-    at = 0
+def rewritten(text: str) -> tuple[str, list[tuple[int, int, int, int]]]:
+    """The plain text, and its changed stretches: start and end in it, start and end in the source."""
+    out, edits = [], []
+    at = size = 0
     for m in _TRANSDUCER.finditer(text):
-        for i in range(at, m.start()):
-            put(text[i], i, i + 1, False)
         kind = m.lastgroup
         if kind in ("at", "wordat"):
-            put("@", m.start(), m.end(), True)
+            chars = "@"
         elif kind in ("dot", "worddot"):
-            put(".", m.start(), m.end(), True)
+            chars = "."
         elif kind == "plus":
-            put("+", m.start(), m.end(), True)
+            chars = "+"
         elif kind == "digit":
-            put(DIGIT_WORDS[m[0].lower()], m.start(), m.end(), True)
-        else:
-            put(c := _ascii(m[0]), m.start(), m.end(), c != m[0])
-        at = m.end()
-    for i in range(at, len(text)):
-        put(text[i], i, i + 1, False)
-    return "".join(out), lo, hi, changed
+            chars = DIGIT_WORDS[m[0].translate(_FOLD).lower()]
+        elif (chars := _ascii(m[0])) == m[0]:
+            continue
+        start, end = m.span()
+        out += [text[at:start], chars]
+        size += start - at
+        edits.append((size, size + len(chars), start, end))
+        size += len(chars)
+        at = end
+    return "".join([*out, text[at:]]), edits
 
 
-_LONG_NUMBER = re.compile(r"[0-9](?:[ ,.()-]{0,2}[0-9]){8,14}(?![0-9])")
+_LONG_NUMBER = re.compile(r"[0-9](?:[\s,.()-]{0,2}[0-9]){8,14}(?![0-9])")
 
 
 def hidden_spans(text: str, known: list[S.Span]) -> list[S.Span]:
     """What shows only after rewriting, as source spans; what the fixed patterns found already is left out."""
-    plain, lo, hi, changed = rewritten(text)
-    total = [0]
-    for c in changed:
-        total.append(total[-1] + c)
+    plain, edits = rewritten(text)
+    if not edits:
+        return []
+    starts, before = [e[0] for e in edits], [0]
+    for a, b, _, _ in edits:
+        before.append(before[-1] + b - a)
+
+    def source(i: int) -> tuple[int, int]:
+        """The source characters of a plain one."""
+        k = bisect_right(starts, i) - 1
+        if k < 0:
+            return i, i + 1
+        _, b, start, end = edits[k]
+        return (start, end) if i < b else (end + i - b, end + i - b + 1)
+
+    def changed(i: int) -> int:
+        """Changed characters among the first i plain ones."""
+        k = bisect_right(starts, i) - 1
+        return before[k] + min(i, edits[k][1]) - edits[k][0] if k >= 0 else 0
+
     found = base_spans(plain)
     taken = [(s, e) for _, s, e in found]
     for m in _LONG_NUMBER.finditer(plain):  # a spelled number needs no plus sign
-        if total[m.end()] - total[m.start()] >= 7 and not any(s < m.end() and m.start() < e for s, e in taken):
+        if changed(m.end()) - changed(m.start()) >= 7 and not any(s < m.end() and m.start() < e for s, e in taken):
             found.append(("phone", *m.span()))
     out = []
     for kind, s, e in found:
-        if total[e] == total[s]:
+        if changed(e) == changed(s):
             continue
-        start, end = lo[s], hi[e - 1]
+        start, end = source(s)[0], source(e - 1)[1]
         if not any(k == kind and a <= start and end <= b for k, a, b in known):
             out.append((HIDDEN[kind], start, end))
     return out
@@ -168,8 +167,7 @@ def hidden_spans(text: str, known: list[S.Span]) -> list[S.Span]:
 def find(text: str) -> list[S.Span]:
     """All spans by kind, then start."""
     found = base_spans(text)
-    if disguised(text):
-        found = found + hidden_spans(text, found)
+    found = found + hidden_spans(text, found)
     return sorted(found, key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 

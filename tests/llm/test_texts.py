@@ -161,6 +161,19 @@ def test_deobfuscation_maps_back():
     assert personal_data.find("He was at home. One or two of the five were at the dot.") == []
 
 
+def test_a_disguise_needs_no_other():
+    digits = "four\tnine one\nseven\tzero one\ttwo three\tfour five\nsix"
+    alone = ["john@example dot com", "john at mail.example dot com", "jane at example.com", "jane @ example.com", "john[@]example[.]com", "juan [arroba] x [punto] es", digits, "plus 49 170 1234567", "ſeven\tone two\tthree four\tfive six\tseven eight\tnine"]
+    for t in alone:
+        assert any(k.startswith("hidden") for k, _, _ in personal_data.find(t)), t
+    other = "jane[at]ex.org and more; "
+    for t in alone:
+        for before, after in (("", ""), (other, ""), ("No at nor dot here; ", "")):
+            shift = len(before)
+            got = [(k, s - shift, e - shift) for k, s, e in personal_data.find(before + t + after) if s >= shift]
+            assert got == personal_data.find(t), (before, t)
+
+
 def test_constants_reach_sensitive_names():
     text = 'K = "a8Kd93kLqz"\ndb_pwd: K\nclient_secret = "x9fj" + "dk20dkPq"\nname = "hello world"\npwd = "changeme-please"'
     assert [text[s:e] for k, s, e in secret_scan.find(text) if k == "literal"] == ["a8Kd93kLqz", "x9fj", "dk20dkPq"]
