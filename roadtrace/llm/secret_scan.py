@@ -1,7 +1,8 @@
 """Secret scans: fixed patterns, and an assignment-aware lexer over source and configuration syntax.
 
 The lexer reads name-literal pairs (NAME = "literal", name: literal, <name>literal</name>,
---name literal, literals joined by +), remembers which names hold which literals, follows a
+--name literal, += and literals joined by + also over lines, triple-quoted
+and block literals), remembers which names hold which literals, follows a
 name on the right-hand side to the literals behind it, and scores a literal by how
 sensitive the target's name is and how random the literal looks.
 """
@@ -36,11 +37,18 @@ PLACEHOLDERS = ("changeme", "example", "placeholder", "your", "xxxx", "****", "d
 LEAST_SCORE = 4.0
 LEAST_LENGTH = 8
 
-_STRING = r'"(?:[^"\\\n]|\\.)*"|' + r"'(?:[^'\\\n]|\\.)*'|" + r"`[^`\n]*`"
+_TRIPLE = r'"""(?:[^\\]|\\[\s\S])*?"""' + r"|'{3}(?:[^\\]|\\[\s\S])*?'{3}"
+_STRING = _TRIPLE + r'|"(?:[^"\\\n]|\\[\s\S])*"' + r"|'(?:[^'\\\n]|\\[\s\S])*'|`[^`]*`"
 _TERM = rf"(?:{_STRING}|[A-Za-z0-9_$][A-Za-z0-9_$+/=.@!#%^&*~-]*)"
-_PAIR = re.compile(rf"(?P<name>[A-Za-z_$][A-Za-z0-9_$.-]{{0,127}})(?:\[?[\"']?\]?)[ \t]{{0,8}}(?::=|=>|=(?!=)|:(?![:/]))[ \t]{{0,8}}(?P<value>{_TERM}(?:[ \t]{{0,8}}\+[ \t]{{0,8}}{_TERM})*)")
-_ELEMENT = re.compile(r"<(?P<name>[A-Za-z_][\w.-]{0,127})>(?P<value>[^<>\s]{8,512})</(?P=name)>")
-_FLAG = re.compile(rf"--(?P<name>[A-Za-z][A-Za-z0-9-]{{0,127}})[ \t]{{1,8}}(?P<value>{_TERM})")
+# Over a line's end a + joins strings, and a name only behind it: no key of a next line, as a difference of files has them.
+_NO_KEY = r"(?![ \t]*+[:=])"
+_JOINED = rf"(?:[ \t]*+\+[ \t]*+{_TERM}|\s*+\+\s*+(?>{_STRING}){_NO_KEY}|[ \t]*+\+\s*+[A-Za-z_$][A-Za-z0-9_$.]*+{_NO_KEY})"
+# A name is read from its beginning, so blanks and names of any length are read once.
+_NAMED = r"(?<![A-Za-z0-9_$.-])[0-9.-]*+(?P<name>[A-Za-z_$][A-Za-z0-9_$.-]*+)"
+_PAIR = re.compile(rf"{_NAMED}(?:\[?[\"']?\]?)[ \t]*+(?P<sign>:=|=>|\+?=(?!=)|:(?![:/]))[ \t]*+(?P<value>{_TERM}{_JOINED}*)")
+_ELEMENT = re.compile(r"<(?P<name>[A-Za-z_][\w.-]{0,127})>\s*+(?P<value>[^<>\s]++(?:[ \t\r]*+\n\s*+[^<>\s]++)*+)\s*+</(?P=name)>")
+_FLAG = re.compile(rf"--(?P<name>[A-Za-z][A-Za-z0-9-]{{0,127}})[ \t]++(?P<value>{_TERM})")
+_BLOCK = re.compile(r"^(?P<indent>[ \t]*+)(?:- )?[\"']?(?P<name>[A-Za-z_$][A-Za-z0-9_$.-]*+)[\"']?[ \t]*+:[ \t]*+[|>][-+0-9]*+[ \t]*+\n\s*?(?P<value>(?P=indent)[ \t]++[^\n]*+(?:\n(?:(?P=indent)[ \t]++[^\n]*+|[ \t]*+(?=\n)))*+)", re.M)
 _PART = re.compile(_TERM)
 _NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.-]*\Z")
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
@@ -64,33 +72,59 @@ def name_score(name: str) -> float:
     return sum(NAME_WEIGHTS.get(w, 0.0) for w in dict.fromkeys([*words, *joined]))
 
 
+class Literals:
+    """What a name holds: spans and other names' literals by reference, and what scoring needs of their joined text."""
+
+    __slots__ = ("chars", "head", "held", "parts", "tail")
+    EDGE = max(map(len, PLACEHOLDERS))
+
+    def __init__(self, parts: list[tuple[tuple[int, int] | None, str, Literals | None]]):
+        """parts: (span, its text, None) or (None, "", the literals of a name)."""
+        self.parts = [span or held for span, _, held in parts]
+        self.chars: Counter = Counter()
+        self.head = self.tail = ""
+        self.held = False  # a placeholder
+        for span, text, of in parts:
+            head, tail = (text, text) if of is None else (of.head, of.tail)
+            edge = (self.tail + head[: self.EDGE]).lower()
+            self.held |= any(p in edge for p in PLACEHOLDERS) or (any(p in text.lower() for p in PLACEHOLDERS) if of is None else of.held)
+            self.chars.update(text if of is None else of.chars)
+            if len(self.head) < self.EDGE:
+                self.head = (self.head + head)[: self.EDGE]
+            self.tail = (self.tail + tail)[-self.EDGE :]
+
+    def score(self) -> float:
+        """How random the joined text looks: bits a character, kinds of characters; placeholders and plain words lose."""
+        n = sum(self.chars.values())
+        if n < LEAST_LENGTH or self.held or self.head.startswith(("$", "{", "<", "http")):
+            return -10.0
+        bits = -sum(c / n * math.log2(c / n) for c in self.chars.values())
+        kinds = sum(any(f(c) for c in self.chars) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in self.chars)
+        return (bits - 2.0) + 0.5 * (kinds - 1) - (2.0 if " " in self.chars else 0.0)
+
+
 def literal_score(value: str) -> float:
-    """How random a literal looks: bits a character, kinds of characters; placeholders and plain words lose."""
-    if len(value) < LEAST_LENGTH or any(p in value.lower() for p in PLACEHOLDERS) or value.startswith(("$", "{", "<", "http")):
-        return -10.0
-    n = len(value)
-    bits = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    kinds = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit)) + any(not c.isalnum() for c in value)
-    return (bits - 2.0) + 0.5 * (kinds - 1) - (2.0 if " " in value else 0.0)
+    return Literals([((0, len(value)), value, None)]).score()
 
 
-def lex(text: str) -> list[tuple[int, str, list[tuple[int, int] | str]]]:
-    """(position, target name, parts): a part is the span of a literal, or a name whose literals are meant."""
+def lex(text: str) -> list[tuple[int, str, bool, list]]:
+    """(position, target name, whether it keeps what it held, parts): a part is the span of a literal, or a name whose literals are meant."""
     found = []
-    for pattern in (_PAIR, _ELEMENT, _FLAG):
+    for pattern in (_PAIR, _ELEMENT, _FLAG, _BLOCK):
         for m in pattern.finditer(text):
             parts: list = []
-            at = m.start("value")
-            if pattern is _ELEMENT:
-                parts.append(m.span("value"))
+            if pattern is _ELEMENT or pattern is _BLOCK:
+                start, end = m.span("value")
+                parts.append((end - len(m["value"].lstrip()), end))
             else:
-                for t in _PART.finditer(text, at, m.end("value")):
+                for t in _PART.finditer(text, m.start("value"), m.end("value")):
                     word = t[0]
                     if word[0] in "\"'`":
-                        parts.append((t.start() + 1, t.end() - 1))
+                        n = 3 if len(word) >= 6 and word[:3] in ('"""', "'''") else 1
+                        parts.append((t.start() + n, t.end() - n))
                     else:
                         parts.append((t.start(), t.end(), word) if _NAME.match(word) else (t.start(), t.end()))
-            found.append((m.start(), m["name"], parts))
+            found.append((m.start("name"), m["name"], pattern is _PAIR and m["sign"] == "+=", parts))
     return sorted(found, key=lambda x: x[0])
 
 
@@ -98,20 +132,29 @@ def literal_spans(text: str) -> list[S.Span]:
     """Literals that reach a sensitive name, directly or through names assigned before."""
     if not ("=" in text or ":" in text or "--" in text or "</" in text):
         return []
-    values: dict[str, list[tuple[int, int]]] = {}
+    values: dict[str, Literals] = {}
     out: set[tuple[int, int]] = set()
-    for _, name, parts in lex(text):
-        spans: list[tuple[int, int]] = []
+    emitted: set[int] = set()
+    alive: list[Literals] = []  # so that no id is used twice
+    for _, name, keeps, parts in lex(text):
+        held = [(None, "", values[name])] if keeps and name in values else []
         for p in parts:
-            if len(p) == 3:  # a bare word: a known constant, else a literal of its own
-                spans += values.get(p[2], [p[:2]])
-            else:
-                spans.append(p)
-        spans = spans[:64]
-        values[name] = spans
+            of = values.get(p[2]) if len(p) == 3 else None  # a bare word: a known constant, else a literal of its own
+            held.append((None, "", of) if of else (p[:2], text[p[0] : p[1]], None))
+        values[name] = node = Literals(held)
+        alive.append(node)
         weight = name_score(name)
-        if weight > 0 and weight + literal_score("".join(text[a:b] for a, b in spans)) >= LEAST_SCORE:
-            out.update(s for s in spans if s[1] > s[0])
+        if weight > 0 and weight + node.score() >= LEAST_SCORE:
+            todo = [node]
+            while todo:
+                if id(top := todo.pop()) in emitted:
+                    continue
+                emitted.add(id(top))
+                for p in top.parts:
+                    if isinstance(p, Literals):
+                        todo.append(p)
+                    elif p[1] > p[0]:
+                        out.add(p)
     return [("literal", a, b) for a, b in out]
 
 

@@ -179,6 +179,23 @@ def test_constants_reach_sensitive_names():
     assert [text[s:e] for k, s, e in secret_scan.find(text) if k == "literal"] == ["a8Kd93kLqz", "x9fj", "dk20dkPq"]
 
 
+def test_literals_of_any_length_and_over_lines():
+    rng = random.Random(12)
+    key = lambda n: "".join(rng.choice("abcdefghkmpqHIJKLMNPRSTV0123456789") for _ in range(n))
+    found = lambda t: [t[s:e] for k, s, e in secret_scan.find(t) if k == "literal"]
+    bits = [key(24) for _ in range(200)]
+    assert found('k = ""\n' + "".join(f'k = k + "{b}"\n' for b in bits) + "client_secret = k") == bits
+    assert found('pwd = ""\n' + "".join(f'pwd += "{b}"\n' for b in bits)) == bits
+    assert found(f"<privateKey>{(long := key(1600))}</privateKey>") == [long]
+    assert found(f'client_key{" " * 30}={" " * 30}"{bits[0]}"') == [bits[0]]
+    assert found(f'db_pwd = "{bits[0]}" +\n    "{bits[1]}"\n  + "{bits[2]}"') == bits[:3]
+    assert found(f'private_key = """{bits[0]}\n{bits[1]}"""') == [f"{bits[0]}\n{bits[1]}"]
+    assert found(f"a:\n  private_key: |\n    {bits[0]}\n    {bits[1]}\n  b: c\n") == [f"{bits[0]}\n    {bits[1]}"]
+    assert found(f'+db_pwd = "{bits[0]}"\n+client_key = "{bits[1]}"\n+"signing_key": "{bits[2]}"') == bits[:3]
+    for t in ("a" * 40_000 + " " * 40_000, "a1" * 40_000, "k = k + k\n" * 3000, "<a>" + "b" * 80_000, "a" + " " * 80_000 + '"""' * 999):
+        assert not secret_scan.literal_spans(t)
+
+
 def test_span_queries(spark):
     df = spark.createDataFrame([(1, "token = abcdefgh1 " + "0" * 32, "x"), (2, None, "x"), (3, "", "x"), (None, "AKIAAAAABBBBCCCC", "x")], "doc_id long, text string, spans string")
     got = {r.doc_id: r for r in digests(secret_scan.find_secrets(df), secret_scan.BASE_KINDS).collect()}
