@@ -30,12 +30,14 @@ def near_pairs(hashes: DataFrame, near: int = NEAR) -> DataFrame:
     return left.join(right, ["band", "key"]).filter("a < b").filter(phash_distance(F.col("pa"), F.col("pb")) <= near).select("a", "b").distinct()
 
 
-def near_duplicates(videos: DataFrame, near: int = NEAR, rounds: int = 200) -> DataFrame:
+def near_duplicates(videos: DataFrame, near: int = NEAR) -> DataFrame:
     """Greedy groups in id order: an id that no earlier representative took represents all later free ids near it.
 
-    Equal hashes are one node, whose smallest id stands for all. An id is settled once all
-    its smaller neighbours are: it represents if none of them does, and else belongs to the
-    smallest that does. Each round settles every id that can be, and is written out.
+    Equal hashes are one node, whose smallest id stands for all. An id belongs to its
+    smallest neighbour that represents, as soon as that one is below all its open smaller
+    neighbours; it represents once all of them are settled and none does. Each round settles
+    every id that can be, at least the smallest open one, and is written out: mutually near
+    ids need few rounds, a chain as many as it has links.
     """
     rest = videos.filter("phash is not null").select("id", "phash")
     in_exact = exact_duplicates(videos).select(F.explode(F.concat(F.array("representative"), "duplicates")).alias("id"))
@@ -44,16 +46,16 @@ def near_duplicates(videos: DataFrame, near: int = NEAR, rounds: int = 200) -> D
     pairs = _written(near_pairs(same, near), "pairs")
     nodes = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     state = _written(nodes.select("id", F.lit(None).cast("int").alias("rep")), "state")
-    for _ in range(rounds):
+    left = None
+    while left is None or left:
         known = state.select(F.col("id").alias("a"), F.col("rep").alias("a_rep"))
-        smaller = pairs.join(known, "a").groupBy(F.col("b").alias("id")).agg(F.sum(F.col("a_rep").isNull().cast("int")).alias("open"), F.min(F.when(F.col("a_rep") == F.col("a"), F.col("a"))).alias("taker"))
+        smaller = pairs.join(known, "a").groupBy(F.col("b").alias("id")).agg(F.min(F.when(F.col("a_rep").isNull(), F.col("a"))).alias("open"), F.min(F.when(F.col("a_rep") == F.col("a"), F.col("a"))).alias("taker"))
         rows = state.join(smaller, "id", "left")
-        settled = F.when(F.col("rep").isNull() & (F.coalesce("open", F.lit(0)) == 0), F.coalesce("taker", "id")).otherwise(F.col("rep"))
+        settled = F.coalesce("rep", F.when(F.col("open").isNull(), F.coalesce("taker", "id")).when(F.col("taker") < F.col("open"), F.col("taker")))
         state = _written(rows.select("id", settled.alias("rep")), "state")
-        if state.filter("rep is null").isEmpty():
-            break
-    else:
-        raise RuntimeError("greedy grouping did not settle; raise rounds")
+        before, left = left, state.filter("rep is null").count()
+        if left and left == before:
+            raise RuntimeError("greedy grouping made no progress")
     named = rest.select(F.col("id").alias("own"), F.lower("phash").alias("phash")).filter(F.col("phash").rlike(r"^[0-9a-f]{64}$"))
     rows = named.join(same, "phash").join(state, "id", "left").select("own", F.coalesce("rep", "id").alias("representative"))
     groups = rows.groupBy("representative").agg(F.array_sort(F.collect_list("own")).alias("ids")).filter(F.size("ids") > 1)

@@ -137,6 +137,14 @@ def test_near_duplicates_are_greedy(spark):
     assert [(r.representative, r.duplicates, r.match_type) for r in U.duplicate_groups(both).collect()] == [(1, [2], "exact")]
 
 
+def test_near_duplicates_of_one_large_group(spark):
+    """Near but unequal hashes: each differs from the first in two bits at most, so one id takes all."""
+    flips = [0] + [(1 << a) | (1 << b) for a in range(0, 256, 8) for b in range(a + 1, 256, 12)][:250]
+    df = spark.createDataFrame([(i + 1, f"f{i}", f"{x:064x}") for i, x in enumerate(flips)], "id int, file_hash string, phash string")
+    assert len(set(flips)) > 200
+    assert [(r.representative, tuple(r.duplicates)) for r in U.near_duplicates(df).collect()] == [(1, tuple(range(2, len(flips) + 1)))]
+
+
 def test_split_is_exact_and_stable(spark):
     df = spark.createDataFrame([(f"s{i}",) for i in range(103)], "stem string")
     a = {r.stem: r.split for r in D.split_dataset(df).collect()}
