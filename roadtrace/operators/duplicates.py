@@ -1,77 +1,116 @@
-"""Duplicates: equal files, and near-equal perceptual hashes in greedy groups."""
+"""Duplicates: equal files, and near-equal perceptual hashes in greedy groups.
+
+Groups are rows (representative, duplicate): a file that millions of rows repeat is so many
+rows, never one array.
+"""
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from roadtrace.functions.text import phash_distance
+from roadtrace.session import discard, materialise
 
 BITS, NEAR = 256, 10
+#: Bits of a band, and what an XOR of equal bands leaves.
+BAND = 16
 
 
 def exact_duplicates(videos: DataFrame) -> DataFrame:
-    """Groups of equal file hashes: the smallest id represents the others."""
-    g = videos.filter("file_hash is not null").groupBy("file_hash").agg(F.array_sort(F.collect_list("id")).alias("ids")).filter(F.size("ids") > 1)
-    return g.select(F.get("ids", F.lit(0)).alias("representative"), F.slice("ids", 2, F.size("ids") - 1).alias("duplicates"), F.lit("exact").alias("match_type"))
+    """Equal file hashes: the smallest id represents each of the others."""
+    named = videos.filter("file_hash is not null").select("id", "file_hash")
+    first = named.groupBy("file_hash").agg(F.min("id").alias("representative"))
+    rows = named.join(first, "file_hash").filter("id <> representative")
+    return rows.select("representative", F.col("id").alias("duplicate"), F.lit("exact").alias("match_type"))
+
+
+def as_groups(rows: DataFrame) -> DataFrame:
+    """One row a representative with its duplicates as an array, for listings of small groups."""
+    return rows.groupBy("representative", "match_type").agg(F.array_sort(F.collect_list("duplicate")).alias("duplicates")).select("representative", "duplicates", "match_type")
+
+
+def hash_words(phash: Column) -> Column:
+    """The four longs of a hash of 64 hexadecimal digits; null where it is malformed."""
+    low = F.lower(phash)
+    part = lambda at: F.conv(F.substring(low, at, 8), 16, 10).cast("long")
+    words = F.array(*(F.shiftleft(part(16 * i + 1), 32).bitwiseOR(part(16 * i + 9)) for i in range(BITS // 64)))
+    return F.when(low.rlike(f"^[0-9a-f]{{{BITS // 4}}}$"), words)
+
+
+def _band_pairs(near: int) -> list[tuple[int, int]]:
+    """Pairs of bands of which one at least is equal in any two hashes within `near` bits.
+
+    At least bands - near bands are equal. Dealt into one group fewer than that, two of them
+    fall into one group. Neighbouring bands stand in different groups, so that a constant
+    head or tail fills no key.
+    """
+    bands = BITS // BAND
+    groups = bands - near - 1
+    if groups < 1:
+        raise ValueError(f"near must be below {bands - 1} bits")
+    return [(a, b) for g in range(groups) for a in range(g, bands, groups) for b in range(a + groups, bands, groups)]
 
 
 def near_pairs(hashes: DataFrame, near: int = NEAR) -> DataFrame:
-    """Pairs a < b within `near` bits. Of near + 1 bands of digits one is equal, so bands are an equi-join key."""
-    good = hashes.filter(F.lower("phash").rlike(r"^[0-9a-f]{64}$")).select("id", F.lower("phash").alias("phash"))
-    bands = near + 1
-    cut = [round(i * 64 / bands) for i in range(bands + 1)]
-    keys = F.array(*(F.substring("phash", a + 1, b - a) for a, b in zip(cut, cut[1:])))
-    rows = good.select("id", "phash", F.posexplode(keys).alias("band", "key"))
-    left = rows.select(F.col("id").alias("a"), F.col("phash").alias("pa"), "band", "key")
-    right = rows.select(F.col("id").alias("b"), F.col("phash").alias("pb"), "band", "key")
-    return left.join(right, ["band", "key"]).filter("a < b").filter(phash_distance(F.col("pa"), F.col("pb")) <= near).select("a", "b").distinct()
+    """Pairs a < b of ids within `near` bits; malformed hashes are skipped.
+
+    Equal hashes are one node while nodes are joined, and expand into their ids at the end.
+    Nodes meet where two bands of 16 bits are both equal, and a pair leaves the join under
+    the first of its common keys only, so nothing is made distinct afterwards.
+    """
+    named = hashes.select("id", hash_words(F.col("phash")).alias("w")).filter("w is not null")
+    nodes = named.groupBy("w").agg(F.min("id").alias("node"))
+    pairs = _band_pairs(near)
+    band = lambda w, i: F.shiftrightunsigned(w[i * BAND // 64], 64 - BAND - i * BAND % 64).bitwiseAND(F.lit((1 << BAND) - 1).cast("long"))
+    w = F.col("w")
+    keys = F.array(*(F.shiftleft(band(w, a), BAND).bitwiseOR(band(w, b)).bitwiseOR(F.lit(k << (2 * BAND)).cast("long")) for k, (a, b) in enumerate(pairs)))
+    rows = nodes.select("node", "w", F.explode(keys).alias("key"))
+    left = rows.select(F.col("node").alias("na"), F.col("w").alias("wa"), "key")
+    right = rows.select(F.col("node").alias("nb"), F.col("w").alias("wb"), "key")
+    apart = [F.col("wa")[i].bitwiseXOR(F.col("wb")[i]) for i in range(BITS // 64)]
+    distance = reduce(lambda x, y: x + y, (F.bit_count(x) for x in apart))
+    first = F.coalesce(*(F.when(band(apart, a).bitwiseOR(band(apart, b)) == 0, F.lit(k)) for k, (a, b) in enumerate(pairs)))
+    met = left.join(right, "key").filter("na < nb").filter(distance <= near).filter(first == F.shiftright("key", 2 * BAND)).select("na", "nb")
+    met = met.unionByName(nodes.select(F.col("node").alias("na"), F.col("node").alias("nb")))
+    ids = named.join(nodes, "w").select("node", "id")
+    both = met.join(ids.select(F.col("node").alias("na"), F.col("id").alias("x")), "na").join(ids.select(F.col("node").alias("nb"), F.col("id").alias("y")), "nb")
+    return both.filter((F.col("na") != F.col("nb")) | (F.col("x") < F.col("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def near_duplicates(videos: DataFrame, near: int = NEAR) -> DataFrame:
     """Greedy groups in id order: an id that no earlier representative took represents all later free ids near it.
 
-    Equal hashes are one node, whose smallest id stands for all. An id belongs to its
-    smallest neighbour that represents, as soon as that one is below all its open smaller
-    neighbours; it represents once all of them are settled and none does. Each round settles
-    every id that can be, at least the smallest open one, and is written out: mutually near
-    ids need few rounds, a chain as many as it has links.
+    Members of exact groups take no part. Equal hashes are one node, whose smallest id stands
+    for all. An id belongs to its smallest neighbour that represents, as soon as that one is
+    below all its open smaller neighbours; it represents once all of them are settled and
+    none does. Each round settles every id that can be, at least the smallest open one, and
+    is written out: mutually near ids need few rounds, a chain as many as it has links.
     """
-    rest = videos.filter("phash is not null").select("id", "phash")
-    in_exact = exact_duplicates(videos).select(F.explode(F.concat(F.array("representative"), "duplicates")).alias("id"))
-    rest = rest.join(in_exact, "id", "left_anti")
-    same = rest.groupBy(F.lower("phash").alias("phash")).agg(F.min("id").alias("id"))
-    pairs = _written(near_pairs(same, near), "pairs")
+    rest = videos.filter("phash is not null").select("id", F.lower("phash").alias("phash"))
+    exact = exact_duplicates(videos)
+    rest = rest.join(exact.select(F.col("representative").alias("id")).union(exact.select("duplicate")).distinct(), "id", "left_anti")
+    same = rest.groupBy("phash").agg(F.min("id").alias("id"))
+    pairs = materialise(near_pairs(same, near), "pairs")
     nodes = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    state = _written(nodes.select("id", F.lit(None).cast("int").alias("rep")), "state")
+    state = materialise(nodes.select("id", F.lit(None).cast("int").alias("rep")), "state")
     left = None
     while left is None or left:
         known = state.select(F.col("id").alias("a"), F.col("rep").alias("a_rep"))
         smaller = pairs.join(known, "a").groupBy(F.col("b").alias("id")).agg(F.min(F.when(F.col("a_rep").isNull(), F.col("a"))).alias("open"), F.min(F.when(F.col("a_rep") == F.col("a"), F.col("a"))).alias("taker"))
         rows = state.join(smaller, "id", "left")
         settled = F.coalesce("rep", F.when(F.col("open").isNull(), F.coalesce("taker", "id")).when(F.col("taker") < F.col("open"), F.col("taker")))
-        state = _written(rows.select("id", settled.alias("rep")), "state")
+        was, state = state, materialise(rows.select("id", settled.alias("rep")), "state")
+        discard(was)
         before, left = left, state.filter("rep is null").count()
         if left and left == before:
             raise RuntimeError("greedy grouping made no progress")
-    named = rest.select(F.col("id").alias("own"), F.lower("phash").alias("phash")).filter(F.col("phash").rlike(r"^[0-9a-f]{64}$"))
-    rows = named.join(same, "phash").join(state, "id", "left").select("own", F.coalesce("rep", "id").alias("representative"))
-    groups = rows.groupBy("representative").agg(F.array_sort(F.collect_list("own")).alias("ids")).filter(F.size("ids") > 1)
-    return groups.select("representative", F.slice("ids", 2, F.size("ids") - 1).alias("duplicates"), F.lit("perceptual").alias("match_type"))
+    discard(pairs)
+    rows = rest.withColumnRenamed("id", "own").join(same, "phash").join(state, "id", "left").filter(hash_words(F.col("phash")).isNotNull())
+    rows = rows.select("own", F.coalesce("rep", "id").alias("representative")).filter("own <> representative")
+    return rows.select("representative", F.col("own").alias("duplicate"), F.lit("perceptual").alias("match_type"))
 
 
 def duplicate_groups(videos: DataFrame) -> DataFrame:
     return exact_duplicates(videos).unionByName(near_duplicates(videos))
-
-
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """Lineage ends in the shared checkpoint folder of the session; local sessions without one keep a cached copy."""
-    spark = df.sparkSession
-    there = spark.conf.get("spark.checkpoint.dir", None)
-    if not there:
-        return df.cache()
-    path = f"{there.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)

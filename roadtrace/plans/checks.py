@@ -223,7 +223,8 @@ SQL["phash_distance"] = over(
 )
 _CELLNAMES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in VIOLATION_NAMES.items() if k != "speeding")
 SQL["cells_names_moments"] = over(f" SELECT id, CASE WHEN notes LIKE '=%' THEN '''' || notes ELSE notes END AS notes, CASE violation_type {_CELLNAMES} ELSE violation_type END AS name, strftime(created_at + to_seconds(CAST(start_ms / 1000 AS BIGINT)), '%Y-%m-%d %H:%M') AS moment FROM violations", "violations")
-SQL["exact_duplicates"] = over(" SELECT min(id) AS representative, array_to_string(list(id ORDER BY id)[2:], ',') AS duplicates FROM hashes GROUP BY file_hash HAVING count(*) > 1", "hashes")
+_EXACT = "SELECT b.representative, a.id AS duplicate FROM hashes a JOIN (SELECT file_hash, min(id) AS representative FROM hashes GROUP BY 1) b USING (file_hash) WHERE a.id > b.representative"
+SQL["exact_duplicates"] = over(f" {_EXACT}", "hashes")
 _PLATE = "trim(regexp_replace(regexp_replace(translate(upper(raw_text), '٠١٢٣٤٥٦٧٨٩أ', '0123456789ا'), '[^0-9A-Z ابحدرسصطعقكلمنهوي]', '', 'g'), ' +', ' ', 'g'))"
 SQL["plate_texts"] = over(
     f" SELECT DISTINCT read_id, video_id, trim(translate(raw_text, '٠١٢٣٤٥٦٧٨٩أ', '0123456789ا')) AS arabic, {_PLATE} AS plate, length(regexp_replace({_PLATE}, '[^0-9]', '', 'g')) BETWEEN 3 AND 4 AND length(regexp_replace({_PLATE}, '[0-9 ]', '', 'g')) BETWEEN 2 AND 4 AS looks FROM plate_reads", "plate_reads"
@@ -279,13 +280,27 @@ SQL["delete_videos_cascade"] = over(" SELECT 'videos' AS part, count(*) AS n FRO
 
 # Sampling, hashes and codecs that follow from how the derived tables are made.
 SQL["stride_sample"] = over(" SELECT video_id, track_id, frame_no FROM detections WHERE track_id IS NOT NULL AND frame_no % 6 = 0", "detections")
-SQL["near_duplicate_pairs"] = over(
-    """, h AS (SELECT id, phash, [('0x' || phash[i:i+7])::UBIGINT for i in range(1, 65, 8)] AS w FROM hashes WHERE regexp_full_match(phash, '[0-9a-f]{64}'))
-SELECT a.id AS a, b.id AS b FROM h a JOIN h b ON a.id < b.id WHERE """
+_PAIRS = (
+    """, h AS (SELECT id, phash, [('0x' || phash[i:i+7])::UBIGINT for i in range(1, 65, 8)] AS w FROM hashes WHERE regexp_full_match(phash, '[0-9a-f]{64}')),
+near AS (SELECT a.id AS a, b.id AS b FROM h a JOIN h b ON a.id < b.id WHERE """
     + " + ".join(f"bit_count(xor(a.w[{i}], b.w[{i}]))::INT" for i in range(1, 9))
-    + " <= 10",
-    "hashes",
+    + " <= 10)"
 )
+SQL["near_duplicate_pairs"] = over(f"{_PAIRS} SELECT a, b FROM near", "hashes")
+# One representative a step: the smallest free id takes its free neighbours.
+_GREEDY = f"""{_PAIRS}, exact AS ({_EXACT}), twin AS (SELECT representative AS id FROM exact UNION SELECT duplicate FROM exact),
+pairs AS (SELECT a, b FROM near WHERE a NOT IN (SELECT id FROM twin) AND b NOT IN (SELECT id FROM twin)),
+beside AS (SELECT a, list(b ORDER BY b) AS bs FROM pairs GROUP BY a),
+g(representative, taken, free) AS (
+ SELECT NULL::INTEGER, []::INTEGER[], (SELECT list(DISTINCT x ORDER BY x) FROM (SELECT a AS x FROM pairs UNION ALL SELECT b FROM pairs))
+ UNION ALL
+ SELECT g.free[1], list_filter(coalesce(bs, []), lambda x: list_contains(g.free, x)), list_filter(g.free[2:], lambda x: NOT list_contains(coalesce(bs, []), x)) FROM g LEFT JOIN beside ON beside.a = g.free[1] WHERE len(g.free) > 0),
+groups AS (SELECT representative, unnest(taken) AS duplicate FROM g WHERE representative IS NOT NULL)"""
+for _name, _query in {
+    "near_duplicates": "SELECT representative, duplicate FROM groups",
+    "duplicate_groups": "SELECT representative, duplicate, 'exact' AS match_type FROM exact UNION ALL SELECT representative, duplicate, 'perceptual' FROM groups",
+}.items():
+    SQL[_name] = over(f"{_GREEDY} {_query}", "hashes").replace("WITH ", "WITH RECURSIVE ", 1)
 SQL["json_codecs"] = over(""" SELECT video_id, frame_no, '[' || string_agg('{"id":' || id || ',"class_name":"' || class_name || '","confidence":' || round(confidence, 4) || '}', ',' ORDER BY id) || ']' AS json FROM detections GROUP BY ALL""", "detections")
 _PAD = SECRET.encode().ljust(64, b"\0")
 _INNER, _OUTER = (bytes(b ^ x for b in _PAD).hex() for x in (0x36, 0x5C))

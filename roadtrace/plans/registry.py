@@ -309,10 +309,10 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "pseudonymize_plate": lambda t: t.violations.select("license_plate", X.pseudonymize_plate(F.col("license_plate"), SECRET).alias("pseudonym")).groupBy("pseudonym").agg(F.count("*").alias("n")),
     "json_codecs": lambda t: E.detections_json(t.detections),
     # duplicates and plates
-    "exact_duplicates": lambda t: U.exact_duplicates(t.hashed).select("representative", _ids("duplicates").alias("duplicates")),
+    "exact_duplicates": lambda t: U.exact_duplicates(t.hashed).select("representative", "duplicate"),
     "near_duplicate_pairs": lambda t: U.near_pairs(t.hashed),
-    "near_duplicates": lambda t: U.near_duplicates(t.hashed).select("representative", _ids("duplicates").alias("duplicates")),
-    "duplicate_groups": lambda t: U.duplicate_groups(t.hashed).select("representative", _ids("duplicates").alias("duplicates"), "match_type"),
+    "near_duplicates": lambda t: U.near_duplicates(t.hashed).select("representative", "duplicate"),
+    "duplicate_groups": lambda t: U.duplicate_groups(t.hashed),
     "plates_for_track": _plates,
     "plate_vote": lambda t: _votes(t).select("video_id", "track_id", "text", F.round("confidence", 6).alias("confidence"), "reads"),
     "best_reading": lambda t: P.best_reading(t.plate_reads, ["video_id", "track_id", "image"]),
