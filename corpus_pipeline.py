@@ -15,7 +15,7 @@ from roadtrace.llm.mixing import mixed_rows, tempered_weights
 from roadtrace.llm.neardup import near_duplicates
 from roadtrace.llm.packing import pack
 from roadtrace.llm.quality import keep_quality
-from roadtrace.llm.runtime import materialise, table
+from roadtrace.session import materialise, table
 from roadtrace.llm.secret_scan import redact_secrets
 
 #: Near duplicates share 80 % of their five-word shingles.
