@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadtrace.llm.runtime import materialise
+from roadtrace.session import materialise
 
 
 def _state(edges: DataFrame) -> tuple:

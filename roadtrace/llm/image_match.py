@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from roadtrace.llm.runtime import materialise
+from roadtrace.session import materialise
 
 BITS, WORDS = 256, 8
 #: Tables, and the bits of a table's key.

@@ -17,18 +17,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from roadtrace.session import materialise
+
 #: Slots of a period: what weights are rounded to, and most sources.
 PERIOD = 1024
 #: Characters of a block.
 BLOCK_CHARS = 1 << 16
-#: Buckets of a source's order: a running sum is taken over buckets, then inside each.
-BUCKETS = 4096
+#: Characters of a bucket of a source's order: a running sum is taken over buckets, then inside each.
+BUCKET_CHARS = 1 << 24
 
 
 def whole_weights(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Parts of the period, at least one each: largest remainders, ties by name."""
-    if not 0 < len(weights) <= period or any(not w > 0 for w in weights.values()):
-        raise ValueError(f"needs 1 to {period} sources with weights above 0")
+    """Parts of the period, at least one each: largest remainders, ties by name. No weights have no parts."""
+    if not weights:
+        return {}
+    if len(weights) > period or any(not w > 0 for w in weights.values()):
+        raise ValueError(f"needs at most {period} sources, with weights above 0")
     total = sum(weights.values())
     spare = period - len(weights)
     exact = {s: spare * w / total for s, w in weights.items()}
@@ -71,52 +75,95 @@ def tempered_weights(docs: DataFrame, power: float) -> dict[str, float]:
     return {r.source: max(1, r.n or 1) ** power for r in rows}
 
 
-def _placed(rows: DataFrame, weights: dict[str, float], block_chars: int, period: int) -> DataFrame:
-    """rows (key, source, size and others) with block, slot and place.
-
-    A source's order is by a hash of the key. Sizes are summed per (source, bucket) before
-    the shuffle; a running sum over a source's buckets, BUCKETS at most, gives each bucket
-    its base, and the windows inside a bucket hold a small share of a source each.
-    """
+def _plan(spark, weights: dict[str, float], period: int) -> DataFrame:
+    """One period as rows (source, part, k, at): `period` rows at most, none without weights."""
     parts = whole_weights(weights, period)
-    values = ",".join(f"({_literal(s)}, {parts[s]}L, {k}L, {slot}L)" for s, k, slot in schedule(parts))
-    plan = rows.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(source, part, k, at)")  # `period` rows
-
-    rows = rows.withColumn("h", F.xxhash64("key")).withColumn("bucket", F.pmod("h", F.lit(BUCKETS)).cast("int"))
-    base = rows.groupBy("source", "bucket").agg(F.sum("size").alias("size"))
-    base = base.withColumn("base", F.sum("size").over(Window.partitionBy("source").orderBy("bucket")) - F.col("size")).drop("size")
-    inside = Window.partitionBy("source", "bucket").orderBy("h", "key", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("inside", F.sum("size").over(inside) - F.col("size"))
-    rows = rows.join(base, ["source", "bucket"]).withColumn("place", F.col("base") + F.col("inside")).withColumn("block", F.floor(F.col("place") / F.lit(block_chars)))
-    rows = rows.join(F.broadcast(plan.select("source", "part").distinct()), "source", "left")
-    rows = rows.withColumn("k", F.pmod("block", F.coalesce("part", F.raise_error(F.concat(F.lit("no weight for source "), "source")).cast("long"))))
-    return rows.join(F.broadcast(plan.select("source", "k", "at")), ["source", "k"]).withColumn("slot", F.floor(F.col("block") / F.col("part")) * period + F.col("at"))
+    rows = [(s, parts[s], k, slot) for s, k, slot in schedule(parts)] or [("", 1, 0, 0)]
+    values = ",".join(f"({_literal(s)}, {part}L, {k}L, {slot}L)" for s, part, k, slot in rows)
+    return spark.sql(f"SELECT * FROM VALUES {values} AS t(source, part, k, at)").filter(F.lit(bool(parts)))
 
 
 def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
+    """docs' key, source, size, and h, a hash of id and text: equal ids or texts alone never share it."""
     size = (F.coalesce(F.length("text"), F.lit(0)) + 1).cast("long")
-    return docs.select(*more, F.col("doc_id").cast("long").alias("key"), _source(F.col("source")).alias("source"), size.alias("size"))
+    key = F.col("doc_id").cast("long")
+    return docs.select(*more, key.alias("key"), _source(F.col("source")).alias("source"), size.alias("size"), F.xxhash64(key, F.col("text").cast("string")).alias("h"))
+
+
+def _groups(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """One row for equal (source, h, key): n rows of `size` characters together, and how many stand before them.
+
+    Rows are counted per group before the shuffle. A source's order is by h; its buckets grow
+    in number with its size, a running sum over them gives each its base, and the windows
+    inside a bucket hold BUCKET_CHARS on average.
+    """
+    g = materialise(rows.groupBy("source", "h", "key").agg(F.count("*").alias("n"), F.sum("size").alias("size")), "mix-groups")
+    if weights:
+        known = g.sparkSession.sql("SELECT * FROM VALUES " + ",".join(f"({_literal(s)})" for s in weights) + " AS t(source)")
+        lost = g.join(F.broadcast(known), "source", "left_anti").select("source").first()
+        if lost is not None:
+            raise ValueError(f"no weight for source {lost.source!r}")
+    wide = g.groupBy("source").agg(F.ceil(F.sum("size") / BUCKET_CHARS).alias("buckets"))  # a row a source
+    g = g.join(F.broadcast(wide), "source").withColumn("bucket", F.pmod("h", F.col("buckets"))).drop("buckets")
+    base = g.groupBy("source", "bucket").agg(F.sum("size").alias("size"))
+    base = base.select("source", "bucket", (F.sum("size").over(Window.partitionBy("source").orderBy("bucket")) - F.col("size")).alias("base"))
+    inside = Window.partitionBy("source", "bucket").orderBy("h", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    g = g.withColumn("inside", F.sum("size").over(inside) - F.col("size"))
+    return g.join(base, ["source", "bucket"]).select("source", "h", "key", "n", "size", (F.col("base") + F.col("inside")).alias("start"))
+
+
+def _slotted(rows: DataFrame, plan: DataFrame, block_chars: int, period: int) -> DataFrame:
+    """rows (source, place) with block and slot."""
+    rows = rows.withColumn("block", F.floor(F.col("place") / F.lit(block_chars)))
+    rows = rows.join(F.broadcast(plan.select("source", "part").distinct()), "source").withColumn("k", F.pmod("block", "part"))
+    return rows.join(F.broadcast(plan.select("source", "k", "at")), ["source", "k"]).withColumn("slot", F.floor(F.col("block") / F.col("part")) * period + F.col("at"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float], block_chars: int = BLOCK_CHARS, period: int = PERIOD) -> DataFrame:
     """A place in the mixed stream for every document.
 
     docs: doc_id long, text string, source string; other columns are ignored. weights: a
-    target for every source of docs (null counts as ''); a source without one is refused
-    when the result is computed. Returns doc_id, source, block (of its source), slot (of
-    the stream) and place (characters of the source before it): ordered by slot, then
-    place, the documents are the mix. Every document appears once, also when its source
-    runs dry later than others: from there on the remaining sources share what is left.
-    A null text counts as an empty one, of size 1; repeated rows get places of their own; a
-    null doc_id is placed like any key. No rows give no places.
+    target for every source of docs (null counts as ''); a source without one is refused.
+    Returns doc_id, source, block (of its source), slot (of the stream) and place
+    (characters of the source before it): ordered by slot, then place, the documents are the
+    mix. Every document appears once, also when its source runs dry later than others: from
+    there on the remaining sources share what is left. A null text counts as an empty one, of
+    size 1; a text longer than a block fills several, and the next document stands behind
+    it; repeated rows get places of their own, one after the other; a null doc_id is placed
+    like any key, by its text. Equal hashes are told apart by doc_id. No rows, or no weights
+    for no rows, give no places.
     """
-    return _placed(_keyed(docs), weights, block_chars, period).select(F.col("key").alias("doc_id"), "source", "block", "slot", "place")
+    spark = docs.sparkSession
+    g = _groups(_keyed(docs), weights)
+    # Copies of a row are written out in two steps, so that no array holds more than their number's root.
+    step = F.ceil(F.sqrt("n")).cast("long")
+    many = g.withColumn("step", step).withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, "step")))
+    each = many.withColumn("i", F.explode(F.sequence(F.col("lo"), F.least(F.col("lo") + F.col("step"), F.col("n")) - 1)))
+    rows = each.select("source", F.col("key").alias("doc_id"), (F.col("start") + F.col("i") * F.floor(F.col("size") / F.col("n"))).alias("place"))
+    return _slotted(rows, _plan(spark, weights, period), block_chars, period).select("doc_id", "source", "block", "slot", "place")
+
+
+def with_places(docs: DataFrame, weights: dict[str, float], block_chars: int = BLOCK_CHARS, period: int = PERIOD) -> DataFrame:
+    """row (all columns of docs as a struct), slot and place: the places of mix.
+
+    Rows that are equal in doc_id and text take places of their group by chance, so that
+    they, too, spread over its blocks.
+    """
+    rows = _keyed(docs, F.struct(*docs.columns).alias("row"))
+    g = _groups(_keyed(docs), weights).select("source", "h", F.col("key").alias("same"), "n", "size", "start")
+    met = rows.drop("size").join(g, ["source", "h"]).filter(F.col("key").eqNullSafe(F.col("same")))
+    place = F.col("start") + F.when(F.col("n") == 1, F.lit(0)).otherwise(F.floor(F.rand(5) * F.col("n")).cast("long")) * F.floor(F.col("size") / F.col("n"))
+    return _slotted(met.select("row", "source", place.alias("place")), _plan(docs.sparkSession, weights, period), block_chars, period).select("row", "slot", "place")
 
 
 def mixed_rows(docs: DataFrame, weights: dict[str, float], block_chars: int = BLOCK_CHARS, period: int = PERIOD) -> DataFrame:
-    """docs, all rows and columns, in the order of the mix: partitions are ranges of slots, sorted by slot and place."""
-    rows = _placed(_keyed(docs, F.struct(*docs.columns).alias("row")), weights, block_chars, period)
-    return rows.select("row", "slot", "place").repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select("row.*")
+    """docs, all rows and columns, in the order of the mix: partitions are ranges of slots, sorted by slot and place.
+
+    Null texts, repeated rows and empty tables as in mix; columns of docs named like the
+    mix's own (slot, place, h) stay as they are. A reader that needs the order takes it
+    from with_places, since files of a table are read in any order.
+    """
+    return with_places(docs, weights, block_chars, period).repartitionByRange("slot", "place").sortWithinPartitions("slot", "place").select("row.*")
 
 
 def _literal(text: str) -> str:

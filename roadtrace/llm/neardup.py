@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadtrace.llm.components import connected_components
-from roadtrace.llm.runtime import materialise
+from roadtrace.session import materialise
 from roadtrace.llm.textblocks import Block, blocks, mix, span_hashes, window_hashes, words
 
 COORDINATES = 128

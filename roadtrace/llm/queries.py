@@ -17,7 +17,7 @@ from roadtrace.llm.packing import pack
 from roadtrace.llm.personal_data import BASE_KINDS as PERSONAL_KINDS
 from roadtrace.llm.personal_data import find_personal_data
 from roadtrace.llm.quality import judge_quality
-from roadtrace.llm.runtime import table
+from roadtrace.session import table
 from roadtrace.llm.secret_scan import BASE_KINDS as SECRET_KINDS
 from roadtrace.llm.secret_scan import find_secrets
 from roadtrace.llm.spans import digests

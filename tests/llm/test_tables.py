@@ -3,12 +3,13 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from roadtrace.llm import image_match, mixing, sharding
+from roadtrace.llm import image_match, mixing, sharding, urls_sql
 from roadtrace.llm.components import connected_components
-from roadtrace.llm.url_reputation import filter_urls
+from roadtrace.llm.url_reputation import beta_above, filter_urls, site_levels
 
-RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/")]
+RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("block", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 
 
 def test_components(spark):
@@ -45,6 +46,34 @@ def test_url_rules_and_reputation(spark):
     assert filter_urls(pages.limit(0), labels.limit(0), RULES).collect() == []
 
 
+@pytest.mark.parametrize("rule", [("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "block"), ("org/es/", "block")])
+def test_each_rule_fits_its_host_and_subdomains(spark, rule):
+    assert urls_sql.RULES == RULES
+    text, verdict = rule
+    host, path = text.split("/", 1)
+    urls = [f"http://{host}/{path}", f"https://a.b.{host.upper()}/{path}x?q", f"http://x{host}/{path}", f"http://a.{host}/no{path}", f"http://{host}.other/{path}"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    got = {r.page_id: (r.rule, r.verdict) for r in filter_urls(pages, labels, urls_sql.RULES).collect()}
+    assert got[0] == got[1] == (text, verdict)
+    assert all(got[i][0] != text for i in (2, 3, 4))
+
+
+def test_levels_of_hosts(spark):
+    hosts = {"a.b.co.uk": ("a.b.co.uk", "b.co.uk", "co.uk"), "u:p@x.y.com:8080": ("x.y.com", "y.com", "com"), "com": ("com", "com", "com"), "co.uk": ("co.uk", "co.uk", "co.uk"), "10.0.0.1:80": ("10.0.0.1", "10.0.0.1", "ip"), "": ("", "", ""), "[::1]:80": ("[::1]", "[::1]", "ip")}
+    got = spark.createDataFrame([(h,) for h in hosts], "h string").select("h", *(c.alias(n) for n, c in zip("sdx", site_levels(F.col("h"))))).collect()
+    assert {r.h: (r.s, r.d, r.x) for r in got} == hosts
+
+
+def test_beta_tail_against_sampling(spark):
+    rng = np.random.default_rng(3)
+    cases = [(0.7, 3.0), (3.0, 0.6), (2.0, 2.0), (40.0, 100.0), (5000.0, 11500.0), (1.0, 1.0)]
+    rows = spark.createDataFrame(cases, "a double, b double").select("a", "b", beta_above(F.col("a"), F.col("b"), 0.3).alias("p")).collect()
+    for r in rows:
+        assert abs(r.p - (rng.beta(r.a, r.b, 400_000) > 0.3).mean()) < 0.005, r
+    assert [r.p for r in spark.createDataFrame([(0.0, 1.0), (1.0, 0.0)], "a double, b double").select(beta_above(F.col("a"), F.col("b"), 0.3).alias("p")).collect()] == [0.0, 1.0]
+
+
 def test_slot_table(spark):
     shards = [f"s{i}" for i in range(7)]
     owner = sharding.lookup_table(shards, 1009)
@@ -94,7 +123,13 @@ def test_mix_places(spark):
         assert sorted(gaps) == sorted(sizes[s]) and v[0].place == 0
     whole = mixing.mixed_rows(df, weights, 200, 64)
     assert whole.columns == df.columns and Counter(map(tuple, whole.collect())) == Counter(map(tuple, df.collect()))
-    assert mixing.mix(df.limit(0), weights).collect() == []
+    assert mixing.mix(df.limit(0), weights).collect() == [] == mixing.mix(df.limit(0), mixing.tempered_weights(df.limit(0), 0.5)).collect()
+    assert mixing.mixed_rows(df.limit(0), {}).collect() == []
+    copies = spark.createDataFrame([(1, "a", "xyz")] * 400 + [(None, "a", f"t{i}") for i in range(300)], "doc_id long, source string, text string")
+    places = sorted(r.place for r in mixing.mix(copies, {"a": 1.0}, 64, 8).collect())
+    assert len(set(places)) == 700 and places[0] == 0
+    spread = [r.slot for r in mixing.with_places(copies, {"a": 1.0}, 64, 8).filter("row.doc_id = 1").collect()]
+    assert len(spread) == 400 and len(set(spread)) > 5
     with pytest.raises(Exception, match="no weight"):
         mixing.mix(df, {"a": 1.0}).collect()
 
