@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from roadtrace.session import materialise
+from roadtrace.session import discard, materialise
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -31,13 +31,15 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         if not before[0]:
             break
+        was = e
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "cc-low")
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        first = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "cc-low")
+        large = both.join(first, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
         large = materialise(large, "cc-large")
         low = materialise(large.groupBy("a").agg(F.min("b").alias("m")), "cc-low")
         small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
         e = materialise(small, "cc")
+        discard(was, first, large, low)
         after = _state(e)
         if after == before:
             break

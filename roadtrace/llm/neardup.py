@@ -12,14 +12,17 @@ Jaccard distances whatever they link with was proposed with the pivot too. Nodes
 large at the last depth share so many tokens that they count as one candidate group unseen.
 
 Sketch comparisons only propose groups, several standard deviations below the threshold.
-The proposals' components are then examined on full sets: every component is one unit of
-work, cut into blocks where its sets outgrow a task; a document links if any member of
-its component reaches the threshold exactly. Hence no pair is emitted within a group of
-copies, and only links between different sets that no tree proposes are lost.
+The proposals' components are then examined on full sets, in blocks of bounded size: a
+block's exact components leave their smallest members, which meet in blocks again until few
+are left. What lies outside a group's largest component then is held against all blocks,
+first by sketches, and by full sets where sketches look alike. Hence no task holds a group,
+no pair is emitted within a group of copies, and only links between different sets whose
+sketches lie several deviations apart are lost.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterator
 from functools import partial
@@ -31,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadtrace.llm.components import connected_components
-from roadtrace.session import materialise
+from roadtrace.session import discard, materialise
 from roadtrace.llm.textblocks import Block, blocks, mix, span_hashes, window_hashes, words
 
 COORDINATES = 128
@@ -45,10 +48,12 @@ _LOWER[65:91] += 32
 LEAF = 128
 #: Levels below the root; a node that is still large there shares this many minwise tokens and one more.
 DEPTH = 3
-#: Shingles of the sets in one block of exact comparison.
-BLOCK_SHINGLES = 1_500_000
+#: Shingles of the sets in one block of exact comparison on average, and the members below which a group is not cut.
+BLOCK_SHINGLES, BLOCK_MEMBERS = 32_000, 16
+#: Sketches on either side of one comparison between blocks.
+BLOCK_SKETCHES = 16_384
 #: Proposed documents whose ids are broadcast at most; beyond, the join shuffles.
-BROADCAST_IDS = 1_000_000
+BROADCAST_IDS = 200_000
 
 
 def shingle_sets(b: Block, n: int) -> Iterator[np.ndarray]:
@@ -80,6 +85,8 @@ def _sketches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
     for batch in batches:
         for b in blocks(batch.column("text")):
             count, sid, sketch, marks = [], [], [], []
+            raw = b.data.tobytes()
+            tid = [hashlib.md5(raw[i:j]).digest() for i, j in zip(b.offsets[:-1].tolist(), b.offsets[1:].tolist())]
             for s in shingle_sets(b, n):
                 count.append(len(s))
                 sid.append(xxhash.xxh3_128_digest(s.tobytes()))
@@ -89,8 +96,8 @@ def _sketches(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBa
             flat = np.concatenate(sketch).view(np.int32)
             offsets = np.arange(0, len(flat) + 1, COORDINATES, dtype=np.int32)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").slice(b.first, b.n), pa.array(count, pa.int64()), pa.array(sid, pa.binary()), pa.ListArray.from_arrays(offsets, flat), pa.array(marks, pa.binary())],
-                names=["doc_id", "n_shingles", "sid", "sketch", "marks"],
+                [batch.column("doc_id").slice(b.first, b.n), pa.array(tid, pa.binary()), pa.array(count, pa.int64()), pa.array(sid, pa.binary()), pa.ListArray.from_arrays(offsets, flat), pa.array(marks, pa.binary())],
+                names=["doc_id", "tid", "n_shingles", "sid", "sketch", "marks"],
             )
     pa.default_memory_pool().release_unused()
 
@@ -163,65 +170,55 @@ def _compare_leaves(batches: Iterator[pa.RecordBatch], least: float) -> Iterator
         yield out([stars(held[1], held[2])])
 
 
-def link(sets: list[np.ndarray], percent: int, tried: np.ndarray | None = None) -> np.ndarray:
+def link(sets: list[np.ndarray], percent: int) -> np.ndarray:
     """Exact components of sets: the index of the first member of each one's component.
 
     Two sets link where 100 * intersection >= percent * union. Each set in turn is held
     against the sets that nothing has reached yet, so a group of copies costs one pass and
-    then a small number for each. tried: where given, sets with False are only held
-    against, not each other (the searched side of a two-sided comparison).
+    then a small number for each.
     """
-    m = len(sets)
+    sizes, rows, near = _overlaps(sets, percent)
+    root = np.arange(len(sets))
+    rest = np.flatnonzero(sizes > 0)
+    while len(rest):
+        queue, rest = [int(rest[0])], rest[1:]
+        while queue and len(rest):
+            x = queue.pop()
+            hit = near(x, rest)
+            root[rest[hit]] = root[x]
+            queue += rest[hit].tolist()
+            rest = rest[~hit]
+    return root
+
+
+def _overlaps(sets: list[np.ndarray], percent: int):
+    """Sizes of the sets, their token numbers, and near(x, rest): which sets of rest link with set x."""
     sizes = np.array([len(s) for s in sets], np.int64)
-    tokens, ids = np.unique(np.concatenate(sets), return_inverse=True) if m else (np.zeros(0), np.zeros(0, np.int64))
+    tokens, ids = np.unique(np.concatenate(sets), return_inverse=True) if len(sets) else (np.zeros(0), np.zeros(0, np.int64))
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    rows = [ids[starts[i] : starts[i + 1]] for i in range(m)]
+    rows = [ids[starts[i] : starts[i + 1]] for i in range(len(sets))]
     has = np.zeros(len(tokens), bool)
+    kept: dict[str, np.ndarray] = {"rest": np.zeros(0, np.int64)}
 
-    def near(x: int, rest: np.ndarray, flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def near(x: int, rest: np.ndarray) -> np.ndarray:
+        if not np.array_equal(kept["rest"], rest):
+            kept.update(rest=rest, flat=np.concatenate([rows[i] for i in rest]), at=np.concatenate([[0], np.cumsum(sizes[rest])])[:-1])
         has[rows[x]] = True
-        both = np.add.reduceat(has[flat], at, dtype=np.int64)
+        both = np.add.reduceat(has[kept["flat"]], kept["at"], dtype=np.int64)
         has[rows[x]] = False
         return 100 * both >= percent * (sizes[x] + sizes[rest] - both)
 
-    root = np.arange(m)
-    if tried is None:
-        rest = np.flatnonzero(sizes > 0)
-        flat, at = ids[np.repeat(sizes > 0, sizes)], np.concatenate([[0], np.cumsum(sizes[rest])])[:-1]
-        while len(rest):
-            queue = [int(rest[0])]
-            keep = np.ones(len(rest), bool)
-            keep[0] = False
-            while queue and keep.any():
-                if not keep.all():
-                    flat, rest, at = flat[np.repeat(keep, sizes[rest])], rest[keep], None
-                    at = np.concatenate([[0], np.cumsum(sizes[rest])])[:-1]
-                x = queue.pop()
-                hit = near(x, rest, flat, at)
-                root[rest[hit]] = root[x]
-                queue += rest[hit].tolist()
-                keep = ~hit
-            if not keep.all():
-                flat, rest = flat[np.repeat(keep, sizes[rest])], rest[keep]
-                at = np.concatenate([[0], np.cumsum(sizes[rest])])[:-1]
-        return root
-    others = np.flatnonzero(~tried & (sizes > 0))
-    flat, at = ids[np.repeat(~tried & (sizes > 0), sizes)], np.concatenate([[0], np.cumsum(sizes[others])])[:-1]
-    pairs = [(x, o) for x in np.flatnonzero(tried & (sizes > 0)) for o in (others[near(x, others, flat, at)] if len(others) else [])]
-    return np.array(pairs, np.int64).reshape(-1, 2)
-
-
-def _sets_of(batch: pa.RecordBatch, n: int) -> list[np.ndarray]:
-    return [s for b in blocks(batch.column("text")) for s in shingle_sets(b, n)]
-
-
-def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str], n: int) -> Iterator[tuple[dict, list[np.ndarray]]]:
-    """Whole groups of rows sorted by the keys: their columns (but the text) and their shingle sets."""
+    return sizes, rows, near
+
+
+def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str], n: int = 0) -> Iterator[tuple[dict, list[np.ndarray]]]:
+    """Whole groups of rows sorted by the keys: their columns (but the text) and, of texts, their n-word shingle sets."""
     held: dict[str, list] = {}
     sets: list[np.ndarray] = []
     for batch in batches:
         cols = {c: batch.column(c).to_pylist() for c in batch.schema.names if c != "text"}
-        for i, s in enumerate(_sets_of(batch, n)):
+        own = [s for b in blocks(batch.column("text")) for s in shingle_sets(b, n)] if n else [None] * batch.num_rows
+        for i, s in enumerate(own):
             if held and any(held[k][0] != cols[k][i] for k in keys):
                 yield held, sets
                 held, sets = {}, []
@@ -243,39 +240,138 @@ def _inside(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator
         order = np.argsort(nid, kind="stable")
         root = link([sets[i] for i in order], percent)
         nid = nid[order]
-        yield _emit({"nid": nid, "local": np.minimum.reduceat(nid[np.argsort(root, kind="stable")], np.flatnonzero(np.diff(np.sort(root), prepend=-1)))[np.searchsorted(np.unique(root), root)], "g": rows["g"], "block": rows["block"]})
+        yield _emit({"nid": nid, "local": nid[root], "g": rows["g"]})
+
+
+def _alike(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
+    """Which strays and members of a (g, cell, part) look alike by their marks: each with the block of the other."""
+    for rows, _ in _grouped(batches, ["g", "cell", "part"]):
+        stray = np.array(rows["stray"], np.int64) == 1
+        nid, root, block = (np.array(rows[c], np.int64) for c in ("nid", "root", "block"))
+        marks = np.frombuffer(b"".join(rows["marks"]), np.uint8).reshape(-1, COORDINATES)
+        there, theirs = np.flatnonzero(~stray), marks[~stray]
+        found = []
+        for x in np.flatnonzero(stray).tolist():
+            hit = there[((theirs == marks[x]).sum(axis=1) >= least) & (root[there] != root[x])]
+            # (nid, stray, the member's block, the stray's block)
+            found.append(np.stack([np.full(len(hit), nid[x]), np.ones(len(hit), np.int64), block[hit], np.full(len(hit), block[x])], 1))
+            found.append(np.stack([nid[hit], np.zeros(len(hit), np.int64), block[hit], np.full(len(hit), block[x])], 1))
+            if len(found) >= 512:
+                found = [np.unique(np.concatenate(found), axis=0)]
+        if found:
+            out = np.unique(np.concatenate(found), axis=0)
+            yield _emit({"nid": out[:, 0], "stray": out[:, 1], "g": np.full(len(out), rows["g"][0]), "block": out[:, 2], "part": out[:, 3]})
 
 
 def _across(batches: Iterator[pa.RecordBatch], n: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """Edges between the stray members sent to a (g, block, part) and the members that live there."""
+    """Links between the strays and the members of a (g, block, part), one for each stray and component."""
     for rows, sets in _grouped(batches, ["g", "block", "part"], n):
-        tried = np.array(rows["stray"], bool)
-        nid = np.array(rows["nid"], np.int64)
-        pairs = link(sets, percent, tried)
-        yield _emit({"a": nid[pairs[:, 0]], "b": nid[pairs[:, 1]]})
+        stray = np.array(rows["stray"], np.int64) == 1
+        nid, root = np.array(rows["nid"], np.int64), np.array(rows["root"], np.int64)
+        there = np.flatnonzero(~stray)
+        if not len(there) or stray.sum() == 0:
+            continue
+        _, _, near = _overlaps(sets, percent)
+        a, b = [], []
+        for x in np.flatnonzero(stray).tolist():
+            hit = there[near(x, there)]
+            hit = hit[np.unique(root[hit], return_index=True)[1]]
+            a += [int(nid[x])] * len(hit)
+            b += nid[hit].tolist()
+        yield _emit({"a": a, "b": b})
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, recall: float = 0.9995) -> DataFrame:
-    """Every document with its near-duplicate component.
+def _texts(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("string")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(F.coalesce(text, F.lit("")))).alias("tid"), text.alias("text"))
 
-    docs: doc_id long, text string; other columns are ignored. Returns doc_id, n_shingles,
-    component_id (the smallest doc_id reachable over links, itself included) and kept
-    (doc_id = component_id). Two documents link where 100 * intersection size >= percent *
-    union size of their sets of shingle_words-word shingles, A-Z lower-cased. A text of
-    fewer words is one shingle. Null or wordless texts have an empty set and link with
-    nothing. A repeated row is a copy; a repeated doc_id with another text is judged row by
-    row. A null doc_id takes no part: component_id null, kept true. An empty table gives
-    an empty result.
-    """
-    threshold = percent / 100
-    sk = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(partial(_sketches, n=shingle_words), "doc_id long, n_shingles long, sid binary, sketch array<int>, marks binary")
-    sk = materialise(sk, "sketches")
-    real = sk.filter("n_shingles > 0 and doc_id is not null")
-    classes = materialise(real.groupBy("sid").agg(F.min("doc_id").alias("nid"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("marks").alias("marks")), "classes")
-    trees = tree_count(threshold, recall)
-    margin = 4.5 * math.sqrt(threshold * (1 - threshold) / COORDINATES)
-    least = COORDINATES * (threshold - margin)
 
+class _Sets:
+    """Texts of classes by their number, for exact comparison."""
+
+    def __init__(self, docs: DataFrame, classes: DataFrame, sk: DataFrame, n: int):
+        self.texts, self.n = _texts(docs), n
+        self.names = classes.select("nid", "doc_id", "tid")
+        self.repeated = materialise(sk.filter("doc_id is not null").groupBy("doc_id", "tid").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id", "tid"), "repeated")
+        self.any_repeated = not self.repeated.isEmpty()
+
+    def of(self, rows: DataFrame) -> DataFrame:
+        """rows (nid and others, materialised) with the class's text, once each."""
+        few = rows.count() <= BROADCAST_IDS
+        named = rows.join(self.names, "nid")
+
+        def joined(named: DataFrame) -> DataFrame:
+            return self.texts.join(F.broadcast(named) if few else named, ["doc_id", "tid"]).drop("doc_id", "tid")
+
+        if not self.any_repeated:
+            return joined(named)
+        key = [c for c in rows.columns]
+        once = joined(named.join(self.repeated, ["doc_id", "tid"], "left_anti"))
+        many = joined(named.join(self.repeated, ["doc_id", "tid"], "left_semi")).groupBy(*key).agg(F.first("text").alias("text"))
+        return once.unionByName(many)
+
+
+def _cut(rows: DataFrame, salt: int) -> DataFrame:
+    """rows (nid, g, n_shingles) with the number of blocks of their group, and their block."""
+    weight = rows.groupBy("g").agg(F.greatest(F.lit(1), F.least(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES), F.floor(F.count("*") / BLOCK_MEMBERS))).alias("blocks"))
+    return rows.join(weight, "g").withColumn("block", F.pmod(F.xxhash64("nid", F.lit(salt)), F.col("blocks")))
+
+
+def _local(sets: _Sets, cut: DataFrame, percent: int) -> DataFrame:
+    """(nid, local, g): exact components inside the blocks."""
+    key = ["g", "block"]
+    rows = sets.of(cut.select("nid", *key)).repartition(*key).sortWithinPartitions(*key).select("nid", *key, "text")
+    return materialise(rows.mapInArrow(partial(_inside, n=sets.n, percent=percent), "nid long, local long, g long"), "local")
+
+
+def _exact_links(sets: _Sets, member: DataFrame, classes: DataFrame, least: float, percent: int) -> DataFrame:
+    """Links (a, b) that join the exact components of the members (nid, g, n_shingles) of candidate groups."""
+    whole = materialise(_cut(member, 0), "members")
+    local = _local(sets, whole, percent)
+    edge = lambda rows: rows.filter("nid <> local").select(F.col("nid").alias("a"), F.col("local").alias("b"))
+    links = edge(local)
+    large = whole.filter("blocks > 1")
+    if large.isEmpty():
+        return links
+    groups = large.select("g").distinct()
+    heads = local.filter("nid = local").join(groups, "g", "left_semi").select("nid", "g").join(member.select("nid", "n_shingles"), "nid")
+    heads = materialise(_cut(heads, 1), "heads")
+    count, salt = heads.count(), 1
+    while True:
+        met = _local(sets, heads, percent)
+        links = links.unionByName(edge(met))
+        salt += 1
+        left = met.filter("nid = local").select("nid").join(heads.filter("blocks > 1").select("nid", "g", "n_shingles"), "nid")
+        left = materialise(_cut(left, salt), "heads")
+        was, count = count, left.count()
+        discard(heads)
+        heads = left
+        if not count or count > 0.8 * was:
+            break
+    roots = connected_components(links)
+    mine = large.select("nid", "g", "block").join(roots, F.col("nid") == F.col("node"), "left").select("nid", "g", "block", F.coalesce("root", "nid").alias("root"))
+    mine = materialise(mine.join(classes.select("nid", "marks"), "nid"), "cut")
+    size = mine.groupBy("g", "root").agg(F.count("*").alias("size"))
+    main = size.groupBy("g").agg(F.max(F.struct("size", "root")).alias("m"), F.sum("size").alias("all")).select("g", F.col("m.root").alias("main"), F.ceil(F.col("all") / BLOCK_SKETCHES).alias("cells"), F.ceil((F.col("all") - F.col("m.size")) / BLOCK_SKETCHES).alias("parts"))
+    mine = mine.join(main, "g").filter("parts > 0")
+    spread = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("nid", F.lit(-1)), F.col(n))
+    cols = ["nid", "g", "block", "root", "marks"]
+    strays = mine.filter("root <> main").select(*cols, F.lit(1).alias("stray"), spread("cells").alias("cell"), own("parts").alias("part"))
+    living = mine.select(*cols, F.lit(0).alias("stray"), own("cells").alias("cell"), spread("parts").alias("part"))
+    key = ["g", "cell", "part"]
+    alike = strays.unionByName(living).repartition(*key).sortWithinPartitions(*key).mapInArrow(partial(_alike, least=least), "nid long, stray long, g long, block long, part long")
+    alike = materialise(alike.distinct(), "alike")
+    if alike.isEmpty():
+        return links
+    key = ["g", "block", "part"]
+    both = sets.of(materialise(alike.join(mine.select("nid", "root"), "nid"), "across")).repartition(*key).sortWithinPartitions(*key)
+    return links.unionByName(both.select("nid", "root", "stray", *key, "text").mapInArrow(partial(_across, n=sets.n, percent=percent), "a long, b long"))
+
+
+def _proposals(classes: DataFrame, threshold: float, least: float, recall: float) -> DataFrame:
+    """Edges (a, b) between classes that the trees propose."""
+    trees = tree_count(threshold, recall)
     rows = classes.select("nid", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "sketch")
     rows = rows.select("nid", F.explode(_children(F.xxhash64(F.lit("root"), "tree"), F.col("sketch"), threshold)).alias("path"))
     # Sketches err by 0.04 or so; three times that is allowed for a member's distance and for its partners'.
@@ -305,64 +401,73 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     edges = at_leaves.repartition("path").sortWithinPartitions("path").mapInArrow(partial(_compare_leaves, least=least), "a long, b long")
     for more in stars:
         edges = edges.unionByName(more)
-    proposed = connected_components(edges)
+    return edges
+
+
+def judged_rows(docs: DataFrame, shingle_words: int = 5, percent: int = 80, recall: float = 0.9995) -> DataFrame:
+    """A row for every row of docs: doc_id, tid (digest of the text), n_shingles, component_id and best_tid.
+
+    component_id is the smallest doc_id of the row's component, and best_tid the smallest
+    digest among the rows of that doc_id there; both are null for rows without doc_id, and
+    the row's own for empty sets.
+    """
+    threshold = percent / 100
+    sk = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(partial(_sketches, n=shingle_words), "doc_id long, tid binary, n_shingles long, sid binary, sketch array<int>, marks binary")
+    sk = materialise(sk, "sketches")
+    real = sk.filter("n_shingles > 0 and doc_id is not null")
+    # Classes have numbers of their own: a doc_id that stands with several texts is several classes.
+    classes = real.groupBy("sid").agg(F.min(F.struct("doc_id", "tid")).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("marks").alias("marks"))
+    classes = materialise(classes.select(F.monotonically_increasing_id().alias("nid"), "sid", "first.*", "n_shingles", "sketch", "marks"), "classes")
+    margin = 4.5 * math.sqrt(threshold * (1 - threshold) / COORDINATES)
+    least = COORDINATES * (threshold - margin)
+    proposed = connected_components(_proposals(classes, threshold, least, recall))
 
-    # Full sets of the proposed documents only; each component is a group of work, cut into blocks by its size.
+    # Full sets of the proposed documents only.
     member = proposed.join(classes.select("nid", "n_shingles"), F.col("node") == F.col("nid")).select("nid", F.col("root").alias("g"), "n_shingles")
     member = materialise(member, "proposed")
-    weight = member.groupBy("g").agg(F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    member = member.join(weight, "g").select("nid", "g", "blocks", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int").alias("block"))
-    member = materialise(member, "members")
-    small = member.count() <= BROADCAST_IDS
-    texts = docs.select(F.col("doc_id").cast("long").alias("nid"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(F.broadcast(member) if small else member, "nid")
-    key = ["g", "block"]
-    local = texts.repartition(*key).sortWithinPartitions(*key).select("nid", "g", "block", "text").mapInArrow(partial(_inside, n=shingle_words, percent=percent), "nid long, local long, g long, block long")
-    local = materialise(local.distinct(), "local")
-    links = local.filter("nid <> local").select(F.col("nid").alias("a"), F.col("local").alias("b"))
-    cut = member.filter("blocks > 1")
-    if not cut.isEmpty():
-        links = links.unionByName(_link_blocks(docs, member, cut, local, links, shingle_words, percent))
-        roots = connected_components(links)
-    else:
-        roots = links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    roots = connected_components(_exact_links(_Sets(docs, classes, sk, shingle_words), member, classes, least, percent))
     found = roots.filter("node <> root")
 
-    rep = classes.join(found, classes.nid == found.node, "left").select("sid", F.coalesce("root", "nid").alias("root"))
-    return sk.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("sid")).alias("sid")).join(rep, "sid", "left").select(
-        "doc_id",
-        "n_shingles",
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"),
-        (F.col("doc_id").isNull() | (F.coalesce("root", "doc_id") == F.col("doc_id"))).alias("kept"),
+    named = classes.join(found, classes.nid == found.node, "left").select("sid", F.coalesce("root", "nid").alias("root"), F.struct("doc_id", "tid").alias("first"))
+    best = named.groupBy("root").agg(F.min("first").alias("best"))
+    rep = named.join(best, "root").select("sid", F.col("best.doc_id").alias("best_id"), F.col("best.tid").alias("best_tid"))
+    known = F.col("doc_id").isNotNull()
+    return sk.select("doc_id", "tid", "n_shingles", F.when(known & (F.col("n_shingles") > 0), F.col("sid")).alias("sid")).join(rep, "sid", "left").select(
+        "doc_id", "tid", "n_shingles", F.when(known, F.coalesce("best_id", "doc_id")).alias("component_id"), F.when(known, F.coalesce("best_tid", "tid")).alias("best_tid")
     )
 
 
-def _link_blocks(docs: DataFrame, member: DataFrame, cut: DataFrame, local: DataFrame, links: DataFrame, n: int, percent: int) -> DataFrame:
-    """Links between the blocks of groups that were cut.
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, recall: float = 0.9995) -> DataFrame:
+    """Every document with its near-duplicate component.
 
-    First the smallest member of each block's components meets those of the other blocks.
-    What then lies outside its group's largest component is stray: it is sent, in parts
-    of a block's size, to every block of the group and held against all members there.
-    Links inside the largest component need no pair of their own.
+    docs: doc_id long, text string; other columns are ignored. Returns doc_id, n_shingles,
+    component_id (the smallest doc_id reachable over links, itself included) and kept
+    (doc_id = component_id). Two documents link where 100 * intersection size >= percent *
+    union size of their sets of shingle_words-word shingles, A-Z lower-cased; at the
+    threshold itself they link. A text of fewer words is one shingle. Null or wordless texts
+    have an empty set and link with nothing. Texts of any length are taken whole. A repeated
+    row is a copy; a doc_id that stands with several texts is several documents, each with
+    the component of its text. A null doc_id takes no part: component_id null, kept true. An
+    empty table gives an empty result.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("nid"), F.col("text").cast("string").alias("text"))
-    mine = local.join(cut.select("g").distinct(), "g", "left_semi").select("nid", "g", "block", "local")
-    heads = mine.filter("nid = local").select("nid", "g", F.lit(0).alias("block"))
-    heads = texts.join(heads, "nid").select("nid", "g", "block", "text")
-    met = heads.repartition("g").sortWithinPartitions("g", "block").mapInArrow(partial(_inside, n=n, percent=percent), "nid long, local long, g long, block long")
-    met = materialise(met.filter("nid <> local").select(F.col("nid").alias("a"), F.col("local").alias("b")), "met")
-    inside = mine.filter("nid <> local").select(F.col("nid").alias("a"), F.col("local").alias("b"))
-    roots = connected_components(inside.unionByName(met))
-    mine = mine.join(roots, mine.nid == roots.node, "left").select("nid", "g", "block", F.coalesce("root", "nid").alias("root"))
-    mine = materialise(mine, "cut")
-    size = mine.groupBy("g", "root").agg(F.count("*").alias("size"))
-    largest = size.groupBy("g").agg(F.max(F.struct("size", "root")).alias("m")).select("g", F.col("m.root").alias("main"))
-    stray = mine.join(largest, "g").filter("root <> main").select("nid", "g")
-    parts = stray.groupBy("g").agg(F.ceil(F.count("*") / 2000).cast("int").alias("parts"))
-    spread = cut.select("g", "blocks").distinct().join(parts, "g")
-    sent = stray.join(spread, "g").select("nid", "g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("nid"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("stray"))
-    living = mine.join(spread.select("g", "parts"), "g").select("nid", "g", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("stray"))
-    both = texts.join(sent.unionByName(living, allowMissingColumns=False), "nid").select("nid", "g", "block", "part", "stray", "text")
-    key = ["g", "block", "part"]
-    more = both.repartition(*key).sortWithinPartitions(*key).mapInArrow(partial(_across, n=n, percent=percent), "a long, b long")
-    return met.unionByName(more.filter("a <> b"))
+    rows = judged_rows(docs, shingle_words, percent, recall)
+    return rows.select("doc_id", "n_shingles", "component_id", (F.col("doc_id").isNull() | (F.col("component_id") == F.col("doc_id"))).alias("kept"))
+
+
+def keep_one_of_each(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
+    """docs, all columns, with one row of each component of near_duplicates: its smallest doc_id's, of several texts the one of the smallest digest.
+
+    Only rows that have words and a doc_id can go. Rows equal in doc_id and text are one
+    document; the one with the smallest hash over its columns stays.
+    """
+    rows = judged_rows(docs, shingle_words, percent).filter("doc_id is not null and n_shingles > 0")
+    rows = rows.groupBy("doc_id", "tid").agg(F.count("*").alias("copies"), F.bool_or((F.col("doc_id") == F.col("component_id")) & (F.col("tid") == F.col("best_tid"))).alias("stays"))
+    decided = rows.filter("not stays or copies > 1").select(F.col("doc_id").alias("of_doc"), F.col("tid").alias("of_text"), "stays")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("of_doc"), F.unhex(F.md5(F.col("text").cast("string"))).alias("of_text"))
+    met = keyed.join(decided, ["of_doc", "of_text"], "left")
+    alone = met.filter("stays is null").select("row.*")
+    plain = [c for c, kind in docs.dtypes if not kind.startswith(("map", "variant", "void")) and "map<" not in kind]
+    first = met.filter("stays").groupBy("of_doc", "of_text").agg(F.min_by("row", F.xxhash64(*(F.col(f"row.{c}") for c in plain))).alias("row"))
+    return alone.unionByName(first.select("row.*"))
+
+

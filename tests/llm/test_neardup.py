@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from roadtrace.llm import neardup
-from roadtrace.llm.neardup import link, near_duplicates
+from roadtrace.llm.neardup import keep_one_of_each, link, near_duplicates
 
 DOCS = "doc_id long, text string, n_shingles string"
 
@@ -74,6 +74,35 @@ def test_large_nodes_and_cut_groups(spark, monkeypatch):
     assert got == brute(rows, 3, 85)
 
 
+@pytest.mark.parametrize("edits", [2, 30])
+def test_groups_of_many_blocks(spark, monkeypatch, edits):
+    """A tight group, and a loose one of a common template in which most members link with few others."""
+    for name, value in (("LEAF", 4), ("BLOCK_SHINGLES", 700), ("BLOCK_MEMBERS", 3), ("BLOCK_SKETCHES", 32)):
+        monkeypatch.setattr(neardup, name, value)
+    rng = random.Random(edits)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(45):
+        own = edited(rng, base, rng.randrange(edits + 1))
+        rows += [(3 * i + k, " ".join(edited(rng, own, k))) for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in near_duplicates(df, 3, 85).collect()}
+    assert got == brute(rows, 3, 85)
+
+
+def test_one_id_with_several_texts(spark):
+    rng = random.Random(4)
+    a, b = ([f"{c}{rng.randrange(10**6)}" for _ in range(80)] for c in "ab")
+    rows = [(3, a), (5, [*a, "z"]), (5, b), (9, [*b, "q"])]
+    df = spark.createDataFrame([(d, " ".join(t), k) for k, (d, t) in enumerate(rows)], "doc_id long, text string, tid int")
+    got = sorted((r.doc_id, r.component_id, r.kept) for r in near_duplicates(df, 3, 85).collect())
+    assert got == [(3, 3, True), (5, 3, False), (5, 5, True), (9, 5, False)]
+    assert sorted(r.tid for r in keep_one_of_each(df, 3, 85).collect()) == [0, 2]
+    more = df.unionByName(df).unionByName(spark.createDataFrame([(None, " ".join(a), 7), (5, None, 8), (5, "", 9)], df.schema))
+    assert sorted(r.tid for r in keep_one_of_each(more, 3, 85).collect()) == [0, 2, 7, 8, 9]
+    assert keep_one_of_each(df.limit(0), 3, 85).collect() == []
+
+
 def test_repeated_rows_null_ids_and_empty_tables(spark):
     df = spark.createDataFrame([(4, "a b c d"), (4, "a b c d"), (None, "a b c d"), (7, "A b C d")], "doc_id long, text string")
     got = sorted((str(r.doc_id), str(r.component_id), r.kept) for r in near_duplicates(df, 3, 85).collect())
