@@ -1,4 +1,8 @@
+import os
 import random
+import shutil
+import subprocess
+import sys
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -187,15 +191,73 @@ def test_pipeline_stages(spark, tmp_path):
 
     rng = random.Random(11)
     good = [" ".join(f"w{rng.randrange(400)}" for _ in range(80)) for _ in range(60)]
-    rows = [(i, t, "en", f"s{i % 3}", len(t)) for i, t in enumerate(good)]
-    rows += [(60, good[0] + " end", "en", "s0", 1), (61, "too short", "en", "s0", 1), (62, None, None, None, None), (63, good[1] + " token = abcdefgh12345", "en", "s1", 5), (63, good[1] + " token = abcdefgh12345", "en", "s1", 5)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    rows = [(i, t, "en", f"s{i % 3}", len(t), "x") for i, t in enumerate(good)]
+    other = " ".join(f"w{rng.randrange(400)}" for _ in range(80))
+    rows += [(60, good[0] + " end", "en", "s0", 1, "x"), (61, "too short", "en", "s0", 1, None), (62, None, None, None, None, "x"), (7, other, "en", None, 1, "x")]
+    rows += [(63, good[1] + " token = abcdefgh12345", "en", "s1", 5, "x")] * 2 + [(64, "long " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(60_000)), "en", "s2", 1, "x")]
+    # columns that share names with what stages compute
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, slot string")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, 1, 0) for i in range(60)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     for name, stage in c.STAGES[:-1]:
-        docs = spark.createDataFrame(stage(spark, docs, str(tmp_path)).collect(), docs.schema)
-    left = {r.doc_id: r for r in docs.collect()}
-    assert left.keys() == set(range(60)) and docs.count() == 60
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+    left = Counter(r.doc_id for r in docs.collect())
+    assert left == Counter([*range(60), 7, 64])
     pieces = c.STAGES[-1][1](spark, docs, str(tmp_path))
-    assert {r.doc_id for r in pieces.collect()} == set(range(60))
-    assert {r.doc_id for r in c.run(spark, str(tmp_path)).collect()} == set(range(60))
+    assert {r.doc_id for r in pieces.collect()} == left.keys()
+    assert {r.doc_id for r in c.run(spark, str(tmp_path)).collect()} == left.keys()
+
+
+def test_prefixes_of_the_packed_stream_hold_the_target_shares(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as c
+    from roadtrace.llm import packing
+
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 20_000)
+    monkeypatch.setattr(mixing, "BLOCK_CHARS", 500)
+    monkeypatch.setattr(mixing.with_places, "__defaults__", (500, 64))
+    rng = random.Random(12)
+    rows = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(60)), "s0" if i % 10 else "s1") for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    weights = mixing.tempered_weights(docs, c.MIX_POWER)
+    source = {d: s for d, _, s in rows}
+    pieces = sorted(c.pack_windows(spark, docs, str(tmp_path)).collect(), key=lambda r: (r.sequence_id, r.offset))
+    want = weights["s1"] / sum(weights.values())
+    seen, mine, checked = 0, 0, 0
+    dry = sum(r.length for r in pieces if source[r.doc_id] == "s1")
+    for r in pieces:
+        seen += r.length
+        mine += r.length * (source[r.doc_id] == "s1")
+        if mine > 0.8 * dry:
+            break
+        if seen > 40_000:
+            checked += 1
+            assert abs(mine / seen - want) < 0.1, (mine, seen, want)
+    assert checked > 50
+
+
+def test_every_query_takes_empty_tables(spark, tmp_path):
+    """All eleven queries on tables without rows: no error, no rows but op3's own conversation."""
+    import __spark_entry__ as entry
+
+    for name in ("documents", "labels", "pages", "embeddings", "conversations"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name, query in entry.queries().items():
+        if name == "pipeline" or name.startswith("op"):
+            assert query(spark, str(tmp_path)).count() == (1 if name.startswith("op3_") else 0), name
+
+
+def test_entry_without_the_subpackage(tmp_path):
+    """On a copy without the training-data folders the entry imports, with or without corpus_pipeline.py."""
+    import __spark_entry__ as entry
+
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    shutil.copytree(f"{root}/roadtrace", f"{tmp_path}/roadtrace", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        shutil.copy(f"{root}/{name}", tmp_path)
+    ask = [sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), any(n.startswith('op') for n in e.queries()), set(e.oracle_sql()) <= set(e.queries()))"]
+    for _ in range(2):
+        said = subprocess.run(ask, cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, timeout=120)
+        assert said.stdout.split()[1:] == ["False", "True"], said.stderr
+        (tmp_path / "corpus_pipeline.py").unlink(missing_ok=True)

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 from collections import Counter, defaultdict
@@ -10,6 +11,7 @@ import pytest
 
 from roadtrace.llm import personal_data, secret_scan
 from roadtrace.llm.chat import format_chats, parse, read_back
+from roadtrace.llm import packing
 from roadtrace.llm.packing import pack
 from roadtrace.llm.quality import judge_quality, keep_quality
 from roadtrace.llm.spans import digests
@@ -71,6 +73,80 @@ def test_packing_covers_every_id_once(spark):
     assert pack(df.limit(0), PATH).collect() == []
 
 
+def bm25(docs, seed, k1=1.2, b=0.75):
+    """Plain scores of all documents for the terms of a seed that others hold."""
+    n, mean = len(docs), sum(map(len, docs)) / len(docs)
+    df = Counter(t for d in docs for t in set(d))
+    counts = [Counter(d) for d in docs]
+    idf = {t: math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) for t in df}
+    return [sum(idf[t] * c[t] * (k1 + 1) / (c[t] + k1 * (1 - b + b * len(d) / mean)) for t in set(docs[seed]) if df[t] > 1 and c[t]) for d, c in zip(docs, counts)]
+
+
+def test_neighbours_are_those_of_plain_bm25():
+    rng = random.Random(13)
+    docs = [[rng.randrange(400) for _ in range(rng.randrange(2, 20))] for _ in range(80)]
+    index = packing.Bm25(np.concatenate([np.array(d, np.uint32) for d in docs]), np.concatenate([[0], np.cumsum([len(d) for d in docs])]))
+    unused = np.ones(len(docs), bool)
+    unused[::7] = False
+    for seed in range(len(docs)):
+        score = bm25(docs, seed)
+        want = sorted((i for i in range(len(docs)) if unused[i] and score[i] > 1e-9), key=lambda i: -score[i])[: packing.NEIGHBOURS]
+        got = index.near(seed, unused).tolist()
+        assert [round(score[i], 3) for i in got] == [round(score[i], 3) for i in want]
+
+
+def test_a_lexical_key_gathers_near_documents(spark, monkeypatch):
+    """Documents of one topic, spread over the input, share a shard."""
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 6000)
+    monkeypatch.setattr(packing, "TASK_SHARDS", 1)
+    rng = random.Random(14)
+    rows = [(i, " ".join(f"{'topic' if rng.random() < 0.5 else 'word'}{i % 8 if rng.random() < 0.7 else rng.randrange(8)}x{rng.randrange(60)}" for _ in range(60))) for i in range(400)]
+    rows += [(400 + i, rows[0][1]) for i in range(150)]  # a hot key
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = pack(df, PATH, 512).collect()
+    encoder = Encoder(PATH)
+    docs = [encoder.tokenizer.encode(t, add_special_tokens=False).ids + [0] for _, t in rows]
+    shard = {r.doc_id: r.sequence_id >> 40 for r in got}
+    names = [d for d, _ in rows]
+    reached = total = 0
+    for seed in range(0, len(rows), 20):
+        score = bm25(docs, seed)
+        best = sorted((i for i in range(len(rows)) if i != seed), key=lambda i: -score[i])[:10]
+        reached += sum(shard[names[i]] == shard[names[seed]] for i in best)
+        total += len(best)
+    sizes = Counter()
+    for r in got:
+        sizes[r.sequence_id >> 40] += r.length
+    assert len(sizes) > 5 and max(sizes.values()) < 6 * 6000
+    assert reached / total > 3 * sum((s / sum(sizes.values())) ** 2 for s in sizes.values())
+
+
+def test_order_is_kept_by_sequences(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 4000)
+    rng = random.Random(15)
+    rows = [(i, " ".join(f"w{rng.randrange(900)}" for _ in range(rng.randrange(5, 90))), 1000 - i) for i in range(500)]
+    got = pack(spark.createDataFrame(rows, "doc_id long, text string, place long").repartition(4), PATH, 256, order=["place"]).collect()
+    first = {}
+    for r in sorted(got, key=lambda r: r.sequence_id):
+        first.setdefault(r.doc_id, len(first))
+    # a document moves within its shard only, here about 40 documents long
+    assert max(abs(k - (499 - d)) for d, k in first.items()) < 80
+
+
+def test_equal_hashes_are_told_apart(monkeypatch):
+    from roadtrace.llm import tokens
+
+    monkeypatch.setattr(tokens, "span_hashes", lambda data, start, end: (end - start).astype(np.uint64) * np.uint64(1 << 20))
+    encoder = Encoder(PATH)
+    texts = ["abc abd", "abe xyz", "one two ten"]
+    got = []
+    for b in blocks(pa.array(texts), 8):
+        ids, at = encoder.ids(b)
+        got += [ids[at[i] : at[i + 1]].tolist() for i in range(b.n)]
+    assert got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def quality(text):
     w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     c = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
