@@ -11,12 +11,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roadtrace.llm.mixing import mixed_rows, tempered_weights
-from roadtrace.llm.neardup import near_duplicates
+from roadtrace.llm.mixing import mixed_rows, tempered_weights, with_places
+from roadtrace.llm.neardup import keep_one_of_each
 from roadtrace.llm.packing import pack
 from roadtrace.llm.quality import keep_quality
-from roadtrace.session import materialise, table
 from roadtrace.llm.secret_scan import redact_secrets
+from roadtrace.session import materialise, table
 
 #: Near duplicates share 80 % of their five-word shingles.
 SHINGLE_WORDS, PERCENT = 5, 80
@@ -26,37 +26,48 @@ WINDOW = 1024
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules reject go."""
+    """Documents that the quality rules reject go, null and empty texts among them.
+
+    Texts of any length are judged whole; repeated rows are judged alike; an empty table, or
+    one without trusted documents, is no error.
+    """
     return keep_quality(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest doc_id.
 
-    Rows that repeat a doc_id are one document, of which one row stays; rows without a
-    doc_id all stay.
+    Rows equal in doc_id and text are one document, of which one row stays. A doc_id with
+    several texts is several documents: those that are no near duplicates all stay. Rows
+    without doc_id, or without words, all stay.
     """
-    judged = near_duplicates(docs, SHINGLE_WORDS, PERCENT)
-    gone = judged.filter("not kept").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    named, unnamed = left.filter("doc_id is not null"), left.filter("doc_id is null")
-    return named.dropDuplicates(["doc_id"]).unionByName(unnamed)
+    return keep_one_of_each(docs, SHINGLE_WORDS, PERCENT)
 
 
 def redact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in texts are overwritten; n_chars follows."""
+    """Secrets in whole texts are overwritten; n_chars follows. All rows stay, null texts as they are."""
     out = redact_secrets(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document once, in the order of the mix: files and rows in them follow the schedule."""
+    """Every row once, in the order of the mix: files and rows in them follow the schedule.
+
+    A null source is a source of its own, a null text an empty one; no rows give none.
+    """
     return mixed_rows(docs, tempered_weights(docs, MIX_POWER))
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token windows, each filled with lexical neighbours out of its stretch of the mix."""
-    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"), WINDOW)
+    """Pieces of token windows, numbered along the mix and filled with lexical neighbours out of a stretch of it.
+
+    A table's files are read in any order, so the places of the mix, which follow from the
+    rows alone, are taken again and the windows laid by them: a prefix of the sequences
+    holds the sources in their target shares until a source runs dry. Null texts, repeated
+    rows and long texts as in pack; no rows give no pieces.
+    """
+    placed = with_places(docs, tempered_weights(docs, MIX_POWER)).select("row.doc_id", "row.text", "slot", "place")
+    return pack(placed, public_tokenizers.path("byte_bpe_50k.json"), WINDOW, order=["slot", "place"])
 
 
 STAGES = [
