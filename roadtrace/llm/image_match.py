@@ -1,49 +1,55 @@
 """Cropped and edited copies among images, by local descriptors.
 
-Corners are found on a small pyramid by the Harris measure, turned upright by the
-intensity centroid of their surroundings, and described by 256 brightness tests. The
-descriptors of query images meet those of all images in twelve tables, each keyed by 20 of the
-bits; a query asks for its own key and for those one bit away. Pairs whose Hamming distance
-is small vote for a similarity transform (scale ratio, turn, shift), and two images match
-where enough different corners agree on one. Images of equal pixels form a class that is
-described once.
+Corners are found by the Harris measure, turned upright by the intensity centroid of their
+surroundings, and described by 128 brightness tests. Images are described at two sizes; the
+queries, a fixed share of all, at a ladder of sizes, so that a copy of any scale between
+meets one that is near. Descriptors meet in Hamming tables, each keyed by some of the bits;
+keys and tables grow with the number of descriptors. Images of which two corners meet are
+compared corner by corner, pairs of a small Hamming distance propose similarity transforms,
+and two images match where enough different corners agree on one. Images of equal pixels
+form a class that is described once.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from roadtrace.session import materialise
 
-BITS, WORDS = 256, 8
-#: Tables, and the bits of a table's key.
-TABLES, KEY = 12, 20
-#: Pyramid levels as shares of the full size.
-LEVELS = (1.0, 0.75, 0.5)
-#: Corners kept per image, the strongest over all levels, and the longer side up to which they and the cell hold; beyond it both grow with it.
-CORNERS, BASE_SIDE = 40, 96
-RADIUS = 9
-#: Largest Hamming distance of two descriptors of one corner.
-DISTANCE = 40
-#: Corners that must agree on a transform, and the cell of a shift in pixels.
-AGREE, CELL = 4, 6.0
+BITS = 128
+#: Share of bits that differ between descriptors which meet with MEET in some table, and descriptors a key holds on average.
+NOISE, MEET, KEY_HOLDS = 0.1, 0.85, 256
+#: Sizes at which images are described, and those at which queries are.
+LEVELS = (1.0, 0.6)
+LADDER = tuple(2 ** (k / 4) for k in (2, 1, 0, -1, -2, -3, -4, -5))
+#: Corners kept of an image over its levels, and of a query at each of its; both grow with images longer than BASE_SIDE.
+CORNERS, ASKED, BASE_SIDE = 32, 40, 96
+RADIUS = 12
+#: Largest Hamming distance of two descriptors that meet in a table, and of two of one corner in images that are compared.
+NEAR, DISTANCE = 16, 24
+#: Corners that must agree on a transform, how far off they may lie in pixels of an image of BASE_SIDE, and how many transforms are tried beyond all pairs.
+AGREE, OFF, TRIES = 4, 3.5, 4000
+#: How far a pair's own turn (radians) and scale (factor) may differ from the transform's.
+TURN_OFF, SCALE_OFF = 0.45, 1.45
+#: Broadcast at most so many rows of (id, digest).
+BROADCAST_IDS = 200_000
 
 _rng = np.random.Generator(np.random.PCG64(4096))
-_TESTS = np.clip(_rng.normal(0, RADIUS / 2.2, (BITS, 2, 2)), -RADIUS + 1, RADIUS - 1)
+_TESTS = np.clip(_rng.normal(0, RADIUS / 2, (BITS, 2, 2)), -RADIUS + 1, RADIUS - 1)
 _TESTS *= np.minimum(1, (RADIUS - 1) / np.maximum(1e-9, np.hypot(_TESTS[..., 0], _TESTS[..., 1])))[..., None]
 _DISC = np.array([(y, x) for y in range(-RADIUS, RADIUS + 1) for x in range(-RADIUS, RADIUS + 1) if y * y + x * x <= RADIUS * RADIUS])
 #: Directions to which an upright turn is rounded, and the tests turned by each.
-TURNS = 30
+TURNS = 64
 _TURNED = np.stack([np.rint(_TESTS @ np.array([[np.cos(a), np.sin(a)], [-np.sin(a), np.cos(a)]])).astype(int) for a in np.arange(TURNS) * 2 * np.pi / TURNS])
 
-DESCRIBED = "rep long, corner int, x float, y float, level int, turn int, cell float, w0 int, w1 int, w2 int, w3 int, w4 int, w5 int, w6 int, w7 int"
+DESCRIBED = "cid long, asked boolean, place array<long>, d0 array<long>, d1 array<long>"
 
 
 def _box(a: np.ndarray, r: int) -> np.ndarray:
@@ -72,7 +78,7 @@ def resized(image: np.ndarray, h: int, w: int) -> np.ndarray:
 
 
 def _corners(level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Strength, y and x of local maxima of the Harris measure, away from the border."""
+    """Strength, y and x of local maxima of the Harris measure, away from the border; of equal neighbours one."""
     gy, gx = np.zeros_like(level), np.zeros_like(level)
     gy[1:-1], gx[:, 1:-1] = level[2:] - level[:-2], level[:, 2:] - level[:, :-2]
     xx, yy, xy = _box(np.stack([gx * gx, gy * gy, gx * gy]), 2)
@@ -91,126 +97,190 @@ def _corners(level: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mid[y, x], y + m, x + m
 
 
-def growth(image: np.ndarray) -> float:
+def growth(shape: tuple[int, ...]) -> float:
     """How much larger than BASE_SIDE an image is, 1 at least."""
-    return max(1.0, max(image.shape) / BASE_SIDE)
+    return max(1.0, max(shape) / BASE_SIDE)
 
 
-def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(x, y, level, turn) and 8 words of test bits for each corner of a grey image."""
+def describe(image: np.ndarray, asked: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(x, y, scale, turn) in the image's pixels, and two words of test bits, for each corner of a grey image.
+
+    asked: at each size of LADDER, else at LEVELS. Ties of strength go to the larger size, then
+    to the upper left.
+    """
     found = []
-    levels = []
-    for k, share in enumerate(LEVELS):
-        h, w = int(image.shape[0] * share), int(image.shape[1] * share)
+    most = round((ASKED if asked else CORNERS) * growth(image.shape))
+    for share in LADDER if asked else LEVELS:
+        h, w = round(image.shape[0] * share), round(image.shape[1] * share)
+        if min(h, w) <= 2 * RADIUS + 2:
+            continue
         level = _box(image.astype(np.float32) if share == 1 else resized(image.astype(np.float32), h, w).astype(np.float32), 1)
-        levels.append(level)
-        s, y, x = _corners(level) if min(h, w) > 2 * RADIUS + 2 else (np.zeros(0), np.zeros(0, int), np.zeros(0, int))
-        found.append(np.stack([s, y, x, np.full(len(s), k)], 1))
-    all_of = np.concatenate(found)
-    all_of = all_of[np.lexsort((all_of[:, 2], all_of[:, 1], all_of[:, 3], -all_of[:, 0]))][: round(CORNERS * growth(image))]
+        s, y, x = _corners(level)
+        best = np.lexsort((x, y, -s))[:most]
+        found.append((level, share, s[best], y[best], x[best]))
+    if not found:
+        return np.zeros((0, 4)), np.zeros((0, 2), np.int64)
+    if not asked:  # the strongest over all levels
+        strength = np.concatenate([f[2] for f in found])
+        keep = np.zeros(len(strength), bool)
+        keep[np.argsort(-strength, kind="stable")[:most]] = True
+        ends = np.cumsum([0, *(len(f[2]) for f in found)])
+        found = [(lv, sh, s[k], y[k], x[k]) for (lv, sh, s, y, x), k in zip(found, (keep[a:b] for a, b in zip(ends, ends[1:])))]
     info, words = [], []
-    for k, level in enumerate(levels):
-        mine = all_of[all_of[:, 3] == k]
-        if not len(mine):
-            continue
-        y, x = mine[:, 1].astype(int), mine[:, 2].astype(int)
+    for level, share, _, y, x in found:
         patch = level[y[:, None] + _DISC[:, 0], x[:, None] + _DISC[:, 1]]
         angle = np.arctan2(patch @ _DISC[:, 0], patch @ _DISC[:, 1])
-        turn = np.rint(angle / (2 * np.pi) * TURNS).astype(int) % TURNS
-        at = _TURNED[turn]  # corner, test, end, (x, y)
+        at = _TURNED[np.rint(angle / (2 * np.pi) * TURNS).astype(int) % TURNS]  # corner, test, end, (x, y)
         value = level[y[:, None, None] + at[..., 1], x[:, None, None] + at[..., 0]]
         bits = np.packbits(value[..., 0] < value[..., 1], axis=1)
-        words.append(bits.view(">i4").astype(np.int32))
-        info.append(np.stack([(x + 0.5) / LEVELS[k], (y + 0.5) / LEVELS[k], np.full(len(x), k), turn], 1))
-    if not info:
-        return np.zeros((0, 4)), np.zeros((0, WORDS), np.int32)
+        words.append(np.ascontiguousarray(bits).view(">i8").astype(np.int64).reshape(-1, 2))
+        scale = level.shape[0] / image.shape[0]
+        info.append(np.stack([(x + 0.5) * image.shape[1] / level.shape[1], (y + 0.5) / scale, np.full(len(x), share), angle], 1))
     return np.concatenate(info), np.concatenate(words)
 
 
-def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        owner, infos, words, number, cells = [], [], [], [], []
-        cols = [batch.column(c).to_pylist() for c in ("rep", "height", "width", "pixels")]
-        for rep, h, w, pixels in zip(*cols):
-            if not pixels or not h or not w or len(pixels) != h * w:
-                continue
-            image = np.frombuffer(pixels, np.uint8).reshape(h, w)
-            info, word = describe(image)
-            cells.append(np.full(len(info), CELL * growth(image), np.float32))
-            owner.append(np.full(len(info), rep, np.int64))
-            number.append(np.arange(len(info), dtype=np.int32))
-            infos.append(info)
-            words.append(word)
-        if not owner:
-            continue
-        info, word = np.concatenate(infos), np.concatenate(words)
-        arrays = [pa.array(np.concatenate(owner)), pa.array(np.concatenate(number)), pa.array(info[:, 0].astype(np.float32)), pa.array(info[:, 1].astype(np.float32)), pa.array(info[:, 2].astype(np.int32)), pa.array(info[:, 3].astype(np.int32)), pa.array(np.concatenate(cells))]
-        yield pa.RecordBatch.from_arrays([*arrays, *(pa.array(np.ascontiguousarray(word[:, i])) for i in range(WORDS))], names=["rep", "corner", "x", "y", "level", "turn", "cell", *(f"w{i}" for i in range(WORDS))])
-
-
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes = zip(*(batch.column(c).to_pylist() for c in ("height", "width", "pixels")))
-        digest = [None if p is None else xxhash.xxh3_128_digest(f"{h}x{w}:".encode() + p) for h, w, p in sizes]
-        yield pa.RecordBatch.from_arrays([batch.column("media_id"), pa.array(digest, pa.binary())], names=["media_id", "digest"])
+def packed(info: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
+    """A corner's place in one long: quarter pixels of x and y, 256 directions, eighths of octaves of its scale and of the image's growth."""
+    x, y = (np.rint(info[:, i] * 4).astype(np.int64) & 0xFFFFF for i in (0, 1))
+    turn = np.rint(info[:, 3] / (2 * np.pi) * 256).astype(np.int64) & 0xFF
+    scale = np.rint(np.log2(info[:, 2]) * 8).astype(np.int64) + 32
+    return x << 40 | y << 20 | turn << 12 | scale << 6 | min(63, round(math.log2(growth(shape)) * 8))
 
 
-def digests_of(images: DataFrame) -> DataFrame:
-    """media_id and a 128-bit digest of size and pixels."""
-    return images.select(F.col("media_id").cast("long").alias("media_id"), "height", "width", "pixels").mapInArrow(_digest, "media_id long, digest binary")
+def unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Points as complex numbers, turns, scales and growths."""
+    at = ((place >> 40) & 0xFFFFF) / 4 + 1j * ((place >> 20) & 0xFFFFF) / 4
+    return at, ((place >> 12) & 0xFF) * (2 * np.pi / 256), 2 ** ((((place >> 6) & 0x3F) - 32) / 8), 2 ** ((place & 0x3F) / 8)
 
 
-def meetings(words: DataFrame, queries: DataFrame) -> DataFrame:
-    """Pairs of corners of different images, within DISTANCE, whose keys meet in a table: all columns of words as q... and m..., but the words themselves.
+def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            out = []
+            for cid, h, w, pixels, asked in zip(*(part.column(c).to_pylist() for c in ("cid", "height", "width", "pixels", "asked"))):
+                image = np.frombuffer(pixels, np.uint8).reshape(h, w)
+                for side in (False, True) if asked else (False,):
+                    info, words = describe(image, side)
+                    out.append((cid, side, packed(info, image.shape), words[:, 0], words[:, 1]))
+            cid, side, *lists = zip(*out)
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in lists[0]])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(side), *(pa.ListArray.from_arrays(ends, np.concatenate(x)) for x in lists)], names=["cid", "asked", "place", "d0", "d1"])
+
+
+def whole_images(images: DataFrame) -> DataFrame:
+    """Named images whose pixels fill height x width, with a 128-bit digest of size and pixels."""
+    rows = images.select(F.col("media_id").cast("long").alias("media_id"), F.col("height").cast("int").alias("height"), F.col("width").cast("int").alias("width"), "pixels")
+    rows = rows.filter((F.col("height") > 0) & (F.length("pixels") == F.col("height").cast("long") * F.col("width")) & F.col("media_id").isNotNull())
+    return rows.withColumn("digest", F.unhex(F.md5(F.concat(F.encode(F.concat_ws("x", "height", "width", F.lit("")), "utf-8"), "pixels"))))
+
+
+def table_sizes(descriptors: int) -> tuple[int, int]:
+    """(tables, bits of a key): keys grow with the number of descriptors, and tables until MEET is reached."""
+    bits = max(10, min(48, round(math.log2(max(1, descriptors) / KEY_HOLDS))))
+    return math.ceil(math.log(1 - MEET) / math.log(1 - (1 - NOISE) ** bits)), bits
+
+
+def _cut(d0: Column, d1: Column, start: int, bits: int) -> Column:
+    """bits of the circle of 128 bits that d0 and d1 form, from `start` on."""
+    if start >= 64:
+        d0, d1, start = d1, d0, start - 64
+    if start + bits <= 64:
+        out = F.shiftrightunsigned(d0, 64 - start - bits)
+    else:
+        over = start + bits - 64
+        out = F.shiftleft(d0, over).bitwiseOR(F.shiftrightunsigned(d1, 64 - over))
+    return out.bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+
+
+def meetings(words: DataFrame, tables: int, bits: int) -> DataFrame:
+    """Pairs (qcid, qplace, mcid, mplace) of corners of different images, within NEAR, whose keys meet in a table.
 
     Distances are taken where keys meet, so that only near pairs leave the join; a pair that
     meets in several tables leaves the first of them.
     """
-    # Four longs hold the bits; a table's key is its number and KEY bits out of one or two of them.
-    long = lambda c: F.col(c).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
-    fours = [F.shiftleft(long(f"w{2 * i}"), 32).bitwiseOR(long(f"w{2 * i + 1}")) for i in range(WORDS // 2)]
-    ones = F.lit((1 << KEY) - 1).cast("long")
-
-    def cut(longs: list[Column], i: int) -> Column:
-        k, at = divmod(KEY * i, 64)
-        if at + KEY <= 64:
-            return F.shiftrightunsigned(longs[k], 64 - KEY - at).bitwiseAND(ones)
-        over = at + KEY - 64
-        return F.shiftleft(longs[k], over).bitwiseOR(F.shiftrightunsigned(longs[k + 1], 64 - over)).bitwiseAND(ones)
-
-    keys = [F.lit(i << KEY).bitwiseOR(cut(fours, i).cast("int")) for i in range(TABLES)]
-    rest = ["rep", "corner", "x", "y", "level", "turn", "cell"]
-    slim = lambda df, p: df.select(*(F.col(c).alias(p + c) for c in rest), *(c.alias(f"{p}b{i}") for i, c in enumerate(fours)), F.explode(F.array(*keys)).alias("key"))
-    asked = slim(words.join(queries, "rep", "left_semi"), "q")
-    probes = F.array(F.lit(0), *(F.lit(1 << b) for b in range(KEY)))
-    asking = asked.withColumn("flip", F.explode(probes)).withColumn("key", F.col("key").bitwiseXOR(F.col("flip"))).drop("flip")
-    apart = [F.col(f"qb{i}").bitwiseXOR(F.col(f"mb{i}")) for i in range(WORDS // 2)]
-    near = sum((F.bit_count(x) for x in apart), F.lit(0)) <= DISTANCE
-    first = F.coalesce(*(F.when(F.bit_count(cut(apart, i)) <= 1, F.lit(i)) for i in range(TABLES)))
-    both = asking.join(slim(words, "m"), "key").filter(near).filter("qrep <> mrep").filter(first == F.shiftright("key", KEY))
-    return both.select(*(p + c for p in "qm" for c in rest))
-
-
-def matches(words: DataFrame, queries: DataFrame, agree: int = AGREE) -> DataFrame:
-    """Image pairs (query, rep, inliers, ratio, turn) out of the descriptors of classes.
-
-    words: the output of the descriptor step; queries: rep, the classes that are searched for.
+    starts = [BITS * t // tables for t in range(tables)]
+    keys = [F.lit(t << bits).bitwiseOR(_cut(F.col("d0"), F.col("d1"), s, bits)) for t, s in enumerate(starts)]
+    corners = words.select("cid", "asked", F.explode(F.arrays_zip("place", "d0", "d1")).alias("c")).select("cid", "asked", "c.*")
+    slim = lambda asked, p: corners.filter(F.col("asked") == asked).select(F.col("cid").alias(p + "cid"), F.col("place").alias(p + "place"), F.col("d0").alias(p + "0"), F.col("d1").alias(p + "1"), F.explode(F.array(*keys)).alias("key"))
+    x0, x1 = F.col("q0").bitwiseXOR(F.col("m0")), F.col("q1").bitwiseXOR(F.col("m1"))
+    first = F.coalesce(*(F.when(_cut(x0, x1, s, bits) == 0, F.lit(t)) for t, s in enumerate(starts)))
+    both = slim(True, "q").join(slim(False, "m"), "key").filter(F.bit_count(x0) + F.bit_count(x1) <= NEAR).filter("qcid <> mcid")
+    return both.filter(first == F.shiftright("key", bits)).select("qcid", "qplace", "mcid", "mplace")
+
+
+def consensus(qplace: np.ndarray, mplace: np.ndarray) -> tuple[int, float, float]:
+    """(corners, scale, turn) of the similarity transform that most different corner pairs agree on.
+
+    Every two pairs give a transform; of many pairs TRIES transforms at even steps through
+    all twos are tried beside those of neighbouring pairs. Ties go to the first.
     """
-    near = meetings(words, queries).select("qrep", "mrep", "qcorner", "mcorner", "qx", "qy", "mx", "my", "mcell", F.pmod(F.col("mturn") - F.col("qturn"), F.lit(TURNS)).alias("turn"), F.col("qlevel").alias("ql"), F.col("mlevel").alias("ml"))
-    # One shuffle brings an image pair together; all that follows groups inside it.
-    near = near.repartition("qrep", "mrep").withColumn("k", F.count("*").over(Window.partitionBy("qrep", "mrep"))).filter(F.col("k") >= agree).drop("k")
-    share = F.element_at(F.array(*(F.lit(v) for v in LEVELS)), F.col("ql") + 1) / F.element_at(F.array(*(F.lit(v) for v in LEVELS)), F.col("ml") + 1)
-    a = F.col("turn") * (2 * np.pi / TURNS)
-    near = near.withColumn("ratio", share)
-    dx = F.col("mx") - F.col("ratio") * (F.cos(a) * F.col("qx") - F.sin(a) * F.col("qy"))
-    dy = F.col("my") - F.col("ratio") * (F.sin(a) * F.col("qx") + F.cos(a) * F.col("qy"))
-    # Each vote falls into the cell of its shift and its neighbours to one side, so that agreement across an edge counts.
-    cell = lambda d: F.explode(F.array(F.floor(d / F.col("mcell")), F.floor(d / F.col("mcell")) + 1))
-    votes = near.withColumn("cx", cell(dx)).withColumn("cy", cell(dy))
-    # a set of corners holds one image's at most
-    cells = votes.groupBy("qrep", "mrep", "ratio", "cx", "cy").agg(F.size(F.collect_set("qcorner")).alias("q"), F.size(F.collect_set("mcorner")).alias("m"))
-    best = cells.withColumn("n", F.least("q", "m")).filter(F.col("n") >= agree).groupBy("qrep", "mrep").agg(F.max(F.struct("n", "ratio")).alias("best"))
-    return best.select("qrep", "mrep", F.col("best.n").cast("long").alias("inliers"), F.round("best.ratio", 4).alias("ratio"))
+    q, qt, qs, _ = unpacked(qplace)
+    m, mt, ms, grown = unpacked(mplace)
+    turn, scale = np.exp(1j * (mt - qt)), qs / ms
+    k = len(q)
+    twos = k * (k - 1) // 2
+    if twos <= TRIES:
+        i, j = np.triu_indices(k, 1)
+    else:
+        step = np.arange(TRIES) * (twos / TRIES)
+        i = (step / k).astype(int) % k
+        j = step.astype(int) % k
+        i, j = np.concatenate([i, np.arange(k - 1)]), np.concatenate([j, np.arange(1, k)])
+    far = np.abs(q[i] - q[j]) > 6
+    i, j = i[far], j[far]
+    if not len(i):
+        return 0, 0.0, 0.0
+    a = (m[j] - m[i]) / (q[j] - q[i])
+    size = np.abs(a)
+    fits = lambda x, y: (np.abs(np.angle(x[0] / y[0])) <= TURN_OFF) & (np.abs(np.log(x[1] / y[1])) <= math.log(SCALE_OFF))
+    with np.errstate(divide="ignore", invalid="ignore"):
+        good = (size > 0.05) & fits((a, size), (turn[i], scale[i])) & fits((a, size), (turn[j], scale[j]))
+    i, a = i[good], a[good]
+    best = (0, 0.0, 0.0)
+    # a corner that is found at several sizes counts once
+    qn, mn = (np.unique(np.rint(x.real / 3) + 1j * np.rint(x.imag / 3), return_inverse=True)[1] for x in (q, m))
+    for lo in range(0, len(a), 256):
+        t = a[lo : lo + 256, None]
+        off = np.abs(t * (q - q[i[lo : lo + 256], None]) + m[i[lo : lo + 256], None] - m)
+        inside = (off <= OFF * grown) & (np.abs(np.angle(t / turn)) <= TURN_OFF) & (np.abs(np.log(np.abs(t) / scale)) <= math.log(SCALE_OFF))
+        for h in np.argsort(-inside.sum(axis=1), kind="stable")[:3]:
+            n = min(len(np.unique(qn[inside[h]])), len(np.unique(mn[inside[h]])))
+            if n > best[0]:
+                best = (n, float(np.abs(t[h, 0])), float(np.angle(t[h, 0])))
+    return best
+
+
+def compared(query: tuple[np.ndarray, ...], other: tuple[np.ndarray, ...]) -> tuple[int, float, float]:
+    """The consensus of two images, given as (places, first words, second words)."""
+    off = sum(np.bitwise_count((query[k][:, None] ^ other[k][None, :]).view(np.uint64)).astype(np.uint8) for k in (1, 2))
+    i, j = np.nonzero(off <= DISTANCE)
+    return consensus(query[0][i], other[0][j])
+
+
+def _agree(batches: Iterator[pa.RecordBatch], agree: int) -> Iterator[pa.RecordBatch]:
+    """Rows of two images' corners: a row for each pair that matches."""
+    for batch in batches:
+        lists = [(c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)) for c in (batch.column(p + n) for p in "qm" for n in ("place", "d0", "d1"))]
+        out = []
+        for k, (q, m) in enumerate(zip(batch.column("qcid").to_pylist(), batch.column("mcid").to_pylist())):
+            parts = [values[at[k] : at[k + 1]] for at, values in lists]
+            n, scale, turn = compared(tuple(parts[:3]), tuple(parts[3:]))
+            if n >= agree:
+                out.append((q, m, n, scale, turn))
+        cols = list(zip(*out)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), *(pa.array(c, pa.float64()) for c in cols[3:])], names=["qcid", "mcid", "inliers", "scale", "turn"])
+
+
+def matches(words: DataFrame, agree: int = AGREE) -> DataFrame:
+    """Image pairs (qcid, mcid, inliers, scale, turn) out of described classes (one row an image and side)."""
+    corners = words.filter("not asked").agg(F.sum(F.size("place"))).first()[0] or 0
+    met = meetings(words, *table_sizes(corners))
+    # Two different corners of an image that is searched must meet, as a transform needs.
+    some = met.groupBy("qcid", "mcid").agg(F.min("mplace").alias("lo"), F.max("mplace").alias("hi")).filter("lo <> hi").select("qcid", "mcid")
+    side = lambda asked, p: words.filter(F.col("asked") == asked).select(F.col("cid").alias(p + "cid"), *(F.col(c).alias(p + c) for c in ("place", "d0", "d1")))
+    both = some.join(side(False, "m"), "mcid").join(side(True, "q"), "qcid")
+    return both.mapInArrow(partial(_agree, agree=agree), "qcid long, mcid long, inliers long, scale double, turn double")
 
 
 def find_copies(images: DataFrame, every: int = 20, agree: int = AGREE) -> DataFrame:
@@ -220,35 +290,45 @@ def find_copies(images: DataFrame, every: int = 20, agree: int = AGREE) -> DataF
     columns are ignored. Queries are the rows whose media_id is divisible by `every`.
     Returns a row per query and matching class of equal images: media_id, match_id (the
     smallest media_id of the class), copies (its images), inliers (corners that agree on
-    the transform; null for the query's own class, returned where it holds other images)
-    and ratio (scale). Null pixels, or pixels that do not fill height x width, match
-    nothing; a flat image has no corners and matches its exact copies alone; repeated rows
-    are copies; a null media_id asks nothing and names no class. No rows give no rows.
+    the transform; null for the query's own class, returned where it holds other images),
+    scale and turn (of the match against the query, radians). Null pixels, or pixels that do
+    not fill height x width, match nothing; a flat image has no corners and matches its exact
+    copies alone; images of any size are described whole, with more corners; repeated rows
+    are copies; a media_id with several pictures asks for each; a null media_id asks nothing
+    and names no class; of equally good transforms the first counts. No rows give no rows.
     """
-    named = images.filter("media_id is not null")
-    digest = materialise(digests_of(named).filter("digest is not null"), "digests")
-    classes = materialise(digest.groupBy("digest").agg(F.min("media_id").alias("rep"), F.count("*").alias("copies")), "image-classes")
-    # One image of each class is described; its row is found by its id, without moving pixels.
-    first = named.select(F.col("media_id").cast("long").alias("media_id"), "height", "width", "pixels")
-    firsts = classes.select("rep")
-    words = first.join(firsts, first.media_id == firsts.rep, "left_semi").select(F.col("media_id").alias("rep"), "height", "width", "pixels").mapInArrow(_describe, DESCRIBED)
-    words = materialise(words, "descriptors")
-    asks = digest.filter(F.pmod("media_id", F.lit(every)) == 0).distinct().join(classes, "digest").select("media_id", "rep", "copies")
-    found = matches(words, asks.select("rep").distinct(), agree)
-    near = asks.select("media_id", "rep").join(found, F.col("rep") == F.col("qrep")).join(classes.select(F.col("rep").alias("mrep"), "copies"), "mrep").select("media_id", F.col("mrep").alias("match_id"), "copies", "inliers", "ratio")
-    same = asks.filter("copies > 1").select("media_id", F.col("rep").alias("match_id"), "copies", F.lit(None).cast("long").alias("inliers"), F.lit(1.0).alias("ratio"))
+    whole = whole_images(images)
+    digest = materialise(whole.select("media_id", "digest"), "digests")
+    asks = (F.pmod("media_id", F.lit(every)) == 0).alias("asks")
+    classes = digest.groupBy("digest").agg(F.min("media_id").alias("rep"), F.count("*").alias("copies"), F.bool_or(asks).alias("asked"))
+    classes = materialise(classes.select(F.monotonically_increasing_id().alias("cid"), "*"), "image-classes")
+    # One image of each class is described; its row is found by id and digest.
+    firsts = classes.select(F.col("rep").alias("media_id"), "digest", "cid", "asked")
+    if firsts.count() <= BROADCAST_IDS:
+        firsts = F.broadcast(firsts)
+    words = whole.join(firsts, ["media_id", "digest"]).select("cid", "height", "width", "pixels", "asked").mapInArrow(_describe, DESCRIBED)
+    if not digest.groupBy("media_id", "digest").count().filter("count > 1").isEmpty():
+        words = words.dropDuplicates(["cid", "asked"])
+    found = matches(materialise(words, "descriptors"), agree)
+    wanted = digest.filter(F.pmod("media_id", F.lit(every)) == 0).distinct().join(classes, "digest").select("media_id", "cid", F.col("rep").alias("own"), F.col("copies").alias("own_copies"))
+    theirs = classes.select(F.col("cid").alias("mcid"), F.col("rep").alias("match_id"), "copies")
+    near = wanted.join(found, F.col("cid") == F.col("qcid")).join(theirs, "mcid").select("media_id", "match_id", "copies", "inliers", F.round("scale", 3).alias("scale"), F.round("turn", 3).alias("turn"))
+    same = wanted.filter("own_copies > 1").select("media_id", F.col("own").alias("match_id"), F.col("own_copies").alias("copies"), F.lit(None).cast("long").alias("inliers"), F.lit(1.0).alias("scale"), F.lit(0.0).alias("turn"))
     return near.unionByName(same)
 
 
 SIDE, GRID = 96, 24
-_FIELD = _rng.normal(0, 1, (GRID * GRID, 64)).astype(np.float32)
+
+
+@lru_cache(4)
+def _field(dimensions: int) -> np.ndarray:
+    return np.random.Generator(np.random.PCG64(dimensions)).normal(0, 1, (GRID * GRID, dimensions)).astype(np.float32)
 
 
 def render(vector: np.ndarray, edit: int) -> np.ndarray:
     """A grey image of a vector: a smooth random field that follows it continuously; edit 1 crops it, 2 repaints it, 3 shrinks it."""
-    v = np.zeros(64, np.float32)
-    v[: min(64, len(vector))] = np.nan_to_num(vector[:64])
-    grid = np.tanh(1.5 * (_FIELD @ (v / max(1e-6, float(np.linalg.norm(v))))))
+    v = np.nan_to_num(np.asarray(vector, np.float32))
+    grid = np.tanh(1.5 * (_field(max(1, len(v))) @ (v / max(1e-6, float(np.linalg.norm(v)))))) if len(v) else np.zeros(GRID * GRID)
     image = np.rint(127.5 + 120 * resized(grid.reshape(GRID, GRID), SIDE, SIDE)).astype(np.uint8)
     if edit == 1:
         return image[12:84, 8:88]
