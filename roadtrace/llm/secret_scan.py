@@ -1,17 +1,21 @@
 """Secret scans: fixed patterns, and an assignment-aware lexer over source and configuration syntax.
 
-The lexer reads name-literal pairs (NAME = "literal", name: literal, <name>literal</name>,
---name literal, += and literals joined by + also over lines, triple-quoted
-and block literals), remembers which names hold which literals, follows a
-name on the right-hand side to the literals behind it, and scores a literal by how
-sensitive the target's name is and how random the literal looks.
+The lexer walks a text from target to target (NAME = , name: , NAME["key"] = , "key": , += ,
+--name , <name>) and reads the value behind it: strings, triple-quoted ones too, joined by
++ also over lines, bare words, bracketed lists, YAML lists and block literals. It keeps
+what names hold in scopes, which braces and the indentation of functions and classes open
+and close, follows a name on the right-hand side to the literals behind it, and scores a
+literal by how sensitive the target's name is and how random the literal looks. Comments
+are read like other lines, since a secret in one leaks as well.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections import Counter
+from collections.abc import Iterator
 from functools import partial
 
 from pyspark.sql import DataFrame
@@ -45,12 +49,25 @@ _NO_KEY = r"(?![ \t]*+[:=])"
 _JOINED = rf"(?:[ \t]*+\+[ \t]*+{_TERM}|\s*+\+\s*+(?>{_STRING}){_NO_KEY}|[ \t]*+\+\s*+[A-Za-z_$][A-Za-z0-9_$.]*+{_NO_KEY})"
 # A name is read from its beginning, so blanks and names of any length are read once.
 _NAMED = r"(?<![A-Za-z0-9_$.-])[0-9.-]*+(?P<name>[A-Za-z_$][A-Za-z0-9_$.-]*+)"
-_PAIR = re.compile(rf"{_NAMED}(?:\[?[\"']?\]?)[ \t]*+(?P<sign>:=|=>|\+?=(?!=)|:(?![:/]))[ \t]*+(?P<value>{_TERM}{_JOINED}*)")
-_ELEMENT = re.compile(r"<(?P<name>[A-Za-z_][\w.-]{0,127})>\s*+(?P<value>[^<>\s]++(?:[ \t\r]*+\n\s*+[^<>\s]++)*+)\s*+</(?P=name)>")
-_FLAG = re.compile(rf"--(?P<name>[A-Za-z][A-Za-z0-9-]{{0,127}})[ \t]++(?P<value>{_TERM})")
-_BLOCK = re.compile(r"^(?P<indent>[ \t]*+)(?:- )?[\"']?(?P<name>[A-Za-z_$][A-Za-z0-9_$.-]*+)[\"']?[ \t]*+:[ \t]*+[|>][-+0-9]*+[ \t]*+\n\s*?(?P<value>(?P=indent)[ \t]++[^\n]*+(?:\n(?:(?P=indent)[ \t]++[^\n]*+|[ \t]*+(?=\n)))*+)", re.M)
+_SIGN = r"(?P<sign>:=|=>|\+?=(?!=)|:(?![:/]))"
+_TOKEN = re.compile(
+    rf"""(?P<target>{_NAMED}(?:\[?[\"']?\]?)[ \t]*+{_SIGN}[ \t]*+)
+    |(?P<flag>(?<![\w-])--(?P<option>[A-Za-z][A-Za-z0-9-]*+)[ \t]++)
+    |<(?P<tag>[A-Za-z_][\w.-]*+)>
+    |^(?P<indent>[ \t]*+)(?:async[ \t]++)?(?:def|class)\b
+    |(?P<open>\{{)|(?P<close>\}})""",
+    re.M | re.X,
+)
+_VALUE = re.compile(rf"{_TERM}{_JOINED}*")
+_LIST = re.compile(rf"\[(?P<items>\s*+(?:(?>{_STRING}|[A-Za-z0-9_$+/=.@!%^&*~-]++)\s*+,?\s*+)*+)\]")
+_LINES = re.compile(r"(?:[ \t\r]*+\n[ \t]*+-[ \t]++(?![^\s:]*+:(?:[ \t\r]|$))[^\n]*+)++", re.M)
+_LINE_ITEM = re.compile(rf"\n[ \t]*+-[ \t]++(?P<item>{_STRING}|[^\s#][^\n#]*?)[ \t\r]*+(?:#[^\n]*+)?(?=\n|\Z)")
+_BLOCK = re.compile(r"[|>][-+0-9]*+[ \t\r]*+\n(?P<value>(?:[ \t]*+\n)*+(?P<inner>[ \t]++)[^\n]*+(?:\n(?:(?P=inner)[^\n]*+|[ \t]*+(?=\n)))*+)")
+_ELEMENT = re.compile(r"\s*+(?P<value>[^<>\s]++(?:[ \t\r]*+\n\s*+[^<>\s]++)*+)\s*+</(?P<tag>[A-Za-z_][\w.-]*+)>")
 _PART = re.compile(_TERM)
+_ITEM = re.compile(rf"{_STRING}|[A-Za-z0-9_$+/=.@!%^&*~-]++")
 _NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.-]*\Z")
+_INDENT = re.compile(r"[ \t]*+")
 _WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 
 
@@ -107,41 +124,89 @@ def literal_score(value: str) -> float:
     return Literals([((0, len(value)), value, None)]).score()
 
 
-def lex(text: str) -> list[tuple[int, str, bool, list]]:
-    """(position, target name, whether it keeps what it held, parts): a part is the span of a literal, or a name whose literals are meant."""
-    found = []
-    for pattern in (_PAIR, _ELEMENT, _FLAG, _BLOCK):
-        for m in pattern.finditer(text):
-            parts: list = []
-            if pattern is _ELEMENT or pattern is _BLOCK:
-                start, end = m.span("value")
-                parts.append((end - len(m["value"].lstrip()), end))
-            else:
-                for t in _PART.finditer(text, m.start("value"), m.end("value")):
-                    word = t[0]
-                    if word[0] in "\"'`":
-                        n = 3 if len(word) >= 6 and word[:3] in ('"""', "'''") else 1
-                        parts.append((t.start() + n, t.end() - n))
-                    else:
-                        parts.append((t.start(), t.end(), word) if _NAME.match(word) else (t.start(), t.end()))
-            found.append((m.start("name"), m["name"], pattern is _PAIR and m["sign"] == "+=", parts))
-    return sorted(found, key=lambda x: x[0])
+def _part(text: str, start: int, end: int) -> tuple:
+    """A term of a value: the span of a literal without its quotes, with its name where it may be a constant's."""
+    word = text[start:end]
+    if word[0] in "\"'`":
+        n = 3 if len(word) >= 6 and word[:3] in ('"""', "\'\'\'") else 1
+        return start + n, end - n
+    return (start, end, word) if _NAME.match(word) else (start, end)
+
+
+def _values(text: str, at: int, indent: int) -> tuple[list[list[tuple]], int]:
+    """The values behind a sign, each a list of parts that are joined, and where they end."""
+    if m := _LIST.match(text, at):
+        return [[_part(text, *i.span())] for i in _ITEM.finditer(text, *m.span("items"))], m.end()
+    if m := _LINES.match(text, at):
+        return [[_part(text, *i.span("item"))] for i in _LINE_ITEM.finditer(text, m.start(), m.end())], m.end()
+    if (m := _BLOCK.match(text, at)) and len(m["inner"]) > indent:
+        start, end = m.span("value")
+        return [[(end - len(m["value"].lstrip()), end)]], end
+    if m := _VALUE.match(text, at):
+        return [[_part(text, *t.span()) for t in _PART.finditer(text, m.start(), m.end())]], m.end()
+    return [], at
+
+
+def lex(text: str) -> Iterator[tuple[str, str, bool, list]]:
+    """What stands in the text, in order: ("pair", target name, whether it keeps what it held, parts), or a scope's ("open", ...) and ("close", ...).
+
+    A part is the span of a literal, or that and a name whose literals are meant.
+    """
+    breaks = [m.start() for m in re.finditer("\n", text)]
+    functions: list[int] = []  # indents of the functions and classes that stand open
+    at = 0
+    while m := _TOKEN.search(text, at):
+        at = m.end()
+        kind = m.lastgroup
+        if kind in ("open", "close"):
+            yield kind, "", False, []
+            continue
+        k = bisect_left(breaks, m.start())
+        line = breaks[k - 1] + 1 if k else 0
+        indent = _INDENT.match(text, line).end() - line
+        first = line + indent == m.start() or kind == "indent"
+        while first and functions and indent <= functions[-1]:
+            functions.pop()
+            yield "close", "", False, []
+        if kind == "indent":
+            functions.append(indent)
+            yield "open", "", False, []
+        elif kind == "tag":
+            if (e := _ELEMENT.match(text, at)) and e["tag"] == m["tag"]:
+                at = e.end()
+                yield "pair", m["tag"], False, [e.span("value")]
+        else:
+            values, at = _values(text, at, indent)
+            for parts in values:
+                yield "pair", m["name"] or m["option"], m["sign"] == "+=", parts
 
 
 def literal_spans(text: str) -> list[S.Span]:
-    """Literals that reach a sensitive name, directly or through names assigned before."""
+    """Literals that reach a sensitive name, directly or through names assigned before in the same or an outer scope."""
     if not ("=" in text or ":" in text or "--" in text or "</" in text):
         return []
-    values: dict[str, Literals] = {}
+    scopes: list[dict[str, Literals]] = [{}]
     out: set[tuple[int, int]] = set()
     emitted: set[int] = set()
     alive: list[Literals] = []  # so that no id is used twice
-    for _, name, keeps, parts in lex(text):
-        held = [(None, "", values[name])] if keeps and name in values else []
+
+    def holder(name: str) -> dict[str, Literals] | None:
+        return next((s for s in reversed(scopes) if name in s), None)
+
+    for kind, name, keeps, parts in lex(text):
+        if kind == "open":
+            scopes.append({})
+            continue
+        if kind == "close":
+            if len(scopes) > 1:
+                scopes.pop()
+            continue
+        where = holder(name) if keeps else None
+        held = [(None, "", where[name])] if where else []
         for p in parts:
-            of = values.get(p[2]) if len(p) == 3 else None  # a bare word: a known constant, else a literal of its own
-            held.append((None, "", of) if of else (p[:2], text[p[0] : p[1]], None))
-        values[name] = node = Literals(held)
+            of = holder(p[2]) if len(p) == 3 else None  # a bare word: a known constant, else a literal of its own
+            held.append((None, "", of[p[2]]) if of else (p[:2], text[p[0] : p[1]], None))
+        (where if where is not None else scopes[-1])[name] = node = Literals(held)
         alive.append(node)
         weight = name_score(name)
         if weight > 0 and weight + node.score() >= LEAST_SCORE:
@@ -169,7 +234,9 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
     docs: doc_id long, text string; other columns are ignored. Kinds: assign, access, hex
     (fixed patterns, leftmost and non-overlapping within a kind) and literal (the lexer's).
-    Null or empty texts have no spans; repeated rows are scanned again; a null doc_id stays null.
+    Null or empty texts have no spans; texts, names and literals of any length are read
+    whole; spans that start together stand in the order of the kinds; repeated rows are
+    scanned again; a null doc_id stays null. An empty table gives an empty result.
     """
     return S.scan(docs, find)
 
@@ -179,5 +246,9 @@ def _mark(kind: str, word: str) -> str:
 
 
 def redact_secrets(docs: DataFrame) -> DataFrame:
-    """docs with the spans of find_secrets in text replaced by [SECRET]; all rows and columns stay."""
+    """docs with the spans of find_secrets in text replaced by [SECRET], overlapping ones as one.
+
+    All rows and columns stay, whatever their names; null and empty texts stay as they are,
+    texts of any length are read whole, and repeated rows change alike.
+    """
     return S.redact(docs, find, partial(_mark, word="SECRET"))
