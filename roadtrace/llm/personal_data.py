@@ -1,15 +1,18 @@
 """Personal data: fixed patterns, and an offset-preserving deobfuscator in front of them.
 
-Transducers rewrite every text: look-alike letters and digits
-become ASCII, spelled digits become digits, at and dot in brackets or between words become
-signs. Each rewritten stretch remembers the source characters it came from, so what the patterns find there is mapped back to spans of the source.
+Transducers rewrite every text: letters and digits of other scripts that look like or stand
+for ASCII ones become those, invisible characters vanish, character references are read,
+digits spelled in four languages become digits, at and dot in brackets or between words
+become signs. Each rewritten stretch remembers the source characters it came from, so what
+the patterns find there is mapped back to spans of the source.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 from functools import lru_cache, partial
 
 from pyspark.sql import DataFrame
@@ -28,29 +31,39 @@ _IP = re.compile(r"(?<![0-9])[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9]){12,}")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
-#: Names of the digits.
-DIGIT_WORDS = {"zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+#: Names of the digits 0 to 9 in English, German, French and Spanish.
+DIGIT_NAMES = {
+    "en": "zero one two three four five six seven eight nine",
+    "de": "null eins zwei drei vier fünf sechs sieben acht neun",
+    "fr": "zéro un deux trois quatre cinq six sept huit neuf",
+    "es": "cero uno dos tres cuatro cinco seis siete ocho nueve",
+}
+DIGIT_WORDS = {w: str(i) for names in DIGIT_NAMES.values() for i, w in enumerate(names.split())} | {"zwo": "2", "fuenf": "5"}
 #: Letters of other scripts that look like ASCII ones.
-LOOKALIKES = dict(zip("аеорсухіјѕԁһкмтвнАЕОРСУХІЈЅКМТВНοαρνιкΟΑΡΝΙΚΕΒΗΜΤΧΖΥ", "aeopcyxijsdhkmtbhAEOPCYXIJSKMTBHoapvikOAPNIKEBHMTXZY"))
-
-_WORDS = "|".join(DIGIT_WORDS)
+LOOKALIKES = {
+    **dict(zip("аеорсухіјѕԁһкмтвнԛԝпгАЕОРСУХІЈЅКМТВНԚԜ", "aeopcyxijsdhkmtbhqwnrAEOPCYXIJSKMTBHQW")),  # Cyrillic
+    **dict(zip("οαρνιкηυγτκΟΑΡΝΙΚΕΒΗΜΤΧΖΥ", "oapviknuytkOAPNIKEBHMTXZY")),  # Greek
+    **dict(zip("աոսօցհյԼՍՕ", "wnuoghjLUO")),  # Armenian
+    **dict(zip("ɑɡıɩʟɴʀʏᴀᴄᴅᴇᴊᴋᴍᴏᴘᴛᴜᴠᴡᴢꜱ", "agiilnryacdejkmoptuvwzs")),  # Latin letters of other alphabets
+    **dict(zip("ᎠᎡᎢᎪᎬᎳᎷᎻᏀᏃᏎᏒᏔᏚᏞᏟᏢ", "DRTAEWMHGZ4RWSLCP")),  # Cherokee
+    **dict(zip("‐‑‒–—−﹣", "-------")),
+    **dict(zip("。｡․﹒", "....")),
+}
+#: Words that stand for the signs.
+AT_WORDS, DOT_WORDS = "at|ät|arroba|arobase", "dot|punkt|punto|point"
+_AT_LIST, _DOT_LIST = [*AT_WORDS.split("|"), "@"], [*DOT_WORDS.split("|"), "."]
+#: Characters that are not seen.
+INVISIBLE = "".join(map(chr, (0xAD, 0x34F, 0x61C, 0x180E, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), 0xFE0F, 0xFEFF)))
+
+_WORDS = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 #: Letters that a pattern without case takes for ASCII ones, though lower() does not.
-_FOLD = str.maketrans("ſıİ\u212a", "siik")
-
-_TRANSDUCER = re.compile(
-    r"""(?P<at>\s{0,3}[\[({<]\s{0,3}(?:at|@|arroba)\s{0,3}[\])}>]\s{0,3})
-    |(?P<dot>\s{0,3}[\[({<]\s{0,3}(?:dot|\.|punkt|punto|point)\s{0,3}[\])}>]\s{0,3})
-    |(?P<wordat>\s{1,3}(?:at|@)\s{1,3}(?=[A-Za-z0-9-]{1,63}(?:\s{1,3}(?:dot|\.)\s{1,3}|\.)[A-Za-z]))
-    |(?P<worddot>\s{1,3}(?:dot|\.)\s{1,3}(?=[A-Za-z0-9-]))
-    |(?P<plus>(?<![A-Za-z])plus[ ]{1,2}(?=(?:"""
-    + _WORDS
-    + r"""|[0-9])))
-    |(?P<digit>(?<![A-Za-z])(?:"""
-    + _WORDS
-    + r""")(?![A-Za-z]))
-    |(?P<foreign>[^\x00-\x7f])""",
-    re.I | re.X,
-)
+_FOLD = str.maketrans("ſıİ" + chr(0x212A), "siik")
+
+_BRACKETED = re.compile(rf"[\[({{<]\s{{0,3}}(?:(?P<at>{AT_WORDS}|@)|{DOT_WORDS}|\.)\s{{0,3}}[\])}}>]\s{{0,3}}", re.I)
+_DOMAIN_AHEAD = re.compile(rf"\s{{1,3}}(?=[\w-]{{1,63}}(?:\s{{1,3}}(?:{DOT_WORDS}|\.)\s{{1,3}}|\.)\w)", re.I)
+_LABEL_AHEAD = re.compile(r"\s{1,3}(?=[\w-])")
+_NUMBER_AHEAD = re.compile(rf"[ ]{{1,2}}(?=(?:{_WORDS}|[0-9]))", re.I)
+_REFERENCE = re.compile(r"&\#(?:x[0-9a-f]{1,6}|[0-9]{1,7});|&(?:commat|period);|%(?:40|2e)", re.I)
 
 
 def _emails(text: str) -> list[tuple[int, int]]:
@@ -90,32 +103,96 @@ def base_spans(text: str) -> list[S.Span]:
 
 @lru_cache(4096)
 def _ascii(c: str) -> str:
-    """A look-alike's ASCII form, or the character itself."""
+    """What a character stands for: ASCII, nothing where it is not seen, or itself."""
     if c in LOOKALIKES:
         return LOOKALIKES[c]
-    if c in "。｡․":
-        return "."
+    if c in INVISIBLE:
+        return ""
+    if c.isdecimal():
+        return str(unicodedata.decimal(c))
     plain = unicodedata.normalize("NFKC", c)
-    return plain if plain.isascii() and plain != " " and len(plain) <= 2 else c
+    return plain if plain.isascii() and len(plain) <= 2 else c
+
+
+@lru_cache(4096)
+def _referred(reference: str) -> str:
+    """The character of &#64; or %40, where it is a visible ASCII one."""
+    if reference[0] == "%":
+        return chr(int(reference[1:], 16))
+    name = reference[1:-1].lower()
+    if name[0] != "#":
+        return {"commat": "@", "period": "."}[name]
+    code = int(name[2:], 16) if name[1] == "x" else int(name[1:])
+    return chr(code) if 32 < code < 127 else reference
+
+
+def _found(text: str, word: str) -> Iterator[int]:
+    at = text.find(word)
+    while at >= 0:
+        yield at
+        at = text.find(word, at + 1)
+
+
+@lru_cache(1024)
+def _any_of(chars: str) -> re.Pattern:
+    return re.compile("[" + re.escape(chars) + "]")
+
+
+def _stretches(text: str) -> Iterator[tuple[int, int, int, int, str]]:
+    """What the transducers rewrite: (first start, rank, last start, end, new characters).
+
+    A stretch may give up blanks before its last start to the one before it. Words are looked
+    up one by one and their surroundings checked, since few of them stand alone.
+    """
+    low = text.lower()
+    if len(low) != len(text) or any(c in text for c in "ſıİ" + chr(0x212A)):
+        low = text.translate(_FOLD)
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in low)
+
+    def blanks(at: int) -> int:
+        """How many of the three characters before `at` are blanks, without a gap."""
+        n = 0
+        while n < 3 and at - n > 0 and text[at - n - 1].isspace():
+            n += 1
+        return n
+
+    for m in _BRACKETED.finditer(text) if any(c in text for c in "[({<") else ():
+        yield m.start() - blanks(m.start()), 0, m.start(), m.end(), "@" if m["at"] else "."
+    for words, ahead, sign, rank in ((_AT_LIST, _DOMAIN_AHEAD, "@", 2), (_DOT_LIST, _LABEL_AHEAD, ".", 3)):
+        for w in words:
+            for at in _found(low, w):
+                end = at + len(w)
+                if at and text[at - 1].isspace() and end < len(text) and text[end].isspace() and (m := ahead.match(text, end)):
+                    yield at - blanks(at), rank, at - 1, m.end(), sign
+    for w, digit in DIGIT_WORDS.items():
+        for at in _found(low, w):
+            end = at + len(w)
+            if not (at and text[at - 1].isalpha()) and not (end < len(text) and text[end].isalpha()):
+                yield at, 5, at, end, digit
+    for at in _found(low, "plus"):
+        if not (at and text[at - 1].isalpha()) and (m := _NUMBER_AHEAD.match(text, at + 4)):
+            yield at, 4, at, m.end(), "+"
+    for m in _REFERENCE.finditer(text) if "&" in text or "%" in text else ():
+        if (chars := _referred(m[0])) != m[0]:
+            yield m.start(), 6, m.start(), m.end(), chars
+    if not text.isascii():
+        foreign = "".join(sorted(c for c in set(text) if c > "\x7f" and _ascii(c) != c))
+        for m in _any_of(foreign).finditer(text) if foreign else ():
+            yield m.start(), 7, m.start(), m.end(), _ascii(m[0])
 
 
 def rewritten(text: str) -> tuple[str, list[tuple[int, int, int, int]]]:
-    """The plain text, and its changed stretches: start and end in it, start and end in the source."""
+    """The plain text, and its changed stretches: start and end in it, start and end in the source.
+
+    Of overlapping stretches the earlier one is rewritten, of those that start together the
+    one of the smaller rank.
+    """
     out, edits = [], []
     at = size = 0
-    for m in _TRANSDUCER.finditer(text):
-        kind = m.lastgroup
-        if kind in ("at", "wordat"):
-            chars = "@"
-        elif kind in ("dot", "worddot"):
-            chars = "."
-        elif kind == "plus":
-            chars = "+"
-        elif kind == "digit":
-            chars = DIGIT_WORDS[m[0].translate(_FOLD).lower()]
-        elif (chars := _ascii(m[0])) == m[0]:
+    for start, _, last, end, chars in sorted(_stretches(text)):
+        if last < at:
             continue
-        start, end = m.span()
+        start = max(start, at)
         out += [text[at:start], chars]
         size += start - at
         edits.append((size, size + len(chars), start, end))
@@ -132,9 +209,7 @@ def hidden_spans(text: str, known: list[S.Span]) -> list[S.Span]:
     plain, edits = rewritten(text)
     if not edits:
         return []
-    starts, before = [e[0] for e in edits], [0]
-    for a, b, _, _ in edits:
-        before.append(before[-1] + b - a)
+    starts, ends = [e[0] for e in edits], [e[1] for e in edits]
 
     def source(i: int) -> tuple[int, int]:
         """The source characters of a plain one."""
@@ -144,19 +219,20 @@ def hidden_spans(text: str, known: list[S.Span]) -> list[S.Span]:
         _, b, start, end = edits[k]
         return (start, end) if i < b else (end + i - b, end + i - b + 1)
 
-    def changed(i: int) -> int:
-        """Changed characters among the first i plain ones."""
-        k = bisect_right(starts, i) - 1
-        return before[k] + min(i, edits[k][1]) - edits[k][0] if k >= 0 else 0
+    def changed(s: int, e: int) -> int:
+        """Stretches that lie in plain[s:e], vanished ones between its characters."""
+        first = bisect_right(ends, s)
+        last = bisect_left(starts, e)
+        return max(0, last - first)
 
     found = base_spans(plain)
     taken = [(s, e) for _, s, e in found]
     for m in _LONG_NUMBER.finditer(plain):  # a spelled number needs no plus sign
-        if changed(m.end()) - changed(m.start()) >= 7 and not any(s < m.end() and m.start() < e for s, e in taken):
+        if changed(*m.span()) >= 7 and not any(s < m.end() and m.start() < e for s, e in taken):
             found.append(("phone", *m.span()))
     out = []
     for kind, s, e in found:
-        if changed(e) == changed(s):
+        if not changed(s, e):
             continue
         start, end = source(s)[0], source(e - 1)[1]
         if not any(k == kind and a <= start and end <= b for k, a, b in known):
@@ -176,8 +252,9 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
 
     docs: doc_id long, text string; other columns are ignored. Kinds: email, ip, card and
     phone (fixed patterns, leftmost and non-overlapping within a kind) and hidden_ forms
-    of these, found in the rewritten text. Null or empty texts have no spans; repeated rows
-    are scanned again; a null doc_id stays null.
+    of these, found in the rewritten text. Null or empty texts have no spans; texts of any
+    length are read whole; spans of a kind that start together stand by their ends; repeated
+    rows are scanned again; a null doc_id stays null. An empty table gives an empty result.
     """
     return S.scan(docs, find)
 
@@ -187,5 +264,9 @@ def _mark(kind: str) -> str:
 
 
 def redact_personal_data(docs: DataFrame) -> DataFrame:
-    """docs with the spans of find_personal_data in text replaced by their kind; all rows and columns stay."""
+    """docs with the spans of find_personal_data in text replaced by their kind, overlapping ones as one.
+
+    All rows and columns stay, whatever their names; null and empty texts stay as they are,
+    texts of any length are read whole, and repeated rows change alike.
+    """
     return S.redact(docs, find, partial(_mark))

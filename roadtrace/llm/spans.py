@@ -39,10 +39,10 @@ def of_kinds(spans: Column, kinds: list[str]) -> Column:
 
 
 def digests(found: DataFrame, kinds: list[str]) -> DataFrame:
-    """A count of each base kind, the digest of all base spans, and all spans as text."""
+    """A count of each base kind, the digest of all base spans, all spans as text, and whether there is any."""
     counts = [F.size(of_kinds(F.col("spans"), [k])).cast("long").alias(f"n_{k}") for k in kinds]
     base = F.sha2(written(of_kinds(F.col("spans"), kinds)), 256).alias("base_sha256")
-    return found.select("doc_id", *counts, base, written(F.col("spans")).alias("spans"))
+    return found.select("doc_id", *counts, base, written(F.col("spans")).alias("spans"), (F.size("spans") > 0).alias("found"))
 
 
 def replaced(text: str, spans: list[Span], mark: Callable[[str], str]) -> str:

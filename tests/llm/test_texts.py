@@ -237,6 +237,55 @@ def test_deobfuscation_maps_back():
     assert personal_data.find("He was at home. One or two of the five were at the dot.") == []
 
 
+PLAIN = re.compile(
+    rf"""(?P<at>\s{{0,3}}[\[({{<]\s{{0,3}}(?:{personal_data.AT_WORDS}|@)\s{{0,3}}[\])}}>]\s{{0,3}})
+    |(?P<dot>\s{{0,3}}[\[({{<]\s{{0,3}}(?:{personal_data.DOT_WORDS}|\.)\s{{0,3}}[\])}}>]\s{{0,3}})
+    |(?P<wordat>\s{{1,3}}(?:{personal_data.AT_WORDS}|@)\s{{1,3}}(?=[\w-]{{1,63}}(?:\s{{1,3}}(?:{personal_data.DOT_WORDS}|\.)\s{{1,3}}|\.)\w))
+    |(?P<worddot>\s{{1,3}}(?:{personal_data.DOT_WORDS}|\.)\s{{1,3}}(?=[\w-]))
+    |(?P<plus>(?<![^\W\d_])plus[ ]{{1,2}}(?=(?:{personal_data._WORDS}|[0-9])))
+    |(?P<digit>(?<![^\W\d_])(?:{personal_data._WORDS})(?![^\W\d_]))
+    |(?P<reference>&\#(?:x[0-9a-f]{{1,6}}|[0-9]{{1,7}});|&(?:commat|period);|%(?:40|2e))
+    |(?P<foreign>(?-i:[^\x00-\x7f]))""",
+    re.I | re.X,
+)
+
+
+def plainly_rewritten(text):
+    """One pattern that stops at every character, instead of looking words up."""
+
+    def new(m):
+        if m.lastgroup == "foreign":
+            return personal_data._ascii(m[0])
+        if m.lastgroup == "reference":
+            return personal_data._referred(m[0])
+        return {"at": "@", "wordat": "@", "dot": ".", "worddot": ".", "plus": "+"}.get(m.lastgroup) or personal_data.DIGIT_WORDS[m[0].translate(personal_data._FOLD).lower()]
+
+    return PLAIN.sub(new, text)
+
+
+def test_transducers_against_one_plain_pattern():
+    alphabet = ["at", "dot", " ", " ", "\n", "[", "]", "(", ")", "@", ".", "a", "Punkt", "arroba", "one", "fünf", "Sept", "plus", "7", "é", "е", "４", "٣", "​", "&#64;", "&period;", "%40", "x", "-", "K", "K", "ſ", "İ", "point"]
+    for t in strings(21, alphabet, 20_000, 14):
+        plain, edits = personal_data.rewritten(t)
+        assert plain == plainly_rewritten(t), t
+        for (_, b, _, end), (a2, _, start2, _) in zip(edits, edits[1:]):
+            assert plain[b:a2] == t[end:start2]
+
+
+def test_disguises_of_other_scripts_and_languages():
+    hidden = {
+        "joh​n@exam​ple.com": "hidden_email", "john&#64;example&period;com": "hidden_email", "juan arroba example punto es": "hidden_email", "jean arobase exemple point fr": "hidden_email",
+        "hans ät beispiel punkt de": "hidden_email", "jоhn@ехamplе.com": "hidden_email", "+49 ١٧٠ ١٢٣٤٥٦٧": "hidden_phone", "null eins sieben null eins zwei drei vier fünf": "hidden_phone",
+        "zéro six un deux trois quatre cinq sept huit": "hidden_phone", "seis uno dos tres cuatro cinco seis siete ocho": "hidden_phone", "192 dot 168 dot one dot 1": "hidden_ip", "４１１１ 1111 1111 1111": "hidden_card",
+    }
+    for t, kind in hidden.items():
+        for before in ("", "Text; "):
+            got = [(k, s - len(before), e - len(before)) for k, s, e in personal_data.find(before + t) if k == kind]
+            assert got == [(kind, 0, len(t))], (t, personal_data.find(before + t))
+    for t in ("Il y a un chat et deux chiens, point.", "Um neun war er an Punkt drei.", "Look at this. At one o'clock, two or three came.", "à la café, naïve — ‘quoted’ … 50 %"):
+        assert personal_data.find(t) == [], t
+
+
 def test_a_disguise_needs_no_other():
     digits = "four\tnine one\nseven\tzero one\ttwo three\tfour five\nsix"
     alone = ["john@example dot com", "john at mail.example dot com", "jane at example.com", "jane @ example.com", "john[@]example[.]com", "juan [arroba] x [punto] es", digits, "plus 49 170 1234567", "ſeven\tone two\tthree four\tfive six\tseven eight\tnine"]
@@ -272,6 +321,49 @@ def test_literals_of_any_length_and_over_lines():
         assert not secret_scan.literal_spans(t)
 
 
+def test_lists_scopes_and_blocks():
+    rng = random.Random(22)
+    key = lambda: "".join(rng.choice("abcdefghkmpqHIJKLMNPRSTV0123456789") for _ in range(24))
+    found = lambda t: [t[s:e] for k, s, e in secret_scan.find(t) if k == "literal"]
+    a, b, c = key(), key(), key()
+    assert found(f"passphrase:\n  - {a}\n  - '{b}'  # old\n  - name: {c}\nother: x\n") == [a, b]
+    assert found(f'{{"signing_keys": ["{a}", "{b}"], "n": ["{c}"]}}') == [a, b]
+    assert found(f"[client]\nclient_key = {a}\n; client_key = {b}\n# db_pwd: {c}\n") == [a, b, c]
+    assert found(f"// auth_key := `{a}`\n/* db_pwd='{b}' */") == [a, b]
+    assert found(f'def f():\n    k = "{a}"\n\ndef g():\n    db_pwd = k\n') == []
+    assert found(f'k = "{a}"\ndef g():\n    k = "{b}"\n    db_pwd = k\nclient_key = k\n') == [a, b]
+    assert found(f'function f() {{ var k = "{a}"; }}\nvar k = "{b}"; {{ db_pwd = k; }}') == [b]
+    assert found(f'cfg["db_pwd"] = "{a}"\n--client-key {b} <{"x" * 200}_key>{c}</{"x" * 200}_key>') == [a, b, c]
+    assert found(f'k = "{a[:12]}"\n{{ k += "{a[12:]}"\n }}\nauth_key = k') == [a[:12], a[12:]]
+
+
+def test_literals_against_generated_programs():
+    """Random assignments whose secrets are known from how they were written."""
+    rng = random.Random(23)
+    key = lambda: "".join(rng.choice("abcdefghkmpqHIJKLMNPRSTV0123456789") for _ in range(20))
+    for _ in range(300):
+        text, held, want = "", {}, set()
+        for _ in range(rng.randrange(1, 12)):
+            name = rng.choice(["k", "x1", "db_pwd", "client_key", "authToken", "label"])
+            start, parts = f"{name}{rng.choice([' = ', ': ', '=', ' := '])}", []
+            text += rng.choice(["", "# ", "export ", "- "]) + start
+            for i in range(rng.randrange(1, 4)):
+                text += " + " if i else ""
+                if held and rng.random() < 0.4:
+                    other = rng.choice(sorted(held))
+                    parts += held[other]
+                    text += other
+                else:
+                    quote = rng.choice(["'", '"', "`"])
+                    parts.append((len(text) + 1, len(text) + 21))
+                    text += quote + key() + quote
+            held[name] = parts
+            text += "\n"
+            if secret_scan.name_score(name) > 1:
+                want |= set(parts)
+        assert {(s, e) for k, s, e in secret_scan.find(text) if k == "literal"} == want, text
+
+
 def test_span_queries(spark):
     df = spark.createDataFrame([(1, "token = abcdefgh1 " + "0" * 32, "x"), (2, None, "x"), (3, "", "x"), (None, "AKIAAAAABBBBCCCC", "x")], "doc_id long, text string, spans string")
     got = {r.doc_id: r for r in digests(secret_scan.find_secrets(df), secret_scan.BASE_KINDS).collect()}
@@ -279,3 +371,15 @@ def test_span_queries(spark):
     assert got[2].spans == "" and got[2].base_sha256 == hashlib.sha256(b"").hexdigest() and got[None].n_access == 1
     texts = {r.doc_id: r.text for r in secret_scan.redact_secrets(df).collect()}
     assert texts == {1: "[SECRET] [SECRET]", 2: None, 3: "", None: "[SECRET]"}
+    assert secret_scan.redact_secrets(df).columns == df.columns and secret_scan.find_secrets(df.limit(0)).collect() == [] == secret_scan.redact_secrets(df.limit(0)).collect()
+
+
+def test_personal_data_on_tables(spark):
+    long = "word " * 200_000 + "jane[at]ex.org"
+    df = spark.createDataFrame([(1, "to a@b.co or +49 170 1234567", "x"), (1, "to a@b.co or +49 170 1234567", "x"), (2, None, "x"), (3, "", "x"), (None, "jane[at]ex.org", "x"), (4, long, "x")], "doc_id long, text string, spans string")
+    got = {r.doc_id: r for r in digests(personal_data.find_personal_data(df), personal_data.BASE_KINDS).collect()}
+    assert (got[1].n_email, got[1].n_phone, got[1].found) == (1, 1, True) and got[2].spans == got[3].spans == "" and not got[2].found
+    assert got[None].spans == "hidden_email:0:14" and got[None].found and got[4].spans == f"hidden_email:{len(long) - 14}:{len(long)}"
+    texts = [(r.doc_id, r.text) for r in personal_data.redact_personal_data(df).collect() if r.doc_id != 4]
+    assert sorted(texts, key=str) == sorted([(1, "to [EMAIL] or [PHONE]")] * 2 + [(2, None), (3, ""), (None, "[EMAIL]")], key=str)
+    assert personal_data.find_personal_data(df.limit(0)).collect() == [] == personal_data.redact_personal_data(df.limit(0)).collect()
