@@ -114,6 +114,11 @@ def is_stationary(points: Column, radius: float) -> Column:
     return F.forall(points, lambda p: distance(p["x"], p["y"], mean["x"], mean["y"]) <= radius)
 
 
+def displacement_speed_kmh(points: Column, elapsed_ms: Column, meters_per_px: Column) -> Column:
+    """Of the way from the first to the last of an array of points."""
+    return speed_kmh(displacement(points), elapsed_ms, meters_per_px)
+
+
 def speed_kmh(path_px: Column, elapsed_ms: Column, meters_per_px: Column) -> Column:
     """0 where no time passes."""
     seconds = elapsed_ms / 1000.0

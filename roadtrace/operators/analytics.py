@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from roadtrace.functions.text import display_name, violation_moment
 from roadtrace.schemas import VIOLATION_NAMES
@@ -97,6 +98,11 @@ def list_editable(violations: DataFrame, videos: DataFrame, limit: int = 500) ->
     return rows.select("id", "video_id", shown("filename", "—"), "violation_type", "start_ms", "end_ms", shown("license_plate", ""), shown("source", "auto"), shown("notes", ""), "review_status")
 
 
+def detections_listed(detections: DataFrame) -> DataFrame:
+    """Every video's detections with their place in its listing, by frame and id."""
+    return detections.withColumn("place", F.row_number().over(Window.partitionBy("video_id").orderBy("frame_no", "id")).cast("bigint"))
+
+
 def violation_evidence(violations: DataFrame, videos: DataFrame, first: int = 6) -> DataFrame:
     """Each evidence frame of each violation, in order, `first` at most, with the video's path."""
     from roadtrace.sources.ingest import evidence_decode

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roadtrace.operators.plates import plate_for_violation
+from roadtrace.operators.rules import RuleInput, run_rules
+
 MOST_PLATE, MOST_NOTES = 12, 2000
 
 
@@ -67,6 +70,20 @@ def extract_violations(old: DataFrame, found: DataFrame, detections: DataFrame)
     return kept.unionByName(fresh, allowMissingColumns=True)
 
 
+def extract(x: RuleInput, old: DataFrame, videos: DataFrame, votes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The violations and videos after all rules ran on all videos with detections.
+
+    Every rule judges the videos that have what it needs; new violations take their track's
+    plate from votes (video_id, track_id, text, confidence), and the videos that were judged
+    become analyzed.
+    """
+    found = run_rules(x).withColumn("license_plate", F.lit(None).cast("string")).withColumn("plate_conf", F.lit(None).cast("double"))
+    rows = extract_violations(old, plate_for_violation(found, votes), x.detections)
+    judged = x.detections.select(F.col("video_id").alias("id")).distinct().withColumn("judged", F.lit(True))
+    status = F.when(F.col("judged"), "analyzed").otherwise(F.col("status"))
+    return rows, videos.join(judged, "id", "left").withColumn("status", status).drop("judged")
+
+
 def video_changes(videos: DataFrame, changes: DataFrame) -> DataFrame:
     """changes: id, recorded_at, source_type, status, changed_at, change_id; null means unchanged. The last change of each column counts."""
     order = F.struct("changed_at", "change_id")
@@ -81,6 +98,13 @@ def delete_videos_cascade(tables: dict[str, DataFrame], ids: DataFrame) -> dict[
     return {name: df.join(gone, "id", "left_anti") if name == "videos" else df.join(gone.withColumnRenamed("id", "video_id"), "video_id", "left_anti") for name, df in tables.items()}
 
 
+def deletion_audit(videos: DataFrame, ids: DataFrame, actor: str) -> DataFrame:
+    """An audit row for each known video that goes, with its filename as the old value."""
+    gone = videos.join(ids.select("id").distinct(), "id", "left_semi")
+    none = F.lit(None).cast("string")
+    return gone.select(F.lit("video").alias("entity"), F.col("id").alias("entity_id"), F.lit("delete").alias("action"), F.coalesce("filename", F.col("id").cast("string")).alias("old_value"), none.alias("new_value"), F.lit(actor).alias("actor"))
+
+
 def statuses(videos: DataFrame, wanted: list[str]) -> DataFrame:
     """Ids of the videos that wait in some status, in order."""
     return videos.filter(F.col("status").isin(wanted)).select("id").orderBy("id")

@@ -56,6 +56,20 @@ def study_document(violations: DataFrame, videos: DataFrame) -> DataFrame:
     return out
 
 
+def detail_tables(violations: DataFrame, videos: DataFrame, key: str | None) -> dict[str, DataFrame]:
+    """The four tables of a workbook: key figures, counts by type with shown names, counts by hour, and the listing."""
+    parts = study_build(violations, videos)
+    figures = parts["kpis"].select(F.explode(F.array(*(F.struct(F.lit(c).alias("figure"), F.col(c).cast("double").alias("value")) for c in ("videos", "violations", "per_video")))).alias("f")).select("f.*")
+    types = parts["by_type"].select(sanitize_cell(F.col("violation_type")).alias("violation_type"), display_name(F.col("violation_type"), VIOLATION_NAMES).alias("type_name"), "n")
+    return {"summary": figures, "by_type": types, "by_hour": parts["by_hour"], "details": export_rows(violations, videos, key)}
+
+
+def export_detail_tables(tables: dict[str, DataFrame], path: str) -> None:
+    """Each table as CSV in a folder of its own below path."""
+    for name, df in tables.items():
+        export_csv(df, f"{path}/{name}")
+
+
 def export_log(path: str, rows: DataFrame) -> None:
     """Append (study_name, filter_json, format, output_path, exported_at)."""
     rows.write.mode("append").parquet(path)

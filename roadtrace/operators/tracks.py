@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 from pyspark.sql.window import Window
 
 from roadtrace.functions import geometry as G
@@ -80,11 +83,22 @@ def grouped_by_frame(detections: DataFrame) -> DataFrame:
     return detections.groupBy("video_id", "frame_no").agg(F.array_sort(F.collect_list(F.struct("id", "class_name", "confidence"))).alias("detections"))
 
 
-def stride_sample(rows: DataFrame, every: int = 5) -> DataFrame:
-    """Per track the frames that a greedy sampler takes: the first, then the first at least `every` after the last taken one."""
-    frames = rows.groupBy(*KEY).agg(F.array_sort(F.collect_set("frame_no")).alias("frames"))
-    taken = F.aggregate("frames", F.array().cast("array<int>"), lambda acc, f: F.when((F.size(acc) == 0) | (f >= F.get(acc, F.size(acc) - 1) + every), F.concat(acc, F.array(f))).otherwise(acc))
-    return frames.select(*KEY, F.explode(taken).alias("frame_no"))
+@F.pandas_udf(ArrayType(IntegerType()))
+def _strided(frames: pd.Series, every: pd.Series) -> pd.Series:
+    def taken(ordered: np.ndarray, step: int) -> list[int]:
+        out, at = [], 0
+        while at < len(ordered):
+            out.append(int(ordered[at]))
+            at = int(np.searchsorted(ordered, ordered[at] + step))
+        return out
+
+    return pd.Series([taken(f, e) for f, e in zip(frames, every)])
+
+
+def stride_sample(rows: DataFrame, every: int = 5, keys: list[str] = KEY) -> DataFrame:
+    """Per key the frames that a greedy sampler takes: the first, then the first at least `every` after the last taken one."""
+    frames = rows.groupBy(*keys).agg(F.array_sort(F.collect_set("frame_no")).alias("frames"))
+    return frames.select(*keys, F.explode(_strided("frames", F.lit(every))).alias("frame_no"))
 
 
 def evidence(*frames: Column) -> Column:

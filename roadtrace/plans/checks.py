@@ -149,15 +149,15 @@ _NAMES = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in VIOLATION_NAMES.items())
 SQL["list_videos"] = over(" SELECT id, filename, source_type, duration_sec, status, codec FROM videos WHERE contains(lower(filename), 'clip_1') ORDER BY imported_at DESC, id DESC LIMIT 25", "videos")
 SQL["video_details"] = over(" SELECT id, filename, filepath, source_type, duration_sec, width, height, codec, status FROM videos", "videos")
 SQL["videos_by_status"] = over(" SELECT id FROM videos WHERE status IN ('imported', 'prelabeled')", "videos")
-SQL["detections_of_video"] = over(" SELECT id, frame_no, class_name, track_id, round(confidence, 4) AS confidence FROM detections WHERE video_id = 7", "detections")
+SQL["detections_of_video"] = over(" SELECT video_id, row_number() OVER (PARTITION BY video_id ORDER BY frame_no, id) AS place, id, frame_no, class_name, track_id, round(confidence, 4) AS confidence FROM detections", "detections")
 SQL["list_violations"] = over(f" SELECT v.id, filename, violation_type, CASE violation_type {_NAMES} ELSE violation_type END AS type_name, start_ms, license_plate, review_status FROM violations v JOIN videos ON videos.id = v.video_id WHERE violation_type = 'speeding' ORDER BY v.id DESC LIMIT 100", *_V)
-SQL["list_violations_editable"] = over(" SELECT v.id, video_id, coalesce(filename, '—') AS filename, violation_type, start_ms, end_ms, coalesce(license_plate, '') AS license_plate, coalesce(source, 'auto') AS source, coalesce(v.notes, '') AS notes, review_status FROM violations v LEFT JOIN (SELECT * FROM videos WHERE id % 2 = 0) w ON w.id = v.video_id ORDER BY v.id DESC LIMIT 500", *_V)
-SQL["violation_for_edit"] = over(" SELECT id, video_id, violation_type, start_ms, end_ms, license_plate, notes, review_status FROM violations WHERE id = 77", "violations")
+SQL["list_violations_editable"] = over(" SELECT v.id, video_id, coalesce(filename, '—') AS filename, violation_type, start_ms, end_ms, coalesce(license_plate, '') AS license_plate, coalesce(source, 'auto') AS source, coalesce(v.notes, '') AS notes, review_status FROM violations v LEFT JOIN videos w ON w.id = v.video_id ORDER BY v.id DESC LIMIT 500", *_V)
+SQL["violation_for_edit"] = over(" SELECT id, video_id, violation_type, start_ms, end_ms, license_plate, notes, review_status FROM violations", "violations")
 SQL["count_violations"] = over(" SELECT count(*) AS n FROM violations WHERE violation_type = 'lane_keeping' AND review_status = 'confirmed'", "violations")
 SQL["violation_evidence"] = over(" SELECT v.id, filepath, (u.p - 1)::INTEGER AS pos, v.f[u.p] AS frame_no FROM (SELECT *, [id % 40, id % 40 + 3, id % 40 + 9] AS f FROM violations WHERE id % 11 <> 0) v CROSS JOIN (SELECT unnest([1, 2, 3]) AS p) u JOIN videos ON videos.id = v.video_id", *_V)
 SQL["evidence_decode"] = over(" SELECT id, CASE WHEN id % 11 = 0 THEN '' ELSE replace(replace(evidence_frames, '[', ''), ']', '') END AS frames FROM violations", "violations")
 SQL["fps_or_default"] = over(" SELECT id, CASE WHEN id % 8 = 0 OR fps IS NULL OR fps = 0 THEN 30 ELSE fps END AS fps FROM videos", "videos")
-SQL["video_summaries"] = over(" SELECT id, filename, (SELECT count(*) FROM detections d WHERE d.video_id = v.id) AS n_detections, (SELECT count(*) FROM violations x WHERE x.video_id = v.id AND x.video_id % 2 = 0) AS n_violations FROM videos v", *_V, "detections")
+SQL["video_summaries"] = over(" SELECT id, filename, (SELECT count(*) FROM detections d WHERE d.video_id = v.id) AS n_detections, (SELECT count(*) FROM violations x WHERE x.video_id = v.id) AS n_violations FROM videos v", *_V, "detections")
 
 # Sources.
 SQL["analysis_summary"] = over(" SELECT video_id, count(*) AS n_detections, count(DISTINCT frame_no) AS n_frames FROM detections GROUP BY 1", "detections")
@@ -193,19 +193,22 @@ SELECT id, CASE WHEN source_type NOT IN ('dashcam', 'cctv', 'social', 'other') T
     "videos",
 )
 
+# Lamps by the video: two bright ones, or a large one, glare; a small one, coloured ones, and day do not. The box leaves the picture of 460 rows.
+SQL["rule_high_beam_misuse"] = over(
+    """, g AS (SELECT video_id, min(frame_no) AS a, max(frame_no) AS z, list_sort(list(frame_no))[1:5] AS f, CASE WHEN any_value(fps) <> 0 THEN any_value(fps) ELSE 30 END AS fps FROM detections JOIN (SELECT id, fps FROM videos) v ON v.id = video_id
+  WHERE track_id = 1 AND video_id % 4 = 0 AND (video_id // 4) % 4 IN (0, 3) AND frame_no % 5 = 0 AND floor(bbox_y1) + 48 <= 460 GROUP BY 1)
+SELECT video_id, 'high_beam_misuse' AS violation_type, 1 AS track_id, CAST(floor(a * 1000 / fps) AS INT) AS start_ms, CAST(floor(z * 1000 / fps) AS INT) AS end_ms, round(least(0.75, 0.55::DOUBLE + (z - a + 1) / fps / 20), 4) AS confidence, array_to_string(f, ',') AS evidence FROM g WHERE (z - a + 1) / fps >= 2""",
+    "detections",
+    "videos",
+)
+
 # Rules together, readiness.
 _RULES = [k for k in SQL if k.startswith("rule_")]
-SQL["run_rules"] = " UNION ALL ".join(f"SELECT '{k[5:]}' AS violation_type, count(*) AS n FROM ({SQL[k]}) HAVING count(*) > 0" for k in _RULES)
-SQL["rule_gating"] = " UNION ALL ".join(f"SELECT video_id, violation_type, count(*) AS n FROM ({SQL[k]}) WHERE video_id < 20 GROUP BY ALL" for k in ("rule_speeding", "rule_unsafe_following"))
-SQL["extract_violations"] = (
-    "SELECT source, violation_type, CAST(sum(n) AS BIGINT) AS n FROM ("
-    + over(" SELECT coalesce(source, 'auto') AS source, violation_type, count(*) AS n FROM violations WHERE coalesce(source, 'auto') <> 'auto' OR video_id % 2 <> 0 OR video_id NOT IN (SELECT video_id FROM detections) GROUP BY ALL", "violations", "detections")
-    + "".join(f" UNION ALL SELECT 'auto', violation_type, count(*) FROM ({SQL[k]}) WHERE video_id % 2 = 0 GROUP BY 2" for k in ("rule_speeding", "rule_illegal_overtaking"))
-    + ") GROUP BY ALL"
-)
+SQL["run_rules"] = " UNION ALL ".join(f"SELECT '{k[5:]}' AS violation_type, count(*) AS n, count(DISTINCT video_id) AS videos, CAST(sum(start_ms) AS BIGINT) AS starts FROM ({SQL[k]}) HAVING count(*) > 0" for k in _RULES)
+SQL["rule_gating"] = " UNION ALL ".join(f"SELECT video_id, violation_type, count(*) AS n FROM ({SQL[k]}) GROUP BY ALL" for k in ("rule_speeding", "rule_unsafe_following", "rule_high_beam_misuse"))
 _READY = """, i AS (SELECT id FROM videos UNION ALL SELECT id + 100000 FROM videos),
-r AS (SELECT id, id <= 100000 AND id % 5 <> 0 AND id IN (SELECT video_id FROM detections) AS has_detections, id % 5 <> 0 AND id IN (SELECT video_id FROM detections WHERE track_id IS NOT NULL) AS has_tracks, id IN (SELECT video_id FROM calibrations) AS has_calibration, id % 2 = 1 AND id <= 100000 AS has_video_file,
- CASE WHEN id % 6 <> 0 AND id <= 100000 THEN 'lane_line_solid,no_parking,stop_line' ELSE '' END AS zone_types FROM i)"""
+r AS (SELECT id, id IN (SELECT video_id FROM detections) AS has_detections, id IN (SELECT video_id FROM detections WHERE track_id IS NOT NULL) AS has_tracks, id IN (SELECT video_id FROM calibrations) AS has_calibration, id IN (SELECT id FROM videos WHERE width IS NOT NULL) AS has_video_file,
+ CASE WHEN id <= 100000 THEN 'lane_line_solid,no_parking,stop_line' ELSE '' END AS zone_types FROM i)"""
 SQL["readiness"] = over(f"{_READY} SELECT * FROM r", "videos", "detections", "calibrations")
 SQL["detectors_blocked"] = over(
     _READY
@@ -236,6 +239,14 @@ SQL["plate_vote"] = over(f"{_VOTE.format('plate_reads')} SELECT video_id, track_
 SQL["best_reading"] = over(f"{_BEST} SELECT * FROM best", "plate_reads")
 SQL["plate_for_image_set"] = over(f"{_BEST}{_VOTE.format('best')} SELECT video_id, track_id, text, round(confidence, 6) AS confidence, reads FROM won", "plate_reads")
 SQL["plate_for_violation"] = over(f"{_VOTE.format('plate_reads')} SELECT id, coalesce(CASE WHEN w.confidence > 0 THEN text END, license_plate) AS license_plate, round(coalesce(CASE WHEN w.confidence > 0 THEN w.confidence END, plate_conf), 6) AS plate_conf FROM violations LEFT JOIN won w USING (video_id, track_id)", "plate_reads", "violations")
+_AUTO = " UNION ALL ".join(f"SELECT video_id, violation_type, track_id FROM ({SQL[k]})" for k in _RULES)
+SQL["extract_violations"] = (
+    over(f"{_VOTE.format('plate_reads')}, auto AS (SELECT * FROM ({_AUTO})), ", "violations", "detections", "videos", "plate_reads")
+    + """seen AS (SELECT DISTINCT video_id FROM detections),
+all_rows AS (SELECT coalesce(source, 'auto') AS source, violation_type, license_plate, video_id FROM violations WHERE coalesce(source, 'auto') <> 'auto' OR video_id NOT IN (SELECT video_id FROM seen)
+ UNION ALL SELECT 'auto', violation_type, CASE WHEN w.confidence > 0 THEN text END, a.video_id FROM auto a LEFT JOIN won w USING (video_id, track_id) WHERE a.video_id IN (SELECT video_id FROM seen))
+SELECT source, violation_type, CASE WHEN v.id IN (SELECT video_id FROM seen) THEN 'analyzed' ELSE v.status END AS status, count(*) AS n, count(license_plate) AS plates, count(DISTINCT r.video_id) AS videos FROM all_rows r LEFT JOIN videos v ON v.id = r.video_id GROUP BY ALL"""
+)
 SQL["plates_for_track"] = _tracks(
     """, p AS (SELECT v.video_id, v.track_id, v.frame_no, min(d.id) AS box_id FROM veh v JOIN detections d ON d.video_id = v.video_id AND d.frame_no = v.frame_no AND d.class_name = 'license_plate'
   WHERE (d.bbox_x1 + d.bbox_x2) / 2 BETWEEN v.bbox_x1 AND v.bbox_x2 AND (d.bbox_y1 + d.bbox_y2) / 2 BETWEEN v.bbox_y1 AND v.bbox_y2 GROUP BY ALL)
@@ -279,7 +290,12 @@ SQL["video_changes"] = over(
 SQL["delete_videos_cascade"] = over(" SELECT 'videos' AS part, count(*) AS n FROM videos WHERE id % 4 <> 1 " + "".join(f"UNION ALL SELECT '{t}', count(*) FROM {t} WHERE video_id NOT IN (SELECT id FROM videos WHERE id % 4 = 1) " for t in ("detections", "violations", "zones", "calibrations")), "videos", "detections", "violations", "zones", "calibrations")
 
 # Sampling, hashes and codecs that follow from how the derived tables are made.
-SQL["stride_sample"] = over(" SELECT video_id, track_id, frame_no FROM detections WHERE track_id IS NOT NULL AND frame_no % 6 = 0", "detections")
+SQL["stride_sample"] = over(
+    """, p AS (SELECT DISTINCT video_id, frame_no FROM detections WHERE class_name = 'person'),
+g(video_id, frame_no) AS (SELECT video_id, min(frame_no) FROM p GROUP BY 1 UNION ALL SELECT g.video_id, min(p.frame_no) FROM g JOIN p ON p.video_id = g.video_id AND p.frame_no >= g.frame_no + 5 GROUP BY g.video_id, g.frame_no)
+SELECT video_id, frame_no FROM g""",
+    "detections",
+).replace("WITH ", "WITH RECURSIVE ", 1)
 _PAIRS = (
     """, h AS (SELECT id, phash, [('0x' || phash[i:i+7])::UBIGINT for i in range(1, 65, 8)] AS w FROM hashes WHERE regexp_full_match(phash, '[0-9a-f]{64}')),
 near AS (SELECT a.id AS a, b.id AS b FROM h a JOIN h b ON a.id < b.id WHERE """
@@ -307,9 +323,52 @@ _INNER, _OUTER = (bytes(b ^ x for b in _PAD).hex() for x in (0x36, 0x5C))
 SQL["pseudonymize_plate"] = over(
     f" SELECT CASE WHEN license_plate <> '' THEN 'PLATE-' || upper(sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || encode(license_plate))))[1:10]) END AS pseudonym, count(*) AS n FROM violations GROUP BY 1", "violations"
 )
-# Only the first track of every fourth video carries lamps, in every fifth frame up to 65.
-SQL["rule_high_beam_misuse"] = over(
-    """, g AS (SELECT video_id, max(frame_no) FILTER (frame_no % 5 = 0 AND frame_no <= 65) AS z, list_sort(list(frame_no) FILTER (frame_no % 5 = 0))[1:5] AS f FROM detections WHERE track_id = 1 AND video_id % 4 = 0 GROUP BY 1)
-SELECT video_id, 'high_beam_misuse' AS violation_type, 1 AS track_id, 0 AS start_ms, CAST(floor(z * 1000 / 30) AS INT) AS end_ms, round(least(0.75, 0.55::DOUBLE + (z + 1) / 30 / 20), 4) AS confidence, array_to_string(f, ',') AS evidence FROM g WHERE (z + 1) / 30 >= 2""",
-    "detections",
+
+# Files that queries write from the tables and read back.
+_MEDIA = """, f AS (SELECT 'clip_' || id || '.mp4' AS name, repeat('video ' || (id % 40) || chr(10), 50) AS content FROM videos WHERE id % 3 <> 0),
+d AS (SELECT *, length(content) AS size FROM f)"""
+SQL["src_video_files"] = over(f"{_MEDIA} SELECT name, size FROM d", "videos")
+SQL["file_fingerprints"] = over(
+    f"{_MEDIA} SELECT name, sha256(unhex(printf('%02x%02x', size % 256, size // 256) || '000000000000') || encode(content)) AS partial, CASE WHEN count(*) OVER (PARTITION BY content) > 1 THEN sha256(content) END AS full, NULL::VARCHAR AS error FROM d", "videos"
+)
+SQL["labels_read"] = over(" SELECT 'clip_' || video_id AS stem, 'clip_' || video_id || '.jpg' AS image, count(*) AS n, CAST(sum(d.id % 13) AS BIGINT) AS classes FROM detections d JOIN videos v ON v.id = video_id WHERE width IS NOT NULL GROUP BY video_id", "detections", "videos")
+SQL["training_log_read"] = over(" SELECT epoch, box_loss, cls_loss FROM training_log", "training_log")
+SQL["zone_changes"] = over(
+    " SELECT zone_type, count(*) AS n, count(*) AS ids, count(DISTINCT video_id) AS videos FROM (SELECT zone_type, video_id FROM zones WHERE zone_type <> 'stop_line' UNION ALL SELECT 'lane_line_dashed', id FROM videos WHERE id % 5 <> 0) GROUP BY 1", "zones", "videos"
+)
+SQL["estimate_speed"] = _tracks(
+    """ SELECT video_id, track_id, round(CASE WHEN ms > 0 THEN px * meters_per_px / (ms / 1000.0) * 3.6 ELSE 0 END, 3) AS kmh FROM
+ (SELECT video_id, track_id, sqrt((last(cx ORDER BY pos) - first(cx ORDER BY pos)) ** 2 + (last(cy ORDER BY pos) - first(cy ORDER BY pos)) ** 2) AS px, last(timestamp_ms ORDER BY pos) - first(timestamp_ms ORDER BY pos) AS ms FROM veh WHERE n > 1 GROUP BY ALL) JOIN calibrations USING (video_id)"""
+)
+SQL["augment_tips"] = over(
+    f"""{_WEAK}, x AS (SELECT class_name, ['collect more than 100 samples', 'use copy_paste'] AS few, ['review the annotations', 'raise mosaic to 1.0 and mixup to 0.15'] AS dim, ['set hsv_h to 0.02 and hsv_s to 0.8', 'set fliplr and scale to 0.5'] AS mild,
+ ['raise the confidence threshold at inference', 'raise the class weight in the loss'] AS alarms, ['lower the confidence threshold at inference', 'use a larger image size'] AS missed, instances, map50, p, r FROM weak),
+t AS (SELECT class_name, list_concat(CASE WHEN instances < 100 THEN few ELSE [] END, CASE WHEN map50 < 0.3::DOUBLE THEN dim ELSE mild END, CASE WHEN p < r - 0.1::DOUBLE THEN alarms ELSE [] END, CASE WHEN r < p - 0.1::DOUBLE THEN missed ELSE [] END) AS tips FROM x)
+SELECT class_name, (k - 1)::INTEGER AS pos, tips[k] AS tip FROM t, range(1, 9) g(k) WHERE k <= len(tips)""",
+    "label_lines",
+    "eval_metrics",
+)
+SQL["dataset_prepare"] = over(
+    f"""{_DIM}, n AS (SELECT count(DISTINCT stem) AS n FROM label_lines), parts AS (SELECT CAST(floor(n * 0.7::DOUBLE) AS BIGINT) AS a, CAST(floor(n * 0.2::DOUBLE) AS BIGINT) AS b, n FROM n)
+SELECT 'split' AS part, 'train' AS key, a AS n FROM parts UNION ALL SELECT 'split', 'val', b FROM parts UNION ALL SELECT 'split', 'test', n - a - b FROM parts UNION ALL SELECT 'manifest', 'images', n FROM parts
+UNION ALL SELECT 'stats', class_name, instances FROM st UNION ALL SELECT 'issues', 'few instances', 1 FROM st WHERE instances < 100""",
+    "label_lines",
+)
+_LISTED = "'[' || string_agg('{\"' || k || '\":' || v || ',\"n\":' || n || '}', ',' ORDER BY o) || ']'"
+SQL["study_document"] = over(
+    f"""{_MOMENT}, u AS (SELECT 'by_type' AS part, 'violation_type' AS k, '\"' || violation_type || '\"' AS v, violation_type AS o, count(*) AS n FROM violations GROUP BY ALL UNION ALL SELECT 'by_status', 'review_status', '\"' || review_status || '\"', review_status, count(*) FROM violations GROUP BY ALL
+ UNION ALL SELECT 'by_hour', 'hour', hour(moment)::VARCHAR, lpad(hour(moment)::VARCHAR, 2, '0'), count(*) FROM m GROUP BY ALL UNION ALL SELECT 'by_weekday', 'weekday', ((dayofweek(moment) + 6) % 7)::VARCHAR, ((dayofweek(moment) + 6) % 7)::VARCHAR, count(*) FROM m GROUP BY ALL)
+SELECT part, {_LISTED} AS rows FROM u GROUP BY part UNION ALL SELECT 'kpis', '[{{"videos":' || a || ',"violations":' || b || ',"per_video":' || (b / a)::DOUBLE || '}}]' FROM (SELECT (SELECT count(*) FROM videos) AS a, (SELECT count(*) FROM violations) AS b)""".replace('\\"', '"'),
+    *_V,
+)
+_HMAC = f"'PLATE-' || upper(sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || encode(license_plate))))[1:10])"
+SQL["export_csv"] = over(f" SELECT v.id, filename, violation_type, CASE violation_type {_NAMES} END AS type_name, start_ms / 1000 AS start_sec, CASE WHEN license_plate <> '' THEN {_HMAC} END AS plate, true AS anonymized FROM violations v JOIN videos ON videos.id = v.video_id", *_V)
+SQL["export_json"] = over(" SELECT id, notes, license_plate, strftime(created_at, '%Y-%m-%dT%H:%M:%S') AS created_at FROM violations", "violations")
+SQL["export_detail_tables"] = over(
+    f"""{_MOMENT} SELECT 'summary' AS part, k AS key, CASE k WHEN 'videos' THEN a WHEN 'violations' THEN b ELSE b / a END::DOUBLE AS value FROM (SELECT (SELECT count(*) FROM videos) AS a, (SELECT count(*) FROM violations) AS b), (VALUES ('videos'), ('violations'), ('per_video')) t(k)
+UNION ALL SELECT 'by_type', CASE violation_type {_NAMES} END, count(*) FROM violations GROUP BY ALL UNION ALL SELECT 'by_hour', hour(moment)::VARCHAR, count(*) FROM m GROUP BY ALL
+UNION ALL SELECT 'details', violation_type, round(sum(start_ms / 1000), 3) FROM violations JOIN videos ON videos.id = video_id GROUP BY ALL""",
+    *_V,
 )
+SQL["export_log"] = over(""", s AS (SELECT DISTINCT coalesce(source_type, 'other') AS s FROM videos) SELECT 'study of ' || s AS study_name, '{"source":"' || s || '"}' AS filter_json, 'csv' AS format, '/out/' || s AS output_path, 2::BIGINT AS n FROM s""", "videos")
+SQL["deletion_audit"] = over(" SELECT 'video' AS entity, id AS entity_id, 'delete' AS action, filename AS old_value, NULL::VARCHAR AS new_value, 'admin' AS actor FROM videos WHERE id % 4 = 1", "videos")

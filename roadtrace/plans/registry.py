@@ -20,6 +20,7 @@ from roadtrace.operators import rules as R
 from roadtrace.operators import tracks as T
 from roadtrace.plans import checks as Q
 from roadtrace.schemas import VIOLATION_NAMES
+from roadtrace.session import new_folder
 from roadtrace.sources import ingest as I
 from roadtrace.sources.adapters import load
 
@@ -50,17 +51,24 @@ class Tables:
 
 
 def frames_of(detections: DataFrame) -> DataFrame:
-    """Small night frames drawn from the detections: in videos whose id is divisible by 4, every fifth frame up to 65 shows two lamps in the first track's box."""
-    first = detections.filter("track_id = 1 and video_id % 4 = 0 and frame_no % 5 = 0 and frame_no <= 65").groupBy("video_id", "frame_no").agg(F.min_by(F.struct("bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2"), "id").alias("b"))
+    """Small frames drawn from the detections: every fifth frame, as a sampler decodes them, of videos whose id is divisible by 4, and of some by day.
+
+    The first track's box holds lamps while it is inside the picture: two of them, one small
+    one, two coloured ones or one large one, by the video.
+    """
+    first = detections.filter("track_id = 1 and (video_id % 4 = 0 or video_id % 16 = 2) and frame_no % 5 = 0").groupBy("video_id", "frame_no").agg(F.min_by(F.struct("bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2"), "id").alias("b"))
     w, h = 170, 460
     x, y = F.floor("b.bbox_x1"), F.floor("b.bbox_y1")
-    # rows above the lamps, rows of the lamps, rows below: 12 high, two spans of 12, at the lower third of the box
-    top = F.least(F.greatest(F.lit(0), y + 36), F.lit(h - 12)).cast("int")
-    left = F.least(F.greatest(F.lit(0), x + 8), F.lit(w - 48)).cast("int")
-    dark = lambda n: F.repeat(F.lit("10"), n * 3)
-    lit = lambda n: F.repeat(F.lit("FA"), n * 3)
-    line = F.concat(dark(left), lit(F.lit(12)), dark(F.lit(12)), lit(F.lit(12)), dark(F.lit(w) - left - 36))
-    picture = F.unhex(F.concat(dark(top * w), F.repeat(line, 12), dark((F.lit(h) - top - 12) * w)))
+    night, kind = F.col("video_id") % 4 == 0, F.floor(F.col("video_id") / 4) % 4
+    # rows above the lamps, rows of the lamps (12 high, in the lower third of the box), rows below
+    top, left = F.least(y + 36, F.lit(h - 12)).cast("int"), (x + 8).cast("int")
+    inside = (y + 48 <= h) & (x + 52 <= w)
+    ground = F.when(night, "0A0A0A").otherwise("C8C8C8")
+    lamp = F.when(~inside, ground).when(kind == 2, "3232FA").otherwise("FAFAFA")
+    second = F.when(kind == 1, ground).otherwise(lamp)
+    between = F.when(kind == 3, lamp).otherwise(ground)
+    line = F.concat(F.repeat(ground, left), F.repeat(lamp, F.lit(12)), F.repeat(between, F.lit(12)), F.repeat(second, F.lit(12)), F.repeat(ground, w - left - 36))
+    picture = F.unhex(F.concat(F.repeat(ground, top * w), F.repeat(line, F.lit(12)), F.repeat(ground, (h - top - 12) * w)))
     return first.select("video_id", "frame_no", F.lit(h).alias("height"), F.lit(w).alias("width"), picture.alias("bgr"))
 
 
@@ -163,7 +171,7 @@ def _readings(t: Tables) -> DataFrame:
 
 def _ready(t: Tables) -> DataFrame:
     ids = t.videos.select("id").unionByName(t.videos.select((F.col("id") + 100_000).alias("id")))
-    return A.readiness(ids, t.detections.filter("video_id % 5 <> 0"), t.zones.filter("video_id % 6 <> 0"), t.calibrations, t.videos.filter("id % 2 = 1"))
+    return A.readiness(ids, t.detections, t.zones, t.calibrations, t.videos.filter("width is not null"))
 
 
 def _valid(t: Tables) -> DataFrame:
@@ -177,10 +185,10 @@ def _study(t: Tables) -> DataFrame:
 
 
 def _extract(t: Tables) -> DataFrame:
-    x = R.RuleInput(t.detections.filter("video_id % 2 = 0"), t.parsed_zones, t.calibrations, t.videos)
-    found = R.run_rules(x, {"speeding": R.speeding, "illegal_overtaking": R.illegal_overtaking}).withColumn("id", F.lit(None).cast("int"))
-    rows = C.extract_violations(t.violations, found, x.detections)
-    return rows.groupBy(F.coalesce("source", F.lit("auto")).alias("source"), "violation_type").agg(F.count("*").alias("n"))
+    """All rules on all videos, with plates and statuses, as a re-run of the whole library leaves them."""
+    rows, videos = C.extract(t.rule_input, t.violations, t.videos, _votes(t))
+    rows = rows.join(videos.select(F.col("id").alias("video_id"), "status"), "video_id", "left")
+    return rows.groupBy(F.coalesce("source", F.lit("auto")).alias("source"), "violation_type", "status").agg(F.count("*").alias("n"), F.count("license_plate").alias("plates"), F.countDistinct("video_id").alias("videos"))
 
 
 def _video_changes(t: Tables) -> DataFrame:
@@ -223,6 +231,96 @@ def _weak(t: Tables) -> DataFrame:
     return D.weak_classes(t.eval_metrics, D.class_stats(t.label_lines))
 
 
+def _folder(t: Tables, name: str) -> str:
+    """A new folder for files that a query writes from the tables and reads back; it goes with the application."""
+    return new_folder(t.spark, name)
+
+
+def _media(t: Tables) -> str:
+    """A file for each video: every third is a note, and 40 contents repeat."""
+    rows = t.videos.select(F.concat(F.when(F.col("id") % 3 == 0, "note_").otherwise("clip_"), F.col("id").cast("string"), F.when(F.col("id") % 3 == 0, ".txt").otherwise(".mp4")).alias("name"), F.repeat(F.concat(F.lit("video "), (F.col("id") % 40).cast("string"), F.lit("\n")), F.lit(50)).alias("content"))
+    return I.write_files(rows, _folder(t, "media"))
+
+
+def _name(path: str = "path") -> Column:
+    return F.element_at(F.split(path, "/"), -1)
+
+
+def _fingerprints(t: Tables) -> DataFrame:
+    files = I.video_files(t.spark, _media(t))
+    return I.fingerprints(files).select(_name().alias("name"), "partial", "full", "error")
+
+
+def _labels(t: Tables) -> DataFrame:
+    """Label files and images by video: a line for each detection, and an image for every second video."""
+    lines = t.detections.groupBy("video_id").agg(F.array_join(F.array_sort(F.collect_list(F.concat((F.col("id") % 13).cast("string"), F.lit(" 0.5 0.5 0.1 0.2")))), "\n").alias("content"))
+    at = _folder(t, "labels")
+    I.write_files(lines.select(F.concat(F.lit("clip_"), "video_id", F.lit(".txt")).alias("name"), "content"), f"{at}/labels")
+    I.write_files(t.videos.filter("width is not null").select(F.concat(F.lit("clip_"), "id", F.lit(".jpg")).alias("name"), F.lit("pixels").alias("content")), f"{at}/images")
+    read = I.labels_read(t.spark, f"{at}/images", f"{at}/labels")
+    first = F.transform("lines", lambda x: F.split(x, " ")[0].cast("bigint"))
+    return read.select("stem", _name("image").alias("image"), F.size("lines").cast("bigint").alias("n"), F.aggregate(first, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("classes"))
+
+
+def _log_read(t: Tables) -> DataFrame:
+    at = _folder(t, "log")
+    t.training_log.select(F.col("epoch").alias("  epoch"), F.col("box_loss").alias(" train/box_loss "), F.col("cls_loss").alias("train/cls_loss")).write.csv(f"{at}/results", header=True)
+    return I.training_log_read(t.spark, f"{at}/results").select("epoch", F.col("`train/box_loss`").alias("box_loss"), F.col("`train/cls_loss`").alias("cls_loss"))
+
+
+def _export_csv(t: Tables) -> DataFrame:
+    at = _folder(t, "csv")
+    E.export_csv(E.export_rows(t.violations, t.videos, SECRET), at)
+    back = t.spark.read.csv(at, header=True, escape='"')
+    return back.select(F.col("id").cast("int").alias("id"), "filename", "violation_type", "type_name", F.col("start_sec").cast("double").alias("start_sec"), F.col("license_plate").alias("plate"), F.col("anonymized").cast("boolean").alias("anonymized"))
+
+
+def _export_json(t: Tables) -> DataFrame:
+    at = _folder(t, "json")
+    E.export_json(t.violations.select("id", "notes", "license_plate", "created_at"), at)
+    return t.spark.read.schema("id int, notes string, license_plate string, created_at string").json(at)
+
+
+def _detail_tables(t: Tables) -> DataFrame:
+    at = _folder(t, "tables")
+    E.export_detail_tables(E.detail_tables(t.violations, t.videos, SECRET), at)
+    back = lambda name: t.spark.read.csv(f"{at}/{name}", header=True, escape='"')
+    long = lambda name, key, value: back(name).select(F.lit(name).alias("part"), F.col(key).alias("key"), F.col(value).cast("double").alias("value"))
+    details = back("details").groupBy(F.lit("details").alias("part"), F.col("violation_type").alias("key")).agg(F.sum(F.col("start_sec").cast("double")).alias("value"))
+    return long("summary", "figure", "value").unionByName(long("by_type", "type_name", "n")).unionByName(long("by_hour", "hour", "n")).unionByName(details.withColumn("value", F.round("value", 3)))
+
+
+def _export_log(t: Tables) -> DataFrame:
+    """A log to which an export of each source's videos is appended, in two writes."""
+    at = _folder(t, "exports")
+    rows = A.videos_by_source(t.videos).select(F.concat(F.lit("study of "), "source").alias("study_name"), F.to_json(F.struct("source")).alias("filter_json"), F.lit("csv").alias("format"), F.concat(F.lit("/out/"), "source").alias("output_path"))
+    for _ in range(2):
+        E.export_log(at, rows)
+    return t.spark.read.parquet(at).groupBy("study_name", "filter_json", "format", "output_path").agg(F.count("*").alias("n"))
+
+
+def _prepared(t: Tables) -> DataFrame:
+    pairs = t.label_lines.groupBy("stem").agg(F.collect_list("line").alias("lines")).select("stem", F.concat("stem", F.lit(".jpg")).alias("image"), "lines")
+    parts = D.dataset_prepare(pairs)
+    of = lambda name, key, n: parts[name].select(F.lit(name).alias("part"), F.col(key).alias("key"), n.cast("bigint").alias("n"))
+    split = D.split_counts(parts["split"]).select(F.lit("split").alias("part"), F.col("split").alias("key"), "n")
+    manifest = parts["manifest"].agg(F.lit("manifest").alias("part"), F.lit("images").alias("key"), F.countDistinct("image").alias("n"))
+    return split.unionByName(manifest).unionByName(of("stats", "class_name", F.col("instances"))).unionByName(of("issues", "issue", F.lit(1)))
+
+
+def _direct_speeds(t: Tables) -> DataFrame:
+    x = t.rule_input
+    moved = T.track_motion(x.segments).join(x.scale, "video_id")
+    return moved.select("video_id", "track_id", F.round(G.speed_kmh(F.col("displacement_px"), F.col("elapsed_ms"), F.col("meters_per_px")), 3).alias("kmh"))
+
+
+def _zone_changes(t: Tables) -> DataFrame:
+    """Zones with a second, dashed line for every video (every fifth of them broken), and without the stop lines."""
+    new = t.videos.select(F.col("id").alias("video_id"), F.lit("lane_line_dashed").alias("zone_type"), F.when(F.col("id") % 5 == 0, "[[1,1]]").otherwise("[[0,9],[9,9]]").alias("polygon"))
+    left = I.zones_delete(I.zones_add(t.zones, new), t.zones.filter("zone_type = 'stop_line'"))
+    return left.groupBy("zone_type").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids"), F.countDistinct("video_id").alias("videos"))
+
+
 def _scalar_hash(t: Tables) -> DataFrame:
     h = t.hashes
     other = h.select((F.col("id") - 1).alias("id"), F.col("phash").alias("next"))
@@ -244,6 +342,10 @@ def _rule(name: str, t: Tables) -> DataFrame:
 
 QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     # sources and ingestion
+    "src_video_files": lambda t: I.video_files(t.spark, _media(t)).select(_name().alias("name"), "size"),
+    "file_fingerprints": _fingerprints,
+    "labels_read": _labels,
+    "training_log_read": _log_read,
     "import_classify": lambda t: I.import_classify(_import_files(t), _import_known(t)).groupBy("outcome").agg(F.count("*").alias("n")),
     "probe_to_metadata": lambda t: I.probe_metadata(_probes(t)).select("path", "duration_sec", "width", "height", "codec", "fps", "file_size_mb", F.date_format("recorded_at", "yyyy-MM-dd HH:mm").alias("recorded")),
     "detections_from_frames": lambda t: I.detections_from_frames(_frame_results(t), t.rule_input.rates).groupBy("video_id", "class_name").agg(F.count("*").alias("n"), F.sum("frame_no").alias("frames"), F.sum("timestamp_ms").alias("ms"), F.round(F.sum("bbox_x2"), 2).alias("x2")),
@@ -254,6 +356,7 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "zones_parse": lambda t: _messy_zones(t).select("id", _points("points").alias("points")),
     "zones_validate": lambda t: _messy_zones(t).groupBy(F.coalesce("reason", F.lit("good")).alias("reason")).agg(F.count("*").alias("n")),
     "zones_upsert": lambda t: I.zones_upsert(t.zones, t.zones.filter("video_id % 3 = 0 and zone_type = 'stop_line'")).groupBy("zone_type").agg(F.count("*").alias("n")),
+    "zone_changes": _zone_changes,
     "calibration_compute": lambda t: I.calibration_compute(_references(t)).select("video_id", F.round("meters_per_px", 6).alias("meters_per_px"), "reason"),
     "calibration_upsert": lambda t: I.calibration_upsert(t.calibrations.unionByName(t.calibrations.withColumn("calibrated_at", F.expr("calibrated_at - interval 1 day")).withColumn("meters_per_px", F.lit(9.0)))).select("video_id", "meters_per_px"),
     "evidence_decode": lambda t: t.violations.select("id", _ids_of(I.evidence_decode(F.col("evidence_frames"))).alias("frames")),
@@ -262,14 +365,14 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "list_videos": lambda t: A.list_videos(t.videos, search="CLIP_1", limit=25),
     "video_details": lambda t: t.videos.select("id", "filename", "filepath", "source_type", "duration_sec", "width", "height", "codec", "status"),
     "videos_by_status": lambda t: C.statuses(t.videos, ["imported", "prelabeled"]),
-    "detections_of_video": lambda t: t.detections.filter("video_id = 7").orderBy("frame_no", "id").select("id", "frame_no", "class_name", "track_id", F.round("confidence", 4).alias("confidence")),
+    "detections_of_video": lambda t: A.detections_listed(t.detections).select("video_id", "place", "id", "frame_no", "class_name", "track_id", F.round("confidence", 4).alias("confidence")),
     "list_violations": lambda t: A.list_violations(t.violations, t.videos, kind="speeding", limit=100).select("id", "filename", "violation_type", "type_name", "start_ms", "license_plate", "review_status"),
-    "list_violations_editable": lambda t: A.list_editable(t.violations, t.videos.filter("id % 2 = 0")),
-    "violation_for_edit": lambda t: t.violations.filter("id = 77").select("id", "video_id", "violation_type", "start_ms", "end_ms", "license_plate", "notes", "review_status"),
+    "list_violations_editable": lambda t: A.list_editable(t.violations, t.videos),
+    "violation_for_edit": lambda t: t.violations.select("id", "video_id", "violation_type", "start_ms", "end_ms", "license_plate", "notes", "review_status"),
     "count_violations": lambda t: A.filtered(t.violations, kind="lane_keeping", review="confirmed").agg(F.count("*").alias("n")),
     "violation_evidence": lambda t: A.violation_evidence(t.violations, t.videos).select("id", "filepath", "pos", "frame_no"),
     "fps_or_default": lambda t: t.videos.select("id", X.fps_or_default(F.when(F.col("id") % 8 == 0, 0.0).otherwise(F.col("fps"))).alias("fps")),
-    "video_summaries": lambda t: A.video_summaries(t.videos, t.detections, t.violations.filter("video_id % 2 = 0")),
+    "video_summaries": lambda t: A.video_summaries(t.videos, t.detections, t.violations),
     # tracks and frames
     "build_tracks": lambda t: T.track_rows(t.detections).groupBy("video_id", "track_id", "track_class").agg(F.count("*").alias("n"), F.sum(F.col("pos") * F.col("frame_no")).cast("bigint").alias("order_sum")),
     "track_summary": lambda t: T.track_summary(t.detections),
@@ -277,14 +380,15 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "detections_by_frame": lambda t: T.grouped_by_frame(t.detections).select("video_id", "frame_no", F.size("detections").cast("bigint").alias("n"), F.concat_ws(",", F.transform("detections", lambda d: d["class_name"])).alias("classes")),
     "consecutive_runs": _runs,
     "first_crossing": _crossed,
-    "stride_sample": lambda t: T.stride_sample(T.track_rows(t.detections.filter("frame_no % 3 = 0")), 5),
+    "stride_sample": lambda t: T.stride_sample(t.detections.filter("class_name = 'person'"), 5, ["video_id"]),
     # rules
     **{f"rule_{n}": partial(_rule, n) for n in R.RULES},
-    "run_rules": lambda t: R.run_rules(t.rule_input, {n: r for n, r in R.RULES.items() if n != "high_beam_misuse"}).groupBy("violation_type").agg(F.count("*").alias("n")),
-    "rule_gating": lambda t: R.run_rules(R.RuleInput(t.detections, t.parsed_zones, t.calibrations.filter("video_id < 20"), t.videos), {"speeding": R.speeding, "unsafe_following": R.unsafe_following}).groupBy("video_id", "violation_type").agg(F.count("*").alias("n")),
+    "run_rules": lambda t: R.run_rules(t.rule_input).groupBy("violation_type").agg(F.count("*").alias("n"), F.countDistinct("video_id").alias("videos"), F.sum("start_ms").alias("starts")),
+    "rule_gating": lambda t: R.run_rules(t.rule_input, {n: R.RULES[n] for n in ("speeding", "unsafe_following", "high_beam_misuse")}).groupBy("video_id", "violation_type").agg(F.count("*").alias("n")),
     "extract_violations": _extract,
     "readiness": lambda t: _ready(t).withColumn("zone_types", _ids("zone_types")),
     "detectors_blocked": lambda t: A.detectors_blocked(_ready(t)).groupBy("rule", "missing").agg(F.count("*").alias("n")),
+    "estimate_speed": _direct_speeds,
     "track_speeds": lambda t: R.track_speeds(t.rule_input).select("video_id", "track_id", F.round("kmh", 3).alias("kmh")),
     # aggregations
     "kpis": lambda t: A.kpis(t.videos, t.violations).withColumn("per_video", F.round("per_video", 4)),
@@ -324,12 +428,19 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "dataset_manifest": lambda t: D.dataset_manifest(t.label_lines.select("stem", F.concat("stem", F.lit(".jpg")).alias("image")).distinct(), t.label_lines.select("stem", "split").distinct()),
     "weak_classes": _weak,
     "augment_advice": lambda t: D.augment_recipe(_weak(t)),
+    "augment_tips": lambda t: D.augment_tips(_weak(t)),
+    "dataset_prepare": _prepared,
     "error_report": lambda t: D.error_report(t.eval_metrics).select("threshold", F.round("map50", 6).alias("map50"), F.round("precision", 6).alias("precision"), F.round("recall", 6).alias("recall"), "n_weak", "passes_threshold"),
     "loss_series": lambda t: D.loss_series(t.training_log),
     "label_export_xml": lambda t: E.label_export(t.detections, t.videos)[0].select("filename", "_id", F.size("box").cast("bigint").alias("n"), F.concat_ws("|", F.col("box")[0]["_label"], F.col("box")[0]["_x1"], F.col("box")[0]["_y2"]).alias("first")),
     # exports and changes
     "study_build": _study,
     "export_rows": lambda t: E.export_rows(t.violations, t.videos, SECRET).select(*[c for c in E.CELLS if c != "license_plate"], F.length("license_plate").cast("bigint").alias("plate_chars")),
+    "study_document": lambda t: E.study_document(t.violations, t.videos),
+    "export_csv": _export_csv,
+    "export_json": _export_json,
+    "export_detail_tables": _detail_tables,
+    "export_log": _export_log,
     "apply_review": lambda t: C.apply_review(t.violations, t.changes).select("id", "review_status"),
     "validate_manual": lambda t: _valid(t).select("change_id", "reason"),
     "apply_manual_insert": lambda t: C.manual_inserts(_valid(t)),
@@ -338,6 +449,7 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "audit_append": lambda t: C.audit_rows(t.violations, t.changes).select("entity", "entity_id", "action", "old_value", "new_value", "actor"),
     "video_changes": _video_changes,
     "delete_videos_cascade": _deleted,
+    "deletion_audit": lambda t: C.deletion_audit(t.videos, t.videos.filter("id % 4 = 1"), "admin"),
 }
 
 

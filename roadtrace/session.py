@@ -30,15 +30,21 @@ def _file_system(spark: SparkSession, path: str):
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that goes when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
+    return path
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends there, and a lost executor costs its tasks only.
 
     The folder goes when the application ends, or with discard.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    fs, at = _file_system(spark, path)
-    fs.deleteOnExit(at)
+    path = new_folder(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._folder = path

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
+from functools import partial
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from roadtrace.functions import geometry as G
 from roadtrace.schemas import DETECTION_CLASSES, IMAGE_EXTENSIONS, VIDEO_EXTENSIONS, ZONE_TYPES
+from roadtrace.session import materialise
 
 CHUNK = 4 << 20
 
@@ -21,19 +28,77 @@ def video_files(spark: SparkSession, *paths: str) -> DataFrame:
     return files.filter(extension(F.col("path")).isin(VIDEO_EXTENSIONS)).dropDuplicates(["path"])
 
 
-def partial_fingerprint(content: Column, size: Column) -> Column:
-    """SHA-256 of the size (eight bytes, little-endian), the first 4 MiB, and the last 4 MiB of files above 8 MiB."""
-    head = F.reverse(F.unhex(F.lpad(F.hex(size), 16, "0")))
-    tail = F.when(size > 2 * CHUNK, F.substring(content, -CHUNK, CHUNK)).otherwise(F.lit(b""))
-    return F.sha2(F.concat(head, F.substring(content, 1, CHUNK), tail), 256)
+def _write(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[pa.RecordBatch]:
+    system, inner = fs.FileSystem.from_uri(_uri(folder))
+    system.create_dir(inner, recursive=True)
+    for batch in batches:
+        for name, content in zip(batch.column("name").to_pylist(), batch.column("content").to_pylist()):
+            with system.open_output_stream(f"{inner}/{name}") as f:
+                f.write((content or "").encode())
+        yield batch.select(["name"])
+
+
+def write_files(rows: DataFrame, folder: str) -> str:
+    """A text file for each row (name, content) in a folder, which is returned; a task that runs again writes the same files."""
+    rows.select("name", "content").mapInArrow(partial(_write, folder=folder), "name string").write.format("noop").mode("overwrite").save()
+    return folder
+
+
+def _uri(path: str) -> str:
+    return "file://" + path[5:] if path.startswith("file:/") and not path.startswith("file://") else path
+
+
+def _opened(path: str):
+    """A random-access file on whichever file system the path names."""
+    system, inner = fs.FileSystem.from_uri(_uri(path))
+    return system.open_input_file(inner)
+
+
+def _partial(path: str) -> str:
+    with _opened(path) as f:
+        size = f.size()
+        digest = hashlib.sha256(size.to_bytes(8, "little") + f.read(CHUNK))
+        if size > 2 * CHUNK:
+            f.seek(size - CHUNK)
+            digest.update(f.read(CHUNK))
+    return digest.hexdigest()
+
+
+def _full(path: str) -> str:
+    digest = hashlib.sha256()
+    with _opened(path) as f:
+        while part := f.read(CHUNK):
+            digest.update(part)
+    return digest.hexdigest()
+
+
+def _digests(batches: Iterator[pa.RecordBatch], digest: Callable[[str], str]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found, errors = [], []
+        for path in batch.column("path").to_pylist():
+            try:
+                found.append(digest(path))
+                errors.append(None)
+            except OSError as e:
+                found.append(None)
+                errors.append(str(e).splitlines()[0][:300])
+        yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(found, pa.string()), pa.array(errors, pa.string())], names=["path", "digest", "error"])
 
 
 def fingerprints(files: DataFrame) -> DataFrame:
-    """path and partial fingerprint of binaryFile rows; the full one only where partial ones collide."""
-    part = files.select("path", "length", partial_fingerprint(F.col("content"), F.col("length")).alias("partial"))
-    suspects = part.groupBy("partial").agg(F.count("*").alias("n")).filter("n > 1").select("partial")
-    full = files.join(part.join(suspects, "partial", "left_semi").select("path"), "path", "left_semi").select("path", F.sha2("content", 256).alias("full"))
-    return part.join(full, "path", "left")
+    """path, partial and full fingerprint, and the error of a file that cannot be read.
+
+    The partial one is SHA-256 over the size (eight bytes, little-endian), the first 4 MiB
+    and, of files above 8 MiB, the last 4 MiB: two reads, whatever the size. The full one is
+    taken where partial ones collide, and streamed, so no file is held in memory.
+    """
+    out = "path string, digest string, error string"
+    part = files.select("path").mapInArrow(partial(_digests, digest=_partial), out).withColumnRenamed("digest", "partial")
+    part = materialise(part, "fingerprints")
+    twins = part.groupBy("partial").agg(F.count("*").alias("n")).filter("n > 1 and partial is not null").select("partial")
+    full = part.join(twins, "partial", "left_semi").select("path").mapInArrow(partial(_digests, digest=_full), out)
+    full = full.select("path", F.col("digest").alias("full"), F.col("error").alias("late"))
+    return part.join(full, "path", "left").select("path", "partial", "full", F.coalesce("error", "late").alias("error"))
 
 
 def import_classify(found: DataFrame, known: DataFrame) -> DataFrame:
@@ -104,11 +169,12 @@ def analyze_batch(results: DataFrame, rates: DataFrame) -> tuple[DataFrame, Data
 
 
 def videos_insert(known: DataFrame, new: DataFrame) -> DataFrame:
-    """New catalogue rows: unknown paths, one row each, ids after the largest known one."""
-    fresh = new.join(known.select("filepath"), "filepath", "left_anti").dropDuplicates(["filepath"])
-    top = known.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top")).first()["top"]
+    """New catalogue rows: unknown paths, one row each (of several the first filename), ids after the largest known one."""
+    rest = [c for c in new.columns if c != "filepath"]
+    fresh = new.join(known.select("filepath"), "filepath", "left_anti").groupBy("filepath").agg(F.min(F.struct(*rest)).alias("r")).select("filepath", "r.*")
     # distinct and above the known ones, with gaps between partitions; nothing is ranked globally
-    rows = fresh.withColumn("id", (F.lit(top) + 1 + F.monotonically_increasing_id()).cast("long"))
+    top = known.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    rows = fresh.withColumn("id", top + 1 + F.monotonically_increasing_id())
     return rows.withColumn("status", F.lit("imported"))
 
 
@@ -136,6 +202,19 @@ def zones_upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.join(new.select("video_id").distinct(), "video_id", "left_anti").unionByName(new, allowMissingColumns=True)
 
 
+def zones_add(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The zones with the good ones of `new` (video_id, zone_type, polygon, metadata) behind them, ids after the largest."""
+    good = zones_validate(new.withColumn("points", parse_points(F.col("polygon")))).filter("reason is null").drop("points", "reason", "id")
+    top = old.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
+    rows = good.withColumn("id", top + 1 + F.monotonically_increasing_id())
+    return old.withColumn("id", F.col("id").cast("long")).unionByName(rows, allowMissingColumns=True)
+
+
+def zones_delete(old: DataFrame, ids: DataFrame) -> DataFrame:
+    """The zones without those of the given ids."""
+    return old.join(ids.select("id").distinct(), "id", "left_anti")
+
+
 def zones_file(spark: SparkSession, path: str, video_id: int) -> DataFrame:
     """Zones of one video out of a JSON file [{zone_type, polygon}]."""
     rows = spark.read.schema("zone_type string, polygon string, metadata string").json(path, multiLine=True)

@@ -108,12 +108,16 @@ def test_files_and_fingerprints(spark, tmp_path):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_bytes(data)
     assert {r.path.rsplit("/", 1)[1] for r in I.video_files(spark, str(tmp_path)).collect()} == {"a.MP4", "b.mkv", "c.mov"}
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(tmp_path))
+    with open(tmp_path / "sub/e.avi", "wb") as f:  # sparse, beyond what a cell can hold
+        f.truncate(3 << 30)
+    rows = I.video_files(spark, str(tmp_path)).select("path").unionByName(spark.createDataFrame([(f"file:{tmp_path}/gone.mp4",)], "path string"))
     got = {r.path.rsplit("/", 1)[1]: r for r in I.fingerprints(rows).collect()}
     size = len(big).to_bytes(8, "little")
     assert got["b.mkv"].partial == hashlib.sha256(size + big[: 4 << 20] + big[-(4 << 20) :]).hexdigest()
     assert got["a.MP4"].partial == hashlib.sha256((1).to_bytes(8, "little") + b"x").hexdigest() and got["a.MP4"].full is None
     assert got["b.mkv"].full == got["c.mov"].full == hashlib.sha256(big).hexdigest()
+    assert got["e.avi"].partial == hashlib.sha256((3 << 30).to_bytes(8, "little") + bytes(8 << 20)).hexdigest() and got["e.avi"].full is None
+    assert got["gone.mp4"].partial is None and got["gone.mp4"].error
 
 
 def test_labels_and_logs(spark, tmp_path):

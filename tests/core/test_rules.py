@@ -110,6 +110,43 @@ def test_high_beam(spark):
     assert R.high_beam(make(spark, [(0, "vehicle", (0, 0, 9, 9), 1)])).collect() == []
 
 
+def test_blob_areas():
+    mask = np.zeros((20, 30), bool)
+    mask[2:8, 2:8] = True  # six by six pixels enclose five by five
+    mask[4, 4] = False  # a hole counts
+    mask[8, 8] = mask[9, 9] = True  # hangs on by corners
+    mask[12:14, 20:29] = True
+    mask[15, 1:10] = True  # a line encloses nothing
+    assert sorted(R.blob_areas(mask)) == [0.0, 8.0, 25.0]
+    assert R.blob_areas(np.zeros((4, 4), bool)) == []
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        m = rng.random((12, 12)) < 0.4
+        seen, n = np.zeros_like(m), 0
+        for y, x in zip(*np.nonzero(m)):
+            if not seen[y, x]:
+                n += 1
+                todo = [(y, x)]
+                while todo:
+                    a, b = todo.pop()
+                    if 0 <= a < 12 and 0 <= b < 12 and m[a, b] and not seen[a, b]:
+                        seen[a, b] = True
+                        todo += [(a + i, b + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
+        label = R._labels(m, corners=True)
+        assert len(np.unique(label[m])) == n and (label > 0).sum() == m.sum()
+
+
+def test_whole_extraction(spark):
+    x = make(spark, crossing(), STOP)
+    old = spark.createDataFrame([(1, 1, "auto", "a", 0.1), (2, 1, "manual", "b", 0.2), (3, 2, "auto", "c", 0.3)], "id int, video_id int, source string, license_plate string, plate_conf double")
+    videos = spark.createDataFrame([(1, "imported", 10.0), (2, "imported", 10.0)], "id int, status string, fps double")
+    votes = spark.createDataFrame([(1, 1, "ABC 12", 0.8), (1, 9, "ZZZ", 0.9)], "video_id int, track_id int, text string, confidence double")
+    rows, after = C.extract(x, old, videos, votes)
+    got = {(r.video_id, r.source, r.violation_type, r.license_plate) for r in rows.collect()}
+    assert got == {(1, "manual", None, "b"), (2, "auto", None, "c"), (1, "auto", "red_light_running", "ABC 12")}
+    assert {(r.id, r.status) for r in after.collect()} == {(1, "analyzed"), (2, "imported")}
+
+
 def test_failing_rule_is_reported(spark, tmp_path):
     def broken(x):
         raise ValueError("no such thing")
