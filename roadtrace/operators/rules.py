@@ -252,6 +252,10 @@ def blob_areas(mask: np.ndarray) -> list[float]:
     return np.bincount(owner.ravel(), size.ravel(), int(label.max()) + 1)[names].tolist()
 
 
+#: Frames whose boxes are broadcast at most.
+BROADCAST_FRAMES = 100_000
+
+
 def is_night(image: np.ndarray, night: float = 70) -> bool:
     return bool(image.max(axis=2).mean() <= night)
 
@@ -291,8 +295,11 @@ def high_beam(x: RuleInput, every: int = 5, least_sec: float = 2.0) -> DataFrame
         return x.detections.sparkSession.createDataFrame([], VIOLATION)
     taken = x.vehicles.join(T.stride_sample(x.vehicles, every), [*KEY, "frame_no"], "left_semi")
     boxes = taken.groupBy("video_id", "frame_no").agg(F.collect_list(F.struct("track_id", "bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2")).alias("boxes"))
+    boxes = materialise(boxes, "boxes")
+    if boxes.count() <= BROADCAST_FRAMES:  # pixels stay where they are
+        boxes = F.broadcast(boxes)
     whole = x.frames.filter(F.length("bgr") == F.col("height").cast("long") * F.col("width") * 3)
-    seen = boxes.join(whole, ["video_id", "frame_no"]).select("video_id", "frame_no", "height", "width", "bgr", "boxes").mapInArrow(_judge_frames, "video_id int, track_id int, frame_no int")
+    seen = whole.join(boxes, ["video_id", "frame_no"]).select("video_id", "frame_no", "height", "width", "bgr", "boxes").mapInArrow(_judge_frames, "video_id int, track_id int, frame_no int")
     g = seen.groupBy(*KEY).agg(F.array_sort(F.collect_set("frame_no")).alias("f")).join(x.rates, "video_id")
     a, z = F.get("f", F.lit(0)), F.get("f", F.size("f") - 1)
     g = g.withColumn("sec", (z - a + 1) / F.col("fps")).filter(F.col("sec") >= least_sec)
