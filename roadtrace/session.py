@@ -58,5 +58,20 @@ def discard(*tables: DataFrame) -> None:
         fs.delete(at, True)
 
 
+class Scratch:
+    """Materialised tables that are deleted together, once nothing reads them any more."""
+
+    def __init__(self):
+        self.tables: list[DataFrame] = []
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        self.tables.append(materialise(df, name))
+        return self.tables[-1]
+
+    def clear(self) -> None:
+        discard(*self.tables)
+        self.tables = []
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
