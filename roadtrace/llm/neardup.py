@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roadtrace.llm.components import connected_components
-from roadtrace.session import discard, materialise
+from roadtrace.session import Scratch, materialise
 from roadtrace.llm.textblocks import Block, blocks, mix, span_hashes, window_hashes, words
 
 COORDINATES = 128
@@ -289,10 +289,10 @@ def _texts(docs: DataFrame) -> DataFrame:
 class _Sets:
     """Texts of classes by their number, for exact comparison."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, sk: DataFrame, n: int):
-        self.texts, self.n = _texts(docs), n
+    def __init__(self, docs: DataFrame, classes: DataFrame, sk: DataFrame, n: int, scratch: Scratch):
+        self.texts, self.n, self.scratch = _texts(docs), n, scratch
         self.names = classes.select("nid", "doc_id", "tid")
-        self.repeated = materialise(sk.filter("doc_id is not null").groupBy("doc_id", "tid").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id", "tid"), "repeated")
+        self.repeated = scratch.write(sk.filter("doc_id is not null").groupBy("doc_id", "tid").agg(F.count("*").alias("rows")).filter("rows > 1").select("doc_id", "tid"), "repeated")
         self.any_repeated = not self.repeated.isEmpty()
 
     def of(self, rows: DataFrame) -> DataFrame:
@@ -321,12 +321,12 @@ def _local(sets: _Sets, cut: DataFrame, percent: int) -> DataFrame:
     """(nid, local, g): exact components inside the blocks."""
     key = ["g", "block"]
     rows = sets.of(cut.select("nid", *key)).repartition(*key).sortWithinPartitions(*key).select("nid", *key, "text")
-    return materialise(rows.mapInArrow(partial(_inside, n=sets.n, percent=percent), "nid long, local long, g long"), "local")
+    return sets.scratch.write(rows.mapInArrow(partial(_inside, n=sets.n, percent=percent), "nid long, local long, g long"), "local")
 
 
 def _exact_links(sets: _Sets, member: DataFrame, classes: DataFrame, least: float, percent: int) -> DataFrame:
     """Links (a, b) that join the exact components of the members (nid, g, n_shingles) of candidate groups."""
-    whole = materialise(_cut(member, 0), "members")
+    whole = sets.scratch.write(_cut(member, 0), "members")
     local = _local(sets, whole, percent)
     edge = lambda rows: rows.filter("nid <> local").select(F.col("nid").alias("a"), F.col("local").alias("b"))
     links = edge(local)
@@ -335,22 +335,21 @@ def _exact_links(sets: _Sets, member: DataFrame, classes: DataFrame, least: floa
         return links
     groups = large.select("g").distinct()
     heads = local.filter("nid = local").join(groups, "g", "left_semi").select("nid", "g").join(member.select("nid", "n_shingles"), "nid")
-    heads = materialise(_cut(heads, 1), "heads")
+    heads = sets.scratch.write(_cut(heads, 1), "heads")
     count, salt = heads.count(), 1
     while True:
         met = _local(sets, heads, percent)
         links = links.unionByName(edge(met))
         salt += 1
         left = met.filter("nid = local").select("nid").join(heads.filter("blocks > 1").select("nid", "g", "n_shingles"), "nid")
-        left = materialise(_cut(left, salt), "heads")
+        left = sets.scratch.write(_cut(left, salt), "heads")
         was, count = count, left.count()
-        discard(heads)
         heads = left
         if not count or count > 0.8 * was:
             break
     roots = connected_components(links)
     mine = large.select("nid", "g", "block").join(roots, F.col("nid") == F.col("node"), "left").select("nid", "g", "block", F.coalesce("root", "nid").alias("root"))
-    mine = materialise(mine.join(classes.select("nid", "marks"), "nid"), "cut")
+    mine = sets.scratch.write(mine.join(classes.select("nid", "marks"), "nid"), "cut")
     size = mine.groupBy("g", "root").agg(F.count("*").alias("size"))
     main = size.groupBy("g").agg(F.max(F.struct("size", "root")).alias("m"), F.sum("size").alias("all")).select("g", F.col("m.root").alias("main"), F.ceil(F.col("all") / BLOCK_SKETCHES).alias("cells"), F.ceil((F.col("all") - F.col("m.size")) / BLOCK_SKETCHES).alias("parts"))
     mine = mine.join(main, "g").filter("parts > 0")
@@ -361,15 +360,15 @@ def _exact_links(sets: _Sets, member: DataFrame, classes: DataFrame, least: floa
     living = mine.select(*cols, F.lit(0).alias("stray"), own("cells").alias("cell"), spread("parts").alias("part"))
     key = ["g", "cell", "part"]
     alike = strays.unionByName(living).repartition(*key).sortWithinPartitions(*key).mapInArrow(partial(_alike, least=least), "nid long, stray long, g long, block long, part long")
-    alike = materialise(alike.distinct(), "alike")
+    alike = sets.scratch.write(alike.distinct(), "alike")
     if alike.isEmpty():
         return links
     key = ["g", "block", "part"]
-    both = sets.of(materialise(alike.join(mine.select("nid", "root"), "nid"), "across")).repartition(*key).sortWithinPartitions(*key)
+    both = sets.of(sets.scratch.write(alike.join(mine.select("nid", "root"), "nid"), "across")).repartition(*key).sortWithinPartitions(*key)
     return links.unionByName(both.select("nid", "root", "stray", *key, "text").mapInArrow(partial(_across, n=sets.n, percent=percent), "a long, b long"))
 
 
-def _proposals(classes: DataFrame, threshold: float, least: float, recall: float) -> DataFrame:
+def _proposals(classes: DataFrame, threshold: float, least: float, recall: float, scratch: Scratch) -> DataFrame:
     """Edges (a, b) between classes that the trees propose."""
     trees = tree_count(threshold, recall)
     rows = classes.select("nid", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), "sketch")
@@ -379,7 +378,7 @@ def _proposals(classes: DataFrame, threshold: float, least: float, recall: float
     leaves, stars = [], []
     for depth in range(DEPTH + 1):
         sized = rows.join(rows.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1"), "path")
-        sized = materialise(sized, "nodes")
+        sized = scratch.write(sized, "nodes")
         leaves.append(sized.filter(F.col("size") <= LEAF).select("path", "nid"))
         large = sized.filter(F.col("size") > LEAF).select("path", "nid")
         if large.isEmpty():
@@ -390,7 +389,7 @@ def _proposals(classes: DataFrame, threshold: float, least: float, recall: float
         pivot = large.groupBy("path").agg(F.min("nid").alias("pivot")).join(classes.select(F.col("nid").alias("pivot"), F.col("sketch").alias("other")), "pivot")
         equal = F.aggregate(F.zip_with("sketch", "other", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
         held = large.join(classes.select("nid", "sketch"), "nid").join(pivot, "path").select("path", "nid", "pivot", (equal / COORDINATES).alias("alike"))
-        held = materialise(held, "held")
+        held = scratch.write(held, "held")
         stars.append(held.filter(F.col("alike") >= with_pivot).select(F.col("nid").alias("a"), F.col("pivot").alias("b")))
         large = held.filter(F.col("alike") < leave).select("path", "nid")
         rows = large.join(classes.select("nid", "sketch"), "nid").select("nid", F.explode(_children(F.col("path"), F.col("sketch"), threshold)).alias("path")).distinct()
@@ -420,12 +419,15 @@ def judged_rows(docs: DataFrame, shingle_words: int = 5, percent: int = 80, reca
     classes = materialise(classes.select(F.monotonically_increasing_id().alias("nid"), "sid", "first.*", "n_shingles", "sketch", "marks"), "classes")
     margin = 4.5 * math.sqrt(threshold * (1 - threshold) / COORDINATES)
     least = COORDINATES * (threshold - margin)
-    proposed = connected_components(_proposals(classes, threshold, least, recall))
+    scratch = Scratch()
+    proposed = connected_components(_proposals(classes, threshold, least, recall, scratch))
+    scratch.clear()
 
     # Full sets of the proposed documents only.
     member = proposed.join(classes.select("nid", "n_shingles"), F.col("node") == F.col("nid")).select("nid", F.col("root").alias("g"), "n_shingles")
-    member = materialise(member, "proposed")
-    roots = connected_components(_exact_links(_Sets(docs, classes, sk, shingle_words), member, classes, least, percent))
+    member = scratch.write(member, "proposed")
+    roots = connected_components(_exact_links(_Sets(docs, classes, sk, shingle_words, scratch), member, classes, least, percent))
+    scratch.clear()
     found = roots.filter("node <> root")
 
     named = classes.join(found, classes.nid == found.node, "left").select("sid", F.coalesce("root", "nid").alias("root"), F.struct("doc_id", "tid").alias("first"))
@@ -462,12 +464,15 @@ def keep_one_of_each(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     """
     rows = judged_rows(docs, shingle_words, percent).filter("doc_id is not null and n_shingles > 0")
     rows = rows.groupBy("doc_id", "tid").agg(F.count("*").alias("copies"), F.bool_or((F.col("doc_id") == F.col("component_id")) & (F.col("tid") == F.col("best_tid"))).alias("stays"))
-    decided = rows.filter("not stays or copies > 1").select(F.col("doc_id").alias("of_doc"), F.col("tid").alias("of_text"), "stays")
+    decided = materialise(rows.filter("not stays or copies > 1").select(F.col("doc_id").alias("of_doc"), F.col("tid").alias("of_text"), "stays"), "decided")
     keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("of_doc"), F.unhex(F.md5(F.col("text").cast("string"))).alias("of_text"))
-    met = keyed.join(decided, ["of_doc", "of_text"], "left")
-    alone = met.filter("stays is null").select("row.*")
+    key = ["of_doc", "of_text"]
+    small = decided.count() <= BROADCAST_IDS
+    alone = keyed.join(F.broadcast(decided) if small else decided, key, "left_anti").select("row.*")
+    several = decided.filter("stays")
+    if several.isEmpty():
+        return alone
     plain = [c for c, kind in docs.dtypes if not kind.startswith(("map", "variant", "void")) and "map<" not in kind]
-    first = met.filter("stays").groupBy("of_doc", "of_text").agg(F.min_by("row", F.xxhash64(*(F.col(f"row.{c}") for c in plain))).alias("row"))
+    met = keyed.join(F.broadcast(several) if small else several, key, "left_semi")
+    first = met.groupBy(*key).agg(F.min_by("row", F.xxhash64(*(F.col(f"row.{c}") for c in plain))).alias("row"))
     return alone.unionByName(first.select("row.*"))
-
-
