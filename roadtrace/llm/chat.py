@@ -16,9 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Bytes of text that are assembled at once.
+BLOCK_BYTES = 1 << 22
 OPEN, CLOSE = b"<s>", b"</s>\n"
 LEARNED = "assistant"
 _CONTROL = re.compile(rb"<\\*/?s>|\[\\*/?INST\]")
@@ -92,6 +95,20 @@ def _assemble(rows: pa.Table) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([conv.take(pa.array(first)), pa.array(np.diff(np.append(first, n)), pa.int64()), formatted, loss], names=["conv_id", "n_turns", "formatted", "loss"])
 
 
+def _bounded(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Whole conversations, assembled some BLOCK_BYTES of text at a time, since an index is held for each byte."""
+    conv = rows.column("conv_id").combine_chunks()
+    ids, void = conv.fill_null(0).to_numpy(zero_copy_only=False), conv.is_null().to_numpy(zero_copy_only=False)
+    border = np.append(np.flatnonzero((ids[1:] != ids[:-1]) | (void[1:] != void[:-1])) + 1, len(ids))
+    size = np.cumsum(pc.fill_null(pc.binary_length(rows.column("text").combine_chunks()), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ids):
+        before = size[at - 1] if at else 0
+        to = border[min(len(border) - 1, np.searchsorted(size[border - 1], before + BLOCK_BYTES, "left"))]
+        yield _assemble(rows.slice(at, to - at))
+        at = int(to)
+
+
 def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by conversation; the last one of a batch waits for the next."""
     held: list[pa.RecordBatch] = []
@@ -104,11 +121,11 @@ def _format(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             start -= 1
         if start or held and held[-1].column("conv_id")[0].as_py() != ids[0]:
             done = [*held, batch.slice(0, start)] if start else held
-            yield _assemble(pa.Table.from_batches(done))
+            yield from _bounded(pa.Table.from_batches(done))
             held = []
         held.append(batch.slice(start))
     if held:
-        yield _assemble(pa.Table.from_batches(held))
+        yield from _bounded(pa.Table.from_batches(held))
 
 
 def format_chats(turns: DataFrame) -> DataFrame:

@@ -140,8 +140,9 @@ def judge_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
     ignored. Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     base_failed, score and kept: false where the base rules fail, else whether score >=
     threshold. A null text has no words and fails; repeated rows are judged again and count
-    again; a null doc_id stays null and is never trusted. Without trusted documents every
-    score is 0, and the base rules decide.
+    again; a null doc_id stays null and is never trusted; texts of any length are read whole; a
+    score at the threshold is kept. Without trusted documents every score is 0, and the base
+    rules decide. An empty table gives no rows.
     """
     table = ratio_table(docs, labels, trusted, prior)
     return _plain(docs).mapInArrow(partial(_judge, table=table, threshold=threshold), "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, score double, kept boolean")
@@ -155,7 +156,11 @@ def _keep(batches: Iterator[pa.RecordBatch], table: np.ndarray, threshold: float
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, trusted: int = TRUSTED, prior: float = PRIOR) -> DataFrame:
-    """The rows of docs that judge_quality keeps, with all their columns; nothing is joined or shuffled."""
+    """The rows of docs that judge_quality keeps, with all their columns; nothing is joined or shuffled.
+
+    Null and empty texts go, texts of any length are judged whole, repeated rows alike, a
+    score at the threshold stays, and an empty table gives no rows.
+    """
     table = ratio_table(docs, labels, trusted, prior)
     rows = docs.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.col("text").cast("string")})
     return rows.mapInArrow(partial(_keep, table=table, threshold=threshold), rows.schema)

@@ -11,7 +11,8 @@ import pytest
 
 from roadtrace.llm import personal_data, secret_scan
 from roadtrace.llm.chat import format_chats, parse, read_back
-from roadtrace.llm import packing
+from roadtrace.llm import chat, packing
+from roadtrace.llm import quality as quality_module
 from roadtrace.llm.packing import pack
 from roadtrace.llm.quality import judge_quality, keep_quality
 from roadtrace.llm.spans import digests
@@ -180,15 +181,44 @@ def test_quality_counts_and_verdict(spark):
     assert judge_quality(df.limit(0), labels).collect() == []
 
 
+def test_ratio_against_plain_counts(spark):
+    """Scores and verdicts at the production prior and threshold, by counters over single documents."""
+    rng = random.Random(31)
+    texts = [" ".join(f"{'good' if i % 3 else 'junk'}{rng.randrange(30)}" for _ in range(rng.randrange(20, 90))) for i in range(300)] + ["word " * 30_000]
+    grams = []
+    for t in texts:
+        (b,) = blocks(pa.array([t]), 1 << 30)
+        w = words(b)
+        grams.append(quality_module.ngram_buckets(w, quality_module.span_hashes(b.data, w.start, w.end))[0].tolist())
+    trusted = {i for i in range(300) if i % 3 and i % 2}
+    raw, target = Counter(g for d in grams for g in d), Counter(g for i in trusted for g in grams[i])
+    size, prior = quality_module.BUCKETS, quality_module.PRIOR
+    all_raw, all_target = sum(raw.values()) + size, sum(target.values())
+
+    def ratio(g):
+        p_raw = (raw[g] + 1) / all_raw
+        return math.log((target[g] + prior * size * p_raw) / (all_target + prior * size)) - math.log(p_raw)
+
+    want = [sum(map(ratio, d)) / len(d) for d in grams]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i in trusted), 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    for r in judge_quality(df, labels).collect():
+        assert abs(r.score - want[r.doc_id]) < 1e-9
+        assert r.kept == (not r.base_failed and want[r.doc_id] >= quality_module.THRESHOLD)
+
+
 CHAT = ["<s>", "</s>", "[INST]", "[/INST]", "\\", "<", "[", "s>", "INST]", "a", "\n", "é", "</s>\n", "<\\s>", "[\\\\INST]"]
 
 
-def test_chat_round_trip(spark):
+def test_chat_round_trip(spark, monkeypatch):
     rng = random.Random(6)
     texts = strings(7, CHAT, 600)
     rows = [(None if i % 50 == 7 else i // 4, rng.randrange(3), rng.choice(["user", "assistant", "system", None, "od\nd<s>[\\"]), rng.choice([texts[i], None])) for i in range(600)] + [(1, 0, "user", "x" * 2_000_000)]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "conv_id long, turn long, role string, text string, formatted string")
     got = {r.conv_id: r for r in read_back(format_chats(df)).collect()}
+    table = pa.table({"conv_id": [1, 1, 2, 3, None, None], "role": ["user"] * 6, "text": ["aaaa", None, "b" * 9, "", "c", "d"]})
+    monkeypatch.setattr(chat, "BLOCK_BYTES", 5)
+    assert [(b.num_rows, b.column("conv_id").to_pylist()) for b in chat._bounded(table)] == [(2, [1, 2]), (2, [3, None])]
     groups = defaultdict(list)
     for r in rows:
         groups[r[0]].append(r)
