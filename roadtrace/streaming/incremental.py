@@ -7,9 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from roadtrace.operators.changes import extract
+from roadtrace.operators.rules import RuleInput
 from roadtrace.schemas import DETECTION
 
 
+def extract_touched(x: RuleInput, touched: DataFrame, old: DataFrame, videos: DataFrame, votes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All violations and videos after the rules ran again for the touched videos (video_id); those of others stay as they are."""
+    ids = touched.select("video_id").distinct()
+    mine = lambda rows: rows.join(ids, "video_id", "left_semi")
+    part = RuleInput(mine(x.detections), mine(x.zones), mine(x.calibrations), x.videos, None if x.frames is None else mine(x.frames), x.extra)
+    return extract(part, old, videos, votes)
+
+
 def watch_detections(spark: SparkSession, path: str, checkpoint: str, extract: Callable[[DataFrame, int], None], **trigger) -> StreamingQuery:
     """Start a stream over detection files; extract(videos, batch_id) gets the distinct touched video_ids of each batch.
 

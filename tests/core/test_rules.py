@@ -227,6 +227,25 @@ def test_stream_hands_over_touched_videos(spark, tmp_path):
     assert seen == [[1]]
 
 
+def test_stream_extracts_touched_videos(spark, tmp_path):
+    from roadtrace.streaming.incremental import extract_touched, watch_detections
+
+    x = make(spark, crossing(), STOP)
+    x.detections.write.parquet(f"{tmp_path}/in")
+    old = spark.createDataFrame([(1, 1, "auto"), (2, 2, "auto")], "id int, video_id int, source string").withColumn("license_plate", R.F.lit(None).cast("string")).withColumn("plate_conf", R.F.lit(None).cast("double"))
+    videos = spark.createDataFrame([(1, "imported"), (2, "imported")], "id int, status string")
+    votes = spark.createDataFrame([], "video_id int, track_id int, text string, confidence double")
+
+    def run(ids, batch):
+        rows, after = extract_touched(x, ids, old, videos, votes)
+        rows.select("video_id", "source", "violation_type").write.mode("overwrite").parquet(f"{tmp_path}/rows")
+        after.write.mode("overwrite").parquet(f"{tmp_path}/videos")
+
+    watch_detections(spark, f"{tmp_path}/in", f"{tmp_path}/state", run).awaitTermination(120)
+    assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/rows").collect()} == {(1, "auto", "red_light_running"), (2, "auto", None)}
+    assert {tuple(r) for r in spark.read.parquet(f"{tmp_path}/videos").collect()} == {(1, "analyzed"), (2, "imported")}
+
+
 def test_registry_names_have_checks():
     from roadtrace.plans import registry
 
