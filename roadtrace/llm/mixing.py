@@ -24,7 +24,7 @@ PERIOD = 1024
 #: Characters of a block.
 BLOCK_CHARS = 1 << 16
 #: Characters of a bucket of a source's order: a running sum is taken over buckets, then inside each.
-BUCKET_CHARS = 1 << 24
+BUCKET_CHARS = 1 << 20
 
 
 def whole_weights(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
