@@ -1 +1 @@
-"""Training-data operators: ten corpus operators, their queries and the SQL that checks them."""
+"""Training-data operators: thirteen corpus operators, their queries and the SQL that checks them."""

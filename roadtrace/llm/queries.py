@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 from roadtrace.llm import sharding, urls_sql
 from roadtrace.llm.chat import format_chats, read_back
 from roadtrace.llm.image_match import find_copies, rendered
+from roadtrace.llm import lexical_search
 from roadtrace.llm.mixing import mix, tempered_weights
 from roadtrace.llm.neardup import near_duplicates
 from roadtrace.llm.packing import pack
+from roadtrace.llm.periodic_runs import find_runs, longest, with_planted_periods
 from roadtrace.llm.personal_data import BASE_KINDS as PERSONAL_KINDS
 from roadtrace.llm.personal_data import find_personal_data
 from roadtrace.llm.quality import judge_quality
-from roadtrace.session import table
+from roadtrace.llm.sentence_pieces import encode
+from roadtrace.session import materialise, table
 from roadtrace.llm.secret_scan import BASE_KINDS as SECRET_KINDS
 from roadtrace.llm.secret_scan import find_secrets
 from roadtrace.llm.spans import digests
@@ -73,6 +76,28 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(find_personal_data(table(spark, sf_dir, "documents")), PERSONAL_KINDS)
 
 
+def op11_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = encode(docs, public_tokenizers.path("piece_bpe_32k.model"), back=True)
+    ids = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_runs(with_planted_periods(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    best = longest(F.col("runs"))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best["start"].alias("start"), best["length"].alias("length"), best["period"].alias("period"),
+        F.floor(1000 * best["length"] / best["period"]).cast("long").alias("exponent_milli"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = materialise(lexical_search.build_index(table(spark, sf_dir, "documents")), "lexical-index")
+    return lexical_search.search(index, table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_image_copies": op1_image_copies,
@@ -85,6 +110,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": op8_secret_scan,
         "op9_pfair_mixing": op9_pfair_mixing,
         "op10_personal_data": op10_personal_data,
+        "op11_sentence_pieces": op11_sentence_pieces,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_lexical_search": op13_lexical_search,
     }
 
 
@@ -92,4 +120,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op6_host_reputation": urls_sql.SQL,
         "op7_slot_table_sharding": sharding.oracle("documents", "doc_id", sharding.SHARDS, sharding.SLOTS),
+        "op13_lexical_search": lexical_search.SQL,
     }
