@@ -70,6 +70,12 @@ def extract_violations(old: DataFrame, found: DataFrame, detections: DataFrame)
     return kept.unionByName(fresh, allowMissingColumns=True)
 
 
+def with_plates(found: DataFrame, votes: DataFrame) -> DataFrame:
+    """New violations with their tracks' plates from votes (video_id, track_id, text, confidence)."""
+    bare = found.withColumn("license_plate", F.lit(None).cast("string")).withColumn("plate_conf", F.lit(None).cast("double"))
+    return plate_for_violation(bare, votes)
+
+
 def extract(x: RuleInput, old: DataFrame, videos: DataFrame, votes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The violations and videos after all rules ran on all videos with detections.
 
@@ -77,8 +83,7 @@ def extract(x: RuleInput, old: DataFrame, videos: DataFrame, votes: DataFrame) -
     plate from votes (video_id, track_id, text, confidence), and the videos that were judged
     become analyzed.
     """
-    found = run_rules(x).withColumn("license_plate", F.lit(None).cast("string")).withColumn("plate_conf", F.lit(None).cast("double"))
-    rows = extract_violations(old, plate_for_violation(found, votes), x.detections)
+    rows = extract_violations(old, with_plates(run_rules(x), votes), x.detections)
     judged = x.detections.select(F.col("video_id").alias("id")).distinct().withColumn("judged", F.lit(True))
     status = F.when(F.col("judged"), "analyzed").otherwise(F.col("status"))
     return rows, videos.join(judged, "id", "left").withColumn("status", status).drop("judged")

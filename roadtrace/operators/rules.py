@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,6 +14,7 @@ from pyspark.sql.window import Window
 from roadtrace.functions import geometry as G
 from roadtrace.functions.text import fps_or_default
 from roadtrace.operators import tracks as T
+from roadtrace.operators.glare import judge_frames
 from roadtrace.schemas import LANE_LINES, VEHICLES, VIOLATION
 from roadtrace.session import materialise
 
@@ -59,11 +58,12 @@ class RuleInput:
         return self.calibrations.filter("meters_per_px > 0").select("video_id", "meters_per_px")
 
     def written(self) -> RuleInput:
-        """The same input with its tracks, segments and summaries written once, for many rules."""
-        out = RuleInput(self.detections, self.zones, self.calibrations, self.videos, self.frames, self.extra)
-        out.__dict__["rows"] = materialise(self.rows, "track-rows")
+        """The same input with its detections, tracks, segments and summaries written once, for many rules."""
+        seen = materialise(self.detections, "detections")
+        out = RuleInput(seen, self.zones, self.calibrations, self.videos, self.frames, self.extra)
+        out.__dict__["rows"] = materialise(T.track_rows(seen), "track-rows")
         out.__dict__["segments"] = materialise(out.segments, "segments")
-        out.__dict__["summary"] = materialise(self.summary, "track-summary")
+        out.__dict__["summary"] = materialise(T.track_summary(seen), "track-summary")
         return out
 
 
@@ -208,87 +208,10 @@ def unsafe_following(x: RuleInput, ttc_sec: float = 2.0, least_sec: float = 2.0,
     return first.select("video_id", F.lit("unsafe_following").alias("violation_type"), "track_id", _frame_ms(a, F.col("fps")).alias("start_ms"), _frame_ms(z, F.col("fps")).alias("end_ms"), F.least(F.lit(0.90), F.lit(0.55) + F.col("sec") / 10).alias("confidence"), T.evidence(a, mid, z).alias("evidence"))
 
 
-def _labels(mask: np.ndarray, corners: bool) -> np.ndarray:
-    """A number for each connected area of a mask, 0 outside: runs of a row join those they touch in the row above."""
-    step = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-    row, start = np.nonzero(step == 1)
-    end = np.nonzero(step == -1)[1]
-    first = np.searchsorted(row, np.arange(mask.shape[0] + 1))
-    root = np.arange(len(row))
-    reach = 1 if corners else 0
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = i = root[root[i]]
-        return i
-
-    for y in range(1, mask.shape[0]):
-        above = first[y - 1]
-        for i in range(first[y], first[y + 1]):
-            while above < first[y] and end[above] + reach <= start[i]:
-                above += 1
-            k = above
-            while k < first[y] and start[k] < end[i] + reach:
-                root[max(find(i), find(k))] = min(find(i), find(k))
-                k += 1
-    out = np.zeros(mask.shape, np.int64)
-    for i in range(len(row)):
-        out[row[i], start[i] : end[i]] = find(i) + 1
-    return out
-
-
-def blob_areas(mask: np.ndarray) -> list[float]:
-    """Areas inside the outlines of 8-connected blobs, holes included.
-
-    An outline runs through the centres of the outer pixels: four neighbouring pixels of a
-    blob enclose an area of 1, three of them a half.
-    """
-    outside = _labels(~np.pad(mask, 1), corners=False)
-    label = _labels(outside != outside[0, 0], corners=True)
-    corner = np.stack([label[:-1, :-1], label[:-1, 1:], label[1:, :-1], label[1:, 1:]])
-    owner = corner.max(axis=0)
-    size = np.where((corner == owner).sum(axis=0) == 4, 1.0, np.where((corner == owner).sum(axis=0) == 3, 0.5, 0.0))
-    names = np.unique(label[label > 0])
-    return np.bincount(owner.ravel(), size.ravel(), int(label.max()) + 1)[names].tolist()
-
-
 #: Frames whose boxes are broadcast at most.
 BROADCAST_FRAMES = 100_000
 
 
-def is_night(image: np.ndarray, night: float = 70) -> bool:
-    return bool(image.max(axis=2).mean() <= night)
-
-
-def glares(image: np.ndarray, box: tuple, v_min: int = 240, s_max: int = 40, area: int = 80) -> bool:
-    """Two bright blobs, or one of three times the area, in the lower third of a box of a night image (h, w, 3)."""
-    x1, y1, x2, y2 = max(0, int(box[0])), max(0, int(box[1])), min(image.shape[1], int(box[2])), min(image.shape[0], int(box[3]))
-    if x2 <= x1 or y2 <= y1:
-        return False
-    crop = image[y1 + 2 * (y2 - y1) // 3 : y2, x1:x2].astype(int)
-    if not crop.size:
-        return False
-    v = crop.max(axis=2)
-    s = np.where(v > 0, 255 * (v - crop.min(axis=2)) // np.maximum(v, 1), 0)
-    bright = (v >= v_min) & (s <= s_max)
-    if bright.sum() < area:
-        return False
-    big = [n for n in blob_areas(bright) if n >= area]
-    return len(big) >= 2 or len(big) == 1 and big[0] >= 3 * area
-
-
-def _judge_frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each frame is judged once, then the boxes in it: the tracks that glare."""
-    for batch in batches:
-        out = []
-        for video, frame, h, w, bgr, boxes in zip(*(batch.column(c).to_pylist() for c in ("video_id", "frame_no", "height", "width", "bgr", "boxes"))):
-            image = np.frombuffer(bgr, np.uint8).reshape(h, w, 3)
-            if is_night(image):
-                out += [(video, b["track_id"], frame) for b in boxes if glares(image, (b["bbox_x1"], b["bbox_y1"], b["bbox_x2"], b["bbox_y2"]))]
-        cols = list(zip(*out)) or [()] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in cols], names=["video_id", "track_id", "frame_no"])
-
-
 def high_beam(x: RuleInput, every: int = 5, least_sec: float = 2.0) -> DataFrame:
     """A vehicle glares at night over two seconds of sampled frames. Frames of another size than they say, or without pixels, show nothing."""
     if x.frames is None:
@@ -299,7 +222,7 @@ def high_beam(x: RuleInput, every: int = 5, least_sec: float = 2.0) -> DataFrame
     if boxes.count() <= BROADCAST_FRAMES:  # pixels stay where they are
         boxes = F.broadcast(boxes)
     whole = x.frames.filter(F.length("bgr") == F.col("height").cast("long") * F.col("width") * 3)
-    seen = whole.join(boxes, ["video_id", "frame_no"]).select("video_id", "frame_no", "height", "width", "bgr", "boxes").mapInArrow(_judge_frames, "video_id int, track_id int, frame_no int")
+    seen = whole.join(boxes, ["video_id", "frame_no"]).select("video_id", "frame_no", "height", "width", "bgr", "boxes").mapInArrow(judge_frames, "video_id int, track_id int, frame_no int")
     g = seen.groupBy(*KEY).agg(F.array_sort(F.collect_set("frame_no")).alias("f")).join(x.rates, "video_id")
     a, z = F.get("f", F.lit(0)), F.get("f", F.size("f") - 1)
     g = g.withColumn("sec", (z - a + 1) / F.col("fps")).filter(F.col("sec") >= least_sec)
@@ -323,16 +246,3 @@ def run_rules(x: RuleInput, rules: dict[str, Rule] | None = None) -> DataFrame:
         rows = rule(x).select(*COLUMNS)
         out = rows if out is None else out.unionByName(rows)
     return out
-
-
-def run_isolated(x: RuleInput, path: str, rules: dict[str, Rule] | None = None) -> list[tuple[str, str, str | None]]:
-    """Each rule written to path/rule=name on its own; (rule, status, error) of each, so that one failure spares the others."""
-    report = []
-    x = x.written()
-    for name, rule in (rules or RULES).items():
-        try:
-            rule(x).select(*COLUMNS).write.mode("overwrite").parquet(f"{path}/rule={name}")
-            report.append((name, "ok", None))
-        except Exception as e:  # noqa: BLE001  a failing rule is reported
-            report.append((name, "failed", str(e).splitlines()[0][:300]))
-    return report

@@ -114,10 +114,13 @@ SELECT video_id, 'unsafe_following' AS violation_type, ft AS track_id, {_MS.form
 SQL["clip_segment_length"] = over(f" SELECT * FROM (SELECT id, round({_CLIP}, 4) AS on_line FROM (SELECT id, bbox_x1 AS x1, bbox_y1 AS y1, bbox_x2 AS x2, bbox_y2 AS y2, 0 AS lx, 350.5::DOUBLE AS ly, 1000 AS dx, 0 AS dy FROM detections)) WHERE on_line > 0", "detections")
 SQL["point_in_polygon"] = over(" SELECT video_id, class_name, count(*) AS n FROM detections WHERE (bbox_x1 + bbox_x2) / 2 >= 600 AND (bbox_x1 + bbox_x2) / 2 < 700 AND (bbox_y1 + bbox_y2) / 2 >= 250 AND (bbox_y1 + bbox_y2) / 2 < 450 GROUP BY ALL", "detections")
 SQL["bbox_functions"] = over(
-    """ SELECT id, o_id, round(CASE WHEN i > 0 THEN i / (area + oarea - i) ELSE 0 END, 6) AS iou, round(area, 3) AS area, ox BETWEEN x1 AND x2 AND oy < (y1 + y2) / 2 AS above, ox BETWEEN x1 AND x2 AND oy BETWEEN y1 AND y2 AS inside FROM
- (SELECT a.id, b.id AS o_id, a.bbox_x1 AS x1, a.bbox_x2 AS x2, a.bbox_y1 AS y1, a.bbox_y2 AS y2, (b.bbox_x1 + b.bbox_x2) / 2 AS ox, (b.bbox_y1 + b.bbox_y2) / 2 AS oy, (a.bbox_x2 - a.bbox_x1) * (a.bbox_y2 - a.bbox_y1) AS area, (b.bbox_x2 - b.bbox_x1) * (b.bbox_y2 - b.bbox_y1) AS oarea,
-  greatest(0, least(a.bbox_x2, b.bbox_x2) - greatest(a.bbox_x1, b.bbox_x1)) * greatest(0, least(a.bbox_y2, b.bbox_y2) - greatest(a.bbox_y1, b.bbox_y1)) AS i
-  FROM detections a JOIN detections b USING (video_id, frame_no) WHERE a.class_name = 'motorcycle' AND b.class_name IN ('person', 'helmet'))""",
+    """, box AS MATERIALIZED (SELECT id, video_id, frame_no, class_name, bbox_x1 AS x1, bbox_y1 AS y1, bbox_x2 AS x2, bbox_y2 AS y2, (bbox_x2 - bbox_x1) * (bbox_y2 - bbox_y1) AS area
+  FROM detections WHERE class_name IN ('motorcycle', 'person', 'helmet')),
+bike AS MATERIALIZED (SELECT * FROM box WHERE class_name = 'motorcycle'), other AS MATERIALIZED (SELECT * FROM box WHERE class_name <> 'motorcycle'),
+pair AS MATERIALIZED (SELECT a.*, b.id AS o_id, b.area AS oarea, (b.x1 + b.x2) / 2 AS ox, (b.y1 + b.y2) / 2 AS oy,
+  greatest(0, least(a.x2, b.x2) - greatest(a.x1, b.x1)) * greatest(0, least(a.y2, b.y2) - greatest(a.y1, b.y1)) AS i FROM bike a JOIN other b ON a.video_id = b.video_id AND a.frame_no = b.frame_no)
+SELECT id, o_id, round(CASE WHEN i > 0 THEN i / (area + oarea - i) ELSE 0 END, 6) AS iou, round(area, 3) AS area, ox BETWEEN x1 AND x2 AND oy < (y1 + y2) / 2 AS above,
+ ox BETWEEN x1 AND x2 AND oy BETWEEN y1 AND y2 AS inside FROM pair""",
     "detections",
 )
 SQL["track_geometry"] = _tracks(
@@ -176,6 +179,12 @@ SQL["detections_from_frames"] = over(
 )
 SQL["analyze_batch"] = over(" SELECT video_id, count(*) AS n FROM detections WHERE video_id NOT IN (SELECT video_id FROM detections WHERE video_id % 9 = 0 AND frame_no = 2 GROUP BY 1 HAVING count(*) > 1) GROUP BY 1", "detections")
 SQL["detections_replace"] = over(" SELECT video_id, count(*) AS n FROM detections WHERE video_id % 3 <> 0 OR (frame_no < 5 AND video_id % 2 = 0) GROUP BY 1", "detections")
+SQL["detections_replaced"] = over(
+    """ SELECT v.id AS video_id, CASE WHEN v.id % 3 = 0 THEN 'prelabeled' ELSE status END AS status, d.id, frame_no, class_name, round(bbox_x1, 3) AS x1
+ FROM videos v LEFT JOIN (SELECT * FROM detections WHERE video_id % 3 <> 0 OR (frame_no < 5 AND video_id % 2 = 0)) d ON d.video_id = v.id""",
+    "detections",
+    "videos",
+)
 SQL["videos_insert"] = over(" SELECT '/media/clip_' || id || '.mp4' AS filepath, 'clip_' || id || '.mp4' AS filename, 'imported' AS status, true AS has_id FROM hashes WHERE '/media/clip_' || id || '.mp4' NOT IN (SELECT filepath FROM videos)", "videos", "hashes")
 _MESSY = ", z AS (SELECT *, id % 5 AS k, CASE WHEN id % 7 = 0 THEN 'island' ELSE zone_type END AS t FROM zones), p AS (SELECT *, CASE k WHEN 0 THEN '1.0,2.0;5.0,6.0' WHEN 1 THEN '' WHEN 2 THEN '' WHEN 3 THEN '1.0,2.0' ELSE CASE zone_type WHEN 'stop_line' THEN '0.0,250.5;1000.0,250.5' WHEN 'lane_line_solid' THEN '0.0,350.5;1000.0,350.5' ELSE '600.0,250.0;700.0,250.0;700.0,450.0;600.0,450.0' END END AS points FROM z)"
 SQL["zones_parse"] = over(f"{_MESSY} SELECT id, points FROM p", "zones")
@@ -205,6 +214,11 @@ SELECT video_id, 'high_beam_misuse' AS violation_type, 1 AS track_id, CAST(floor
 # Rules together, readiness.
 _RULES = [k for k in SQL if k.startswith("rule_")]
 SQL["run_rules"] = " UNION ALL ".join(f"SELECT '{k[5:]}' AS violation_type, count(*) AS n, count(DISTINCT video_id) AS videos, CAST(sum(start_ms) AS BIGINT) AS starts FROM ({SQL[k]}) HAVING count(*) > 0" for k in _RULES)
+SQL["run_rules_isolated"] = (
+    "SELECT rule, 'ok' AS status, NULL::VARCHAR AS condition, n AS violations, CASE WHEN n > 0 THEN videos END AS videos, starts FROM ("
+    + " UNION ALL ".join(f"SELECT '{k[5:]}' AS rule, count(*) AS n, count(DISTINCT video_id) AS videos, CAST(sum(start_ms) AS BIGINT) AS starts FROM ({SQL[k]})" for k in _RULES)
+    + ") UNION ALL SELECT 'no_such_column', 'failed', 'UNRESOLVED_COLUMN.WITH_SUGGESTION', 0, NULL, NULL UNION ALL SELECT 'failing_rows', 'failed', 'USER_RAISED_EXCEPTION', 0, NULL, NULL"
+)
 SQL["rule_gating"] = " UNION ALL ".join(f"SELECT video_id, violation_type, count(*) AS n FROM ({SQL[k]}) GROUP BY ALL" for k in ("rule_speeding", "rule_unsafe_following", "rule_high_beam_misuse"))
 _READY = """, i AS (SELECT id FROM videos UNION ALL SELECT id + 100000 FROM videos),
 r AS (SELECT id, id IN (SELECT video_id FROM detections) AS has_detections, id IN (SELECT video_id FROM detections WHERE track_id IS NOT NULL) AS has_tracks, id IN (SELECT video_id FROM calibrations) AS has_calibration, id IN (SELECT id FROM videos WHERE width IS NOT NULL) AS has_video_file,
@@ -239,14 +253,19 @@ SQL["plate_vote"] = over(f"{_VOTE.format('plate_reads')} SELECT video_id, track_
 SQL["best_reading"] = over(f"{_BEST} SELECT * FROM best", "plate_reads")
 SQL["plate_for_image_set"] = over(f"{_BEST}{_VOTE.format('best')} SELECT video_id, track_id, text, round(confidence, 6) AS confidence, reads FROM won", "plate_reads")
 SQL["plate_for_violation"] = over(f"{_VOTE.format('plate_reads')} SELECT id, coalesce(CASE WHEN w.confidence > 0 THEN text END, license_plate) AS license_plate, round(coalesce(CASE WHEN w.confidence > 0 THEN w.confidence END, plate_conf), 6) AS plate_conf FROM violations LEFT JOIN won w USING (video_id, track_id)", "plate_reads", "violations")
-_AUTO = " UNION ALL ".join(f"SELECT video_id, violation_type, track_id FROM ({SQL[k]})" for k in _RULES)
+_AUTO = " UNION ALL ".join(f"SELECT video_id, violation_type, track_id, start_ms, end_ms FROM ({SQL[k]})" for k in _RULES)
 SQL["extract_violations"] = (
     over(f"{_VOTE.format('plate_reads')}, auto AS (SELECT * FROM ({_AUTO})), ", "violations", "detections", "videos", "plate_reads")
     + """seen AS (SELECT DISTINCT video_id FROM detections),
-all_rows AS (SELECT coalesce(source, 'auto') AS source, violation_type, license_plate, video_id FROM violations WHERE coalesce(source, 'auto') <> 'auto' OR video_id NOT IN (SELECT video_id FROM seen)
- UNION ALL SELECT 'auto', violation_type, CASE WHEN w.confidence > 0 THEN text END, a.video_id FROM auto a LEFT JOIN won w USING (video_id, track_id) WHERE a.video_id IN (SELECT video_id FROM seen))
-SELECT source, violation_type, CASE WHEN v.id IN (SELECT video_id FROM seen) THEN 'analyzed' ELSE v.status END AS status, count(*) AS n, count(license_plate) AS plates, count(DISTINCT r.video_id) AS videos FROM all_rows r LEFT JOIN videos v ON v.id = r.video_id GROUP BY ALL"""
-)
+all_rows AS (SELECT coalesce(source, 'auto') AS source, violation_type, license_plate, video_id, track_id, start_ms, end_ms FROM violations
+  WHERE coalesce(source, 'auto') <> 'auto' OR video_id NOT IN (SELECT video_id FROM seen)
+ UNION ALL SELECT 'auto', violation_type, CASE WHEN w.confidence > 0 THEN text END, a.video_id, a.track_id, a.start_ms, a.end_ms
+  FROM auto a LEFT JOIN won w USING (video_id, track_id) WHERE a.video_id IN (SELECT video_id FROM seen))
+SELECT video_id, source, violation_type, track_id, start_ms, end_ms, license_plate,
+ CASE WHEN v.id IN (SELECT video_id FROM seen) THEN 'analyzed' ELSE v.status END AS status FROM all_rows r LEFT JOIN videos v ON v.id = r.video_id"""
+)
+# Detections that come in batches end with the same rows.
+SQL["incremental_extraction"] = SQL["extract_violations"]
 SQL["plates_for_track"] = _tracks(
     """, p AS (SELECT v.video_id, v.track_id, v.frame_no, min(d.id) AS box_id FROM veh v JOIN detections d ON d.video_id = v.video_id AND d.frame_no = v.frame_no AND d.class_name = 'license_plate'
   WHERE (d.bbox_x1 + d.bbox_x2) / 2 BETWEEN v.bbox_x1 AND v.bbox_x2 AND (d.bbox_y1 + d.bbox_y2) / 2 BETWEEN v.bbox_y1 AND v.bbox_y2 GROUP BY ALL)

@@ -15,6 +15,7 @@ from roadtrace.operators import changes as C
 from roadtrace.operators import datasets as D
 from roadtrace.operators import duplicates as U
 from roadtrace.operators import export as E
+from roadtrace.operators import isolation as L
 from roadtrace.operators import plates as P
 from roadtrace.operators import rules as R
 from roadtrace.operators import tracks as T
@@ -23,6 +24,8 @@ from roadtrace.schemas import VIOLATION_NAMES
 from roadtrace.session import new_folder
 from roadtrace.sources import ingest as I
 from roadtrace.sources.adapters import load
+from roadtrace.sources.video_table import VideoTable, analysed
+from roadtrace.streaming.incremental import ExtractionLog
 
 Query = Callable[[SparkSession, str], DataFrame]
 SECRET = Q.SECRET
@@ -50,26 +53,34 @@ class Tables:
         return self.hashes
 
 
+#: Height and width of a frame by night, and by day.
+NIGHT_FRAME, DAY_FRAME = (460, 170), (46, 17)
+
+
 def frames_of(detections: DataFrame) -> DataFrame:
-    """Small frames drawn from the detections: every fifth frame, as a sampler decodes them, of videos whose id is divisible by 4, and of some by day.
+    """Frames drawn from the detections: every fifth one of each video, as a sampler decodes them.
 
-    The first track's box holds lamps while it is inside the picture: two of them, one small
-    one, two coloured ones or one large one, by the video.
+    Videos whose id is divisible by 4 are of the night. The first track's box holds lamps
+    there while it is inside the picture: two of them, one small one, two coloured ones or
+    one large one, by the video. The others are of the day, in small pictures.
     """
-    first = detections.filter("track_id = 1 and (video_id % 4 = 0 or video_id % 16 = 2) and frame_no % 5 = 0").groupBy("video_id", "frame_no").agg(F.min_by(F.struct("bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2"), "id").alias("b"))
-    w, h = 170, 460
+    first = F.min_by(F.struct("bbox_x1", "bbox_y1"), F.when(F.col("track_id") == 1, F.col("id")))
+    at = detections.filter("frame_no % 5 = 0").groupBy("video_id", "frame_no").agg(first.alias("b"))
+    h, w = NIGHT_FRAME
     x, y = F.floor("b.bbox_x1"), F.floor("b.bbox_y1")
     night, kind = F.col("video_id") % 4 == 0, F.floor(F.col("video_id") / 4) % 4
     # rows above the lamps, rows of the lamps (12 high, in the lower third of the box), rows below
     top, left = F.least(y + 36, F.lit(h - 12)).cast("int"), (x + 8).cast("int")
-    inside = (y + 48 <= h) & (x + 52 <= w)
-    ground = F.when(night, "\n\n\n").otherwise("ÈÈÈ")  # bytes 10 and 200 as characters
-    lamp = F.when(~inside, ground).when(kind == 2, "22ú").otherwise("úúú")
-    second = F.when(kind == 1, ground).otherwise(lamp)
-    between = F.when(kind == 3, lamp).otherwise(ground)
-    line = F.concat(F.repeat(ground, left), F.repeat(lamp, F.lit(12)), F.repeat(between, F.lit(12)), F.repeat(second, F.lit(12)), F.repeat(ground, w - left - 36))
-    picture = F.encode(F.concat(F.repeat(ground, top * w), F.repeat(line, F.lit(12)), F.repeat(ground, (h - top - 12) * w)), "ISO-8859-1")
-    return first.select("video_id", "frame_no", F.lit(h).alias("height"), F.lit(w).alias("width"), picture.alias("bgr"))
+    inside = F.coalesce((y + 48 <= h) & (x + 52 <= w), F.lit(False))
+    all_of = lambda grey, pixels: F.lit(bytearray([grey]) * (3 * pixels))
+    ground = lambda pixels: F.substring(all_of(10, h * w), F.lit(1), 3 * pixels)
+    shine = F.when(kind == 2, F.lit(bytearray(b"\x32\x32\xfa") * 12)).otherwise(all_of(250, 12))
+    dark = all_of(10, 12)
+    line = F.concat(ground(left), shine, F.when(kind == 3, shine).otherwise(dark), F.when(kind == 1, dark).otherwise(shine), ground(w - left - 36))
+    lit = F.concat(ground(top * w), *[line] * 12, ground((h - top - 12) * w))
+    size = lambda k: F.when(night, NIGHT_FRAME[k]).otherwise(DAY_FRAME[k])
+    picture = F.when(night & inside, lit).when(night, all_of(10, h * w)).otherwise(all_of(200, DAY_FRAME[0] * DAY_FRAME[1]))
+    return at.select("video_id", "frame_no", size(0).alias("height"), size(1).alias("width"), picture.alias("bgr"))
 
 
 def shown(rows: DataFrame) -> DataFrame:
@@ -184,11 +195,48 @@ def _study(t: Tables) -> DataFrame:
     return by("by_type", "violation_type").unionByName(by("by_hour", "hour")).unionByName(by("by_weekday", "weekday")).unionByName(by("by_status", "review_status"))
 
 
+def _extracted(rows: DataFrame, videos: DataFrame) -> DataFrame:
+    """Violations and the statuses of their videos after an extraction."""
+    rows = rows.join(videos.select(F.col("id").alias("video_id"), "status"), "video_id", "left")
+    source = F.coalesce("source", F.lit("auto")).alias("source")
+    return rows.select("video_id", source, "violation_type", "track_id", "start_ms", "end_ms", "license_plate", "status")
+
+
 def _extract(t: Tables) -> DataFrame:
     """All rules on all videos, with plates and statuses, as a re-run of the whole library leaves them."""
-    rows, videos = C.extract(t.rule_input, t.violations, t.videos, _votes(t))
-    rows = rows.join(videos.select(F.col("id").alias("video_id"), "status"), "video_id", "left")
-    return rows.groupBy(F.coalesce("source", F.lit("auto")).alias("source"), "violation_type", "status").agg(F.count("*").alias("n"), F.count("license_plate").alias("plates"), F.countDistinct("video_id").alias("videos"))
+    return _extracted(*C.extract(t.rule_input, t.violations, t.videos, _votes(t)))
+
+
+def _incremental(t: Tables) -> DataFrame:
+    """The same from a stream: detections come in three files by frame, so that every batch touches most videos again."""
+    at = _folder(t, "stream")
+    t.detections.repartitionByRange(3, "frame_no").write.parquet(f"{at}/in")
+    log = ExtractionLog(t.spark, f"{at}/log", t.rule_input, _votes(t))
+    log.follow(f"{at}/in", f"{at}/checkpoint", files=1).awaitTermination()
+    return _extracted(*log.state(t.violations, t.videos))
+
+
+def _isolated(t: Tables) -> DataFrame:
+    """The report of all rules, of one that cannot be planned, and of one that fails on its rows."""
+    broken = {
+        "no_such_column": lambda x: x.rows.select("lamp"),
+        "failing_rows": lambda x: R.speeding(x).withColumn("confidence", F.raise_error(F.lit("no confidence")).cast("double")),
+    }
+    rows, report = L.run_isolated(t.rule_input, R.RULES | broken)
+    found = rows.groupBy(F.col("violation_type").alias("rule")).agg(F.countDistinct("video_id").alias("videos"), F.sum("start_ms").alias("starts"))
+    return report.drop("error").join(found, "rule", "left")
+
+
+def _replaced(t: Tables) -> DataFrame:
+    """Detections after every third video was analysed again, read back from the table, with the status of their videos.
+
+    Videos without a detection now are rows, too.
+    """
+    new = t.detections.filter("frame_no < 5 and video_id % 2 = 0")
+    held = VideoTable(t.spark, _folder(t, "detections"), t.detections.schema).create(t.detections)
+    held.replace(_touched(t), new)
+    videos = analysed(t.videos, _touched(t)).select(F.col("id").alias("video_id"), "status")
+    return videos.join(held.read(), "video_id", "left").select("video_id", "status", "id", "frame_no", "class_name", F.round("bbox_x1", 3).alias("x1"))
 
 
 def _video_changes(t: Tables) -> DataFrame:
@@ -350,6 +398,7 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "probe_to_metadata": lambda t: I.probe_metadata(_probes(t)).select("path", "duration_sec", "width", "height", "codec", "fps", "file_size_mb", F.date_format("recorded_at", "yyyy-MM-dd HH:mm").alias("recorded")),
     "detections_from_frames": lambda t: I.detections_from_frames(_frame_results(t), t.rule_input.rates).groupBy("video_id", "class_name").agg(F.count("*").alias("n"), F.sum("frame_no").alias("frames"), F.sum("timestamp_ms").alias("ms"), F.round(F.sum("bbox_x2"), 2).alias("x2")),
     "detections_replace": lambda t: I.detections_replace(t.detections, t.detections.filter("frame_no < 5 and video_id % 2 = 0"), _touched(t)).groupBy("video_id").agg(F.count("*").alias("n")),
+    "detections_replaced": _replaced,
     "analysis_summary": lambda t: I.analysis_summary(t.detections),
     "analyze_batch": lambda t: I.analyze_batch(_frame_results(t).withColumn("conf", F.when((F.col("video_id") % 9 == 0) & (F.col("kept_idx") == 2), F.slice("conf", 1, 1)).otherwise(F.col("conf"))), t.rule_input.rates)[0].groupBy("video_id").agg(F.count("*").alias("n")),
     "videos_insert": _inserted,
@@ -386,6 +435,8 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "run_rules": lambda t: R.run_rules(t.rule_input).groupBy("violation_type").agg(F.count("*").alias("n"), F.countDistinct("video_id").alias("videos"), F.sum("start_ms").alias("starts")),
     "rule_gating": lambda t: R.run_rules(t.rule_input, {n: R.RULES[n] for n in ("speeding", "unsafe_following", "high_beam_misuse")}).groupBy("video_id", "violation_type").agg(F.count("*").alias("n")),
     "extract_violations": _extract,
+    "incremental_extraction": _incremental,
+    "run_rules_isolated": _isolated,
     "readiness": lambda t: _ready(t).withColumn("zone_types", _ids("zone_types")),
     "detectors_blocked": lambda t: A.detectors_blocked(_ready(t)).groupBy("rule", "missing").agg(F.count("*").alias("n")),
     "estimate_speed": _direct_speeds,

@@ -38,6 +38,17 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _file_system(spark, path)
+    return fs.exists(at)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder, if it is there."""
+    fs, at = _file_system(spark, path)
+    fs.delete(at, True)
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it again: lineage ends there, and a lost executor costs its tasks only.
 
@@ -54,8 +65,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 def discard(*tables: DataFrame) -> None:
     """Delete materialised tables that no later plan reads."""
     for df in tables:
-        fs, at = _file_system(df.sparkSession, df._folder)
-        fs.delete(at, True)
+        delete(df.sparkSession, df._folder)
 
 
 class Scratch:

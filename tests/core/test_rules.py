@@ -5,6 +5,8 @@ from roadtrace.operators import changes as C
 from roadtrace.operators import datasets as D
 from roadtrace.operators import duplicates as U
 from roadtrace.operators import export as E
+from roadtrace.operators import glare as H
+from roadtrace.operators import isolation as L
 from roadtrace.operators import rules as R
 from roadtrace.operators import tracks as T
 from roadtrace.schemas import DETECTION
@@ -117,8 +119,9 @@ def test_blob_areas():
     mask[8, 8] = mask[9, 9] = True  # hangs on by corners
     mask[12:14, 20:29] = True
     mask[15, 1:10] = True  # a line encloses nothing
-    assert sorted(R.blob_areas(mask)) == [0.0, 8.0, 25.0]
-    assert R.blob_areas(np.zeros((4, 4), bool)) == []
+    area, row = H.blob_areas(mask)
+    assert sorted(zip(area.tolist(), row.tolist())) == [(0.0, 15), (8.0, 12), (25.0, 2)]
+    assert H.blob_areas(np.zeros((4, 4), bool))[0].tolist() == []
     rng = np.random.default_rng(3)
     for _ in range(50):
         m = rng.random((12, 12)) < 0.4
@@ -132,7 +135,7 @@ def test_blob_areas():
                     if 0 <= a < 12 and 0 <= b < 12 and m[a, b] and not seen[a, b]:
                         seen[a, b] = True
                         todo += [(a + i, b + j) for i in (-1, 0, 1) for j in (-1, 0, 1)]
-        label = R._labels(m, corners=True)
+        label = H.labels(m, corners=True)
         assert len(np.unique(label[m])) == n and (label > 0).sum() == m.sum()
 
 
@@ -147,13 +150,46 @@ def test_whole_extraction(spark):
     assert {(r.id, r.status) for r in after.collect()} == {(1, "analyzed"), (2, "imported")}
 
 
-def test_failing_rule_is_reported(spark, tmp_path):
+def test_masks_of_a_block_are_judged_alone(monkeypatch):
+    rng = np.random.default_rng(4)
+    masks = [rng.random((rng.integers(1, 40), rng.integers(1, 60))) < rng.choice([0.3, 0.7, 0.95]) for _ in range(60)]
+
+    def plain(m):
+        area = H.blob_areas(m)[0]
+        big = area[area >= H.AREA]
+        return len(big) >= 2 or len(big) == 1 and big[0] >= H.BIG * H.AREA
+
+    want = [plain(m) for m in masks]
+    assert any(want) and not all(want)
+    for block in (1 << 22, 5000, 1):
+        monkeypatch.setattr(H, "BLOCK", block)
+        assert H.glaring(masks).tolist() == want
+    assert H.glaring([]).tolist() == []
+
+
+def test_night_is_the_mean_of_the_brightest_channels():
+    image = np.zeros((10, 10, 3), np.uint8)
+    image[..., 1] = 70
+    assert H.is_night(image)
+    image[0, 0, 2] = 71
+    assert not H.is_night(image)
+
+
+def test_failing_rules_are_reported(spark, tmp_path):
     def broken(x):
         raise ValueError("no such thing")
 
-    report = R.run_isolated(make(spark, crossing(), STOP), str(tmp_path), {"red_light_running": R.red_light, "broken": broken})
-    assert report == [("red_light_running", "ok", None), ("broken", "failed", "no such thing")]
-    assert spark.read.parquet(str(tmp_path)).count() == 1
+    failing = lambda x: R.red_light(x).withColumn("confidence", R.F.raise_error(R.F.lit("bad row")).cast("double"))
+    rules = {"broken": broken, "unplanned": lambda x: x.rows.select("lamp"), "failing": failing, "red_light_running": R.red_light, "speeding": R.speeding}
+    rows, report = L.run_isolated(make(spark, crossing(), STOP), rules, str(tmp_path))
+    got = {r.rule: r for r in report.collect()}
+    assert [(n, got[n].status, got[n].violations) for n in rules] == [("broken", "failed", 0), ("unplanned", "failed", 0), ("failing", "failed", 0), ("red_light_running", "ok", 1), ("speeding", "ok", 0)]
+    assert (got["broken"].condition, got["broken"].error) == (None, "no such thing")
+    assert got["unplanned"].condition == "UNRESOLVED_COLUMN.WITH_SUGGESTION" and "lamp" in got["unplanned"].error
+    assert got["failing"].condition == "USER_RAISED_EXCEPTION" and "bad row" in got["failing"].error
+    assert [r.violation_type for r in rows.collect()] == ["red_light_running"]
+    none, report = L.run_isolated(make(spark, crossing(), STOP), {"broken": broken})
+    assert none.count() == 0 and report.count() == 1
 
 
 def test_tracks_runs_and_strides(spark):
