@@ -117,13 +117,20 @@ def glaring(masks: list[np.ndarray]) -> np.ndarray:
 
 
 def judge_frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """video_id, frame_no, height, width, bgr, boxes -> the (video_id, track_id, frame_no) that glare; each frame is judged once, then the boxes in it."""
+    """video_id, frame_no, height, width, bgr, boxes -> the (video_id, track_id, frame_no) that glare.
+
+    Each frame is judged once, then the boxes in it. Frames without pixels, or with other
+    than their size says, show nothing.
+    """
     for batch in batches:
         video, frame, height, width = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("video_id", "frame_no", "height", "width"))
         pixels, boxes = batch.column("bgr"), batch.column("boxes")
         masks, owners = [], []
         for k in range(batch.num_rows):
-            image = np.frombuffer(pixels[k].as_buffer(), np.uint8).reshape(height[k], width[k], 3)
+            raw = pixels[k].as_buffer()
+            if raw is None or not len(raw) == height[k] * width[k] * 3 > 0:
+                continue
+            image = np.frombuffer(raw, np.uint8).reshape(int(height[k]), int(width[k]), 3)
             if not is_night(image):
                 continue
             for b in boxes[k].as_py():

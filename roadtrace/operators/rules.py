@@ -221,8 +221,7 @@ def high_beam(x: RuleInput, every: int = 5, least_sec: float = 2.0) -> DataFrame
     boxes = materialise(boxes, "boxes")
     if boxes.count() <= BROADCAST_FRAMES:  # pixels stay where they are
         boxes = F.broadcast(boxes)
-    whole = x.frames.filter(F.length("bgr") == F.col("height").cast("long") * F.col("width") * 3)
-    seen = whole.join(boxes, ["video_id", "frame_no"]).select("video_id", "frame_no", "height", "width", "bgr", "boxes").mapInArrow(judge_frames, "video_id int, track_id int, frame_no int")
+    seen = x.frames.join(boxes, ["video_id", "frame_no"]).select("video_id", "frame_no", "height", "width", "bgr", "boxes").mapInArrow(judge_frames, "video_id int, track_id int, frame_no int")
     g = seen.groupBy(*KEY).agg(F.array_sort(F.collect_set("frame_no")).alias("f")).join(x.rates, "video_id")
     a, z = F.get("f", F.lit(0)), F.get("f", F.size("f") - 1)
     g = g.withColumn("sec", (z - a + 1) / F.col("fps")).filter(F.col("sec") >= least_sec)
