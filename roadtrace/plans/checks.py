@@ -9,6 +9,10 @@ SQL: dict[str, str] = {}
 #: The key under which the queries' plates are pseudonyms.
 SECRET = "a study's own secret"
 
+_PAD = SECRET.encode().ljust(64, b"\0")
+_INNER, _OUTER = (bytes(b ^ x for b in _PAD).hex() for x in (0x36, 0x5C))
+_PSEUDONYM = f"CASE WHEN license_plate <> '' THEN 'PLATE-' || upper(sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || encode(license_plate))))[1:10]) END"
+
 # Tracks: rows with position, size, class and centre; their segments; their ends.
 _TRACKS = """, tr0 AS (SELECT d.*, (bbox_x1 + bbox_x2) / 2 AS cx, (bbox_y1 + bbox_y2) / 2 AS cy, row_number() OVER (PARTITION BY video_id, track_id ORDER BY frame_no, id) - 1 AS pos,
   count(*) OVER (PARTITION BY video_id, track_id) AS n FROM detections d WHERE track_id IS NOT NULL),
@@ -42,10 +46,10 @@ SQL["track_summary"] = _tracks(" SELECT *, end_ms - start_ms AS duration_ms FROM
 SQL["track_segments"] = _tracks(" SELECT video_id, track_id, count(*) AS n, round(sum(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1))), 3) AS path_px, CAST(sum(frame_no) AS BIGINT) AS frames FROM seg GROUP BY ALL")
 SQL["detections_by_frame"] = over(" SELECT video_id, frame_no, count(*) AS n, string_agg(class_name, ',' ORDER BY id) AS classes FROM detections GROUP BY ALL", "detections")
 SQL["consecutive_runs"] = over(
-    """, f AS (SELECT DISTINCT video_id, frame_no FROM detections WHERE class_name = 'person'),
-g AS (SELECT *, CASE WHEN frame_no - lag(frame_no) OVER (PARTITION BY video_id ORDER BY frame_no) > 3 THEN 1 ELSE 0 END AS new FROM f),
-h AS (SELECT *, sum(new) OVER (PARTITION BY video_id ORDER BY frame_no) AS run FROM g)
-SELECT video_id, min(frame_no) AS run_start, max(frame_no) AS run_end, count(*) AS n_frames FROM h GROUP BY video_id, run""",
+    """, f AS (SELECT DISTINCT video_id, class_name, frame_no FROM detections),
+g AS (SELECT *, CASE WHEN frame_no - lag(frame_no) OVER (PARTITION BY video_id, class_name ORDER BY frame_no) > 3 THEN 1 ELSE 0 END AS new FROM f),
+h AS (SELECT *, sum(new) OVER (PARTITION BY video_id, class_name ORDER BY frame_no) AS run FROM g)
+SELECT video_id, class_name, min(frame_no) AS run_start, max(frame_no) AS run_end, count(*) AS n_frames FROM h GROUP BY video_id, class_name, run""",
     "detections",
 )
 SQL["first_crossing"] = _tracks(f"{_crossing(250.5)} SELECT * FROM crossed")
@@ -291,7 +295,7 @@ SQL["label_export_xml"] = over(
 
 # Changes and exports.
 SQL["export_rows"] = over(
-    f" SELECT v.id, filename, violation_type, CASE violation_type {_NAMES} END AS type_name, start_ms / 1000 AS start_sec, end_ms / 1000 AS end_sec, confidence, review_status, source_type, true AS anonymized, CASE WHEN license_plate <> '' THEN 16 END::BIGINT AS plate_chars FROM violations v JOIN videos ON videos.id = v.video_id", *_V
+    f" SELECT v.id, filename, violation_type, CASE violation_type {_NAMES} END AS type_name, start_ms / 1000 AS start_sec, end_ms / 1000 AS end_sec, confidence, review_status, source_type, true AS anonymized, {_PSEUDONYM} AS license_plate FROM violations v JOIN videos ON videos.id = v.video_id", *_V
 )
 SQL["apply_review"] = over(", r AS (SELECT violation_id, review_status AS new FROM (SELECT *, row_number() OVER (PARTITION BY violation_id ORDER BY changed_at DESC, change_id DESC) AS k FROM changes WHERE op = 'review') WHERE k = 1) SELECT id, coalesce(new, review_status) AS review_status FROM violations LEFT JOIN r ON violation_id = id", "violations", "changes")
 _VALID = ", ok AS (SELECT c.*, CASE WHEN d IS NULL THEN 'unknown video' WHEN end_ms <= start_ms THEN 'empty interval' WHEN end_ms > d * 1000 THEN 'beyond the video' WHEN length(license_plate) > 12 THEN 'plate too long' END AS reason FROM changes c LEFT JOIN (SELECT id AS v, duration_sec AS d FROM videos) ON v = video_id WHERE op IN ('I', 'U'))"
@@ -310,9 +314,10 @@ SQL["delete_videos_cascade"] = over(" SELECT 'videos' AS part, count(*) AS n FRO
 
 # Sampling, hashes and codecs that follow from how the derived tables are made.
 SQL["stride_sample"] = over(
-    """, p AS (SELECT DISTINCT video_id, frame_no FROM detections WHERE class_name = 'person'),
-g(video_id, frame_no) AS (SELECT video_id, min(frame_no) FROM p GROUP BY 1 UNION ALL SELECT g.video_id, min(p.frame_no) FROM g JOIN p ON p.video_id = g.video_id AND p.frame_no >= g.frame_no + 5 GROUP BY g.video_id, g.frame_no)
-SELECT video_id, frame_no FROM g""",
+    """, p AS (SELECT DISTINCT video_id, class_name, frame_no FROM detections),
+g(video_id, class_name, frame_no) AS (SELECT video_id, class_name, min(frame_no) FROM p GROUP BY ALL
+ UNION ALL SELECT g.video_id, g.class_name, min(p.frame_no) FROM g JOIN p ON p.video_id = g.video_id AND p.class_name = g.class_name AND p.frame_no >= g.frame_no + 5 GROUP BY g.video_id, g.class_name, g.frame_no)
+SELECT video_id, class_name, frame_no FROM g""",
     "detections",
 ).replace("WITH ", "WITH RECURSIVE ", 1)
 _PAIRS = (
@@ -337,11 +342,7 @@ for _name, _query in {
 }.items():
     SQL[_name] = over(f"{_GREEDY} {_query}", "hashes").replace("WITH ", "WITH RECURSIVE ", 1)
 SQL["json_codecs"] = over(""" SELECT video_id, frame_no, '[' || string_agg('{"id":' || id || ',"class_name":"' || class_name || '","confidence":' || round(confidence, 4) || '}', ',' ORDER BY id) || ']' AS json FROM detections GROUP BY ALL""", "detections")
-_PAD = SECRET.encode().ljust(64, b"\0")
-_INNER, _OUTER = (bytes(b ^ x for b in _PAD).hex() for x in (0x36, 0x5C))
-SQL["pseudonymize_plate"] = over(
-    f" SELECT CASE WHEN license_plate <> '' THEN 'PLATE-' || upper(sha256(unhex('{_OUTER}') || unhex(sha256(unhex('{_INNER}') || encode(license_plate))))[1:10]) END AS pseudonym, count(*) AS n FROM violations GROUP BY 1", "violations"
-)
+SQL["pseudonymize_plate"] = over(f" SELECT {_PSEUDONYM} AS pseudonym, count(*) AS n FROM violations GROUP BY 1", "violations")
 
 # Files that queries write from the tables and read back.
 _MEDIA = """, f AS (SELECT 'clip_' || id || '.mp4' AS name, repeat('video ' || (id % 40) || chr(10), 50) AS content FROM videos WHERE id % 3 <> 0),
@@ -391,3 +392,65 @@ UNION ALL SELECT 'details', violation_type, round(sum(start_ms / 1000), 3) FROM
 )
 SQL["export_log"] = over(""", s AS (SELECT DISTINCT coalesce(source_type, 'other') AS s FROM videos) SELECT 'study of ' || s AS study_name, '{"source":"' || s || '"}' AS filter_json, 'csv' AS format, '/out/' || s AS output_path, 2::BIGINT AS n FROM s""", "videos")
 SQL["deletion_audit"] = over(" SELECT 'video' AS entity, id AS entity_id, 'delete' AS action, filename AS old_value, NULL::VARCHAR AS new_value, 'admin' AS actor FROM videos WHERE id % 4 = 1", "videos")
+
+# Batches, documents, files and trails with all their outputs.
+SQL["analyze_batch_outputs"] = over(
+    """, r AS (SELECT video_id, frame_no AS k, count(*) AS n, round(sum(bbox_x1), 2) AS x1 FROM detections GROUP BY ALL),
+e AS (SELECT *, CASE WHEN video_id % 23 = 1 AND k = 7 THEN 'no frame index' WHEN video_id % 14 = 5 AND k = 4 THEN 'no xyxy' WHEN video_id % 9 = 0 AND k = 2 AND n > 0 THEN 'conf and xyxy differ in length'
+  WHEN video_id % 17 = 3 AND k < 3 AND NOT (video_id % 14 = 5 AND k = 4) THEN 'a box without four corners' END AS error FROM r),
+bad AS (SELECT video_id, count(*) AS n, first(error ORDER BY CASE WHEN error = 'no frame index' THEN -1 ELSE k END) AS error FROM e WHERE error IS NOT NULL GROUP BY 1)
+SELECT video_id, k * 3 AS frame_no, n, x1, NULL::VARCHAR AS error FROM r WHERE video_id NOT IN (SELECT video_id FROM bad) UNION ALL SELECT video_id, NULL, n, NULL, error FROM bad""",
+    "detections",
+)
+SQL["study_lines"] = over(
+    f"""{_MOMENT}, l(part, key, n, videos, filename, name, end_ms, confidence, plate) AS (
+ SELECT 'study', NULL::VARCHAR, NULL::BIGINT, NULL::BIGINT, NULL::VARCHAR, NULL::VARCHAR, NULL::INT, NULL::DOUBLE, NULL::VARCHAR
+ UNION ALL SELECT 'kpis', NULL, (SELECT count(*) FROM violations), (SELECT count(*) FROM videos), NULL, NULL, NULL, NULL, NULL
+ UNION ALL SELECT 'violations', v.id::VARCHAR, NULL, NULL, filename, CASE violation_type {_NAMES} ELSE violation_type END, end_ms, round(confidence, 4), {_PSEUDONYM} FROM violations v JOIN videos ON videos.id = v.video_id
+ UNION ALL SELECT 'by_type', violation_type, count(*), NULL, NULL, NULL, NULL, NULL, NULL FROM violations GROUP BY 2
+ UNION ALL SELECT 'by_hour', hour(moment)::VARCHAR, count(*), NULL, NULL, NULL, NULL, NULL, NULL FROM m GROUP BY 2
+ UNION ALL SELECT 'by_weekday', ((dayofweek(moment) + 6) % 7)::VARCHAR, count(*), NULL, NULL, NULL, NULL, NULL, NULL FROM m GROUP BY 2
+ UNION ALL SELECT 'by_review_status', review_status, count(*), NULL, NULL, NULL, NULL, NULL, NULL FROM violations GROUP BY 2)
+SELECT *, true AS anonymized FROM l""",
+    *_V,
+)
+_LABELS = "|".join(DETECTION_CLASSES.values())
+SQL["annotation_files"] = over(
+    f""", good AS (SELECT id FROM videos WHERE width IS NOT NULL AND height IS NOT NULL),
+b AS (SELECT *, dense_rank() OVER (PARTITION BY video_id ORDER BY frame_no) - 1 AS image, (row_number() OVER (PARTITION BY video_id, frame_no ORDER BY id) - 1)::INT AS place FROM detections WHERE video_id IN (SELECT id FROM good))
+SELECT 'box' AS part, video_id, image, frame_no, place, class_name AS text, {", ".join(f"printf('%.2f', bbox_{c})::DOUBLE AS bbox_{c}" for c in ("x1", "y1", "x2", "y2"))} FROM b
+UNION ALL SELECT 'task', id, (SELECT count(DISTINCT frame_no) FROM detections WHERE video_id = g.id), NULL, NULL, 'video_' || id || '|annotation|{_LABELS}', NULL, NULL, NULL, NULL FROM good g
+UNION ALL SELECT 'refused', id, NULL, NULL, NULL, 'unknown size', NULL, NULL, NULL, NULL FROM videos WHERE width IS NULL OR height IS NULL
+UNION ALL SELECT DISTINCT 'refused', video_id, NULL::BIGINT, NULL::INT, NULL::INT, 'unknown video', NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE FROM detections WHERE video_id NOT IN (SELECT id FROM videos)""",
+    "detections",
+    "videos",
+)
+# What held before a change is found by looking for the last earlier one, row by row.
+SQL["audit_log"] = over(
+    f"""{_VALID}, log AS (SELECT * FROM changes WHERE op IN ('review', 'D') OR change_id IN (SELECT change_id FROM ok WHERE reason IS NULL)),
+top AS (SELECT max(id)::BIGINT AS top FROM violations),
+died AS (SELECT violation_id, min((changed_at, change_id)) AS at FROM log WHERE op = 'D' GROUP BY 1),
+c AS (SELECT l.*, v.id IS NOT NULL AND (d.at IS NULL OR (l.changed_at, l.change_id) <= d.at) AS known, v.review_status AS review0, v.violation_type || ' (source=' || coalesce(v.source, 'auto') || ')' AS label0
+  FROM log l LEFT JOIN violations v ON v.id = l.violation_id LEFT JOIN died d USING (violation_id) WHERE op <> 'I'),
+p AS (SELECT c.*, max_by(e.review_status, (e.changed_at, e.change_id)) FILTER (e.op = 'review') AS review1, count(*) FILTER (e.op = 'U') AS edits FROM c LEFT JOIN log e ON e.violation_id = c.violation_id AND e.op IN ('review', 'U')
+  AND (e.changed_at, e.change_id) < (c.changed_at, c.change_id) GROUP BY ALL),
+t AS (SELECT video_id, change_id, changed_at, actor FROM changes WHERE op = 'U' AND change_id % 2 = 0),
+w AS (SELECT t.*, lag(changed_at) OVER (PARTITION BY t.video_id ORDER BY changed_at, change_id) AS before, v.id IS NOT NULL AS known, v.recorded_at FROM t LEFT JOIN videos v ON v.id = t.video_id)
+SELECT 'violation' AS entity, violation_id::BIGINT AS entity_id, CASE op WHEN 'review' THEN 'review_status' WHEN 'D' THEN 'delete' ELSE 'edit' END AS action,
+ CASE WHEN known THEN CASE WHEN op = 'review' THEN coalesce(review1, review0) WHEN edits > 0 THEN 'speeding (source=manual)' ELSE label0 END END AS old_value,
+ CASE op WHEN 'review' THEN review_status WHEN 'U' THEN violation_type || ' (source=manual)' END AS new_value, actor FROM p
+UNION ALL SELECT 'violation', top + change_id + 1, 'create_manual', NULL, violation_type || ' @ video ' || video_id, actor FROM log, top WHERE op = 'I'
+UNION ALL SELECT 'video', video_id, 'set_recorded_at', CASE WHEN known THEN strftime(coalesce(before, recorded_at), '%Y-%m-%dT%H:%M:%S') END, strftime(changed_at, '%Y-%m-%dT%H:%M:%S'), actor FROM w""",
+    "changes",
+    "videos",
+    "violations",
+)
+SQL["zones_from_files"] = over(
+    """, f AS (SELECT id, 'zones_' || id || '.json' AS file FROM videos),
+z AS (SELECT video_id, zone_type, CASE zone_type WHEN 'stop_line' THEN '0.0,250.5;1000.0,250.5' WHEN 'lane_line_solid' THEN '0.0,350.5;1000.0,350.5' ELSE '600.0,250.0;700.0,250.0;700.0,450.0;600.0,450.0' END AS text FROM zones)
+SELECT 'zone' AS part, video_id, zone_type, text FROM z WHERE video_id % 7 = 0 UNION ALL SELECT 'zone', id, 'lane_line_dashed', '0.0,9.5;9.0,9.5' FROM f WHERE id % 7 <> 0
+UNION ALL SELECT 'refused', id, NULL, file || ': no JSON' FROM f WHERE id % 7 = 0
+UNION ALL SELECT 'refused', id, 'island', file || ': unknown type' FROM f WHERE id % 7 <> 0 AND id % 5 = 0 UNION ALL SELECT 'refused', id, 'no_parking', file || ': too few points' FROM f WHERE id % 7 <> 0 AND id % 5 = 0""",
+    "videos",
+    "zones",
+)

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from roadtrace.functions import geometry as G
 from roadtrace.functions import text as X
 from roadtrace.operators import analytics as A
+from roadtrace.operators import annotations as N
+from roadtrace.operators import audit as AU
 from roadtrace.operators import changes as C
 from roadtrace.operators import datasets as D
 from roadtrace.operators import duplicates as U
@@ -18,12 +20,14 @@ from roadtrace.operators import export as E
 from roadtrace.operators import isolation as L
 from roadtrace.operators import plates as P
 from roadtrace.operators import rules as R
+from roadtrace.operators import study as S
 from roadtrace.operators import tracks as T
 from roadtrace.plans import checks as Q
 from roadtrace.schemas import VIOLATION_NAMES
 from roadtrace.session import new_folder
 from roadtrace.sources import ingest as I
 from roadtrace.sources.adapters import load
+from roadtrace.sources import zone_files as Z
 from roadtrace.sources.video_table import VideoTable, analysed
 from roadtrace.streaming.incremental import ExtractionLog
 
@@ -163,8 +167,7 @@ def _crossed(t: Tables) -> DataFrame:
 
 
 def _runs(t: Tables) -> DataFrame:
-    frames = t.detections.filter("class_name = 'person'")
-    return T.consecutive_runs(frames, ["video_id"], 2).withColumn("n_frames", F.col("n_frames").cast("bigint"))
+    return T.consecutive_runs(t.detections, ["video_id", "class_name"], 2).withColumn("n_frames", F.col("n_frames").cast("bigint"))
 
 
 def _plates(t: Tables) -> DataFrame:
@@ -239,6 +242,74 @@ def _replaced(t: Tables) -> DataFrame:
     return videos.join(held.read(), "video_id", "left").select("video_id", "status", "id", "frame_no", "class_name", F.round("bbox_x1", 3).alias("x1"))
 
 
+def _batch_results(t: Tables) -> DataFrame:
+    """Results of which some videos have a malformed frame: a score short, no boxes, no index, a box of two corners."""
+    rows, v, k = _frame_results(t), F.col("video_id"), F.col("kept_idx")
+    short = F.when((v % 9 == 0) & (k == 2), F.slice("conf", 1, F.greatest(F.size("conf") - 1, F.lit(0)))).otherwise(F.col("conf"))
+    boxes = F.when((v % 14 == 5) & (k == 4), None).when((v % 17 == 3) & (k < 3), F.transform("xyxy", lambda b: F.slice(b, 1, 2))).otherwise(F.col("xyxy"))
+    return rows.withColumns({"conf": short, "xyxy": boxes, "kept_idx": F.when((v % 23 == 1) & (k == 7), None).otherwise(k)})
+
+
+def _batch(t: Tables) -> DataFrame:
+    """Both outputs of a batch: the detections of readable videos by frame, and the reasons of the others."""
+    good, bad = I.analyze_batch(_batch_results(t), t.rule_input.rates)
+    good = good.groupBy("video_id", "frame_no").agg(F.count("*").alias("n"), F.round(F.sum("bbox_x1"), 2).alias("x1"))
+    return good.unionByName(bad.select("video_id", F.col("frames").alias("n"), "error"), allowMissingColumns=True)
+
+
+def _study_lines(t: Tables) -> DataFrame:
+    """The anonymised study, written and read back, its nested lines laid flat."""
+    at = _folder(t, "study")
+    S.write_study(S.anonymize_study(S.study_lines(t.violations, t.videos), SECRET), at)
+    back = S.read_study(t.spark, at)
+    text = lambda c: F.col(c).cast("string")
+    key = F.coalesce(text("violation.id"), "type.code", text("hour.hour"), text("weekday.weekday"), "review.status")
+    n = F.coalesce("type.n", "hour.n", "weekday.n", "review.n", "figures.violations")
+    return back.select(
+        "part", "anonymized", key.alias("key"), n.alias("n"), F.col("figures.videos").alias("videos"), F.col("violation.video.filename").alias("filename"), F.col("violation.type.name").alias("name"),
+        F.col("violation.interval.end_ms").alias("end_ms"), F.round("violation.confidence", 4).alias("confidence"), F.col("violation.license_plate").alias("plate"),
+    )
+
+
+def _annotation_files(t: Tables) -> DataFrame:
+    """Boxes, heads and refused videos of annotation files that were written and read back."""
+    at = _folder(t, "annotations")
+    images, refused = N.annotation_images(t.detections, t.videos)
+    N.write_annotations(images, N.annotation_tasks(t.detections, t.videos), at)
+    boxes, tasks = N.read_annotations(t.spark, at)
+    rows = boxes.select(F.lit("box").alias("part"), "video_id", "image", "frame_no", "place", F.col("class_name").alias("text"), "bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2")
+    heads = tasks.select(F.lit("task").alias("part"), "video_id", F.col("size").alias("image"), F.concat_ws("|", "name", "mode", "labels").alias("text"))
+    gone = refused.select(F.lit("refused").alias("part"), "video_id", F.col("error").alias("text"))
+    return rows.unionByName(heads, allowMissingColumns=True).unionByName(gone, allowMissingColumns=True)
+
+
+def _audited(t: Tables) -> DataFrame:
+    """The audit of reviews, accepted edits and inserts, deletes and new recording times, appended after the write of the reviewed rows and read back."""
+    accepted = _valid(t).filter("reason is null").select("change_id")
+    log = t.changes.join(accepted, "change_id", "left_semi").unionByName(t.changes.filter("op in ('review', 'D')"))
+    times = t.changes.filter("op = 'U'").select(F.col("video_id").alias("id"), F.when(F.col("change_id") % 2 == 0, F.col("changed_at").cast("timestamp")).alias("recorded_at"), "actor", "changed_at", "change_id")
+    audit = AU.violation_audit(t.violations, log).unionByName(AU.video_audit(t.videos, times))
+    at = _folder(t, "audit")
+    failed = AU.write_audited(C.apply_review(t.violations, t.changes), f"{at}/violations", audit, f"{at}/audit")
+    if failed:
+        raise RuntimeError(failed)
+    return t.spark.read.parquet(f"{at}/audit").select("entity", "entity_id", "action", "old_value", "new_value", "actor")
+
+
+def _zone_files(t: Tables) -> DataFrame:
+    """Zones after a file of each video replaced them: every seventh file is broken off, every fifth has a bad zone among good ones."""
+    line = '{"zone_type": "lane_line_dashed",\n  "polygon": [[0, 9.5], [9, 9.5]]}'
+    bad = F.when(F.col("id") % 5 == 0, ',\n{"zone_type": "island", "polygon": [[1,1],[2,2]]},\n{"zone_type": "no_parking", "polygon": [[1,1],[2,2]]}').otherwise("")
+    content = F.when(F.col("id") % 7 == 0, f"[{line}, ").otherwise(F.concat(F.lit(f"[\n{line}"), bad, F.lit("]\n")))
+    at = _folder(t, "zones")
+    I.write_files(t.videos.select(F.concat(F.lit("zones_"), F.col("id").cast("string"), F.lit(".json")).alias("name"), content.alias("content")), f"{at}/files")
+    good, refused = Z.read_zone_files(t.spark, f"{at}/files")
+    held = VideoTable(t.spark, f"{at}/table", Z.ZONE).create(t.zones.withColumn("id", F.col("id").cast("long")))
+    Z.replace_zones(held, good)
+    zones = I.zones_parse(held.read()).select(F.lit("zone").alias("part"), "video_id", "zone_type", _points("points").alias("text"))
+    return zones.unionByName(refused.select(F.lit("refused").alias("part"), "video_id", "zone_type", F.concat_ws(": ", "file", "reason").alias("text")))
+
+
 def _video_changes(t: Tables) -> DataFrame:
     new = t.changes.filter("op = 'U'").select(F.col("video_id").alias("id"), F.when(F.col("change_id") % 2 == 0, F.col("changed_at").cast("timestamp")).alias("recorded_at"), F.when(F.col("change_id") % 3 == 0, F.lit("cctv")).alias("source_type"), F.lit("reviewed").alias("status"), "changed_at", "change_id")
     return C.video_changes(t.videos, new).select("id", "source_type", "status", F.date_format("recorded_at", "yyyy-MM-dd HH:mm").alias("recorded"))
@@ -406,6 +477,8 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "zones_validate": lambda t: _messy_zones(t).groupBy(F.coalesce("reason", F.lit("good")).alias("reason")).agg(F.count("*").alias("n")),
     "zones_upsert": lambda t: I.zones_upsert(t.zones, t.zones.filter("video_id % 3 = 0 and zone_type = 'stop_line'")).groupBy("zone_type").agg(F.count("*").alias("n")),
     "zone_changes": _zone_changes,
+    "zones_from_files": _zone_files,
+    "analyze_batch_outputs": _batch,
     "calibration_compute": lambda t: I.calibration_compute(_references(t)).select("video_id", F.round("meters_per_px", 6).alias("meters_per_px"), "reason"),
     "calibration_upsert": lambda t: I.calibration_upsert(t.calibrations.unionByName(t.calibrations.withColumn("calibrated_at", F.expr("calibrated_at - interval 1 day")).withColumn("meters_per_px", F.lit(9.0)))).select("video_id", "meters_per_px"),
     "evidence_decode": lambda t: t.violations.select("id", _ids_of(I.evidence_decode(F.col("evidence_frames"))).alias("frames")),
@@ -429,7 +502,7 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "detections_by_frame": lambda t: T.grouped_by_frame(t.detections).select("video_id", "frame_no", F.size("detections").cast("bigint").alias("n"), F.concat_ws(",", F.transform("detections", lambda d: d["class_name"])).alias("classes")),
     "consecutive_runs": _runs,
     "first_crossing": _crossed,
-    "stride_sample": lambda t: T.stride_sample(t.detections.filter("class_name = 'person'"), 5, ["video_id"]),
+    "stride_sample": lambda t: T.stride_sample(t.detections, 5, ["video_id", "class_name"]),
     # rules
     **{f"rule_{n}": partial(_rule, n) for n in R.RULES},
     "run_rules": lambda t: R.run_rules(t.rule_input).groupBy("violation_type").agg(F.count("*").alias("n"), F.countDistinct("video_id").alias("videos"), F.sum("start_ms").alias("starts")),
@@ -486,7 +559,10 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "label_export_xml": lambda t: E.label_export(t.detections, t.videos)[0].select("filename", "_id", F.size("box").cast("bigint").alias("n"), F.concat_ws("|", F.col("box")[0]["_label"], F.col("box")[0]["_x1"], F.col("box")[0]["_y2"]).alias("first")),
     # exports and changes
     "study_build": _study,
-    "export_rows": lambda t: E.export_rows(t.violations, t.videos, SECRET).select(*[c for c in E.CELLS if c != "license_plate"], F.length("license_plate").cast("bigint").alias("plate_chars")),
+    "study_lines": _study_lines,
+    "annotation_files": _annotation_files,
+    "audit_log": _audited,
+    "export_rows": lambda t: E.export_rows(t.violations, t.videos, SECRET).select(*E.CELLS),
     "study_document": lambda t: E.study_document(t.violations, t.videos),
     "export_csv": _export_csv,
     "export_json": _export_json,

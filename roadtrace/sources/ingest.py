@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from roadtrace.functions import geometry as G
 from roadtrace.schemas import DETECTION_CLASSES, IMAGE_EXTENSIONS, VIDEO_EXTENSIONS, ZONE_TYPES
-from roadtrace.session import materialise
+from roadtrace.session import materialise, new_folder
 
 CHUNK = 4 << 20
 
@@ -161,11 +161,30 @@ def analysis_summary(detections: DataFrame) -> DataFrame:
 
 
 def analyze_batch(results: DataFrame, rates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Detections of the readable frames, and (video_id, error) of the videos with a malformed one, which are left out whole."""
-    sizes = [F.coalesce(F.size(c), F.lit(-1)) for c in ("xyxy", "conf", "cls", "ids")]
-    broken = F.col("kept_idx").isNull() | F.col("stride").isNull() | (sizes[0] < 0) | (sizes[0] != sizes[1]) | (sizes[0] != sizes[2]) | (sizes[0] != sizes[3])
-    bad = results.filter(broken).groupBy("video_id").agg(F.concat(F.count("*").cast("string"), F.lit(" malformed frames")).alias("error"))
-    return detections_from_frames(results.join(bad, "video_id", "left_anti"), rates), bad
+    """Detections of the readable videos, and (video_id, frames, error) of those with a malformed frame, which are left out whole.
+
+    The results are scanned once: frames are judged and written, good and malformed ones
+    apart; both outputs read what was written. The error is that of a video's first malformed
+    frame, frames without an index before all others; frames is how many there are. Frames
+    without video_id are a video of their own.
+    """
+    arrays = ("xyxy", "conf", "cls", "ids")
+    sizes = [F.size(c) for c in arrays]
+    error = F.when(F.col("kept_idx").isNull(), "no frame index").when(F.col("stride").isNull(), "no stride")
+    for c in arrays:
+        error = error.when(F.col(c).isNull(), f"no {c}")
+    for c, n in zip(arrays[1:], sizes[1:]):
+        error = error.when(n != sizes[0], f"{c} and xyxy differ in length")
+    error = error.when(F.exists("xyxy", lambda b: b.isNull() | (F.size(b) != 4)), "a box without four corners")
+    judged = results.withColumn("_error", error).withColumn("_malformed", error.isNotNull())
+    at = new_folder(results.sparkSession, "analysed")
+    judged.write.partitionBy("_malformed").parquet(at)
+    held = results.sparkSession.read.schema(judged.schema).parquet(at)
+    first = F.min(F.struct("kept_idx", "_error"))
+    bad = held.filter("_malformed").groupBy("video_id").agg(F.count("*").alias("frames"), first["_error"].alias("error"))
+    good = held.filter("not _malformed").drop("_malformed", "_error").alias("r")
+    good = good.join(bad.select(F.col("video_id").alias("bad_id")), F.col("r.video_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    return detections_from_frames(good, rates), bad
 
 
 def videos_insert(known: DataFrame, new: DataFrame) -> DataFrame:
