@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from roadtrace.operators.datasets import ADVICE
 from roadtrace.schemas import DETECTION_CLASSES, VIOLATION_NAMES
 from roadtrace.sources.adapters import with_tables as over
 
@@ -360,13 +361,9 @@ SQL["estimate_speed"] = _tracks(
     """ SELECT video_id, track_id, round(CASE WHEN ms > 0 THEN px * meters_per_px / (ms / 1000.0) * 3.6 ELSE 0 END, 3) AS kmh FROM
  (SELECT video_id, track_id, sqrt((last(cx ORDER BY pos) - first(cx ORDER BY pos)) ** 2 + (last(cy ORDER BY pos) - first(cy ORDER BY pos)) ** 2) AS px, last(timestamp_ms ORDER BY pos) - first(timestamp_ms ORDER BY pos) AS ms FROM veh WHERE n > 1 GROUP BY ALL) JOIN calibrations USING (video_id)"""
 )
-SQL["augment_tips"] = over(
-    f"""{_WEAK}, x AS (SELECT class_name, ['collect more than 100 samples', 'use copy_paste'] AS few, ['review the annotations', 'raise mosaic to 1.0 and mixup to 0.15'] AS dim, ['set hsv_h to 0.02 and hsv_s to 0.8', 'set fliplr and scale to 0.5'] AS mild,
- ['raise the confidence threshold at inference', 'raise the class weight in the loss'] AS alarms, ['lower the confidence threshold at inference', 'use a larger image size'] AS missed, instances, map50, p, r FROM weak),
-t AS (SELECT class_name, list_concat(CASE WHEN instances < 100 THEN few ELSE [] END, CASE WHEN map50 < 0.3::DOUBLE THEN dim ELSE mild END, CASE WHEN p < r - 0.1::DOUBLE THEN alarms ELSE [] END, CASE WHEN r < p - 0.1::DOUBLE THEN missed ELSE [] END) AS tips FROM x)
-SELECT class_name, (k - 1)::INTEGER AS pos, tips[k] AS tip FROM t, range(1, 9) g(k) WHERE k <= len(tips)""",
-    "label_lines",
-    "eval_metrics",
+_ADVICE = ", ".join(f"('{reason}', {k}, '{tip}')" for reason, tips in ADVICE.items() for k, tip in enumerate(tips))
+SQL["augment_tips"] = (
+    "WITH w AS (" + SQL["weak_classes"] + f"), a AS (SELECT * FROM (VALUES {_ADVICE}) t(reason, pos, tip)) SELECT class_name, reason, pos::INT AS pos, tip FROM w JOIN a ON contains(';' || reasons || ';', ';' || reason || ';')"
 )
 SQL["dataset_prepare"] = over(
     f"""{_DIM}, n AS (SELECT count(DISTINCT stem) AS n FROM label_lines), parts AS (SELECT CAST(floor(n * 0.7::DOUBLE) AS BIGINT) AS a, CAST(floor(n * 0.2::DOUBLE) AS BIGINT) AS b, n FROM n)
