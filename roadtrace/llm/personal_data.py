@@ -14,6 +14,7 @@ import unicodedata
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 
@@ -226,16 +227,22 @@ def hidden_spans(text: str, known: list[S.Span]) -> list[S.Span]:
         return max(0, last - first)
 
     found = base_spans(plain)
-    taken = [(s, e) for _, s, e in found]
+    taken = sorted((s, e) for _, s, e in found)
+    begins, reach = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
     for m in _LONG_NUMBER.finditer(plain):  # a spelled number needs no plus sign
-        if changed(*m.span()) >= 7 and not any(s < m.end() and m.start() < e for s, e in taken):
+        k = bisect_left(begins, m.end())
+        if changed(*m.span()) >= 7 and not (k and reach[k - 1] > m.start()):
             found.append(("phone", *m.span()))
+    # Known spans of a kind do not overlap, so only the last that begins before may hold another.
+    held = {kind: sorted((s, e) for k, s, e in known if k == kind) for kind in BASE_KINDS}
+    firsts = {kind: [s for s, _ in spans] for kind, spans in held.items()}
     out = []
     for kind, s, e in found:
         if not changed(s, e):
             continue
         start, end = source(s)[0], source(e - 1)[1]
-        if not any(k == kind and a <= start and end <= b for k, a, b in known):
+        k = bisect_right(firsts[kind], start)
+        if not (k and held[kind][k - 1][1] >= end):
             out.append((HIDDEN[kind], start, end))
     return out
 

@@ -1,8 +1,9 @@
 """Secret scans: fixed patterns, and an assignment-aware lexer over source and configuration syntax.
 
-The lexer walks a text from target to target (NAME = , name: , NAME["key"] = , "key": , += ,
---name , <name>) and reads the value behind it: strings, triple-quoted ones too, joined by
-+ also over lines, bare words, bracketed lists, YAML lists and block literals. It keeps
+The lexer walks a text from target to target (NAME = , a, NAME = , name: type = , name: ,
+NAME["key"] = , "key": , += , --name , <name>, key="name" value= , setName( , put("name", ) and
+reads the value behind it: strings, prefixed and triple-quoted ones too, joined by + or in
+parentheses also over lines, bare words, bracketed lists, YAML lists and block literals. It keeps
 what names hold in scopes, which braces and the indentation of functions and classes open
 and close, follows a name on the right-hand side to the literals behind it, and scores a
 literal by how sensitive the target's name is and how random the literal looks. Comments
@@ -42,7 +43,8 @@ LEAST_SCORE = 4.0
 LEAST_LENGTH = 8
 
 _TRIPLE = r'"""(?:[^\\]|\\[\s\S])*?"""' + r"|'{3}(?:[^\\]|\\[\s\S])*?'{3}"
-_STRING = _TRIPLE + r'|"(?:[^"\\\n]|\\[\s\S])*"' + r"|'(?:[^'\\\n]|\\[\s\S])*'|`[^`]*`"
+_PREFIX = r"""(?:[bBrRuUfF]{1,2}(?=["']))?+"""
+_STRING = "(?:" + _PREFIX + "(?:" + _TRIPLE + r'|"(?:[^"\\\n]|\\[\s\S])*"' + r"|'(?:[^'\\\n]|\\[\s\S])*'|`[^`]*`))"
 _TERM = rf"(?:{_STRING}|[A-Za-z0-9_$][A-Za-z0-9_$+/=.@!#%^&*~-]*)"
 # Over a line's end a + joins strings, and a name only behind it: no key of a next line, as a difference of files has them.
 _NO_KEY = r"(?![ \t]*+[:=])"
@@ -55,6 +57,7 @@ _TOKEN = re.compile(
     |(?P<flag>(?<![\w-])--(?P<option>[A-Za-z][A-Za-z0-9-]*+)[ \t]++)
     |<(?P<tag>[A-Za-z_][\w.-]*+)>
     |^(?P<indent>[ \t]*+)(?:async[ \t]++)?(?:def|class)\b
+    |(?P<call>(?<![A-Za-z0-9_$])(?P<method>[A-Za-z_$][A-Za-z0-9_$]*+)\((?=\s*+[bBrRuUfF]?["']))
     |(?P<open>\{{)|(?P<close>\}})""",
     re.M | re.X,
 )
@@ -65,6 +68,20 @@ _LINE_ITEM = re.compile(rf"\n[ \t]*+-[ \t]++(?P<item>{_STRING}|[^\s#][^\n#]*?)[
 _BLOCK = re.compile(r"[|>][-+0-9]*+[ \t\r]*+\n(?P<value>(?:[ \t]*+\n)*+(?P<inner>[ \t]++)[^\n]*+(?:\n(?:(?P=inner)[^\n]*+|[ \t]*+(?=\n)))*+)")
 _ELEMENT = re.compile(r"\s*+(?P<value>[^<>\s]++(?:[ \t\r]*+\n\s*+[^<>\s]++)*+)\s*+</(?P<tag>[A-Za-z_][\w.-]*+)>")
 _PART = re.compile(_TERM)
+#: Strings in parentheses, one behind the other, over lines as well.
+_ADJOINED = re.compile(rf"\(\s*+(?P<strings>(?>{_STRING})(?:\s*+\+?\s*+(?>{_STRING}))*+)\s*+,?\s*+\)")
+#: A type between a name and its value, and a call's arguments.
+_ANNOTATION = re.compile(rf"[A-Za-z_][\w.\[\], |]*+=[ \t]*+(?={_STRING}|\(\s*+[bBrRuUfF]?[\"'])")
+_CALLED = re.compile(r"""\(\s*+[bBrRuUfF]?["']""")
+_ARGUMENTS = re.compile(rf"\s*+(?P<one>{_STRING})(?:\s*+,\s*+(?P<two>{_STRING}))?")
+_SETTER = re.compile(r"(?:set|with|put|add|use)_?(?=[A-Z_]|[a-z])")
+_PAIRED = re.compile(r"(?:set|put|add|define|export|env|header|property|param|secret|config)", re.I)
+#: Names in front of a name, and the comma between values.
+_NAMES_BEFORE = re.compile(r"(?<![A-Za-z0-9_$.])(?:[A-Za-z_$][A-Za-z0-9_$.]*+[ \t]*+,[ \t]*+)++\Z")
+_COMMA = re.compile(r"[ \t]*+,[ \t]*+")
+_FILLER = re.compile(r"(?:name|key|id)", re.I)
+#: Names of fields that hold the value of another name.
+VALUE_NAMES = ("value", "val", "default", "text", "data", "content", "literal", "string", "plain")
 _ITEM = re.compile(rf"{_STRING}|[A-Za-z0-9_$+/=.@!%^&*~-]++")
 _NAME = re.compile(r"[A-Za-z_$][A-Za-z0-9_$.-]*\Z")
 _INDENT = re.compile(r"[ \t]*+")
@@ -127,6 +144,11 @@ def literal_score(value: str) -> float:
 def _part(text: str, start: int, end: int) -> tuple:
     """A term of a value: the span of a literal without its quotes, with its name where it may be a constant's."""
     word = text[start:end]
+    at = 0
+    while at < 2 and at + 1 < len(word) and word[at] in "bBrRuUfF" and word[-1] in "\"'":
+        at += 1
+    if at and word[at] in "\"'":
+        start, word = start + at, word[at:]
     if word[0] in "\"'`":
         n = 3 if len(word) >= 6 and word[:3] in ('"""', "\'\'\'") else 1
         return start + n, end - n
@@ -142,19 +164,28 @@ def _values(text: str, at: int, indent: int) -> tuple[list[list[tuple]], int]:
     if (m := _BLOCK.match(text, at)) and len(m["inner"]) > indent:
         start, end = m.span("value")
         return [[(end - len(m["value"].lstrip()), end)]], end
+    if m := _ADJOINED.match(text, at):
+        return [[_part(text, *t.span()) for t in _ITEM.finditer(text, *m.span("strings")) if t[0] != "+"]], m.end()
     if m := _VALUE.match(text, at):
         return [[_part(text, *t.span()) for t in _PART.finditer(text, m.start(), m.end())]], m.end()
     return [], at
 
 
+def _before(text: str, low: int, high: int, name: str) -> list[str] | None:
+    """The names of a, b, name = ..., if there are any before the name."""
+    m = _NAMES_BEFORE.search(text, low, high)
+    return [*(n.strip() for n in m[0].split(",")[:-1]), name] if m else None
+
+
 def lex(text: str) -> Iterator[tuple[str, str, bool, list]]:
-    """What stands in the text, in order: ("pair", target name, whether it keeps what it held, parts), or a scope's ("open", ...) and ("close", ...).
+    """What stands in the text, in order: ("pair", target name, whether it keeps what it held, parts), or a scope's ("open", the name it belongs to, ...) and ("close", ...).
 
     A part is the span of a literal, or that and a name whose literals are meant.
     """
     breaks = [m.start() for m in re.finditer("\n", text)]
     functions: list[int] = []  # indents of the functions and classes that stand open
-    at = 0
+    labelled: tuple[int, int] | None = None  # where the literal of a field called name or key stands
+    age = ended = at = 0
     while m := _TOKEN.search(text, at):
         at = m.end()
         kind = m.lastgroup
@@ -175,40 +206,82 @@ def lex(text: str) -> Iterator[tuple[str, str, bool, list]]:
             if (e := _ELEMENT.match(text, at)) and e["tag"] == m["tag"]:
                 at = e.end()
                 yield "pair", m["tag"], False, [e.span("value")]
+        elif kind == "call":
+            if (c := _ARGUMENTS.match(text, at)) is None:
+                continue
+            if c["two"] and _PAIRED.search(m["method"]) and _NAME.match(key := text[slice(*_part(text, *c.span("one"))[:2])]):
+                yield "pair", key, False, [_part(text, *c.span("two"))]
+                at = c.end()
+            elif s := _SETTER.match(m["method"]):
+                yield "pair", m["method"][s.end() :], False, [_part(text, *c.span("one"))]
+                at = c.end("one")
         else:
-            values, at = _values(text, at, indent)
+            name = m["name"] or m["option"]
+            if m["sign"] == ":" and (t := _ANNOTATION.match(text, at)):
+                at = t.end()
+            values, to = _values(text, at, indent)
+            if not values and text[at : at + 1] == "{":  # a scope of its own
+                yield "open", name, False, []
+                at += 1
+                continue
+            names = _before(text, max(ended, line), m.start(), name) if m["sign"] in ("=", ":=") and len(values) == 1 else None
+            if names:  # as many values as names, each to its own
+                each = [values[0]]
+                while len(each) < len(names) and (c := _COMMA.match(text, to)) and (v := _VALUE.match(text, c.end())):
+                    each.append([_part(text, *t.span()) for t in _PART.finditer(text, v.start(), v.end())])
+                    to = v.end()
+                if len(each) == len(names):
+                    for n, parts in zip(names, each):
+                        yield "pair", n, False, parts
+                    at = ended = to
+                    continue
+            # A field called value belongs to the name or key that stands in the pair before.
+            label = text[slice(*labelled)] if labelled and name.lower() in VALUE_NAMES else None
             for parts in values:
-                yield "pair", m["name"] or m["option"], m["sign"] == "+=", parts
+                yield "pair", label if label and _NAME.match(label) else name, m["sign"] == "+=", parts
+            fresh = values[0][0][:2] if len(values) == 1 and len(values[0]) == 1 and _FILLER.fullmatch(name) else None
+            labelled, age = (fresh, 0) if fresh else (labelled, age + 1) if age < 1 and not label else (None, 0)
+            at = ended = to
 
 
 def literal_spans(text: str) -> list[S.Span]:
     """Literals that reach a sensitive name, directly or through names assigned before in the same or an outer scope."""
-    if not ("=" in text or ":" in text or "--" in text or "</" in text):
+    if not ("=" in text or ":" in text or "--" in text or "</" in text or "(" in text and _CALLED.search(text)):
         return []
-    scopes: list[dict[str, Literals]] = [{}]
+    names: dict[str, list[tuple[int, Literals]]] = {}  # what a name holds, by the depth of its scope, the innermost last
+    scopes: list[tuple[str, list[str]]] = [("", [])]  # the name that a scope belongs to, and the names that it defines
     out: set[tuple[int, int]] = set()
     emitted: set[int] = set()
     alive: list[Literals] = []  # so that no id is used twice
 
-    def holder(name: str) -> dict[str, Literals] | None:
-        return next((s for s in reversed(scopes) if name in s), None)
+    def holder(name: str) -> Literals | None:
+        return names[name][-1][1] if names.get(name) else None
 
     for kind, name, keeps, parts in lex(text):
         if kind == "open":
-            scopes.append({})
+            scopes.append((name, []))
             continue
         if kind == "close":
             if len(scopes) > 1:
-                scopes.pop()
+                for gone in scopes.pop()[1]:
+                    names[gone].pop()
             continue
-        where = holder(name) if keeps else None
-        held = [(None, "", where[name])] if where else []
+        was = holder(name) if keeps else None
+        held = [(None, "", was)] if was else []
         for p in parts:
             of = holder(p[2]) if len(p) == 3 else None  # a bare word: a known constant, else a literal of its own
-            held.append((None, "", of[p[2]]) if of else (p[:2], text[p[0] : p[1]], None))
-        (where if where is not None else scopes[-1])[name] = node = Literals(held)
+            held.append((None, "", of) if of else (p[:2], text[p[0] : p[1]], None))
+        node = Literals(held)
         alive.append(node)
+        depth, known = len(scopes) - 1, names.setdefault(name, [])
+        if was or known and known[-1][0] == depth:
+            known[-1] = (known[-1][0], node)
+        else:
+            known.append((depth, node))
+            scopes[-1][1].append(name)
         weight = name_score(name)
+        if weight <= 0 and name.lower() in VALUE_NAMES:
+            weight = name_score(scopes[-1][0])
         if weight > 0 and weight + node.score() >= LEAST_SCORE:
             todo = [node]
             while todo:

@@ -413,3 +413,75 @@ def test_personal_data_on_tables(spark):
     texts = [(r.doc_id, r.text) for r in personal_data.redact_personal_data(df).collect() if r.doc_id != 4]
     assert sorted(texts, key=str) == sorted([(1, "to [EMAIL] or [PHONE]")] * 2 + [(2, None), (3, ""), (None, "[EMAIL]")], key=str)
     assert personal_data.find_personal_data(df.limit(0)).collect() == [] == personal_data.redact_personal_data(df.limit(0)).collect()
+
+
+WORD = "Zq9x-Lm44-tbbK7"
+
+
+@pytest.mark.parametrize(
+    "text,found",
+    [
+        ('passphrase = ("Zq9xKpLm"\n   b"Lm-44tbb")', ["Zq9xKpLm", "Lm-44tbb"]),
+        (f'passphrase = b"{WORD}"', [WORD]),
+        (f"passphrase = rf'{WORD}'", [WORD]),
+        (f'passphrase: str = "{WORD}"', [WORD]),
+        (f'passphrase: Optional[dict[str, str]] = "{WORD}"', [WORD]),
+        (f'{{"passphrase": {{"value": "{WORD}"}}}}', [WORD]),
+        (f'a, passphrase = "x", "{WORD}"', [WORD]),
+        (f'passphrase, a = "{WORD}", "x"', [WORD]),
+        (f'title, body = "x", "{WORD}"', []),
+        (f'<add key="passphrase" value="{WORD}"/>', [WORD]),
+        (f'<add key="colour" value="{WORD}"/>', []),
+        (f'- name: DB_PASSPHRASE\n  value: {WORD}\n', [WORD]),
+        (f'setPassphrase("{WORD}")', [WORD]),
+        (f'conf.put("passphrase", "{WORD}")', [WORD]),
+        (f'print("passphrase is", "{WORD}")', []),
+        (f'{{"passphrase": {{"hint": "{WORD}"}}}}', []),
+    ],
+)
+def test_everyday_syntax(text, found):
+    assert [text[a:b] for _, a, b in sorted(secret_scan.literal_spans(text), key=lambda s: s[1])] == found
+
+
+def test_constants_of_outer_scopes_come_back():
+    """The innermost scope's constant holds until its brace closes."""
+    text = f'k = "{WORD}"; {{ k = "Another-9Value7"; passphrase = k }} secret_word = k'
+    assert [text[a:b] for _, a, b in sorted(secret_scan.literal_spans(text), key=lambda s: s[1])] == [WORD, "Another-9Value7"]
+    text = f'{{ k = "{WORD}" }} passphrase = k'
+    assert secret_scan.literal_spans(text) == []
+
+
+@pytest.mark.parametrize(
+    "module,text",
+    [
+        (secret_scan, "{" * 100_000 + "\n" + "a=b\n" * 230_000),
+        (secret_scan, "{ a=b\n" * 170_000),
+        (secret_scan, "a, " * 340_000 + "x = 1"),
+        (secret_scan, "x = ('a'\n" * 110_000),
+        (secret_scan, "x: a[" * 200_000),
+        (secret_scan, "f('a', 'b' " * 90_000),
+        (personal_data, "".join(f"u{i}@ex.com x{i} [at] ex [dot] com\n" for i in range(28_000))),
+        (personal_data, "one two three four five six seven eight nine 1 2 3 4 5 6 7\n" * 17_000),
+    ],
+    ids=["open", "nested", "names", "parentheses", "annotations", "calls", "addresses", "numbers"],
+)
+def test_a_megabyte_takes_seconds(module, text):
+    import time
+
+    began = time.process_time()
+    module.find(text)
+    assert len(text) > 900_000 and time.process_time() - began < 8
+
+
+def test_hidden_spans_against_a_plain_check():
+    """What is known already, and what overlaps, as a look at every span tells it."""
+    rng = random.Random(21)
+    parts = ["a@b.co", "x [at] y [dot] z", " one two three four five six seven eight nine zero ", "+49 30 1234567", "4111 1111 1111 1111", "four", "1.2.3.4", "1 dot 2", " ", "\n", "aѕ@b.co", "+", "7"]
+    for _ in range(1500):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 9)))
+        known = personal_data.base_spans(text)
+        hidden = personal_data.hidden_spans(text, known)
+        for kind, s, e in hidden:
+            assert not any(personal_data.HIDDEN[k] == kind and a <= s and e <= b for k, a, b in known)
+        every = personal_data.hidden_spans(text, [])
+        assert hidden == [h for h in every if not any(personal_data.HIDDEN[k] == h[0] and a <= h[1] and h[2] <= b for k, a, b in known)]
