@@ -90,14 +90,26 @@ def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
     return docs.select(*more, key.alias("key"), _source(F.col("source")).alias("source"), size.alias("size"), F.xxhash64(key, F.col("text").cast("string")).alias("h"))
 
 
-def _groups(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
-    """One row for equal (source, h, key): n rows of `size` characters together, and how many stand before them.
+def _before(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """rows with base, the sizes of those of the same keys that stand before them in the order of a number from 0 on.
 
-    Rows are counted per group before the shuffle. A source's order is by h; its buckets grow
-    in number with its size, a running sum over them gives each its base, and the windows
-    inside a bucket hold BUCKET_CHARS on average.
+    Sums are taken over stretches of the order first, then inside each, and a stretch has
+    about as many rows as there are stretches: no task sees all rows of a key.
+    """
+    wide = rows.groupBy(*keys).agg(F.ceil(F.sqrt(F.max(order) + 1)).cast("long").alias("step"))
+    rows = rows.join(F.broadcast(wide), keys).withColumn("stretch", F.floor(F.col(order) / F.col("step"))).drop("step")
+    sums = rows.groupBy(*keys, "stretch").agg(F.sum("size").alias("sum"))
+    sums = sums.select(*keys, "stretch", (F.sum("sum").over(Window.partitionBy(*keys).orderBy("stretch")) - F.col("sum")).alias("first"))
+    inside = F.sum("size").over(Window.partitionBy(*keys, "stretch").orderBy(order)) - F.col("size")
+    return rows.withColumn("inside", inside).join(sums, [*keys, "stretch"]).withColumn("base", F.col("first") + F.col("inside")).drop("first", "inside", "stretch")
+
+
+def _groups(g: DataFrame, weights: dict[str, float]) -> DataFrame:
+    """g: a row for equal (source, h, key), n rows of `size` characters together; with start, how many characters stand before them.
+
+    A source's order is by h; its buckets grow in number with its size, a running sum over
+    them gives each its base, and the windows inside a bucket hold BUCKET_CHARS on average.
     """
-    g = materialise(rows.groupBy("source", "h", "key").agg(F.count("*").alias("n"), F.sum("size").alias("size")), "mix-groups")
     if weights:
         known = g.sparkSession.sql("SELECT * FROM VALUES " + ",".join(f"({_literal(s)})" for s in weights) + " AS t(source)")
         lost = g.join(F.broadcast(known), "source", "left_anti").select("source").first()
@@ -106,7 +118,7 @@ def _groups(rows: DataFrame, weights: dict[str, float]) -> DataFrame:
     wide = g.groupBy("source").agg(F.ceil(F.sum("size") / BUCKET_CHARS).alias("buckets"))  # a row a source
     g = g.join(F.broadcast(wide), "source").withColumn("bucket", F.pmod("h", F.col("buckets"))).drop("buckets")
     base = g.groupBy("source", "bucket").agg(F.sum("size").alias("size"))
-    base = base.select("source", "bucket", (F.sum("size").over(Window.partitionBy("source").orderBy("bucket")) - F.col("size")).alias("base"))
+    base = _before(base, ["source"], "bucket").drop("size")
     inside = Window.partitionBy("source", "bucket").orderBy("h", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     g = g.withColumn("inside", F.sum("size").over(inside) - F.col("size"))
     return g.join(base, ["source", "bucket"]).select("source", "h", "key", "n", "size", (F.col("base") + F.col("inside")).alias("start"))
@@ -119,6 +131,12 @@ def _slotted(rows: DataFrame, plan: DataFrame, block_chars: int, period: int) ->
     return rows.join(F.broadcast(plan.select("source", "k", "at")), ["source", "k"]).withColumn("slot", F.floor(F.col("block") / F.col("part")) * period + F.col("at"))
 
 
+def _copies(rows: DataFrame, n: Column) -> DataFrame:
+    """Each row n times, with i from 0 on: in two steps, so that no array holds more than the root of n."""
+    many = rows.withColumn("step", F.ceil(F.sqrt(n)).cast("long")).withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), n - 1, "step")))
+    return many.withColumn("i", F.explode(F.sequence(F.col("lo"), F.least(F.col("lo") + F.col("step"), n) - 1))).drop("step", "lo")
+
+
 def mix(docs: DataFrame, weights: dict[str, float], block_chars: int = BLOCK_CHARS, period: int = PERIOD) -> DataFrame:
     """A place in the mixed stream for every document.
 
@@ -134,26 +152,40 @@ def mix(docs: DataFrame, weights: dict[str, float], block_chars: int = BLOCK_CHA
     for no rows, give no places.
     """
     spark = docs.sparkSession
-    g = _groups(_keyed(docs), weights)
-    # Copies of a row are written out in two steps, so that no array holds more than their number's root.
-    step = F.ceil(F.sqrt("n")).cast("long")
-    many = g.withColumn("step", step).withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, "step")))
-    each = many.withColumn("i", F.explode(F.sequence(F.col("lo"), F.least(F.col("lo") + F.col("step"), F.col("n")) - 1)))
-    rows = each.select("source", F.col("key").alias("doc_id"), (F.col("start") + F.col("i") * F.floor(F.col("size") / F.col("n"))).alias("place"))
+    counted = _keyed(docs).groupBy("source", "h", "key").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    g = _groups(materialise(counted, "mix-groups"), weights)
+    rows = _copies(g, F.col("n")).select("source", F.col("key").alias("doc_id"), (F.col("start") + F.col("i") * F.floor(F.col("size") / F.col("n"))).alias("place"))
     return _slotted(rows, _plan(spark, weights, period), block_chars, period).select("doc_id", "source", "block", "slot", "place")
 
 
 def with_places(docs: DataFrame, weights: dict[str, float], block_chars: int = BLOCK_CHARS, period: int = PERIOD) -> DataFrame:
     """row (all columns of docs as a struct), slot and place: the places of mix.
 
-    Rows that are equal in doc_id and text take places of their group by chance, so that
-    they, too, spread over its blocks.
+    Rows that are equal in doc_id and text take all the places of their group, one each: by a
+    hash of their other columns, equal rows one after the other. So places follow from the
+    rows alone, however they are partitioned, and a task that runs again gives the same.
     """
-    rows = _keyed(docs, F.struct(*docs.columns).alias("row"))
-    g = _groups(_keyed(docs), weights).select("source", "h", F.col("key").alias("same"), "n", "size", "start")
-    met = rows.drop("size").join(g, ["source", "h"]).filter(F.col("key").eqNullSafe(F.col("same")))
-    place = F.col("start") + F.when(F.col("n") == 1, F.lit(0)).otherwise(F.floor(F.rand(5) * F.col("n")).cast("long")) * F.floor(F.col("size") / F.col("n"))
-    return _slotted(met.select("row", "source", place.alias("place")), _plan(docs.sparkSession, weights, period), block_chars, period).select("row", "slot", "place")
+    other = F.sha2(F.coalesce(F.to_json(F.struct(*(c for c in docs.columns if c != "text"))), F.lit("")), 256)
+    rows = _keyed(docs, F.struct(*docs.columns).alias("row"), other.alias("other"))
+    alike = ["source", "h", "key", "other"]
+    kinds = materialise(rows.groupBy(*alike).agg(F.count("*").alias("copies"), F.sum("size").alias("size")), "mix-kinds")
+    counted = kinds.groupBy("source", "h", "key").agg(F.sum("copies").alias("n"), F.sum("size").alias("size"))
+    g = _groups(materialise(counted, "mix-groups"), weights)
+    first = F.sum("copies").over(Window.partitionBy("source", "h", "key").orderBy("other")) - F.col("copies")
+    same = F.col("k.key").eqNullSafe(F.col("g.key"))
+    ranked = kinds.withColumn("first", first).drop("size").alias("k").join(g.alias("g"), (F.col("k.source") == F.col("g.source")) & (F.col("k.h") == F.col("g.h")) & same)
+    ranked = ranked.select("k.*", "start", F.floor(F.col("size") / F.col("n")).alias("each"))
+    ranked = materialise(ranked, "mix-ranks")
+    met = lambda part: rows.drop("size").alias("r").join(part.alias("p"), [F.col(f"r.{c}").eqNullSafe(F.col(f"p.{c}")) for c in ("key", "other")] + [F.col(f"r.{c}") == F.col(f"p.{c}") for c in ("source", "h")])
+    shown = ["row", "r.source", "first", "start", "each"]
+    placed = met(ranked.filter("copies = 1")).select(*shown)
+    several = ranked.filter("copies > 1")
+    if not several.isEmpty():  # equal rows: one of each kind, written out again
+        one = met(several).groupBy("r.source", "r.h", "r.key", "r.other").agg(F.first("row").alias("row"), *(F.first(c).alias(c) for c in ("first", "start", "each", "copies")))
+        each = _copies(one, F.col("copies"))
+        placed = placed.unionByName(each.select("row", "source", (F.col("first") + F.col("i")).alias("first"), "start", "each"))
+    placed = placed.select("row", "source", (F.col("start") + F.col("first") * F.col("each")).alias("place"))
+    return _slotted(placed, _plan(docs.sparkSession, weights, period), block_chars, period).select("row", "slot", "place")
 
 
 def mixed_rows(docs: DataFrame, weights: dict[str, float], block_chars: int = BLOCK_CHARS, period: int = PERIOD) -> DataFrame:

@@ -138,6 +138,31 @@ def test_mix_places(spark):
         mixing.mix(df, {"a": 1.0}).collect()
 
 
+def test_places_follow_from_the_rows(spark, monkeypatch):
+    """Copies take all places of their group, the same however rows are dealt out, and the same as in mix."""
+    monkeypatch.setattr(mixing, "BUCKET_CHARS", 500)
+    rng = random.Random(16)
+    rows = [(1, "a", "xyz", k % 3) for k in range(200)] + [(2, "a", None, None)] * 30 + [(None, "b", "t", 1)] * 5 + [(i, rng.choice("ab"), "y" * rng.randrange(40), i) for i in range(10, 400)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, k int")
+    weights = {"a": 2.0, "b": 1.0}
+
+    def placed(df):
+        return sorted(((r["row"].doc_id or 0, r["row"].source, r["row"].text or "", r["row"].k or 0, r.slot, r.place) for r in mixing.with_places(df, weights, 64, 8).collect()))
+
+    once = placed(df)
+    assert once == placed(df.repartition(7)) == placed(df.orderBy(F.desc("doc_id"), F.rand(1)).coalesce(2))
+    assert Counter(x[:4] for x in once) == Counter((d or 0, s, t or "", k or 0) for d, s, t, k in rows)
+    assert sorted((s, slot, place) for _, s, _, _, slot, place in once) == sorted((r.source, r.slot, r.place) for r in mixing.mix(df, weights, 64, 8).collect())
+    assert len({(s, place) for _, s, _, _, _, place in once}) == len(rows)
+
+
+def test_sums_before_by_stretches(spark):
+    rng = random.Random(17)
+    rows = [(s, k, rng.randrange(9)) for s, n in (("a", 1), ("b", 200), ("c", 37)) for k in range(n) if rng.random() < 0.9 or k == 0]
+    got = mixing._before(spark.createDataFrame(rows, "s string, k long, size long"), ["s"], "k")
+    assert sorted((r.s, r.k, r.size, r.base) for r in got.collect()) == sorted((s, k, size, sum(z for t, j, z in rows if t == s and j < k)) for s, k, size in rows)
+
+
 def _turned(image, degrees):
     a, (h, w) = np.deg2rad(degrees), image.shape
     y, x = np.mgrid[:h, :w] - np.array([h / 2 - 0.5, w / 2 - 0.5])[:, None, None]
