@@ -156,22 +156,36 @@ def speeding(x: RuleInput, limit_kmh: float = 80.0) -> DataFrame:
 
 
 def lane_keeping(x: RuleInput, least_sec: float = 2.0, ratio: float = 0.15) -> DataFrame:
-    """A vehicle stays on a lane line through consecutive detections of its own."""
-    lines = x.detections.filter(F.col("class_name").isin(LANE_LINES)).select("video_id", "frame_no", *(F.col(f"bbox_{c}").alias(f"l{c}") for c in ("x1", "y1", "x2", "y2")))
+    """A vehicle stays on a lane line through consecutive detections of its own.
+
+    Each detection stands with its length on every line, seen or drawn, and once without
+    any; one exchange by track then serves the largest length, the runs and their ends.
+    """
+    corners = ("x1", "y1", "x2", "y2")
+    lines = x.detections.filter(F.col("class_name").isin(LANE_LINES)).select("video_id", "frame_no", *(F.col(f"bbox_{c}").alias(f"l{c}") for c in corners))
     clip = G.clip_length(F.col("lx1"), F.col("ly1"), F.col("lx2"), F.col("ly2"), G.box())
-    seen = x.vehicles.join(lines, ["video_id", "frame_no"])
-    drawn = x.vehicles.join(T.lines_of(x.zones, LANE_LINES), "video_id")
-    part = lambda df: df.select(*KEY, "pos", clip.alias("on"))
-    on = part(seen).unionByName(part(drawn)).groupBy(*KEY, "pos").agg(F.max("on").alias("on"))
+    mine = x.vehicles.select(*KEY, "pos", "frame_no", *(f"bbox_{c}" for c in corners))
     size = F.least(F.greatest(F.lit(1.0), F.col("bbox_x2") - F.col("bbox_x1")), F.greatest(F.lit(1.0), F.col("bbox_y2") - F.col("bbox_y1")))
-    rows = x.vehicles.join(on, [*KEY, "pos"], "left").withColumn("straddles", F.coalesce(F.col("on"), F.lit(0.0)) > ratio * size)
+    part = lambda df, on: df.select(*KEY, "pos", "frame_no", size.alias("size"), on.alias("on"))
+    on = part(mine, F.lit(0.0)).unionByName(part(mine.join(lines, ["video_id", "frame_no"]), clip))
+    on = on.unionByName(part(mine.join(T.lines_of(x.zones, LANE_LINES), "video_id"), clip))
+    rows = on.repartition(*KEY).groupBy(*KEY, "pos").agg(F.max("on").alias("on"), F.min("frame_no").alias("frame_no"), F.min("size").alias("size"))
+    rows = rows.withColumn("straddles", F.col("on") > ratio * F.col("size"))
     order = Window.partitionBy(*KEY).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("island", F.sum((~F.col("straddles")).cast("int")).over(order)).filter("straddles")
     # first and last of a run in the order of detections
     runs = rows.groupBy(*KEY, "island").agg(F.min_by("frame_no", "pos").alias("a"), F.max_by("frame_no", "pos").alias("z")).join(x.rates, "video_id")
     runs = runs.withColumn("sec", (F.col("z") - F.col("a") + 1) / F.col("fps")).filter(F.col("sec") >= least_sec)
     mid = F.floor((F.col("a") + F.col("z")) / 2)
-    return runs.select("video_id", F.lit("lane_keeping").alias("violation_type"), "track_id", _frame_ms(F.col("a"), F.col("fps")).alias("start_ms"), _frame_ms(F.col("z"), F.col("fps")).alias("end_ms"), F.least(F.lit(0.95), F.col("sec") / 4).alias("confidence"), T.evidence(F.col("a"), mid, F.col("z")).alias("evidence"))
+    return runs.select(
+        "video_id",
+        F.lit("lane_keeping").alias("violation_type"),
+        "track_id",
+        _frame_ms(F.col("a"), F.col("fps")).alias("start_ms"),
+        _frame_ms(F.col("z"), F.col("fps")).alias("end_ms"),
+        F.least(F.lit(0.95), F.col("sec") / 4).alias("confidence"),
+        T.evidence(F.col("a"), mid, F.col("z")).alias("evidence"),
+    )
 
 
 def unsafe_following(x: RuleInput, ttc_sec: float = 2.0, least_sec: float = 2.0, lane_px: float = 60.0, least_kmh: float = 15.0) -> DataFrame:
@@ -180,14 +194,17 @@ def unsafe_following(x: RuleInput, ttc_sec: float = 2.0, least_sec: float = 2.0,
     Leaders are found by an equi-join on (video, bucket of the mean x), the follower standing
     in three buckets, and then frame by frame; no pair outside neighbouring buckets is made.
     """
-    tracks = x.vehicles.filter("n >= 2").groupBy(*KEY).agg(F.floor(F.avg("cx") / lane_px).alias("bucket"), F.min(F.struct("frame_no", "id")).alias("seen"))
+    span = [F.min(F.struct("frame_no", "id")).alias("seen"), F.max("frame_no").alias("until")]
+    tracks = x.vehicles.filter("n >= 2").groupBy(*KEY).agg(F.floor(F.avg("cx") / lane_px).alias("bucket"), *span)
     tracks = tracks.join(track_speeds(x).select(*KEY, "meters_per_px", "kmh"), KEY)
-    side = lambda p: tracks.select("video_id", *(F.col(c).alias(p + c) for c in ("track_id", "bucket", "seen", "kmh")), *(["meters_per_px"] if p == "f_" else []))
+    side = lambda p: tracks.select("video_id", *(F.col(c).alias(p + c) for c in ("track_id", "bucket", "seen", "until", "kmh")), *(["meters_per_px"] if p == "f_" else []))
     near = side("f_").filter(F.col("f_kmh") >= least_kmh).withColumn("l_bucket", F.explode(F.array(*(F.col("f_bucket") + k for k in (-1, 0, 1)))))
-    pairs = near.join(side("l_"), ["video_id", "l_bucket"]).filter("f_track_id <> l_track_id")
+    # tracks that were never seen at the same time share no frame
+    together = "f_track_id <> l_track_id and f_seen.frame_no <= l_until and l_seen.frame_no <= f_until"
+    pairs = near.join(side("l_"), ["video_id", "l_bucket"]).filter(together).drop("f_until", "l_until")
     # of repeated (track, frame) rows the last counts
-    last = x.vehicles.groupBy(*KEY, "frame_no").agg(F.max(F.struct("id", "bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2")).alias("d"))
-    det = lambda p: last.select("video_id", F.col("track_id").alias(p + "track_id"), "frame_no", *(F.col(f"d.bbox_{c}").alias(p + c) for c in G.Box._fields))
+    last = x.vehicles.groupBy(*KEY, "frame_no").agg(F.max(F.struct("id", "cx", "bbox_y1", "bbox_y2")).alias("d"))
+    det = lambda p: last.select("video_id", F.col("track_id").alias(p + "track_id"), "frame_no", *(F.col(f"d.{c}").alias(p + n) for c, n in (("cx", "cx"), ("bbox_y1", "y1"), ("bbox_y2", "y2"))))
     shared = pairs.join(det("f_"), ["video_id", "f_track_id"]).join(det("l_"), ["video_id", "l_track_id", "frame_no"])
     gap_m = F.greatest(F.lit(0.0), F.col("f_y1") - F.col("l_y2")) * F.col("meters_per_px")
     rel = F.greatest(F.lit(0.5), F.col("f_kmh") / 3.6 - F.col("l_kmh") / 3.6)
@@ -195,7 +212,7 @@ def unsafe_following(x: RuleInput, ttc_sec: float = 2.0, least_sec: float = 2.0,
     middle = lambda c: F.get(F.array_sort(F.collect_list(c)), F.floor(F.count("*") / 2).cast("int"))
     pair = shared.groupBy("video_id", "f_track_id", "l_track_id", "l_bucket", "l_seen").agg(
         F.count("*").alias("k"),
-        middle(F.abs(G.center_x(G.box("f_")) - G.center_x(G.box("l_")))).alias("dx"),
+        middle(F.abs(F.col("f_cx") - F.col("l_cx"))).alias("dx"),
         middle(F.col("f_y2")).alias("f_bottom"),
         middle(F.col("l_y2")).alias("l_bottom"),
         F.array_sort(F.collect_list(F.when(unsafe, F.col("frame_no")))).alias("bad"),

@@ -173,6 +173,10 @@ def test_night_is_the_mean_of_the_brightest_channels():
     assert H.is_night(image)
     image[0, 0, 2] = 71
     assert not H.is_night(image)
+    rng = np.random.default_rng(2)
+    for most in (30, 90, 130, 255):
+        image = rng.integers(0, most, (7, 9, 3), dtype=np.uint8)
+        assert H.is_night(image) == (image.max(axis=2).mean() <= 70)
 
 
 def test_failing_rules_are_reported(spark, tmp_path):
