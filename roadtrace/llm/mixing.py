@@ -165,7 +165,7 @@ def with_places(docs: DataFrame, weights: dict[str, float], block_chars: int = B
     hash of their other columns, equal rows one after the other. So places follow from the
     rows alone, however they are partitioned, and a task that runs again gives the same.
     """
-    other = F.sha2(F.coalesce(F.to_json(F.struct(*(c for c in docs.columns if c != "text"))), F.lit("")), 256)
+    other = F.unhex(F.md5(F.coalesce(F.to_json(F.struct(*(c for c in docs.columns if c != "text"))), F.lit(""))))  # 16 bytes
     rows = _keyed(docs, F.struct(*docs.columns).alias("row"), other.alias("other"))
     alike = ["source", "h", "key", "other"]
     kinds = materialise(rows.groupBy(*alike).agg(F.count("*").alias("copies"), F.sum("size").alias("size")), "mix-kinds")
