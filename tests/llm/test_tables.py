@@ -296,10 +296,10 @@ def test_prefixes_of_the_packed_stream_hold_the_target_shares(spark, tmp_path, m
 
 
 def test_every_query_takes_empty_tables(spark, tmp_path):
-    """All eleven queries on tables without rows: no error, no rows but op3's own conversation."""
+    """All fourteen queries on tables without rows: no error, no rows but op3's own conversation."""
     import __spark_entry__ as entry
 
-    for name in ("documents", "labels", "pages", "embeddings", "conversations"):
+    for name in ("documents", "labels", "pages", "embeddings", "conversations", "benchmark"):
         spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
     for name, query in entry.queries().items():
         if name == "pipeline" or name.startswith("op"):
