@@ -13,11 +13,15 @@ _local: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which all executors share.
 
-    Where it is unset (tests in local mode: driver and executors on one machine) a
-    temporary folder serves the application.
+    Where it is unset in local mode (tests: driver and executors on one machine) a
+    temporary folder serves the application; on a cluster, whose executors would not see
+    that folder, an unset one is refused.
     """
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        master = spark.sparkContext.master
+        if master.startswith("local-cluster") or not master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _local:
             _local[app] = "file://" + tempfile.mkdtemp(prefix="spark-shared-")

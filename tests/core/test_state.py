@@ -120,3 +120,16 @@ def test_a_batch_that_broke_off_is_not_read(spark, tmp_path, monkeypatch):
     assert shown(log.state(old.withColumn("violation_type", F.lit("speeding")), videos)[0]) == [(1, "auto", "speeding", "a")]
     log.run_batch(x.detections, 0)
     assert shown(log.state(old, videos)[0]) == [(1, "auto", "red_light_running", "ABC 12")]
+
+
+@pytest.mark.parametrize("master", ["spark://host:7077", "yarn", "local-cluster[2,1,1024]"])
+def test_a_cluster_needs_a_shared_folder(master):
+    from types import SimpleNamespace as Made
+
+    from roadtrace.session import shared_dir
+
+    context = Made(master=master, applicationId="app")
+    unset, named = ({"get": lambda key, default=None, v=v: v} for v in (None, "hdfs://x/shared/"))
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Made(conf=Made(**unset), sparkContext=context))
+    assert shared_dir(Made(conf=Made(**named), sparkContext=context)) == "hdfs://x/shared"
