@@ -123,6 +123,116 @@ def test_a_lexical_key_gathers_near_documents(spark, monkeypatch):
     assert reached / total > 3 * sum((s / sum(sizes.values())) ** 2 for s in sizes.values())
 
 
+def structured(n, topics, rng):
+    """Documents of two of many topics each, four fifths of their topic words of the first, among words of a Zipf law."""
+    common = np.cumsum(1 / np.arange(1, 20_001))
+    rank = np.cumsum(1 / np.arange(1, 151) ** 0.7)
+    words = np.stack([rng.choice(np.arange(200, 20_000), 150, replace=False) for _ in range(topics)])
+    docs = []
+    for _ in range(n):
+        m = int(np.clip(rng.lognormal(5.2, 0.6), 40, 1500))
+        topic = np.where(rng.random(m) < 0.8, *rng.integers(0, topics, 2))
+        own = words[topic, np.searchsorted(rank, rng.random(m) * rank[-1])]
+        docs.append(np.append(np.where(rng.random(m) < 0.4, own, np.searchsorted(common, rng.random(m) * common[-1])) + 1, packing.END).astype(np.uint32))
+    return docs
+
+
+def test_neighbours_by_brute_force_stand_in_the_shard(monkeypatch):
+    """Of the twelve nearest of a seed by BM25 over all documents, 0.9 stand in its shard, one of 35."""
+    rng = np.random.default_rng(7)
+    docs = structured(20_000, 400, rng)
+    size = np.array([len(d) for d in docs])
+    index = packing.Bm25(np.concatenate(docs), np.concatenate([[0], np.cumsum(size)]))
+    sets = [np.unique(d) for d in docs]
+    at = lambda part: np.concatenate([[0], np.cumsum([len(t) for t in part])])
+    terms = np.concatenate(sets).astype(np.int64)
+    keys = packing.LexicalKeys(np.bincount(terms), len(docs))
+    sample = [sets[i] for i in rng.permutation(len(docs))[: packing.FIT]]
+    keys.fit(np.concatenate(sample).astype(np.int64), at(sample))
+    centroid, second, term = keys.keys(terms, at(sets))
+    order = np.lexsort((rng.random(len(docs)), term, second, centroid))
+    shard = np.empty(len(docs), int)
+    shard[order] = np.minimum(np.cumsum(size[order]) * 35 // size.sum(), 34)
+    monkeypatch.setattr(packing, "QUERY_POSTINGS", 1 << 40)  # every term: the exact order
+    unused, reached = np.ones(len(docs), bool), []
+    for seed in rng.choice(len(docs), 200, replace=False).tolist():
+        unused[seed] = False
+        reached.append(np.mean(shard[index.near(seed, unused)] == shard[seed]))
+        unused[seed] = True
+    assert np.mean(reached) >= 0.9
+
+    monkeypatch.undo()
+    kept = []
+    for g in range(0, 35, 7):
+        mine = [docs[i] for i in np.flatnonzero(shard == g)]
+        local = packing.Bm25(np.concatenate(mine), at(mine))
+        unused = np.ones(len(mine), bool)
+        for seed in range(0, len(mine), 25):
+            unused[seed] = False
+            with monkeypatch.context() as every:
+                every.setattr(packing, "QUERY_POSTINGS", 1 << 40)
+                want = local.near(seed, unused)
+            kept.append(len(np.intersect1d(local.near(seed, unused), want)) / len(want))
+            unused[seed] = True
+    assert np.mean(kept) >= 0.95  # what a query loses whose lightest terms are left out
+
+
+@pytest.mark.parametrize("size", [32, 64])
+def test_windows_are_those_of_a_plain_greedy_filling(size, monkeypatch):
+    monkeypatch.setattr(packing, "QUERY_POSTINGS", 1 << 40)
+    rng = random.Random(size)
+    docs = [[rng.randrange(300) for _ in range(rng.choice([1, 3, 9, 20, 45, 150]))] for _ in range(90)]
+    window = packing._Window(size, 0)
+    packing._fill(window, np.concatenate([np.array(d, np.uint32) for d in docs]), np.concatenate([[0], np.cumsum([len(d) for d in docs])]))
+
+    used, laid, filled = set(), [], 0
+
+    def nearest(seed):
+        score = [round(x, 4) for x in bm25(docs, seed)]
+        return sorted((i for i in range(len(docs)) if i not in used and score[i] > 0), key=lambda i: (-score[i], i))[: packing.NEIGHBOURS]
+
+    def lay(doc):
+        nonlocal filled
+        used.add(doc)
+        laid.append(doc)
+        filled = (filled + len(docs[doc])) % size
+
+    while len(used) < len(docs):
+        seed = min(set(range(len(docs))) - used)
+        lay(seed)
+        while filled and (found := nearest(seed)):
+            for doc in found:
+                if filled and len(docs[doc]) <= size - filled:
+                    lay(doc)
+            rest = [doc for doc in found if doc not in used]
+            if filled and rest:
+                seed = rest[0]
+                lay(seed)
+    want, at = [], 0
+    for doc in laid:
+        start = 0
+        while start < len(docs[doc]):
+            take = min(size - at % size, len(docs[doc]) - start)
+            want.append((doc, start, take, at // size, at % size))
+            start, at = start + take, at + take
+    assert window.pieces == want
+
+
+def test_copies_without_doc_id_are_cut_into_shards_and_tasks_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SHARD_TOKENS", 2000)
+    rows = [(None, "one text that stands here often " * 5)] * 600 + [(None, None)] * 3 + [(i, f"other text {i} " * 9) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = pack(df, PATH, 256).collect()
+    assert sum(r.start == 0 for r in got) == len(rows)
+    tokens = Counter()
+    for r in got:
+        tokens[r.sequence_id >> 40] += r.length
+    assert len(tokens) > 5 and max(tokens.values()) < 5 * 2000
+    monkeypatch.setattr(packing, "TASKS", 3)
+    again = pack(df, PATH, 256).collect()
+    assert len({r.sequence_id >> 40 for r in again}) <= 3 and sum(r.length for r in again) == sum(r.length for r in got)
+
+
 def test_order_is_kept_by_sequences(spark, monkeypatch):
     monkeypatch.setattr(packing, "SHARD_TOKENS", 4000)
     rng = random.Random(15)
