@@ -180,10 +180,14 @@ SQL["probe_to_metadata"] = over(
 )
 _CLASS = " ".join(f"WHEN {k} THEN '{v}'" for k, v in DETECTION_CLASSES.items())
 SQL["detections_from_frames"] = over(
-    f" SELECT video_id, CASE id % 15 {_CLASS} ELSE (id % 15)::VARCHAR END AS class_name, count(*) AS n, CAST(sum(frame_no * 3) AS BIGINT) AS frames, CAST(sum(floor(1000 * (frame_no * 3) / CASE WHEN fps <> 0 THEN fps ELSE 30 END)) AS BIGINT) AS ms, round(sum(bbox_x2), 2) AS x2 FROM detections d JOIN (SELECT id AS v, fps FROM videos) ON v = video_id GROUP BY ALL", "detections", "videos"
+    f""" SELECT video_id, CAST(frame_no * 3 AS INT) AS frame_no, CAST(floor(1000 * (frame_no * 3) / CASE WHEN fps <> 0 THEN fps ELSE 30 END) AS INT) AS timestamp_ms,
+ CASE d.id % 15 {_CLASS} ELSE (d.id % 15)::VARCHAR END AS class_name, track_id, round(confidence, 4) AS confidence,
+ round(bbox_x1, 3) AS x1, round(bbox_y1, 3) AS y1, round(bbox_x2, 3) AS x2, round(bbox_y2, 3) AS y2 FROM detections d JOIN videos v ON v.id = video_id""",
+    "detections",
+    "videos",
 )
 SQL["analyze_batch"] = over(" SELECT video_id, count(*) AS n FROM detections WHERE video_id NOT IN (SELECT video_id FROM detections WHERE video_id % 9 = 0 AND frame_no = 2 GROUP BY 1 HAVING count(*) > 1) GROUP BY 1", "detections")
-SQL["detections_replace"] = over(" SELECT video_id, count(*) AS n FROM detections WHERE video_id % 3 <> 0 OR (frame_no < 5 AND video_id % 2 = 0) GROUP BY 1", "detections")
+SQL["detections_replace"] = over(" SELECT video_id, id, frame_no, class_name FROM detections WHERE video_id % 3 <> 0 OR (frame_no < 5 AND video_id % 2 = 0)", "detections")
 SQL["detections_replaced"] = over(
     """ SELECT v.id AS video_id, CASE WHEN v.id % 3 = 0 THEN 'prelabeled' ELSE status END AS status, d.id, frame_no, class_name, round(bbox_x1, 3) AS x1
  FROM videos v LEFT JOIN (SELECT * FROM detections WHERE video_id % 3 <> 0 OR (frame_no < 5 AND video_id % 2 = 0)) d ON d.video_id = v.id""",
@@ -218,13 +222,13 @@ SELECT video_id, 'high_beam_misuse' AS violation_type, 1 AS track_id, CAST(floor
 
 # Rules together, readiness.
 _RULES = [k for k in SQL if k.startswith("rule_")]
-SQL["run_rules"] = " UNION ALL ".join(f"SELECT '{k[5:]}' AS violation_type, count(*) AS n, count(DISTINCT video_id) AS videos, CAST(sum(start_ms) AS BIGINT) AS starts FROM ({SQL[k]}) HAVING count(*) > 0" for k in _RULES)
+SQL["run_rules"] = " UNION ALL BY NAME ".join(f"SELECT * FROM ({SQL[k]})" for k in _RULES)
 SQL["run_rules_isolated"] = (
     "SELECT rule, 'ok' AS status, NULL::VARCHAR AS condition, n AS violations, CASE WHEN n > 0 THEN videos END AS videos, starts FROM ("
     + " UNION ALL ".join(f"SELECT '{k[5:]}' AS rule, count(*) AS n, count(DISTINCT video_id) AS videos, CAST(sum(start_ms) AS BIGINT) AS starts FROM ({SQL[k]})" for k in _RULES)
     + ") UNION ALL SELECT 'no_such_column', 'failed', 'UNRESOLVED_COLUMN.WITH_SUGGESTION', 0, NULL, NULL UNION ALL SELECT 'failing_rows', 'failed', 'USER_RAISED_EXCEPTION', 0, NULL, NULL"
 )
-SQL["rule_gating"] = " UNION ALL ".join(f"SELECT video_id, violation_type, count(*) AS n FROM ({SQL[k]}) GROUP BY ALL" for k in ("rule_speeding", "rule_unsafe_following", "rule_high_beam_misuse"))
+SQL["rule_gating"] = " UNION ALL BY NAME ".join(f"SELECT * FROM ({SQL[k]})" for k in ("rule_speeding", "rule_unsafe_following", "rule_high_beam_misuse"))
 _READY = """, i AS (SELECT id FROM videos UNION ALL SELECT id + 100000 FROM videos),
 r AS (SELECT id, id IN (SELECT video_id FROM detections) AS has_detections, id IN (SELECT video_id FROM detections WHERE track_id IS NOT NULL) AS has_tracks, id IN (SELECT video_id FROM calibrations) AS has_calibration, id IN (SELECT id FROM videos WHERE width IS NOT NULL) AS has_video_file,
  CASE WHEN id <= 100000 THEN 'lane_line_solid,no_parking,stop_line' ELSE '' END AS zone_types FROM i)"""
@@ -281,7 +285,13 @@ SELECT video_id, track_id, frame_no, box_id FROM (SELECT *, row_number() OVER (P
 _DIM = ", dim AS (SELECT * FROM (VALUES " + ", ".join(f"({k}, '{v}')" for k, v in DETECTION_CLASSES.items()) + ") t(class_id, class_name)), st AS (SELECT class_id, class_name, count(stem) AS instances, count(DISTINCT stem) AS images FROM dim LEFT JOIN (SELECT stem, try_cast(string_split(line, ' ')[1] AS INT) AS c FROM label_lines) ON c = class_id GROUP BY ALL)"
 SQL["class_stats"] = over(f"{_DIM} SELECT * FROM st", "label_lines")
 SQL["split_dataset"] = over(", n AS (SELECT count(DISTINCT stem) AS n FROM label_lines) SELECT 'train' AS split, CAST(floor(n * 0.7::DOUBLE) AS BIGINT) AS n FROM n UNION ALL SELECT 'val', CAST(floor(n * 0.2::DOUBLE) AS BIGINT) FROM n UNION ALL SELECT 'test', n - CAST(floor(n * 0.7::DOUBLE) AS BIGINT) - CAST(floor(n * 0.2::DOUBLE) AS BIGINT) FROM n", "label_lines")
-SQL["dataset_validate"] = over(f"{_DIM} SELECT 'few instances' AS issue, class_name AS subject FROM st WHERE instances < 100 UNION ALL SELECT 'small split', 'val'", "label_lines")
+SQL["dataset_validate"] = over(
+    f"""{_DIM}, n AS (SELECT count(DISTINCT stem) AS n FROM label_lines), parts AS (SELECT n, floor(n * 0.97::DOUBLE) AS train, floor(n * 0.02::DOUBLE) AS val FROM n)
+SELECT 'few instances' AS issue, class_name AS subject FROM st WHERE instances < 100
+UNION ALL SELECT 'empty split', 'train' FROM parts WHERE train = 0 UNION ALL SELECT 'empty split', 'val' FROM parts WHERE val = 0
+UNION ALL SELECT 'small split', 'val' FROM parts WHERE n > 0 AND val / n < 0.05""",
+    "label_lines",
+)
 SQL["dataset_manifest"] = over(" SELECT DISTINCT stem, stem || '.jpg' AS image, split FROM label_lines", "label_lines")
 _WEAK = _DIM + ", weak AS (SELECT m.class_name, m.class_id, map50, coalesce(instances, 0) AS instances, precision AS p, recall AS r FROM eval_metrics m LEFT JOIN st USING (class_id) WHERE map50 < 0.5)"
 SQL["weak_classes"] = over(
@@ -311,7 +321,15 @@ SQL["audit_append"] = over(" SELECT 'violation' AS entity, violation_id AS entit
 SQL["video_changes"] = over(
     ", c AS (SELECT video_id, max_by(changed_at, (changed_at, change_id)) FILTER (change_id % 2 = 0) AS r, CASE WHEN bool_or(change_id % 3 = 0) THEN 'cctv' END AS s FROM changes WHERE op = 'U' GROUP BY 1) SELECT id, coalesce(s, source_type) AS source_type, CASE WHEN c.video_id IS NULL THEN status ELSE 'reviewed' END AS status, strftime(coalesce(r, recorded_at), '%Y-%m-%d %H:%M') AS recorded FROM videos LEFT JOIN c ON c.video_id = id", "videos", "changes"
 )
-SQL["delete_videos_cascade"] = over(" SELECT 'videos' AS part, count(*) AS n FROM videos WHERE id % 4 <> 1 " + "".join(f"UNION ALL SELECT '{t}', count(*) FROM {t} WHERE video_id NOT IN (SELECT id FROM videos WHERE id % 4 = 1) " for t in ("detections", "violations", "zones", "calibrations")), "videos", "detections", "violations", "zones", "calibrations")
+SQL["delete_videos_cascade"] = over(
+    " SELECT 'videos' AS part, CAST(id AS BIGINT) AS key FROM videos WHERE id % 4 <> 1"
+    + "".join(f" UNION ALL SELECT '{t}', {k} FROM {t} WHERE video_id NOT IN (SELECT id FROM videos WHERE id % 4 = 1)" for t, k in (("detections", "id"), ("violations", "id"), ("zones", "id"), ("calibrations", "video_id"))),
+    "videos",
+    "detections",
+    "violations",
+    "zones",
+    "calibrations",
+)
 
 # Sampling, hashes and codecs that follow from how the derived tables are made.
 SQL["stride_sample"] = over(

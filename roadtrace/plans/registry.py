@@ -110,6 +110,16 @@ def _frame_results(t: Tables) -> DataFrame:
     return g.select("video_id", "kept_idx", F.lit(3).alias("stride"), F.col("b.xyxy").alias("xyxy"), F.col("b.confidence").alias("conf"), F.col("b.cls").alias("cls"), F.col("b.track_id").alias("ids"))
 
 
+def _boxes_of_frames(t: Tables) -> DataFrame:
+    rows = I.detections_from_frames(_frame_results(t), t.rule_input.rates)
+    corners = (F.round(f"bbox_{c}", 3).alias(c) for c in G.Box._fields)
+    return rows.select("video_id", "frame_no", "timestamp_ms", "class_name", "track_id", F.round("confidence", 4).alias("confidence"), *corners)
+
+
+def _reanalysed(t: Tables) -> DataFrame:
+    return t.detections.filter("frame_no < 5 and video_id % 2 = 0")
+
+
 def _touched(t: Tables) -> DataFrame:
     return t.videos.filter("id % 3 = 0").select(F.col("id").alias("video_id"))
 
@@ -316,11 +326,13 @@ def _video_changes(t: Tables) -> DataFrame:
 
 
 def _deleted(t: Tables) -> DataFrame:
-    left = C.delete_videos_cascade({"videos": t.videos, "detections": t.detections, "violations": t.violations, "zones": t.zones, "calibrations": t.calibrations}, t.videos.filter("id % 4 = 1"))
+    """What is left of each table, row by row."""
+    tables = {"videos": t.videos, "detections": t.detections, "violations": t.violations, "zones": t.zones, "calibrations": t.calibrations}
     out = None
-    for name, df in left.items():
-        row = df.agg(F.lit(name).alias("part"), F.count("*").alias("n"))
-        out = row if out is None else out.unionByName(row)
+    for name, df in C.delete_videos_cascade(tables, t.videos.filter("id % 4 = 1")).items():
+        key = "video_id" if name == "calibrations" else "id"
+        rows = df.select(F.lit(name).alias("part"), F.col(key).cast("bigint").alias("key"))
+        out = rows if out is None else out.unionByName(rows)
     return out
 
 
@@ -467,8 +479,8 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "training_log_read": _log_read,
     "import_classify": lambda t: I.import_classify(_import_files(t), _import_known(t)).groupBy("outcome").agg(F.count("*").alias("n")),
     "probe_to_metadata": lambda t: I.probe_metadata(_probes(t)).select("path", "duration_sec", "width", "height", "codec", "fps", "file_size_mb", F.date_format("recorded_at", "yyyy-MM-dd HH:mm").alias("recorded")),
-    "detections_from_frames": lambda t: I.detections_from_frames(_frame_results(t), t.rule_input.rates).groupBy("video_id", "class_name").agg(F.count("*").alias("n"), F.sum("frame_no").alias("frames"), F.sum("timestamp_ms").alias("ms"), F.round(F.sum("bbox_x2"), 2).alias("x2")),
-    "detections_replace": lambda t: I.detections_replace(t.detections, t.detections.filter("frame_no < 5 and video_id % 2 = 0"), _touched(t)).groupBy("video_id").agg(F.count("*").alias("n")),
+    "detections_from_frames": _boxes_of_frames,
+    "detections_replace": lambda t: I.detections_replace(t.detections, _reanalysed(t), _touched(t)).select("video_id", "id", "frame_no", "class_name"),
     "detections_replaced": _replaced,
     "analysis_summary": lambda t: I.analysis_summary(t.detections),
     "analyze_batch": lambda t: I.analyze_batch(_frame_results(t).withColumn("conf", F.when((F.col("video_id") % 9 == 0) & (F.col("kept_idx") == 2), F.slice("conf", 1, 1)).otherwise(F.col("conf"))), t.rule_input.rates)[0].groupBy("video_id").agg(F.count("*").alias("n")),
@@ -505,8 +517,8 @@ QUERIES: dict[str, Callable[[Tables], DataFrame]] = {
     "stride_sample": lambda t: T.stride_sample(t.detections, 5, ["video_id", "class_name"]),
     # rules
     **{f"rule_{n}": partial(_rule, n) for n in R.RULES},
-    "run_rules": lambda t: R.run_rules(t.rule_input).groupBy("violation_type").agg(F.count("*").alias("n"), F.countDistinct("video_id").alias("videos"), F.sum("start_ms").alias("starts")),
-    "rule_gating": lambda t: R.run_rules(t.rule_input, {n: R.RULES[n] for n in ("speeding", "unsafe_following", "high_beam_misuse")}).groupBy("video_id", "violation_type").agg(F.count("*").alias("n")),
+    "run_rules": lambda t: shown(R.run_rules(t.rule_input)),
+    "rule_gating": lambda t: shown(R.run_rules(t.rule_input, {n: R.RULES[n] for n in ("speeding", "unsafe_following", "high_beam_misuse")})),
     "extract_violations": _extract,
     "incremental_extraction": _incremental,
     "run_rules_isolated": _isolated,
