@@ -319,3 +319,12 @@ def test_entry_without_the_subpackage(tmp_path):
         said = subprocess.run(ask, cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, timeout=120)
         assert said.stdout.split()[1:] == ["False", "True"], said.stderr
         (tmp_path / "corpus_pipeline.py").unlink(missing_ok=True)
+
+
+def test_the_rules_are_those_of_the_contract(spark):
+    contract = "block com/en/, allow example.com/en/7, allow net/de/, block example.net/de/8, block org/es/"
+    want = {rule: verdict for verdict, rule in (part.split() for part in contract.split(", "))}
+    assert {h + p: v for v, h, p in urls_sql.RULES} == want
+    pages = spark.createDataFrame([(i, f"http://a.{rule}1") for i, rule in enumerate(want)], "page_id long, url string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r.rule: r.verdict for r in filter_urls(pages, labels, urls_sql.RULES).collect()} == want
