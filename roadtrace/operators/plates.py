@@ -21,10 +21,15 @@ def plates_for_track(rows: DataFrame, detections: DataFrame, most: int = 5) -> D
 
 
 def plate_vote(reads: DataFrame, keys: list[str], least: float = 0.3) -> DataFrame:
-    """reads: keys, raw_text, confidence. Per key the text read most often, then with the higher mean confidence, then the first text."""
+    """reads: keys, raw_text, confidence. Per key the text read most often, then with the higher mean confidence, then the first text.
+
+    Confidences are summed as decimals: equal means are equal in whatever order their rows come.
+    """
     good = reads.withColumn("text", normalize_plate(F.col("raw_text"))).filter((F.col("text") != "") & (F.col("confidence") >= least))
-    votes = good.groupBy(*keys, "text").agg(F.count("*").alias("n"), F.avg("confidence").alias("mean"))
-    best = votes.groupBy(*keys).agg(F.min_by(F.struct("text", "mean", "n"), F.struct(-F.col("n"), -F.col("mean"), F.col("text"))).alias("b"))
+    total = F.coalesce(F.sum(F.col("confidence").try_cast("decimal(28,18)")), F.lit(0))
+    votes = good.groupBy(*keys, "text").agg(F.count("*").alias("n"), total.alias("total"))
+    mean = (F.col("total").cast("double") / F.col("n")).alias("mean")
+    best = votes.groupBy(*keys).agg(F.min_by(F.struct("text", mean, "n"), F.struct(-F.col("n"), -F.col("total"), F.col("text"))).alias("b"))
     return best.select(*keys, "b.text", F.col("b.mean").alias("confidence"), F.col("b.n").alias("reads"))
 
 

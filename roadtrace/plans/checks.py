@@ -258,7 +258,9 @@ SQL["plate_texts"] = over(
 _VOTE = f""", g AS (SELECT video_id, track_id, text, count(*) AS n, avg(confidence) AS c FROM (SELECT *, {_PLATE} AS text FROM {{}}) WHERE text <> '' AND confidence >= 0.3::DOUBLE GROUP BY ALL),
 won AS (SELECT video_id, track_id, text, c AS confidence, n AS reads FROM (SELECT *, row_number() OVER (PARTITION BY video_id, track_id ORDER BY n DESC, c DESC, text) AS k FROM g) WHERE k = 1)"""
 _BEST = ", best AS (SELECT video_id, track_id, image, raw_text, confidence FROM (SELECT *, row_number() OVER (PARTITION BY video_id, track_id, image ORDER BY confidence DESC, raw_text) AS k FROM plate_reads) WHERE k = 1)"
-SQL["plate_vote"] = over(f"{_VOTE.format('plate_reads')} SELECT video_id, track_id, text, round(confidence, 6) AS confidence, reads FROM won", "plate_reads")
+# Means are equal in whatever order their rows are summed: decimals, of a double's shortest digits.
+_EXACT = _VOTE.replace("avg(confidence) AS c", "sum(CAST(CAST(confidence AS VARCHAR) AS DECIMAL(38,18))) AS s, s::DOUBLE / n AS c").replace("n DESC, c DESC", "n DESC, s DESC")
+SQL["plate_vote"] = over(f"{_EXACT.format('plate_reads')} SELECT video_id, track_id, text, round(confidence, 6) AS confidence, reads FROM won", "plate_reads")
 SQL["best_reading"] = over(f"{_BEST} SELECT * FROM best", "plate_reads")
 SQL["plate_for_image_set"] = over(f"{_BEST}{_VOTE.format('best')} SELECT video_id, track_id, text, round(confidence, 6) AS confidence, reads FROM won", "plate_reads")
 SQL["plate_for_violation"] = over(f"{_VOTE.format('plate_reads')} SELECT id, coalesce(CASE WHEN w.confidence > 0 THEN text END, license_plate) AS license_plate, round(coalesce(CASE WHEN w.confidence > 0 THEN w.confidence END, plate_conf), 6) AS plate_conf FROM violations LEFT JOIN won w USING (video_id, track_id)", "plate_reads", "violations")
