@@ -262,7 +262,7 @@ _BEST = ", best AS (SELECT video_id, track_id, image, raw_text, confidence FROM
 _EXACT = _VOTE.replace("avg(confidence) AS c", "sum(CAST(CAST(confidence AS VARCHAR) AS DECIMAL(38,18))) AS s, s::DOUBLE / n AS c").replace("n DESC, c DESC", "n DESC, s DESC")
 SQL["plate_vote"] = over(f"{_EXACT.format('plate_reads')} SELECT video_id, track_id, text, round(confidence, 6) AS confidence, reads FROM won", "plate_reads")
 SQL["best_reading"] = over(f"{_BEST} SELECT * FROM best", "plate_reads")
-SQL["plate_for_image_set"] = over(f"{_BEST}{_VOTE.format('best')} SELECT video_id, track_id, text, round(confidence, 6) AS confidence, reads FROM won", "plate_reads")
+SQL["plate_for_image_set"] = over(f"{_BEST}{_EXACT.format('best')} SELECT video_id, track_id, text, round(confidence, 6) AS confidence, reads FROM won", "plate_reads")
 SQL["plate_for_violation"] = over(f"{_VOTE.format('plate_reads')} SELECT id, coalesce(CASE WHEN w.confidence > 0 THEN text END, license_plate) AS license_plate, round(coalesce(CASE WHEN w.confidence > 0 THEN w.confidence END, plate_conf), 6) AS plate_conf FROM violations LEFT JOIN won w USING (video_id, track_id)", "plate_reads", "violations")
 _AUTO = " UNION ALL ".join(f"SELECT video_id, violation_type, track_id, start_ms, end_ms FROM ({SQL[k]})" for k in _RULES)
 SQL["extract_violations"] = (
