@@ -59,7 +59,8 @@ def _node_pairs(nodes: DataFrame, near: int) -> DataFrame:
     """na < nb of nodes (node, w) whose distinct hashes lie within `near` bits.
 
     Nodes meet where two bands of 16 bits are both equal, and a pair leaves the join under
-    the first of its common keys only, so nothing is made distinct afterwards.
+    the first of its common keys only, so nothing is made distinct afterwards. The planner takes
+    exploded keys for as small as their nodes, and would broadcast them: they are merged.
     """
     pairs = _band_pairs(near)
     band = lambda w, i: F.shiftrightunsigned(w[i * BAND // 64], 64 - BAND - i * BAND % 64).bitwiseAND(F.lit((1 << BAND) - 1).cast("long"))
@@ -71,7 +72,7 @@ def _node_pairs(nodes: DataFrame, near: int) -> DataFrame:
     apart = [F.col("wa")[i].bitwiseXOR(F.col("wb")[i]) for i in range(BITS // 64)]
     distance = reduce(lambda x, y: x + y, (F.bit_count(x) for x in apart))
     first = F.coalesce(*(F.when(band(apart, a).bitwiseOR(band(apart, b)) == 0, F.lit(k)) for k, (a, b) in enumerate(pairs)))
-    met = left.join(right, "key").filter("na < nb").filter(distance <= near)
+    met = left.join(right.hint("merge"), "key").filter("na < nb").filter(distance <= near)
     return met.filter(first == F.shiftright("key", 2 * BAND)).select("na", "nb")
 
 
@@ -79,13 +80,16 @@ def near_pairs(hashes: DataFrame, near: int = NEAR) -> DataFrame:
     """Pairs a < b of ids within `near` bits; malformed hashes are skipped.
 
     Equal hashes are one node while nodes are joined, and expand into their ids at the end.
+    Hashes and nodes are written, and all joins merge: none is broadcast by a size that was
+    guessed from the columns it is derived from.
     """
-    named = hashes.select("id", hash_words(F.col("phash")).alias("w")).filter("w is not null")
-    nodes = named.groupBy("w").agg(F.min("id").alias("node"))
+    named = materialise(hashes.select("id", hash_words(F.col("phash")).alias("w")).filter("w is not null"), "hashes")
+    nodes = materialise(named.groupBy("w").agg(F.min("id").alias("node")), "nodes")
     met = _node_pairs(nodes, near)
     met = met.unionByName(nodes.select(F.col("node").alias("na"), F.col("node").alias("nb")))
-    ids = named.join(nodes, "w").select("node", "id")
-    both = met.join(ids.select(F.col("node").alias("na"), F.col("id").alias("x")), "na").join(ids.select(F.col("node").alias("nb"), F.col("id").alias("y")), "nb")
+    ids = materialise(named.join(nodes.hint("merge"), "w").select("node", "id"), "ids")
+    side = lambda node, x: ids.select(F.col("node").alias(node), F.col("id").alias(x)).hint("merge")
+    both = met.join(side("na", "x"), "na").join(side("nb", "y"), "nb")
     return both.filter((F.col("na") != F.col("nb")) | (F.col("x") < F.col("y"))).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from roadtrace.operators import duplicates as U
 
@@ -81,3 +82,11 @@ def test_a_long_chain_takes_few_jobs(spark):
 
 def test_no_pairs(spark):
     assert U.greedy_groups(spark.createDataFrame([], "a int, b int")).collect() == []
+
+
+def test_exploded_keys_are_not_broadcast(spark):
+    # hashes derived from one narrow column: the planner takes all that follows for small
+    rows = spark.range(0, 3000, 1, 4).select(F.col("id").cast("int").alias("id"), F.sha2((F.col("id") - F.col("id") % 2).cast("string"), 256).alias("phash"))
+    pairs = U.near_pairs(rows)
+    assert sorted(map(tuple, pairs.collect())) == [(i, i + 1) for i in range(0, 3000, 2)]
+    assert "Broadcast" not in pairs._jdf.queryExecution().executedPlan().toString()
