@@ -266,7 +266,7 @@ SQL["plate_for_image_set"] = over(f"{_BEST}{_EXACT.format('best')} SELECT video_
 SQL["plate_for_violation"] = over(f"{_VOTE.format('plate_reads')} SELECT id, coalesce(CASE WHEN w.confidence > 0 THEN text END, license_plate) AS license_plate, round(coalesce(CASE WHEN w.confidence > 0 THEN w.confidence END, plate_conf), 6) AS plate_conf FROM violations LEFT JOIN won w USING (video_id, track_id)", "plate_reads", "violations")
 _AUTO = " UNION ALL ".join(f"SELECT video_id, violation_type, track_id, start_ms, end_ms FROM ({SQL[k]})" for k in _RULES)
 SQL["extract_violations"] = (
-    over(f"{_VOTE.format('plate_reads')}, auto AS (SELECT * FROM ({_AUTO})), ", "violations", "detections", "videos", "plate_reads")
+    over(f"{_EXACT.format('plate_reads')}, auto AS (SELECT * FROM ({_AUTO})), ", "violations", "detections", "videos", "plate_reads")
     + """seen AS (SELECT DISTINCT video_id FROM detections),
 all_rows AS (SELECT coalesce(source, 'auto') AS source, violation_type, license_plate, video_id, track_id, start_ms, end_ms FROM violations
   WHERE coalesce(source, 'auto') <> 'auto' OR video_id NOT IN (SELECT video_id FROM seen)
