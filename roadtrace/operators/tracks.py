@@ -10,6 +10,7 @@ from pyspark.sql.types import ArrayType, IntegerType
 from pyspark.sql.window import Window
 
 from roadtrace.functions import geometry as G
+from roadtrace.session import dealt
 
 KEY = ["video_id", "track_id"]
 
@@ -18,14 +19,14 @@ def track_rows(detections: DataFrame) -> DataFrame:
     """Detections of tracks with their order (pos, from 0), their track's size n and majority class (ties: the first by name).
 
     The class is counted per (track, class) before the shuffle and joined back, so only the
-    ordering window moves whole rows.
+    ordering window moves whole rows, in more tasks where there are more of them.
     """
     mine = detections.filter("track_id is not null")
     votes = mine.groupBy(*KEY, "class_name").agg(F.count("*").alias("votes"))
     # the first name among the most votes
     best = votes.groupBy(*KEY).agg(F.sum("votes").cast("int").alias("n"), F.min_by("class_name", F.struct(-F.col("votes"), F.col("class_name"))).alias("track_class"))
     order = Window.partitionBy(*KEY).orderBy("frame_no", "id")
-    return mine.withColumn("pos", F.row_number().over(order) - 1).join(best, KEY).withColumn("cx", G.center_x(G.box())).withColumn("cy", G.center_y(G.box()))
+    return dealt(mine, *KEY).withColumn("pos", F.row_number().over(order) - 1).join(best, KEY).withColumn("cx", G.center_x(G.box())).withColumn("cy", G.center_y(G.box()))
 
 
 def track_summary(detections: DataFrame) -> DataFrame:

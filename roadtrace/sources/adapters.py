@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from roadtrace.session import dealt
+
 #: Per table: what it reads, and its SQL. {mins:x} is an interval of x minutes; the text is otherwise common to both engines.
 TABLES: dict[str, tuple[list[str], str]] = {
     "videos": (
@@ -73,6 +75,9 @@ TABLES: dict[str, tuple[list[str], str]] = {
     ),
 }
 
+#: What the rows of a table are numbered by: they are dealt by it in tasks that do not grow.
+NUMBERED_BY = {"detections": ["l_suppkey", "l_linenumber"]}
+
 
 def _text(name: str, duck: bool) -> str:
     text = TABLES[name][1]
@@ -94,7 +99,10 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = _text(name, duck=False)
     for t in inputs:
         text = text.replace(f"FROM {t}", "FROM {" + t + "}")
-    return spark.sql(text, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in inputs})
+    read = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in inputs}
+    if name in NUMBERED_BY:
+        read = {t: dealt(df, *NUMBERED_BY[name]) for t, df in read.items()}
+    return spark.sql(text, **read)
 
 
 def with_tables(query: str, *names: str) -> str:
