@@ -377,6 +377,7 @@ def _proposals(classes: DataFrame, threshold: float, least: float, recall: float
     leave, with_pivot = threshold - 0.02, 2 * threshold - 1 - 0.27
     leaves, stars = [], []
     for depth in range(DEPTH + 1):
+        rows = scratch.write(rows, "branches")
         sized = rows.join(rows.groupBy("path").agg(F.count("*").alias("size")).filter("size > 1"), "path")
         sized = scratch.write(sized, "nodes")
         leaves.append(sized.filter(F.col("size") <= LEAF).select("path", "nid"))
@@ -388,11 +389,11 @@ def _proposals(classes: DataFrame, threshold: float, least: float, recall: float
             break
         pivot = large.groupBy("path").agg(F.min("nid").alias("pivot")).join(classes.select(F.col("nid").alias("pivot"), F.col("sketch").alias("other")), "pivot")
         equal = F.aggregate(F.zip_with("sketch", "other", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-        held = large.join(classes.select("nid", "sketch"), "nid").join(pivot, "path").select("path", "nid", "pivot", (equal / COORDINATES).alias("alike"))
-        held = scratch.write(held, "held")
+        held = large.join(classes.select("nid", "sketch"), "nid").join(pivot, "path").select("path", "nid", "pivot", (equal / COORDINATES).alias("alike"), "sketch")
+        staying = F.when(F.col("alike") < leave, _children(F.col("path"), F.col("sketch"), threshold))
+        held = scratch.write(held.select("path", "nid", "pivot", "alike", staying.alias("children")), "held")
         stars.append(held.filter(F.col("alike") >= with_pivot).select(F.col("nid").alias("a"), F.col("pivot").alias("b")))
-        large = held.filter(F.col("alike") < leave).select("path", "nid")
-        rows = large.join(classes.select("nid", "sketch"), "nid").select("nid", F.explode(_children(F.col("path"), F.col("sketch"), threshold)).alias("path")).distinct()
+        rows = held.select("nid", F.explode("children").alias("path")).distinct()
     at_leaves = leaves[0]
     for more in leaves[1:]:
         at_leaves = at_leaves.unionByName(more)

@@ -123,3 +123,23 @@ def test_link_is_exact():
                 a, b = want[i], want[j]
                 want = [min(a, b) if x in (a, b) else x for x in want]
     assert [root[i] == root[j] for i in range(40) for j in range(40)] == [want[i] == want[j] for i in range(40) for j in range(40)]
+
+
+def test_members_branch_once(spark, monkeypatch):
+    """No table of nodes or pivots branches its members again: what was exploded is written and read."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    rows = [(d, " ".join(edited(rng, base, 6)), None) for d in range(400)]
+    plans = {}
+
+    def seen(df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().optimizedPlan().toString().count("Generate explode"))
+        return neardup_write(df, name)
+
+    from roadtrace import session
+
+    neardup_write = session.materialise
+    monkeypatch.setattr(session, "materialise", seen)
+    near_duplicates(spark.createDataFrame(rows, DOCS), 3, 85).count()
+    assert len(plans["nodes"]) > 1 and set(plans["nodes"]) == {0}
+    assert set(plans["held"]) == {0}
