@@ -143,3 +143,17 @@ def test_members_branch_once(spark, monkeypatch):
     near_duplicates(spark.createDataFrame(rows, DOCS), 3, 85).count()
     assert len(plans["nodes"]) > 1 and set(plans["nodes"]) == {0}
     assert set(plans["held"]) == {0}
+
+
+def test_stars_settle_in_one_look(spark, monkeypatch):
+    from roadtrace.llm import components
+
+    written = []
+    write = components.materialise
+    monkeypatch.setattr(components, "materialise", lambda df, name: written.append(name) or write(df, name))
+    stars = [(a, a % 3) for a in range(3, 60)]
+    got = components.connected_components(spark.createDataFrame(stars, "a long, b long"))
+    assert {tuple(r) for r in got.collect()} == {(a, a % 3) for a in range(60)} and len(written) == 2
+    chain = [(a, a + 1) for a in range(90)] + [(7, 7), (50, 49), (200, 199), (300, 500), (400, 500)]
+    got = {tuple(r) for r in components.connected_components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    assert got == {(a, 0) for a in range(91)} | {(199, 199), (200, 199), (300, 300), (400, 300), (500, 300)}
