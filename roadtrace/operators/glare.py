@@ -1,7 +1,8 @@
 """Glare in night frames: bright blobs in the lower third of a vehicle's box, judged a block of frames at a time.
 
-Pixels stay in Arrow's buffers. The bright masks of a block's crops are laid below each other
-in one array and labelled together: runs of a row join those they touch in the row above, and
+Pixels stay in Arrow's buffers and where their frames lie: what leaves a night frame is the
+mask of its bright colourless pixels, one bit each, in the rows that have any. The masks in a
+block's boxes are laid below each other in one array and labelled together: runs of a row join those they touch in the row above, and
 labels settle by minimum and pointer jumps over all runs at once.
 """
 
@@ -84,20 +85,29 @@ def is_night(image: np.ndarray, night: float = NIGHT) -> bool:
     return int(v.sum(dtype=np.int64)) <= night * v.size
 
 
-def bright(image: np.ndarray, box: tuple) -> np.ndarray | None:
-    """The mask of bright colourless pixels in the lower third of a box; None where it lies outside or has too few."""
-    x1, y1, x2, y2 = max(0, int(box[0])), max(0, int(box[1])), min(image.shape[1], int(box[2])), min(image.shape[0], int(box[3]))
-    if x2 <= x1 or y2 <= y1:
+def shining(image: np.ndarray) -> tuple[int, np.ndarray] | None:
+    """Where an image has bright colourless pixels: the first row that may have one, and the mask of the rows from there to the last; None for fewer than AREA of them."""
+    rows = np.flatnonzero(image.reshape(image.shape[0], -1).max(axis=1) >= V_MIN)
+    if not len(rows):
         return None
-    crop = image[y1 + 2 * (y2 - y1) // 3 : y2, x1:x2]
-    v = np.maximum(np.maximum(crop[..., 0], crop[..., 1]), crop[..., 2])
+    part = image[rows[0] : rows[-1] + 1]
+    v = np.maximum(np.maximum(part[..., 0], part[..., 1]), part[..., 2])
     shine = v >= V_MIN
     if shine.sum() < AREA:
         return None
-    low = np.minimum(np.minimum(crop[..., 0], crop[..., 1]), crop[..., 2])
+    low = np.minimum(np.minimum(part[..., 0], part[..., 1]), part[..., 2])
     v = v.astype(np.int32)
     shine &= 255 * (v - low) // np.maximum(v, 1) <= S_MAX
-    return shine if shine.sum() >= AREA else None
+    return (int(rows[0]), shine) if shine.sum() >= AREA else None
+
+
+def bright(top: int, shine: np.ndarray, height: int, box: tuple) -> np.ndarray | None:
+    """What of an image's mask, which begins at row `top`, lies in the lower third of a box; None where it has too few pixels."""
+    x1, y1, x2, y2 = max(0, int(box[0])), max(0, int(box[1])), min(shine.shape[1], int(box[2])), min(height, int(box[3]))
+    if x2 <= x1 or y2 <= y1:
+        return None
+    mask = shine[max(0, y1 + 2 * (y2 - y1) // 3 - top) : max(0, y2 - top), x1:x2]
+    return mask if mask.sum() >= AREA else None
 
 
 def glaring(masks: list[np.ndarray]) -> np.ndarray:
@@ -123,28 +133,38 @@ def glaring(masks: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def judge_frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """video_id, frame_no, height, width, bgr, boxes -> the (video_id, track_id, frame_no) that glare.
+def lit_frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """video_id, frame_no, height, width, bgr -> those of the night that shine, with `top` and packed `bits` of their mask in place of their pixels.
 
-    Each frame is judged once, then the boxes in it. Frames without pixels, or with other
-    than their size says, show nothing.
+    Frames without pixels, or with other than their size says, show nothing.
     """
     for batch in batches:
-        video, frame, height, width = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("video_id", "frame_no", "height", "width"))
-        pixels, boxes = batch.column("bgr"), batch.column("boxes")
-        masks, owners = [], []
+        height, width = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("height", "width"))
+        pixels, at, top, bits = batch.column("bgr"), [], [], []
         for k in range(batch.num_rows):
             raw = pixels[k].as_buffer()
             if raw is None or not len(raw) == height[k] * width[k] * 3 > 0:
                 continue
             image = np.frombuffer(raw, np.uint8).reshape(int(height[k]), int(width[k]), 3)
-            if not is_night(image):
-                continue
-            for b in boxes[k].as_py():
-                mask = bright(image, (b["bbox_x1"], b["bbox_y1"], b["bbox_x2"], b["bbox_y2"]))
+            if is_night(image) and (found := shining(image)) is not None:
+                at.append(k)
+                top.append(found[0])
+                bits.append(np.packbits(found[1], axis=1).tobytes())
+        some = batch.select(["video_id", "frame_no", "height", "width"]).take(pa.array(at, pa.int64()))
+        yield pa.RecordBatch.from_arrays([*some.columns, pa.array(top, pa.int32()), pa.array(bits, pa.binary())], names=["video_id", "frame_no", "height", "width", "top", "bits"])
+
+
+def judge_frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """video_id, frame_no, height, width, top, bits, boxes -> the (video_id, track_id, frame_no) that glare."""
+    for batch in batches:
+        masks, owners = [], []
+        for r in batch.to_pylist():
+            shine = np.unpackbits(np.frombuffer(r["bits"], np.uint8).reshape(-1, -(-r["width"] // 8)), axis=1, count=r["width"]).astype(bool)
+            for b in r["boxes"]:
+                mask = bright(r["top"], shine, r["height"], (b["bbox_x1"], b["bbox_y1"], b["bbox_x2"], b["bbox_y2"]))
                 if mask is not None:
                     masks.append(mask)
-                    owners.append((video[k], b["track_id"], frame[k]))
+                    owners.append((r["video_id"], b["track_id"], r["frame_no"]))
         shown = [o for o, yes in zip(owners, glaring(masks)) if yes]
         cols = list(zip(*shown)) or [()] * 3
         yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int32)) for c in cols], names=["video_id", "track_id", "frame_no"])

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from roadtrace.functions import geometry as G
 from roadtrace.functions.text import fps_or_default
 from roadtrace.operators import tracks as T
-from roadtrace.operators.glare import judge_frames
+from roadtrace.operators.glare import judge_frames, lit_frames
 from roadtrace.schemas import LANE_LINES, VEHICLES, VIOLATION
 from roadtrace.session import materialise
 
@@ -225,8 +225,8 @@ def unsafe_following(x: RuleInput, ttc_sec: float = 2.0, least_sec: float = 2.0,
     return first.select("video_id", F.lit("unsafe_following").alias("violation_type"), "track_id", _frame_ms(a, F.col("fps")).alias("start_ms"), _frame_ms(z, F.col("fps")).alias("end_ms"), F.least(F.lit(0.90), F.lit(0.55) + F.col("sec") / 10).alias("confidence"), T.evidence(a, mid, z).alias("evidence"))
 
 
-#: Frames whose boxes are broadcast at most.
-BROADCAST_FRAMES = 100_000
+#: What is known of a night frame without its pixels.
+LIT = "video_id int, frame_no int, height int, width int, top int, bits binary"
 
 
 def high_beam(x: RuleInput, every: int = 5, least_sec: float = 2.0) -> DataFrame:
@@ -235,10 +235,9 @@ def high_beam(x: RuleInput, every: int = 5, least_sec: float = 2.0) -> DataFrame
         return x.detections.sparkSession.createDataFrame([], VIOLATION)
     taken = x.vehicles.join(T.stride_sample(x.vehicles, every), [*KEY, "frame_no"], "left_semi")
     boxes = taken.groupBy("video_id", "frame_no").agg(F.collect_list(F.struct("track_id", "bbox_x1", "bbox_y1", "bbox_x2", "bbox_y2")).alias("boxes"))
-    boxes = materialise(boxes, "boxes")
-    if boxes.count() <= BROADCAST_FRAMES:  # pixels stay where they are
-        boxes = F.broadcast(boxes)
-    seen = x.frames.join(boxes, ["video_id", "frame_no"]).select("video_id", "frame_no", "height", "width", "bgr", "boxes").mapInArrow(judge_frames, "video_id int, track_id int, frame_no int")
+    # pixels stay where they are: only masks of night frames meet the boxes
+    lit = x.frames.select("video_id", "frame_no", "height", "width", "bgr").mapInArrow(lit_frames, LIT)
+    seen = lit.join(boxes, ["video_id", "frame_no"]).mapInArrow(judge_frames, "video_id int, track_id int, frame_no int")
     g = seen.groupBy(*KEY).agg(F.array_sort(F.collect_set("frame_no")).alias("f")).join(x.rates, "video_id")
     a, z = F.get("f", F.lit(0)), F.get("f", F.size("f") - 1)
     g = g.withColumn("sec", (z - a + 1) / F.col("fps")).filter(F.col("sec") >= least_sec)

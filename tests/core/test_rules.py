@@ -112,6 +112,40 @@ def test_high_beam(spark):
     assert R.high_beam(make(spark, [(0, "vehicle", (0, 0, 9, 9), 1)])).collect() == []
 
 
+def test_no_pixels_are_shuffled(spark):
+    """Pixels go through no exchange, even where nothing may be broadcast."""
+    shots = spark.createDataFrame([(1, f, 120, 120, bytearray(picture().tobytes())) for f in range(30)], "video_id int, frame_no int, height int, width int, bgr binary")
+    x = make(spark, [(f, "vehicle", (0, 0, 100, 100), 1) for f in range(30)], frames=shots)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = R.high_beam(x)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert [r.evidence for r in found.collect()] == [[0, 5, 10, 15, 20]]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    # going up from the scan of the pixels, the mask is taken before any exchange or join
+    lines = plan.splitlines()
+    at = max(k for k, line in enumerate(lines) if "bgr" in line)
+    up = next(line for line in reversed(lines[:at]) if "MapInArrow" in line or "Exchange" in line or "Join" in line)
+    assert "MapInArrow" in up and "lit_frames" in up
+
+
+def test_boxes_cut_the_mask_of_a_frame_as_its_pixels():
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        image = rng.choice(np.array([5, 250], np.uint8), (60, 50), p=[0.6, 0.4])[..., None].repeat(3, 2)
+        image[rng.random((60, 50)) < 0.1, 0] = 10  # coloured
+        image[: rng.integers(0, 30)] = 0
+        found = H.shining(image)
+        box = rng.integers(-10, 80, 4)
+        x1, y1, x2, y2 = max(0, box[0]), max(0, box[1]), min(50, box[2]), min(60, box[3])
+        crop = image[y1 + 2 * (y2 - y1) // 3 : y2, x1:x2].astype(int) if x2 > x1 and y2 > y1 else np.zeros((0, 0, 3), int)
+        want = int(((crop.max(axis=2) >= 240) & (255 * (crop.max(axis=2) - crop.min(axis=2)) // np.maximum(crop.max(axis=2), 1) <= 40)).sum()) if crop.size else 0
+        mask = H.bright(*found, 60, tuple(box)) if found else None
+        assert (0 if mask is None else int(mask.sum())) == (want if want >= H.AREA else 0)
+
+
 def test_blob_areas():
     mask = np.zeros((20, 30), bool)
     mask[2:8, 2:8] = True  # six by six pixels enclose five by five
