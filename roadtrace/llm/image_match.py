@@ -1,11 +1,13 @@
 """Cropped and edited copies among images, by local descriptors.
 
 Corners are found by the Harris measure, turned upright by the intensity centroid of their
-surroundings, and described by 128 brightness tests. Images are described at two sizes; the
-queries, a fixed share of all, at a ladder of sizes, so that a copy of any scale between
-meets one that is near. Descriptors meet in Hamming tables, each keyed by some of the bits;
-keys and tables grow with the number of descriptors. Images of which two corners meet are
-compared corner by corner, pairs of a small Hamming distance propose similarity transforms,
+surroundings, and described by 128 brightness tests, and by 128 more of twice the radius.
+Images are described at two sizes; the queries, a fixed share of all, at a ladder of sizes,
+so that a copy of any scale between meets one that is near. Descriptors meet in Hamming
+tables, each keyed by some of the bits; keys and tables grow with the number of descriptors.
+Corners that are alike by chance, whose number grows with the square of the images, do not
+meet, since what is around them differs. Images of which any corners meet are compared
+corner by corner, pairs of a small Hamming distance propose similarity transforms,
 and two images match where enough different corners agree on one. Images of equal pixels
 form a class that is described once.
 """
@@ -34,6 +36,9 @@ CORNERS, ASKED, BASE_SIDE = 32, 40, 96
 RADIUS = 12
 #: Largest Hamming distance of two descriptors that meet in a table, and of two of one corner in images that are compared.
 NEAR, DISTANCE = 16, 24
+#: Surroundings of two corners are alike with at most AROUND differing bits. They are not asked for in corners that differ by CLOSE bits at most (of a part
+#: that is put into another picture), or where an image has fewer than FEW corners (a small one, most of whose surroundings lie outside of it).
+AROUND, CLOSE, FEW = 30, 10, 16
 #: Corners that must agree on a transform, how far off they may lie in pixels of an image of BASE_SIDE, and how many transforms are tried beyond all pairs.
 AGREE, OFF, TRIES = 4, 3.5, 4000
 #: How far a pair's own turn (radians) and scale (factor) may differ from the transform's.
@@ -44,12 +49,14 @@ BROADCAST_IDS = 200_000
 _rng = np.random.Generator(np.random.PCG64(4096))
 _TESTS = np.clip(_rng.normal(0, RADIUS / 2, (BITS, 2, 2)), -RADIUS + 1, RADIUS - 1)
 _TESTS *= np.minimum(1, (RADIUS - 1) / np.maximum(1e-9, np.hypot(_TESTS[..., 0], _TESTS[..., 1])))[..., None]
+_WIDE = np.clip(_rng.normal(0, RADIUS, (BITS, 2, 2)), -2 * RADIUS, 2 * RADIUS)
 _DISC = np.array([(y, x) for y in range(-RADIUS, RADIUS + 1) for x in range(-RADIUS, RADIUS + 1) if y * y + x * x <= RADIUS * RADIUS])
 #: Directions to which an upright turn is rounded, and the tests turned by each.
 TURNS = 64
-_TURNED = np.stack([np.rint(_TESTS @ np.array([[np.cos(a), np.sin(a)], [-np.sin(a), np.cos(a)]])).astype(int) for a in np.arange(TURNS) * 2 * np.pi / TURNS])
+_TURNED, _TURNED_WIDE = (np.stack([np.rint(tests @ np.array([[np.cos(a), np.sin(a)], [-np.sin(a), np.cos(a)]])).astype(int) for a in np.arange(TURNS) * 2 * np.pi / TURNS]) for tests in (_TESTS, _WIDE))
 
-DESCRIBED = "cid long, asked boolean, place array<long>, d0 array<long>, d1 array<long>"
+WORDS = ("d0", "d1", "c0", "c1")
+DESCRIBED = "cid long, asked boolean, place array<long>, d0 array<long>, d1 array<long>, c0 array<long>, c1 array<long>"
 
 
 def _box(a: np.ndarray, r: int) -> np.ndarray:
@@ -102,8 +109,15 @@ def growth(shape: tuple[int, ...]) -> float:
     return max(1.0, max(shape) / BASE_SIDE)
 
 
+def _bits(level: np.ndarray, y: np.ndarray, x: np.ndarray, tests: np.ndarray) -> np.ndarray:
+    """Two words of test bits for each corner; tests: corner, test, end, (x, y); beyond the border its pixels are repeated."""
+    value = level[np.clip(y[:, None, None] + tests[..., 1], 0, level.shape[0] - 1), np.clip(x[:, None, None] + tests[..., 0], 0, level.shape[1] - 1)]
+    bits = np.packbits(value[..., 0] < value[..., 1], axis=1)
+    return np.ascontiguousarray(bits).view(">i8").astype(np.int64).reshape(-1, 2)
+
+
 def describe(image: np.ndarray, asked: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(x, y, scale, turn) in the image's pixels, and two words of test bits, for each corner of a grey image.
+    """(x, y, scale, turn) in the image's pixels, and four words of test bits (two of the corner, two of its surroundings), for each corner of a grey image.
 
     asked: at each size of LADDER, else at LEVELS. Ties of strength go to the larger size, then
     to the upper left.
@@ -119,7 +133,7 @@ def describe(image: np.ndarray, asked: bool = False) -> tuple[np.ndarray, np.nda
         best = np.lexsort((x, y, -s))[:most]
         found.append((level, share, s[best], y[best], x[best]))
     if not found:
-        return np.zeros((0, 4)), np.zeros((0, 2), np.int64)
+        return np.zeros((0, 4)), np.zeros((0, 4), np.int64)
     if not asked:  # the strongest over all levels
         strength = np.concatenate([f[2] for f in found])
         keep = np.zeros(len(strength), bool)
@@ -130,10 +144,8 @@ def describe(image: np.ndarray, asked: bool = False) -> tuple[np.ndarray, np.nda
     for level, share, _, y, x in found:
         patch = level[y[:, None] + _DISC[:, 0], x[:, None] + _DISC[:, 1]]
         angle = np.arctan2(patch @ _DISC[:, 0], patch @ _DISC[:, 1])
-        at = _TURNED[np.rint(angle / (2 * np.pi) * TURNS).astype(int) % TURNS]  # corner, test, end, (x, y)
-        value = level[y[:, None, None] + at[..., 1], x[:, None, None] + at[..., 0]]
-        bits = np.packbits(value[..., 0] < value[..., 1], axis=1)
-        words.append(np.ascontiguousarray(bits).view(">i8").astype(np.int64).reshape(-1, 2))
+        upright = np.rint(angle / (2 * np.pi) * TURNS).astype(int) % TURNS
+        words.append(np.concatenate([_bits(level, y, x, _TURNED[upright]), _bits(_box(level, 2), y, x, _TURNED_WIDE[upright])], 1))
         scale = level.shape[0] / image.shape[0]
         info.append(np.stack([(x + 0.5) * image.shape[1] / level.shape[1], (y + 0.5) / scale, np.full(len(x), share), angle], 1))
     return np.concatenate(info), np.concatenate(words)
@@ -162,10 +174,10 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 image = np.frombuffer(pixels, np.uint8).reshape(h, w)
                 for side in (False, True) if asked else (False,):
                     info, words = describe(image, side)
-                    out.append((cid, side, packed(info, image.shape), words[:, 0], words[:, 1]))
+                    out.append((cid, side, packed(info, image.shape), *words.T))
             cid, side, *lists = zip(*out)
             ends = np.concatenate([[0], np.cumsum([len(x) for x in lists[0]])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(side), *(pa.ListArray.from_arrays(ends, np.concatenate(x)) for x in lists)], names=["cid", "asked", "place", "d0", "d1"])
+            yield pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(side), *(pa.ListArray.from_arrays(ends, np.concatenate(x)) for x in lists)], names=["cid", "asked", "place", *WORDS])
 
 
 def whole_images(images: DataFrame) -> DataFrame:
@@ -194,19 +206,21 @@ def _cut(d0: Column, d1: Column, start: int, bits: int) -> Column:
 
 
 def meetings(words: DataFrame, tables: int, bits: int) -> DataFrame:
-    """Pairs (qcid, qplace, mcid, mplace) of corners of different images, within NEAR, whose keys meet in a table.
+    """Images (qcid, mcid) of each pair of corners of different images, within NEAR and of like surroundings, whose keys meet in a table.
 
-    Distances are taken where keys meet, so that only near pairs leave the join; a pair that
+    Distances are taken where keys meet, so that only such pairs leave the join; a pair that
     meets in several tables leaves the first of them.
     """
     starts = [BITS * t // tables for t in range(tables)]
     keys = [F.lit(t << bits).bitwiseOR(_cut(F.col("d0"), F.col("d1"), s, bits)) for t, s in enumerate(starts)]
-    corners = words.select("cid", "asked", F.explode(F.arrays_zip("place", "d0", "d1")).alias("c")).select("cid", "asked", "c.*")
-    slim = lambda asked, p: corners.filter(F.col("asked") == asked).select(F.col("cid").alias(p + "cid"), F.col("place").alias(p + "place"), F.col("d0").alias(p + "0"), F.col("d1").alias(p + "1"), F.explode(F.array(*keys)).alias("key"))
-    x0, x1 = F.col("q0").bitwiseXOR(F.col("m0")), F.col("q1").bitwiseXOR(F.col("m1"))
+    corners = words.select("cid", "asked", (F.size("place") < FEW).alias("few"), F.explode(F.arrays_zip(*WORDS)).alias("c")).select("cid", "asked", "few", "c.*")
+    slim = lambda asked, p, *more: corners.filter(F.col("asked") == asked).select(*(F.col(c).alias(p + c) for c in ("cid", *WORDS, *more)), F.explode(F.array(*keys)).alias("key"))
+    x0, x1, y0, y1 = (F.col("q" + c).bitwiseXOR(F.col("m" + c)) for c in WORDS)
     first = F.coalesce(*(F.when(_cut(x0, x1, s, bits) == 0, F.lit(t)) for t, s in enumerate(starts)))
-    both = slim(True, "q").join(slim(False, "m"), "key").filter(F.bit_count(x0) + F.bit_count(x1) <= NEAR).filter("qcid <> mcid")
-    return both.filter(first == F.shiftright("key", bits)).select("qcid", "qplace", "mcid", "mplace")
+    apart = F.bit_count(x0) + F.bit_count(x1)
+    alike = (F.bit_count(y0) + F.bit_count(y1) <= AROUND) | (apart <= CLOSE) | F.col("mfew")
+    both = slim(True, "q").join(slim(False, "m", "few"), "key").filter(apart <= NEAR).filter(alike).filter("qcid <> mcid")
+    return both.filter(first == F.shiftright("key", bits)).select("qcid", "mcid")
 
 
 def consensus(qplace: np.ndarray, mplace: np.ndarray) -> tuple[int, float, float]:
@@ -275,9 +289,7 @@ def _agree(batches: Iterator[pa.RecordBatch], agree: int) -> Iterator[pa.RecordB
 def matches(words: DataFrame, agree: int = AGREE) -> DataFrame:
     """Image pairs (qcid, mcid, inliers, scale, turn) out of described classes (one row an image and side)."""
     corners = words.filter("not asked").agg(F.sum(F.size("place"))).first()[0] or 0
-    met = meetings(words, *table_sizes(corners))
-    # Two different corners of an image that is searched must meet, as a transform needs.
-    some = met.groupBy("qcid", "mcid").agg(F.min("mplace").alias("lo"), F.max("mplace").alias("hi")).filter("lo <> hi").select("qcid", "mcid")
+    some = meetings(words, *table_sizes(corners)).distinct()
     side = lambda asked, p: words.filter(F.col("asked") == asked).select(F.col("cid").alias(p + "cid"), *(F.col(c).alias(p + c) for c in ("place", "d0", "d1")))
     both = some.join(side(False, "m"), "mcid").join(side(True, "q"), "qcid")
     return both.mapInArrow(partial(_agree, agree=agree), "qcid long, mcid long, inliers long, scale double, turn double")

@@ -228,6 +228,32 @@ def test_edited_images_against_brute_force(spark):
     assert got.keys() <= want and len(got) >= 0.9 * len(want)
 
 
+def test_unrelated_images_seldom_meet(spark):
+    """Corners alike by chance do not meet, where what is around them differs; parts put into other pictures are still found."""
+    rng = np.random.default_rng(12)
+    rows, want = [], set()
+    for n in range(20):
+        image, *others = (image_match.render(rng.normal(size=64), 0) for _ in range(13))
+        for k, (side, share) in enumerate(((48, 1), (60, 1), (72, 0.85))):
+            part, (y, x) = _size(image[48 - side // 2 : 48 + side // 2, 48 - side // 2 : 48 + side // 2], share), rng.integers(0, 24, 2)
+            others[k] = others[k].astype(float)
+            others[k][y : y + len(part), x : x + len(part)] = part
+        for k, picture in enumerate([image, *others]):
+            pixels = np.rint(picture).clip(0, 255).astype(np.uint8)
+            rows.append((20 * n + k, *pixels.shape, bytearray(pixels.tobytes())))
+            if 0 < k <= 3:
+                (qi, qw), (mi, mw) = image_match.describe(image, True), image_match.describe(pixels)
+                if image_match.compared((image_match.packed(qi, image.shape), qw[:, 0], qw[:, 1]), (image_match.packed(mi, pixels.shape), mw[:, 0], mw[:, 1]))[0] >= image_match.AGREE:
+                    want.add((20 * n, 20 * n + k))
+    images = spark.createDataFrame(rows, "media_id long, height int, width int, pixels binary").repartition(4)
+    got = {(r.media_id, r.match_id) for r in image_match.find_copies(images).collect()}
+    assert len(want) > 40 and len(got & want) >= 0.95 * len(want)
+    sides = images.select(F.col("media_id").alias("cid"), "height", "width", "pixels", (F.col("media_id") % 20 == 0).alias("asked")).mapInArrow(image_match._describe, image_match.DESCRIBED).localCheckpoint()
+    met = image_match.meetings(sides, *image_match.table_sizes(32 * len(rows))).select("qcid", "mcid").distinct().collect()
+    chance = [r for r in met if r.mcid - r.mcid % 20 != r.qcid]
+    assert len(chance) <= 20 * len(rows) // 200, len(chance)
+
+
 def test_tables_grow_with_the_descriptors():
     sizes = [image_match.table_sizes(10**k) for k in range(2, 12)]
     assert sizes == sorted(sizes) and sizes[-1][1] > 25
