@@ -1,4 +1,8 @@
-"""Tracks, segments, runs and crossings. Every window stays inside one (video_id, track_id)."""
+"""Tracks, segments, runs and crossings. Every window stays inside one (video_id, track_id).
+
+Joins are merged: sizes of files say little of rows as repetitive as these, and the planner
+would broadcast millions of them through the driver.
+"""
 
 from __future__ import annotations
 
@@ -19,14 +23,15 @@ def track_rows(detections: DataFrame) -> DataFrame:
     """Detections of tracks with their order (pos, from 0), their track's size n and majority class (ties: the first by name).
 
     The class is counted per (track, class) before the shuffle and joined back, so only the
-    ordering window moves whole rows, in more tasks where there are more of them.
+    ordering window moves whole rows, in more tasks where there are more of them; classes are
+    dealt like the rows, which then need no other exchange to meet them.
     """
     mine = detections.filter("track_id is not null")
     votes = mine.groupBy(*KEY, "class_name").agg(F.count("*").alias("votes"))
     # the first name among the most votes
-    best = votes.groupBy(*KEY).agg(F.sum("votes").cast("int").alias("n"), F.min_by("class_name", F.struct(-F.col("votes"), F.col("class_name"))).alias("track_class"))
+    best = dealt(votes, *KEY).groupBy(*KEY).agg(F.sum("votes").cast("int").alias("n"), F.min_by("class_name", F.struct(-F.col("votes"), F.col("class_name"))).alias("track_class"))
     order = Window.partitionBy(*KEY).orderBy("frame_no", "id")
-    return dealt(mine, *KEY).withColumn("pos", F.row_number().over(order) - 1).join(best, KEY).withColumn("cx", G.center_x(G.box())).withColumn("cy", G.center_y(G.box()))
+    return dealt(mine, *KEY).withColumn("pos", F.row_number().over(order) - 1).join(best.hint("merge"), KEY).withColumn("cx", G.center_x(G.box())).withColumn("cy", G.center_y(G.box()))
 
 
 def track_summary(detections: DataFrame) -> DataFrame:
@@ -75,7 +80,7 @@ def lines_of(zones: DataFrame, types: list[str]) -> DataFrame:
 def first_crossing(segments: DataFrame, lines: DataFrame) -> DataFrame:
     """Per track the later frame of the first segment that crosses any line of its video."""
     pt = lambda *c: tuple(F.col(x) for x in c)
-    hit = segments.join(lines, "video_id").filter(G.segments_intersect(pt("x1", "y1"), pt("x2", "y2"), pt("lx1", "ly1"), pt("lx2", "ly2")))
+    hit = segments.join(lines.hint("merge"), "video_id").filter(G.segments_intersect(pt("x1", "y1"), pt("x2", "y2"), pt("lx1", "ly1"), pt("lx2", "ly2")))
     return hit.groupBy(*KEY, "track_class", "n").agg(F.min(F.struct("pos", "frame_no")).alias("at")).select(*KEY, "track_class", "n", (F.col("at.pos") + 1).alias("pos"), F.col("at.frame_no").alias("frame_no"))
 
 

@@ -3,8 +3,10 @@
 import pytest
 
 from roadtrace import session
+from roadtrace.operators import rules as R
 from roadtrace.operators import tracks as T
 from roadtrace.schemas import DETECTION
+from test_rules import STOP, crossing, make
 
 
 @pytest.mark.parametrize("rows", [2_000, 8_000])
@@ -18,3 +20,15 @@ def test_tracks_are_ordered_in_more_tasks_where_there_are_more_rows(spark, tmp_p
     assert len(sizes) > 4 and max(sizes) < 1_000 and sum(sizes) == rows
     monkeypatch.setattr(session, "TASK_BYTES", 1 << 30)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, T.track_rows(seen).collect()))
+
+
+def plan_of(rows):
+    return rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rules_broadcast_nothing(spark):
+    # written detections are small files, whatever their rows
+    frames = spark.createDataFrame([], "video_id int, frame_no int, height int, width int, bgr binary")
+    rows = R.run_rules(make(spark, crossing(), STOP, mpp=0.2, frames=frames))
+    assert "Broadcast" not in plan_of(rows)
+    assert sorted(r.violation_type for r in rows.collect()) == ["red_light_running", "speeding"]
