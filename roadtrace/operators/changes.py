@@ -64,7 +64,7 @@ def audit_rows(violations: DataFrame, changes: DataFrame) -> DataFrame:
 
 def extract_violations(old: DataFrame, found: DataFrame, detections: DataFrame) -> DataFrame:
     """Violations after the rules ran again: automatic rows of videos with detections are replaced, all others stay."""
-    touched = detections.select("video_id").distinct()
+    touched = detections.select("video_id").distinct().hint("merge")
     kept = old.filter("coalesce(source, 'auto') = 'auto'").join(touched, "video_id", "left_anti").unionByName(old.filter("coalesce(source, 'auto') <> 'auto'"))
     fresh = found.join(touched, "video_id", "left_semi").withColumn("source", F.lit("auto")).withColumn("review_status", F.lit("pending"))
     return kept.unionByName(fresh, allowMissingColumns=True)
@@ -84,7 +84,7 @@ def extract(x: RuleInput, old: DataFrame, videos: DataFrame, votes: DataFrame) -
     become analyzed.
     """
     rows = extract_violations(old, with_plates(run_rules(x), votes), x.detections)
-    judged = x.detections.select(F.col("video_id").alias("id")).distinct().withColumn("judged", F.lit(True))
+    judged = x.detections.select(F.col("video_id").alias("id")).distinct().withColumn("judged", F.lit(True)).hint("merge")
     status = F.when(F.col("judged"), "analyzed").otherwise(F.col("status"))
     return rows, videos.join(judged, "id", "left").withColumn("status", status).drop("judged")
 

@@ -47,5 +47,5 @@ def plate_for_image_set(reads: DataFrame, set_keys: list[str], image: str) -> Da
 def plate_for_violation(violations: DataFrame, votes: DataFrame) -> DataFrame:
     """Violations with their track's plate, kept as it was where the vote says nothing."""
     won = votes.filter((F.col("text") != "") & (F.col("confidence") > 0)).select("video_id", "track_id", F.col("text").alias("voted"), F.col("confidence").alias("voted_conf"))
-    rows = violations.join(won, ["video_id", "track_id"], "left")
+    rows = violations.join(won.hint("merge"), ["video_id", "track_id"], "left")
     return rows.withColumn("license_plate", F.coalesce("voted", "license_plate")).withColumn("plate_conf", F.coalesce("voted_conf", "plate_conf")).drop("voted", "voted_conf")

@@ -66,7 +66,9 @@ def frames_of(detections: DataFrame) -> DataFrame:
 
     Videos whose id is divisible by 4 are of the night. The first track's box holds lamps
     there while it is inside the picture: two of them, one small one, two coloured ones or
-    one large one, by the video. The others are of the day, in small pictures.
+    one large one, by the video. The others are of the day, in small pictures. Plain pixels are
+    padded to lengths that follow from the rows: a literal picture would stand in every plan
+    that reads frames, and in all the descriptions of it that the driver keeps.
     """
     first = F.min_by(F.struct("bbox_x1", "bbox_y1"), F.when(F.col("track_id") == 1, F.col("id")))
     at = detections.filter("frame_no % 5 = 0").groupBy("video_id", "frame_no").agg(first.alias("b"))
@@ -76,14 +78,15 @@ def frames_of(detections: DataFrame) -> DataFrame:
     # rows above the lamps, rows of the lamps (12 high, in the lower third of the box), rows below
     top, left = F.least(y + 36, F.lit(h - 12)).cast("int"), (x + 8).cast("int")
     inside = F.coalesce((y + 48 <= h) & (x + 52 <= w), F.lit(False))
-    all_of = lambda grey, pixels: F.lit(bytearray([grey]) * (3 * pixels))
-    ground = lambda pixels: F.substring(all_of(10, h * w), F.lit(1), 3 * pixels)
-    shine = F.when(kind == 2, F.lit(bytearray(b"\x32\x32\xfa") * 12)).otherwise(all_of(250, 12))
-    dark = all_of(10, 12)
+    grey = lambda value: F.lit(bytearray([value] * 3))
+    all_of = lambda pixel, pixels: F.rpad(F.lit(bytearray()), 3 * pixels, pixel)
+    ground = lambda pixels: all_of(grey(10), pixels)
+    shine = F.when(kind == 2, F.lit(bytearray(b"\x32\x32\xfa") * 12)).otherwise(F.lit(bytearray([250] * 36)))
+    dark = F.lit(bytearray([10] * 36))
     line = F.concat(ground(left), shine, F.when(kind == 3, shine).otherwise(dark), F.when(kind == 1, dark).otherwise(shine), ground(w - left - 36))
     lit = F.concat(ground(top * w), *[line] * 12, ground((h - top - 12) * w))
     size = lambda k: F.when(night, NIGHT_FRAME[k]).otherwise(DAY_FRAME[k])
-    picture = F.when(night & inside, lit).when(night, all_of(10, h * w)).otherwise(all_of(200, DAY_FRAME[0] * DAY_FRAME[1]))
+    picture = F.when(night & inside, lit).otherwise(all_of(F.when(night, grey(10)).otherwise(grey(200)), size(0) * size(1)))
     return at.select("video_id", "frame_no", size(0).alias("height"), size(1).alias("width"), picture.alias("bgr"))
 
 
@@ -210,7 +213,7 @@ def _study(t: Tables) -> DataFrame:
 
 def _extracted(rows: DataFrame, videos: DataFrame) -> DataFrame:
     """Violations and the statuses of their videos after an extraction."""
-    rows = rows.join(videos.select(F.col("id").alias("video_id"), "status"), "video_id", "left")
+    rows = rows.join(videos.select(F.col("id").alias("video_id"), "status").hint("merge"), "video_id", "left")
     source = F.coalesce("source", F.lit("auto")).alias("source")
     return rows.select("video_id", source, "violation_type", "track_id", "start_ms", "end_ms", "license_plate", "status")
 

@@ -15,9 +15,9 @@ from roadtrace.session import exists
 
 
 def _restricted(x: RuleInput, ids: DataFrame) -> RuleInput:
-    """The input of some videos (video_id) only."""
-    mine = lambda rows: rows.join(ids, "video_id", "left_semi")
-    return RuleInput(mine(x.detections), mine(x.zones), mine(x.calibrations), x.videos, None if x.frames is None else mine(x.frames), x.extra)
+    """The input of some videos (video_id) only. Pixels are not moved where that can be helped."""
+    mine = lambda rows, ids=ids.hint("merge"): rows.join(ids, "video_id", "left_semi")
+    return RuleInput(mine(x.detections), mine(x.zones), mine(x.calibrations), x.videos, None if x.frames is None else mine(x.frames, ids), x.extra)
 
 
 def extract_touched(x: RuleInput, touched: DataFrame, old: DataFrame, videos: DataFrame, votes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -96,10 +96,10 @@ class ExtractionLog:
         found = self._read("violations")
         if found is None:
             return old, videos
-        fresh = found.join(last, ["video_id", "batch"], "left_semi").drop("batch")
+        fresh = found.join(last.hint("merge"), ["video_id", "batch"], "left_semi").drop("batch")
         rows = extract_violations(old, fresh, last)
         done = last.select(F.col("video_id").alias("id"), F.lit(True).alias("judged"))
-        after = videos.join(done, "id", "left").withColumn("status", F.when(F.col("judged"), "analyzed").otherwise(F.col("status"))).drop("judged")
+        after = videos.join(done.hint("merge"), "id", "left").withColumn("status", F.when(F.col("judged"), "analyzed").otherwise(F.col("status"))).drop("judged")
         return rows, after
 
 

@@ -5,6 +5,7 @@ import pytest
 from roadtrace import session
 from roadtrace.operators import rules as R
 from roadtrace.operators import tracks as T
+from roadtrace.plans import registry
 from roadtrace.schemas import DETECTION
 from test_rules import STOP, crossing, make
 
@@ -32,3 +33,11 @@ def test_rules_broadcast_nothing(spark):
     rows = R.run_rules(make(spark, crossing(), STOP, mpp=0.2, frames=frames))
     assert "Broadcast" not in plan_of(rows)
     assert sorted(r.violation_type for r in rows.collect()) == ["red_light_running", "speeding"]
+
+
+def test_pictures_do_not_stand_in_plans(spark):
+    boxes = [(f, "vehicle", (10 * v, 40, 10 * v + 60, 90), 1) for v, f in enumerate((0, 1, 5, 10))]
+    frames = registry.frames_of(make(spark, boxes).detections.withColumn("video_id", (4 * (registry.F.floor("id") % 2)).cast("int") + registry.F.lit(3)))
+    assert len(plan_of(frames)) < 100_000
+    for r in frames.collect():
+        assert len(r.bgr) == 3 * r.height * r.width
