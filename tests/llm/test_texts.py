@@ -96,6 +96,24 @@ def test_neighbours_are_those_of_plain_bm25():
         assert [round(score[i], 3) for i in got] == [round(score[i], 3) for i in want]
 
 
+def test_a_query_asks_all_terms(monkeypatch):
+    rng = random.Random(21)
+    docs = [[int(300 * rng.random() ** 2) for _ in range(rng.randrange(20, 200))] for _ in range(160)]
+    docs += docs[:40] + [[7, 7, 9]] * 15  # equal ones: the earlier first
+    index = packing.Bm25(np.concatenate([np.array(d, np.uint32) for d in docs]), np.concatenate([[0], np.cumsum([len(d) for d in docs])]))
+    unused = np.ones(len(docs), bool)
+    unused[::7] = False
+    for seed in range(len(docs)):
+        got = index.near(seed, unused).tolist()
+        with monkeypatch.context() as walked:
+            walked.setattr(packing, "QUERY_POSTINGS", 1 << 40)
+            assert got == index.near(seed, unused).tolist()
+        score = [round(x, 4) for x in bm25(docs, seed)]
+        want = sorted((i for i in range(len(docs)) if unused[i] and score[i] > 0), key=lambda i: -score[i])[: packing.NEIGHBOURS]
+        assert [score[i] for i in got] == pytest.approx([score[i] for i in want], abs=2e-3)
+        assert all(a < b for a, b in zip(got, got[1:]) if docs[a] == docs[b])
+
+
 def test_a_lexical_key_gathers_near_documents(spark, monkeypatch):
     """Documents of one topic, spread over the input, share a shard."""
     monkeypatch.setattr(packing, "SHARD_TOKENS", 6000)
